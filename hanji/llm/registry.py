@@ -7,13 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hanji.llm.chat_format import OP2_SQL, op2_chat_format
+from hanji.llm.lang_id import op3_language_id
 from hanji.llm.mixing import OP4_SQL, op4_mix_sources
 from hanji.llm.quality_rules import OP5_SQL, op5_quality_cascade
+from hanji.llm.toxicity import op7_toxicity
+from hanji.llm.url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_chat_format": op2_chat_format,
+    "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_cascade": op5_quality_cascade,
+    "op7_toxicity": op7_toxicity,
+    "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
