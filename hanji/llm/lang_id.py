@@ -6,7 +6,7 @@ word); a Viterbi path with a penalty for every change of language then labels th
 language inside a text come out and single odd words do not. All work is done on arrays over many texts at a time; the
 path advances all texts of a block by one word per step, texts that have ended dropping out.
 
-Fitting uses a bounded sample of labelled texts (:data:`TRAIN_PER_LANGUAGE` whole texts a language); everything else
+Fitting uses a bounded sample of labelled texts (about :data:`TRAIN_PER_LANGUAGE` whole texts a language); everything else
 covers every row and whole texts. Only text and, in fitting, ``lang`` are read.
 
 Defined cases: null or letterless text is ``und`` with score 0 and no spans; null ``lang`` is not learned from; ties go
@@ -24,7 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -225,19 +225,19 @@ def label_block(model: Model | None, texts: list[str], spans: bool) -> tuple[lis
 
 
 def fit(docs: DataFrame, usable: Column, *, per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
-    """Model from at most ``per_language`` whole texts a language: those with the smallest id hashes.
+    """Model from about ``per_language`` whole texts a language, at most that many times the languages in all.
 
-    The hash bounds are found on (lang, hash) alone; the texts come to the driver in one bounded read.
+    Counts a language give the share of ids whose hash is low enough; the texts come to the driver in one bounded read.
     """
-    keyed = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", F.xxhash64("doc_id").alias("_h"))
-    ranked = keyed.select("lang", "_h", F.row_number().over(Window.partitionBy("lang").orderBy("_h")).alias("n")).filter(F.col("n") <= per_language)
-    bounds = ranked.groupBy("lang").agg(F.max("_h").alias("most")).collect()
-    if not bounds:
+    keyed = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
+    counts = keyed.groupBy("lang").count().collect()
+    if not counts:
         return None
-    chosen = F.lit(False)
-    for b in bounds:
-        chosen = chosen | ((F.col("lang") == b["lang"]) & (F.col("_h") <= b["most"]))
-    return Model.fit([(r["lang"], r["text"]) for r in keyed.filter(chosen).select("lang", "text", "_h").orderBy("_h", "lang", "text").collect()])
+    unit, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(False)
+    for c in counts:
+        chosen = chosen | ((F.col("lang") == c["lang"]) & (unit < -(-(per_language << 30) // c["count"])))
+    few = keyed.filter(chosen).select("lang", "text", unit.alias("_h")).orderBy("_h", "lang", "text").limit(per_language * len(counts))
+    return Model.fit([(r["lang"], r["text"]) for r in few.collect()])
 
 
 SPANS = "array<struct<start:int,end:int,lang:string>>"

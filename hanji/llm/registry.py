@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hanji.llm.chat_format import OP2_SQL, op2_chat_format
 from hanji.llm.lang_id import op3_language_id
 from hanji.llm.mixing import OP4_SQL, op4_mix_sources
+from hanji.llm.packing import op8_best_fit_packing
 from hanji.llm.quality_rules import OP5_SQL, op5_quality_cascade
 from hanji.llm.toxicity import op7_toxicity
 from hanji.llm.url_filter import op9_url_filter
@@ -19,6 +20,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_cascade": op5_quality_cascade,
     "op7_toxicity": op7_toxicity,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
 }
 ORACLES: dict[str, str] = {
