@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hanji.llm.chat_format import OP2_SQL, op2_chat_format
+from hanji.llm.html_extract import op10_html_extract
 from hanji.llm.lang_id import op3_language_id
 from hanji.llm.mixing import OP4_SQL, op4_mix_sources
 from hanji.llm.packing import op8_best_fit_packing
@@ -22,6 +23,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
+    "op10_html_extract": op10_html_extract,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
