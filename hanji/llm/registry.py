@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hanji.llm.chat_format import OP2_SQL, op2_chat_format
 from hanji.llm.html_extract import op10_html_extract
 from hanji.llm.lang_id import op3_language_id
+from hanji.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
 from hanji.llm.mixing import OP4_SQL, op4_mix_sources
 from hanji.llm.packing import op8_best_fit_packing
 from hanji.llm.quality_rules import OP5_SQL, op5_quality_cascade
@@ -20,6 +21,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
     "op5_quality_cascade": op5_quality_cascade,
+    "op6_minhash_dedup": op6_minhash_dedup,
     "op7_toxicity": op7_toxicity,
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
@@ -29,4 +31,5 @@ ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_quality_cascade": OP5_SQL,
+    "op6_minhash_dedup": OP6_SQL,
 }
