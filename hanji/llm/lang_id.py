@@ -243,11 +243,13 @@ def fit(docs: DataFrame, usable: Column, *, per_language: int = TRAIN_PER_LANGUA
 SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 
-def detect(docs: DataFrame, model: Model | None, *, keep=("doc_id",), spans: bool = False) -> DataFrame:
-    """``keep``, lang_pred, score (share of the letters that the label covers) and, if asked, the labelled spans."""
+def detect(docs: DataFrame, model: Model | None, *, keep=("doc_id",), spans: bool = False, keep_text: bool = False) -> DataFrame:
+    """``keep`` (and text), lang_pred, score (share of the letters that the label covers) and, if asked, the labelled spans."""
     held = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*keep, F.col("text").alias("_text"))
     fields = [f for f in chosen.schema.fields if f.name != "_text"]
+    if keep_text:
+        fields.append(T.StructField("text", T.StringType()))
     schema = T.StructType([*fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
     if spans:
         schema = schema.add("spans", T._parse_datatype_string(SPANS))
@@ -257,7 +259,8 @@ def detect(docs: DataFrame, model: Model | None, *, keep=("doc_id",), spans: boo
             table = pa.Table.from_batches(held_batches)
             texts = [t or "" for t in table.column("_text").to_pylist()]
             langs, share, found = label_block(held.value, texts, spans)
-            out = table.drop_columns(["_text"]).append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(share, pa.float64()))
+            table = table.rename_columns([*table.column_names[:-1], "text"])
+            out = (table if keep_text else table.drop_columns(["text"])).append_column("lang_pred", pa.array(langs, pa.string())).append_column("score", pa.array(share, pa.float64()))
             if spans:
                 kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
                 out = out.append_column("spans", pa.array(found or [[]] * len(texts), kind))

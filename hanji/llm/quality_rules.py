@@ -52,26 +52,38 @@ RULES = (
 )
 
 
-def _repeat_columns(df: DataFrame) -> DataFrame:
-    """n_repeat_words: words inside a window of eight words that occurs twice or more in the text.
+def _let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once per row, wherever the optimizer moves the whole expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def repeat_words(words: Column) -> Column:
+    """Words inside a window of eight words that occurs twice or more in the text.
 
     Windows are compared by a 64-bit hash of eight 64-bit word hashes. Only documents that have equal windows pay for
-    sorting; a text's arrays stay in its row, so nothing is shuffled.
+    sorting; a text's arrays stay in its row, so nothing is shuffled. Intermediate arrays are bound to names: inlined
+    into the functions that run per element they would be computed once per element.
     """
-    hashed = df.withColumn("_h", F.transform("_words", lambda w: F.xxhash64(w)))
-    #: Each array is named more than once above its projection: the optimizer then computes it once per row instead of
-    #: inlining it into the function that runs per element.
-    n = F.size("_h")
-    starts = F.when(n >= WINDOW, F.sequence(F.lit(1), n - (WINDOW - 1))).otherwise(F.array().cast("array<int>"))
-    windows = hashed.withColumn("_win", F.transform(starts, lambda i: F.xxhash64(F.slice("_h", i, WINDOW)))).drop("_h", "_words")
-    repeats = F.size(F.array_distinct("_win")) < F.size("_win")
-    ordered = windows.withColumn("_sorted", F.when(repeats, F.sort_array(F.transform("_win", lambda x, i: F.struct(x.alias("h"), i.alias("p")))))).drop("_win")
-    same = lambda x, i: F.coalesce(x["h"] == F.get("_sorted", i)["h"], F.lit(False))
-    twice = F.transform("_sorted", lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["p"]))
-    placed = ordered.withColumn("_at", F.sort_array(F.filter(twice, lambda p: p.isNotNull()))).drop("_sorted")
-    covered = F.transform("_at", lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get("_at", i + 1) - p, F.lit(WINDOW))))
-    total = F.aggregate(covered, F.lit(0).cast("long"), lambda a, x: a + x)
-    return placed.withColumn("n_repeat_words", F.coalesce(total, F.lit(0)).cast("long")).drop("_at")
+
+    def covered(at: Column) -> Column:
+        step = F.transform(at, lambda p, i: F.least(F.lit(WINDOW), F.coalesce(F.get(at, i + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(step, F.lit(0).cast("long"), lambda a, x: a + x)
+
+    def placed(ordered: Column) -> Column:
+        same = lambda x, i: F.coalesce(x["h"] == F.get(ordered, i)["h"], F.lit(False))
+        twice = F.transform(ordered, lambda x, i: F.when(same(x, i - 1) | same(x, i + 1), x["p"]))
+        return _let(F.sort_array(F.filter(twice, lambda p: p.isNotNull())), covered)
+
+    def repeated(windows: Column) -> Column:
+        ordered = F.sort_array(F.transform(windows, lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+        return F.when(F.size(F.array_distinct(windows)) < F.size(windows), _let(ordered, placed)).otherwise(F.lit(0).cast("long"))
+
+    def windowed(hashes: Column) -> Column:
+        starts = F.sequence(F.lit(1), F.size(hashes) - (WINDOW - 1))
+        return _let(F.transform(starts, lambda i: F.xxhash64(F.slice(hashes, i, WINDOW))), repeated)
+
+    found = _let(F.transform(words, lambda w: F.xxhash64(w)), windowed)
+    return F.when(F.size(words) >= WINDOW, found).otherwise(F.lit(0).cast("long"))
 
 
 def base_columns(docs: DataFrame, *, keep=()) -> DataFrame:
@@ -84,8 +96,9 @@ def base_columns(docs: DataFrame, *, keep=()) -> DataFrame:
         "n_symbols": F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long"),
         "n_lines": F.size("_lines").cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
-    }).drop("_lines")
-    return _repeat_columns(counted)
+        "n_repeat_words": repeat_words(F.col("_words")),
+    })
+    return counted.drop("_lines", "_words")
 
 
 BASE_FAILED = "n_words < 20 OR 100 * n_repeat_words > 30 * n_words"
