@@ -14,6 +14,7 @@ ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -31,8 +32,20 @@ CAPACITY, SEPARATOR = 2048, 0
 PARTITION_TOKENS = 4_000_000
 #: Partitions with a gap that exchange documents together, and how often.
 GROUP, ROUNDS = 8, 2
-#: Distinct words whose ids a worker remembers.
-MEMO_WORDS = 300_000
+#: Distinct parts of texts whose ids a worker remembers, about, in each half of its memory.
+MEMO_PARTS = 300_000
+#: Anything but ASCII and Latin letters whose lower case is one letter.
+_FOREIGN = re.compile("[^\\x00-\\x7f\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\u012f\u0131-\u024f]").search
+#: Marks that a stop or comma right after them would join.
+_MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "".join(map(chr, [*range(9), *range(14, 32), 127]))
+_JOINED = tuple((m, m + ".", m + ",") for m in _MARKS)
+
+
+def _unusual(text: str) -> bool:
+    """Whether a text must take the plain way."""
+    if "<|" in text or not text.isascii() and _FOREIGN(text):
+        return True
+    return any(stop in text or comma in text for mark, stop, comma in _JOINED if mark in text)
 
 
 def default_vocabulary() -> str:
@@ -49,35 +62,66 @@ def _tokenizer(path: str):
 
 
 class WordTokens:
-    """Ids of whole texts from remembered ids of their words.
+    """Ids of whole texts from remembered ids of their parts.
 
-    The vocabulary's splitter never lets a token cross white space, so a text's ids are those of its parts between
-    blanks and line feeds, one after another; parts may hold any other white space.
+    The vocabulary's splitter lower-cases, never lets a token cross white space, and parts letters from other characters.
+    So a text's ids are those of its parts between blanks and line feeds, one after another, and a text of plain Latin
+    letters may be lower-cased, and a full stop or comma that ends a word cut off, beforehand. Letters alone are one unit
+    of the splitter, whose last id is one of a known set: many units are encoded as one text and cut after those ids.
+    The memory is bounded: when its younger half is full, the older half is forgotten.
     """
 
-    def __init__(self, path: str):
-        self.tokenizer, self.memo = _tokenizer(path), {}
-
-    def learn(self, words: list[str]) -> None:
-        if len(self.memo) + len(words) > MEMO_WORDS:
-            self.memo.clear()
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
-            for w, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[w] = np.array(e.ids, "<u4").tobytes()
+    def __init__(self, path: str, limit: int = MEMO_PARTS):
+        self.tokenizer, self.limit = _tokenizer(path), limit
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    @staticmethod
+    def parts(text: str) -> list[str]:
+        if _unusual(text):
+            return text.replace("\n", " ").split(" ")
+        return (text.lower() + " ").replace("\n", " ").replace(". ", " . ").replace(", ", " , ").split(" ")
+
+    def _plain(self, parts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+
+    def _learn(self, keys: set[str]) -> None:
+        if len(self.young) > self.limit:
+            self.young, self.old = {}, self.young
+        keys = keys.difference(self.young)
+        again = {k for k in keys if k in self.old}
+        self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
+        units, others = [], []
+        for k in keys.difference(again):
+            (units if k.isalpha() else others).append(k)
+        self.young.update(zip(others, self._plain(others), strict=True))
+        for i in range(0, len(units), 4096):
+            part = units[i : i + 4096]
+            found = self.tokenizer.encode_batch_fast([" ".join(part[k : k + 64]) for k in range(0, len(part), 64)], add_special_tokens=False)
+            ids = np.array([x for e in found for x in e.ids], "<u4")
+            cuts = np.flatnonzero(self.last[ids]) + 1
+            if len(cuts) != len(part):
+                self.young.update(zip(part, self._plain(part), strict=True))
+                continue
+            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            self.young.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
         for i in range(0, len(texts), 256):
-            split = [t.replace("\n", " ").split(" ") for t in texts[i : i + 256]]
-            new = set().union(*split)
-            missing = list(new.difference(self.memo))
-            if len(self.memo) + len(missing) > MEMO_WORDS:
-                missing = list(new)
-            self.learn(missing)
-            get = self.memo.__getitem__
-            for words in split:
-                yield b"".join(map(get, words))
+            split = [self.parts(t) for t in texts[i : i + 256]]
+            self._learn(set().union(*split))
+            get = self.young.__getitem__
+            for parts in split:
+                yield b"".join(map(get, parts))
+
+
+@cache
+def _word_tokens(path: str) -> WordTokens:
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
@@ -87,7 +131,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = _word_tokens(path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             rows = []
