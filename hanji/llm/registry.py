@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from hanji.llm.audio_fingerprint import op1_audio_fingerprint
 from hanji.llm.chat_format import OP2_SQL, op2_chat_format
 from hanji.llm.html_extract import op10_html_extract
 from hanji.llm.lang_id import op3_language_id
@@ -17,6 +18,7 @@ from hanji.llm.toxicity import op7_toxicity
 from hanji.llm.url_filter import op9_url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_audio_fingerprint": op1_audio_fingerprint,
     "op2_chat_format": op2_chat_format,
     "op3_language_id": op3_language_id,
     "op4_mix_sources": op4_mix_sources,
