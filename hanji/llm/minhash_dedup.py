@@ -4,10 +4,11 @@ A document's set is its distinct five-word shingles, as 64-bit hashes. Documents
 one representative of each class goes on. Its signature of :data:`COORDINATES` minima is read in :data:`TREES` orders,
 each starting at another coordinate; a tree is the sorted order of all signatures so read. Representatives that share
 their first :data:`DEPTH` coordinates in a tree are one region. A region of few representatives gives all its pairs as
-candidates; a region with more is descended: the prefix is lengthened, for each representative as far as its own
-neighbourhood needs, and neighbours by longest common prefix in the sorted order are candidates as well. Candidates whose
+candidates. In a region with more, each representative goes as deep as its own neighbourhood is dense: its candidates
+are those next to it in the sorted order, with which it shares the longest prefixes. Candidates whose
 signatures agree enough are confirmed on full sets, at most one per representative first (its best), then those that
-would still join different groups. Groups are connected components.
+would still join different groups, and with them each crowded region's representatives against the hubs of the large
+groups in it. Groups are connected components.
 
 Sets are never gathered by group: a candidate's two sets meet in a join on ids, so that a hot group is dealt by its
 members. A Bloom filter of bounded size keeps texts that no candidate needs out of that join.
@@ -33,9 +34,10 @@ from hanji.llm.components import components
 
 WORDS, THRESHOLD = 5, 75
 COORDINATES, TREES, DEPTH = 60, 20, 3
-#: Representatives of a region that are compared with one another; beyond, the region is descended.
-REGION, DEEP_REGION = 24, 6
-LEVELS = (4, 5, 6, 8, 10, 13, 17, 24, 36, 60)
+#: Representatives of a region that are compared with one another.
+REGION = 24
+#: In a region with more, each representative meets so many on either side of it in the sorted order.
+NEIGHBOURS = 2
 #: Share of equal coordinates below which no pair of similarity 0.75 is expected (more than four deviations).
 LEAST_AGREEMENT = 0.5
 PIECE_BYTES = 1_500_000
@@ -167,32 +169,11 @@ def region_pairs(entries: DataFrame) -> DataFrame:
     return sized.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"))
 
 
-def deep_entries(hot: DataFrame) -> DataFrame:
-    """(key, tree, depth, rep, n) at all levels below the regions that are too large. ``hot``: rep, n, sig, trees."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sig, reps, sizes = _matrix(batch.column("sig")), batch.column("rep").to_numpy(), batch.column("n").to_numpy()
-            trees = batch.column("trees").to_pylist()
-            for tree in range(TREES):
-                at = np.array([i for i, t in enumerate(trees) if tree in t], np.int64)
-                if not len(at):
-                    continue
-                for depth in LEVELS:
-                    keys = _prefix_key(sig[at], tree, depth)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(keys), pa.array(np.full(len(at), tree, np.int32)), pa.array(np.full(len(at), depth, np.int32)), pa.array(reps[at]), pa.array(sizes[at])],
-                        names=["key", "tree", "depth", "rep", "n"],
-                    )
-
-    return hot.mapInArrow(work, "key long, tree int, depth int, rep long, n long")
-
-
 def prefix_neighbours(hot: DataFrame) -> DataFrame:
     """(a, b): next to one another in a tree's sorted order, within its too large regions.
 
     The order is dealt by ranges over all trees, so that a large region spans many tasks. Each task pairs the rows it
-    passes; the first and last row of each task are paired in a second, small pass over two rows a task.
+    passes; the first and last rows of each task are paired in a second pass over those few rows a task.
     """
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -203,48 +184,65 @@ def prefix_neighbours(hot: DataFrame) -> DataFrame:
                 [pa.array([r for r, _ in rows], pa.binary()), pa.array(batch.column("rep").to_numpy()[at]), pa.array(batch.column("n").to_numpy()[at])], names=["ord", "rep", "n"]
             )
 
+    shared = 1 + 4 * DEPTH
+
     def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, head = None, None
+        head, tail = [], []
         for batch in batches:
             out = []
             for row in zip(batch.column("ord").to_pylist(), batch.column("rep").to_pylist(), batch.column("n").to_pylist(), strict=True):
-                head = head or row
-                if before and before[1] != row[1] and before[0][: 1 + 4 * DEPTH] == row[0][: 1 + 4 * DEPTH] and 100 * min(before[2], row[2]) >= THRESHOLD * max(before[2], row[2]):
-                    out.append((min(before[1], row[1]), max(before[1], row[1]), None, None))
-                before = row
+                for near in tail:
+                    if near[1] != row[1] and near[0][:shared] == row[0][:shared] and 100 * min(near[2], row[2]) >= THRESHOLD * max(near[2], row[2]):
+                        out.append((min(near[1], row[1]), max(near[1], row[1]), None))
+                if len(head) < NEIGHBOURS:
+                    head.append(row)
+                tail = [*tail, row][-NEIGHBOURS:]
             yield made(out)
-        if head:
-            yield made([(head[1], head[2], head[0], True), (before[1], before[2], before[0], False)])
+        yield made([(r[1], r[2], r[0]) for r in dict.fromkeys([*head, *tail])])
 
     def made(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
-        kinds = (pa.int64(), pa.int64(), pa.binary(), pa.bool_())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["a", "b", "ord", "head"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "ord"])
 
     ordered = hot.mapInArrow(order, "ord binary, rep long, n long")
     ranged = ordered.repartitionByRange("ord", "rep").sortWithinPartitions("ord", "rep")
-    found = settle(ranged.mapInArrow(pair, "a long, b long, ord binary, head boolean"))
+    found = settle(ranged.mapInArrow(pair, "a long, b long, ord binary"))
     edges = found.filter("ord IS NOT NULL").select(F.col("ord"), F.col("a").alias("rep"), F.col("b").alias("n"))
-    across = edges.repartition(1).sortWithinPartitions("ord", "rep").mapInArrow(pair, "a long, b long, ord binary, head boolean")
+    across = edges.repartition(1).sortWithinPartitions("ord", "rep").mapInArrow(pair, "a long, b long, ord binary")
     return found.unionByName(across).filter("ord IS NULL").select("a", "b")
 
 
-def candidates(reps: DataFrame) -> DataFrame:
-    """Distinct (a, b), a < b, from all trees."""
+def regions(reps: DataFrame) -> DataFrame:
+    """(key, tree, rep, n, count): representatives that share their region with others."""
     entries = tree_entries(reps.filter("n > 0"))
-    counts = entries.groupBy("key").count().filter("count > 1")
-    shared = settle(entries.join(counts, "key"))
+    return settle(entries.join(entries.groupBy("key").count().filter("count > 1"), "key"))
+
+
+def candidates(shared: DataFrame, reps: DataFrame) -> DataFrame:
+    """Distinct (a, b), a < b, from all trees."""
     pairs = region_pairs(shared.filter(F.col("count") <= REGION))
     crowded = shared.filter(F.col("count") > REGION)
     if not crowded.isEmpty():
-        hot = settle(crowded.groupBy("rep").agg(F.collect_set("tree").alias("trees")).join(reps.select("rep", "n", "sig"), "rep").select("rep", "n", "sig", "trees"))
-        deep = deep_entries(hot)
-        sizes = deep.groupBy("key").count().filter(F.col("count").between(2, DEEP_REGION)).select("key")
-        small = deep.join(sizes, "key")
-        pairs = pairs.unionByName(region_pairs(small)).unionByName(prefix_neighbours(hot))
+        trees = crowded.groupBy("rep").agg(F.collect_set("tree").alias("trees"))
+        pairs = pairs.unionByName(prefix_neighbours(trees.join(reps.select("rep", "n", "sig"), "rep").select("rep", "n", "sig", "trees")))
     return pairs.distinct()
 
 
+def hub_pairs(shared: DataFrame, first: DataFrame, comps: DataFrame) -> DataFrame:
+    """(a, b): in regions with more than :data:`REGION`, each representative and the hubs of the region's large groups.
+
+    A group is large in a region if it has more than :data:`REGION` representatives there; its hub is the one with most
+    confirmed links. Variants of one text often differ from each other more than from the text that they vary, so that
+    a variant's neighbours in the sorted order may all be too far from it, but not the hub.
+    """
+    crowded = shared.filter(F.col("count") > REGION).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
+    hubs = ends.join(comps, "id").groupBy("comp").agg(F.max(F.struct("links", (-F.col("id")).alias("id"))).alias("h")).select("comp", (-F.col("h.id")).alias("hub"))
+    large = crowded.groupBy("key", "comp").count().filter(F.col("count") > REGION).select("key", "comp").join(hubs, "comp").select("key", F.col("comp").alias("hub_comp"), "hub")
+    met = crowded.join(large, "key").filter("comp <> hub_comp")
+    return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
+
+
 def agreeing(pairs: DataFrame, reps: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
     """(a, b, agree): candidates whose signatures agree in at least ``least`` of the coordinates."""
 
@@ -318,13 +316,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed (a, b) that connect every group of representatives that the candidates connect."""
-    near = settle(agreeing(candidates(reps), reps))
+    shared = regions(reps)
+    near = settle(agreeing(candidates(shared, reps), reps))
     ends = near.select(F.col("a").alias("v"), F.col("b").alias("w"), "agree").unionByName(near.select(F.col("b").alias("v"), F.col("a").alias("w"), "agree"))
     best = ends.groupBy("v").agg(F.max(F.struct("agree", (-F.col("w")).alias("w"))).alias("x")).select("v", (-F.col("x.w")).alias("w"))
     first = settle(confirmed(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), docs))
     comps = components(first)
     a_comp, b_comp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    rest = near.join(a_comp, "a", "left").join(b_comp, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+    more = near.select("a", "b").unionByName(agreeing(hub_pairs(shared, first, comps), reps).select("a", "b"))
+    rest = more.join(a_comp, "a", "left").join(b_comp, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
     rest = settle(rest)
     if rest.isEmpty():
         return first
