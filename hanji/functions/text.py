@@ -152,10 +152,10 @@ def file_id(path: Column | str) -> Column:
 
 
 def human_size(size: Column | str) -> Column:
-    """One decimal and a unit, from B to TB."""
+    """One decimal, halves to even, and a unit, from B to TB."""
     out, value = None, col(size).cast("double")
     for power, unit in reversed(list(enumerate(("B", "KB", "MB", "GB", "TB")))):
-        text = F.concat(F.format_string("%.1f", value / 1024.0**power), F.lit(unit))
+        text = F.concat(F.format_string("%.1f", F.bround(value / 1024.0**power, 1)), F.lit(unit))
         out = text if out is None else F.when(value < 1024.0 ** (power + 1), text).otherwise(out)
     return out
 

@@ -92,6 +92,10 @@ def search(index: Index, terms: list[str]) -> DataFrame:
     return scored.groupBy("doc_id").agg(F.sum(weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
 
 
+def _is(term: str):
+    return lambda x: x == term
+
+
 def scan(docs: DataFrame, terms: list[str]) -> DataFrame:
     """The same scores without an index: documents' tokens are filtered in place, so only matches leave the scan.
 
@@ -99,7 +103,7 @@ def scan(docs: DataFrame, terms: list[str]) -> DataFrame:
     """
     wanted = sorted({t.lower() for t in terms})
     counted = docs.select("doc_id", tokenize("text").alias("tokens")).select(
-        "doc_id", F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", lambda x, t=t: x == t)).alias(f"tf{i}") for i, t in enumerate(wanted)]
+        "doc_id", F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
     )
     stats = counted.agg(
         F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
