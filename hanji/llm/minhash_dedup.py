@@ -38,6 +38,8 @@ COORDINATES, TREES, DEPTH = 60, 20, 3
 REGION = 24
 #: In a region with more, each representative meets so many on either side of it in the sorted order.
 NEIGHBOURS = 2
+#: Trees whose crowded regions are searched through hubs; 0.996 of pairs of similarity 0.75 share a region in one of ten.
+HUB_TREES = 10
 #: Share of equal coordinates below which no pair of similarity 0.75 is expected (more than four deviations).
 LEAST_AGREEMENT = 0.5
 PIECE_BYTES = 1_500_000
@@ -229,17 +231,24 @@ def candidates(shared: DataFrame, reps: DataFrame) -> DataFrame:
 
 
 def hub_pairs(shared: DataFrame, first: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b): in regions with more than :data:`REGION`, each representative and the hubs of the region's large groups.
+    """(a, b): in regions with more than :data:`REGION`, the hubs of the region's large groups and what is in none of them.
 
     A group is large in a region if it has more than :data:`REGION` representatives there; its hub is the one with most
     confirmed links. Variants of one text often differ from each other more than from the text that they vary, so that
-    a variant's neighbours in the sorted order may all be too far from it, but not the hub.
+    a variant's neighbours in the sorted order may all be too far from it, but not the hub. Members of large groups are
+    met through their own hubs.
     """
-    crowded = shared.filter(F.col("count") > REGION).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    crowded = shared.filter((F.col("count") > REGION) & (F.col("tree") < HUB_TREES)).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     hubs = ends.join(comps, "id").groupBy("comp").agg(F.max(F.struct("links", (-F.col("id")).alias("id"))).alias("h")).select("comp", (-F.col("h.id")).alias("hub"))
-    large = crowded.groupBy("key", "comp").count().filter(F.col("count") > REGION).select("key", "comp").join(hubs, "comp").select("key", F.col("comp").alias("hub_comp"), "hub")
-    met = crowded.join(large, "key").filter("comp <> hub_comp")
+    groups = settle(crowded.groupBy("key", "comp").agg(F.count("*").alias("here"), F.min("rep").alias("one")))
+    large = groups.filter(F.col("here") > REGION).select("key", "comp").join(hubs, "comp").select("key", F.col("comp").alias("hub_comp"), "hub")
+    # A large group is met by its hub, a small one by each of its representatives; most small ones have just one.
+    small = groups.filter(F.col("here") <= REGION)
+    alone = small.filter("here = 1").select("key", F.col("one").alias("rep"), "comp")
+    several = crowded.join(small.filter("here > 1").select("key", "comp"), ["key", "comp"]).select("key", "rep", "comp")
+    by_hub = large.select("key", F.col("hub").alias("rep"), F.col("hub_comp").alias("comp"))
+    met = alone.unionByName(several).unionByName(by_hub).join(large, "key").filter("comp <> hub_comp")
     return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
