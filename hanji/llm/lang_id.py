@@ -24,6 +24,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,8 +36,8 @@ BITS = 16
 SWITCH = 12.0
 #: Most that one word may speak for one language over another.
 WORD_BOUND = 6.0
-#: Code points of texts that are worked on together.
-BLOCK_CHARS, PIECE_CHARS = 8_000_000, 1_000_000
+#: Bytes of texts whose paths are found together, and code points that are scored together; a longer text stands alone.
+BLOCK_CHARS, PIECE_CHARS = 6_000_000, 500_000
 #: A script counts for a language that writes at least this share of its letters in it.
 SCRIPT_SHARE = 0.01
 
@@ -103,7 +104,7 @@ def split_words(texts: list[str]) -> Words:
     three = two * np.uint32(0xC2B2AE35) + after * np.uint32(0x27D4EB2F)
     grams = np.stack((two * np.uint32(0x2C1B3C6D) >> np.uint32(33 - BITS), (three ^ three >> np.uint32(15)) * np.uint32(0x297A2D39) >> np.uint32(33 - BITS)), 1)
     grams[:, 1] += np.uint32(1 << BITS - 1)
-    return Words(owner, first - offsets[owner], last - offsets[owner], _script_ids(chars[first]), first, grams)
+    return Words(owner.astype(np.int32), (first - offsets[owner]).astype(np.int32), (last - offsets[owner]).astype(np.int32), _script_ids(chars[first]), first, grams)
 
 
 @dataclass
@@ -162,7 +163,7 @@ def pieces(texts: list[str], limit: int) -> Iterator[list[str]]:
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word. ``counts``: words of each text, whose words follow one another in ``scores``."""
-    path = np.zeros(len(scores), np.int64)
+    path = np.zeros(len(scores), np.int8)
     if not len(scores):
         return path
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
@@ -203,7 +204,7 @@ def label_block(model: Model | None, texts: list[str], spans: bool) -> tuple[lis
     owner, start, end, scores, done = [], [], [], [], 0
     for piece in pieces(texts, PIECE_CHARS):
         w = split_words(piece)
-        owner.append(w.text + done)
+        owner.append(w.text + np.int32(done))
         start.append(w.start)
         end.append(w.end)
         scores.append(model.word_scores(w))
@@ -211,7 +212,7 @@ def label_block(model: Model | None, texts: list[str], spans: bool) -> tuple[lis
     owner, start, end, scores = (np.concatenate(x) for x in (owner, start, end, scores))
     path = viterbi(scores, np.bincount(owner, minlength=n)[np.unique(owner)] if len(owner) else np.zeros(0, np.int64))
     k = len(model.langs)
-    letters = np.bincount(owner * k + path, weights=end - start, minlength=n * k).reshape(n, k) if len(owner) else np.zeros((n, k))
+    letters = np.bincount(owner.astype(np.int64) * k + path, weights=end - start, minlength=n * k).reshape(n, k) if len(owner) else np.zeros((n, k))
     total = letters.sum(1)
     best = letters.argmax(1)
     share = np.where(total > 0, letters[np.arange(n), best] / np.maximum(total, 1), 0.0)
@@ -268,11 +269,17 @@ def detect(docs: DataFrame, model: Model | None, *, keep=("doc_id",), spans: boo
 
         waiting, size = [], 0
         for batch in batches:
-            waiting.append(batch)
-            size += batch.column("_text").nbytes
-            if size >= BLOCK_CHARS:
-                yield from flush(waiting)
-                waiting, size = [], 0
+            ends = np.cumsum(pa.compute.fill_null(pa.compute.binary_length(batch.column("_text")), 0).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < len(batch):
+                before = int(ends[at - 1]) if at else 0
+                to = max(at + 1, int(np.searchsorted(ends, before + BLOCK_CHARS - size, side="right")))
+                waiting.append(batch.slice(at, to - at))
+                size += int(ends[to - 1]) - before
+                at = to
+                if size >= BLOCK_CHARS or at < len(batch):
+                    yield from flush(waiting)
+                    waiting, size = [], 0
         if waiting:
             yield from flush(waiting)
 
