@@ -85,7 +85,7 @@ def incremental_ingest(spark: SparkSession, folder: str, target: str, checkpoint
     A batch's chunks replace those of the same files by a partition overwrite per batch id, so a replayed batch does not
     add rows twice.
     """
-    files = spark.readStream.format("binaryFile").option("recursiveFileLookup", True).load(folder)
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         chunk(extract(batch)).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
