@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -52,5 +55,24 @@ def settle(df: DataFrame, *, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows that a Python worker gets at once. Whole texts of a few kB each are held several times over on the way, in the
+#: JVM and in the worker, so the usual ten thousand would take hundreds of MB.
+TEXT_ROWS = 1500
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Set the size of Arrow batches to suit texts, unless the session has chosen one."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, str(TEXT_ROWS))
+
+
+def release() -> None:
+    """Give memory that a worker no longer uses back to the system: workers stay for later tasks."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hanji.llm.common import held_out
+from hanji.llm.common import held_out, release, text_batches
 
 TRAIN_PER_LANGUAGE = 1000
 BITS = 16
@@ -246,6 +246,7 @@ SPANS = "array<struct<start:int,end:int,lang:string>>"
 
 def detect(docs: DataFrame, model: Model | None, *, keep=("doc_id",), spans: bool = False, keep_text: bool = False) -> DataFrame:
     """``keep`` (and text), lang_pred, score (share of the letters that the label covers) and, if asked, the labelled spans."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
     chosen = docs.select(*keep, F.col("text").alias("_text"))
     fields = [f for f in chosen.schema.fields if f.name != "_text"]
@@ -282,6 +283,7 @@ def detect(docs: DataFrame, model: Model | None, *, keep=("doc_id",), spans: boo
                     waiting, size = [], 0
         if waiting:
             yield from flush(waiting)
+        release()
 
     return chosen.mapInArrow(work, schema)
 

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanji.llm.common import settle
+from hanji.llm.common import release, settle, text_batches
 from hanji.llm.components import components
 
 WORDS, THRESHOLD = 5, 75
@@ -42,7 +42,7 @@ NEIGHBOURS = 2
 HUB_TREES = 10
 #: Share of equal coordinates below which no pair of similarity 0.75 is expected (more than four deviations).
 LEAST_AGREEMENT = 0.5
-PIECE_BYTES = 1_500_000
+PIECE_BYTES = 400_000
 BLOOM_BITS_PER_ID, BLOOM_MOST_BITS = 16, 1 << 27
 
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
@@ -133,6 +133,7 @@ def sketch(docs: DataFrame) -> DataFrame:
                 keys += [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
                 sigs += [s.tobytes() for s in signatures(sets)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.binary())], names=["doc_id", "n", "set_key", "sig"])
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, "doc_id long, n long, set_key binary, sig binary")
 
@@ -298,6 +299,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
             for i, piece in _pieces(texts):
                 sets = shingle_sets(piece)
                 yield pa.RecordBatch.from_arrays([rows.column("doc_id").slice(i, len(piece)), pa.array([s.tobytes() for s in sets], pa.binary())], names=["rep", "values"])
+        release()
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
     return named.select("doc_id", "text", F.xxhash64("doc_id").alias("h0"), F.xxhash64("doc_id", F.lit(1)).alias("h1")).mapInArrow(work, "rep long, values binary")
@@ -311,12 +313,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ok = []
-            for x, y in zip(batch.column("va").to_pylist(), batch.column("vb").to_pylist(), strict=True):
-                u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                ok.append(100 * both >= threshold * (len(u) + len(v) - both) and both > 0)
+            for i in range(0, len(batch), 128):
+                part = batch.slice(i, 128)
+                for x, y in zip(part.column("va").to_pylist(), part.column("vb").to_pylist(), strict=True):
+                    u, v = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+                    both = len(np.intersect1d(u, v, assume_unique=True))
+                    ok.append(100 * both >= threshold * (len(u) + len(v) - both) and both > 0)
             at = pa.array(np.flatnonzero(ok))
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
+        release()
 
     left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("values").alias("va")), "a")
     both = left.join(sets.select(F.col("rep").alias("b"), F.col("values").alias("vb")), "b")
@@ -342,6 +347,7 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    text_batches(docs.sparkSession)
     sketched = settle(sketch(docs))
     classes = settle(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     reps = settle(classes.join(sketched.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), "n", "sig"), "rep").filter("set_key = k").select("rep", "n", "sig").dropDuplicates(["rep"]))

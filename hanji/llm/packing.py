@@ -25,15 +25,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanji.llm.common import settle
+from hanji.llm.common import release, settle, text_batches
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Tokens that one partition packs, about; bounds the memory and time of a packing task.
 PARTITION_TOKENS = 4_000_000
 #: Partitions with a gap that exchange documents together, and how often.
 GROUP, ROUNDS = 8, 2
-#: Distinct parts of texts whose ids a worker remembers, about, in each half of its memory.
-MEMO_PARTS = 300_000
+#: Distinct parts of texts whose ids a task remembers, about, in each half of its memory.
+MEMO_PARTS = 150_000
 #: Anything but ASCII and Latin letters whose lower case is one letter.
 _FOREIGN = re.compile("[^\\x00-\\x7f\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\u012f\u0131-\u024f]").search
 #: Marks that a stop or comma right after them would join.
@@ -119,19 +119,15 @@ class WordTokens:
                 yield b"".join(map(get, parts))
 
 
-@cache
-def _word_tokens(path: str) -> WordTokens:
-    return WordTokens(path)
-
-
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32 of every document."""
+    text_batches(docs.sparkSession)
     path = path or default_vocabulary()
     end = np.array([separator], "<u4").tobytes()
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = _word_tokens(path)
+        tokens = WordTokens(path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             rows = []
@@ -143,6 +139,8 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
+        del tokens
+        release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)
 

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from hanji.llm.common import held_out
+from hanji.llm.common import held_out, release, text_batches
 from hanji.llm.lang_id import pieces, tables
 
 TRAIN_PER_LABEL = 2500
@@ -96,6 +96,9 @@ class Net:
 
     def pooled(self, words: np.ndarray, owner: np.ndarray, n: int, where: bool = False):
         """(texts, filters) maxima after the rectifier; with ``where``, also the words at which they stand."""
+        if not len(owner):
+            empty = np.zeros((n, FILTERS * len(WIDTHS)), np.float32)
+            return (empty, np.full(empty.shape, -1)) if where else empty
         x = self.embed[words[:, 0]]
         for k in range(1, words.shape[1]):
             x += self.embed[words[:, k]]
@@ -289,6 +292,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, per_label: int =
 
 def score(docs: DataFrame, net: Net | None, *, keep=("doc_id",)) -> DataFrame:
     """``keep`` and score."""
+    text_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
     chosen = docs.select(*keep, F.col("text").alias("_text"))
     schema = T.StructType([*[f for f in chosen.schema.fields if f.name != "_text"], T.StructField("score", T.DoubleType())])
@@ -300,6 +304,7 @@ def score(docs: DataFrame, net: Net | None, *, keep=("doc_id",)) -> DataFrame:
             values = pa.array(np.concatenate(found) if found else np.zeros(0), pa.float64())
             arrays = [batch.column(f.name) for f in schema.fields[:-1]]
             yield pa.RecordBatch.from_arrays([*arrays, values], names=[f.name for f in schema.fields])
+        release()
 
     return chosen.mapInArrow(work, schema)
 
