@@ -55,8 +55,8 @@ def unit_hash(key: Column, seed: str) -> Column:
 
 
 def plan(docs: DataFrame, *, weights=WEIGHTS, budget=BUDGET, cap=CAP, seed=SEED, keep=()) -> DataFrame:
-    """Each document's size, its source's size and target, the copies drawn and the words taken."""
-    sized = docs.select("doc_id", "source", F.size(word_array("text")).cast("long").alias("size"), *keep)
+    """Each document's size, its source's size and target, the copies drawn and the words taken; ``keep`` columns as _keep_NAME."""
+    sized = docs.select("doc_id", "source", F.size(word_array("text")).cast("long").alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, budget=budget, cap=cap)
     targets = settle(targets, files=1)
     renamed = targets.withColumnRenamed("source", "_source")
@@ -66,15 +66,15 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, budget=BUDGET, cap=CAP, seed=SEED,
     extra = (unit_hash(F.col("doc_id"), seed) < rate - F.floor(rate)).cast("long")
     joined = sized.join(renamed, sized["source"].eqNullSafe(renamed["_source"]), "left")
     return joined.withColumn("copies", F.floor(rate).cast("long") + extra).select(
-        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep
+        "doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *[f"_keep_{c}" for c in keep]
     )
 
 
 def emit(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus itself: every document as often as the plan says, with the columns of ``docs``."""
-    kept = [c for c in docs.columns if c not in ("doc_id", "source")]
-    planned = plan(docs, keep=kept, **options)
-    return planned.withColumn("_copy", F.explode(F.expr("sequence(1, greatest(copies, 1))"))).filter("copies > 0").select(*docs.columns)
+    planned = plan(docs, keep=docs.columns, **options).filter("copies > 0")
+    repeated = planned.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))))
+    return repeated.select(*[F.col(f"_keep_{c}").alias(c) for c in docs.columns])
 
 
 def op4_mix_sources(spark, sf_dir: str) -> DataFrame:
