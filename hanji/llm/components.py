@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanji.llm.common import settle
+from hanji.llm.common import keep
 
 #: Edges that one task reduces together; bounds its memory.
 CHUNK = 500_000
@@ -51,23 +51,23 @@ def components(edges: DataFrame, *, limit: int = 60) -> DataFrame:
     """(id, comp): for each id on an edge the smallest id that it reaches.
 
     Each round points every node at its smallest neighbour (or itself), follows the pointers twice, and contracts. The
-    smallest id of a component always points at itself, so it is what remains. Rows shrink from round to round; each
-    round is written to the shared folder.
+    smallest id of a component always points at itself, so it is what remains. Rows shrink from round to round, and
+    the rounds are few; each is written to the shared folder.
     """
-    left = settle(spanning(edges.filter("a <> b")))
+    left = keep(spanning(edges.filter("a <> b")))
     steps: list[DataFrame] = []
     for _ in range(limit):
         if left.isEmpty():
             break
         both = left.select(F.col("a").alias("id"), F.col("b").alias("other")).unionByName(left.select(F.col("b").alias("id"), F.col("a").alias("other")))
-        parent = settle(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("up")))
+        parent = keep(both.groupBy("id").agg(F.least(F.min("other"), F.col("id")).alias("up")))
         for _ in range(2):
             above = parent.select(F.col("id").alias("up"), F.col("up").alias("top"))
             parent = parent.join(above, "up").select("id", F.col("top").alias("up"))
-        parent = settle(parent)
+        parent = keep(parent)
         steps.append(parent)
         moved = left.join(parent.select(F.col("id").alias("a"), F.col("up").alias("na")), "a").join(parent.select(F.col("id").alias("b"), F.col("up").alias("nb")), "b")
-        left = settle(spanning(moved.filter("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()))
+        left = keep(spanning(moved.filter("na <> nb").select(F.least("na", "nb").alias("a"), F.greatest("na", "nb").alias("b")).distinct()))
     else:
         raise RuntimeError("components did not settle")
     if not steps:
@@ -76,4 +76,4 @@ def components(edges: DataFrame, *, limit: int = 60) -> DataFrame:
     for step in steps[1:]:
         nxt = step.select(F.col("id").alias("comp"), F.col("up").alias("next"))
         found = found.join(nxt, "comp", "left").select("id", F.coalesce("next", "comp").alias("comp"))
-    return settle(found)
+    return keep(found)

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanji.llm.common import release, settle, text_batches
+from hanji.llm.common import keep, release, settle, text_batches
 from hanji.llm.components import components
 
 WORDS, THRESHOLD = 5, 75
@@ -209,7 +209,7 @@ def prefix_neighbours(hot: DataFrame) -> DataFrame:
 
     ordered = hot.mapInArrow(order, "ord binary, rep long, n long")
     ranged = ordered.repartitionByRange("ord", "rep").sortWithinPartitions("ord", "rep")
-    found = settle(ranged.mapInArrow(pair, "a long, b long, ord binary"))
+    found = keep(ranged.mapInArrow(pair, "a long, b long, ord binary"))
     edges = found.filter("ord IS NOT NULL").select(F.col("ord"), F.col("a").alias("rep"), F.col("b").alias("n"))
     across = edges.repartition(1).sortWithinPartitions("ord", "rep").mapInArrow(pair, "a long, b long, ord binary")
     return found.unionByName(across).filter("ord IS NULL").select("a", "b")
@@ -218,7 +218,7 @@ def prefix_neighbours(hot: DataFrame) -> DataFrame:
 def regions(reps: DataFrame) -> DataFrame:
     """(key, tree, rep, n, count): representatives that share their region with others."""
     entries = tree_entries(reps.filter("n > 0"))
-    return settle(entries.join(entries.groupBy("key").count().filter("count > 1"), "key"))
+    return keep(entries.join(entries.groupBy("key").count().filter("count > 1"), "key"))
 
 
 def candidates(shared: DataFrame, reps: DataFrame) -> DataFrame:
@@ -242,7 +242,7 @@ def hub_pairs(shared: DataFrame, first: DataFrame, comps: DataFrame) -> DataFram
     crowded = shared.filter((F.col("count") > REGION) & (F.col("tree") < HUB_TREES)).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
     ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
     hubs = ends.join(comps, "id").groupBy("comp").agg(F.max(F.struct("links", (-F.col("id")).alias("id"))).alias("h")).select("comp", (-F.col("h.id")).alias("hub"))
-    groups = settle(crowded.groupBy("key", "comp").agg(F.count("*").alias("here"), F.min("rep").alias("one")))
+    groups = keep(crowded.groupBy("key", "comp").agg(F.count("*").alias("here"), F.min("rep").alias("one")))
     large = groups.filter(F.col("here") > REGION).select("key", "comp").join(hubs, "comp").select("key", F.col("comp").alias("hub_comp"), "hub")
     # A large group is met by its hub, a small one by each of its representatives; most small ones have just one.
     small = groups.filter(F.col("here") <= REGION)
@@ -331,26 +331,26 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed (a, b) that connect every group of representatives that the candidates connect."""
     shared = regions(reps)
-    near = settle(agreeing(candidates(shared, reps), reps))
+    near = keep(agreeing(candidates(shared, reps), reps))
     ends = near.select(F.col("a").alias("v"), F.col("b").alias("w"), "agree").unionByName(near.select(F.col("b").alias("v"), F.col("a").alias("w"), "agree"))
     best = ends.groupBy("v").agg(F.max(F.struct("agree", (-F.col("w")).alias("w"))).alias("x")).select("v", (-F.col("x.w")).alias("w"))
-    first = settle(confirmed(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), docs))
+    first = keep(confirmed(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), docs))
     comps = components(first)
     a_comp, b_comp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
     more = near.select("a", "b").unionByName(agreeing(hub_pairs(shared, first, comps), reps).select("a", "b"))
     rest = more.join(a_comp, "a", "left").join(b_comp, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
-    rest = settle(rest)
+    rest = keep(rest)
     if rest.isEmpty():
         return first
-    return settle(first.unionByName(confirmed(rest, docs)))
+    return keep(first.unionByName(confirmed(rest, docs)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
     text_batches(docs.sparkSession)
     sketched = settle(sketch(docs))
-    classes = settle(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
-    reps = settle(classes.join(sketched.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), "n", "sig"), "rep").filter("set_key = k").select("rep", "n", "sig").dropDuplicates(["rep"]))
+    classes = keep(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
+    reps = keep(classes.join(sketched.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), "n", "sig"), "rep").filter("set_key = k").select("rep", "n", "sig").dropDuplicates(["rep"]))
     comps = components(links(docs, reps))
     of_class = classes.join(comps.select(F.col("id").alias("rep"), "comp"), "rep", "left").select("set_key", F.coalesce("comp", "rep").alias("comp"))
     found = sketched.select("doc_id", "n", "set_key").join(of_class, "set_key", "left")

@@ -18,7 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from hanji.llm.common import settle, word_array
+from hanji.llm.common import keep as cached
+from hanji.llm.common import word_array
 
 WEIGHTS = (5, 2, 1)
 BUDGET, CAP, SEED = 1.5, 2, "mix-1"
@@ -58,7 +59,7 @@ def plan(docs: DataFrame, *, weights=WEIGHTS, budget=BUDGET, cap=CAP, seed=SEED,
     """Each document's size, its source's size and target, the copies drawn and the words taken; ``keep`` columns as _keep_NAME."""
     sized = docs.select("doc_id", "source", F.size(word_array("text")).cast("long").alias("size"), *[F.col(c).alias(f"_keep_{c}") for c in keep])
     targets = source_targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), weights=weights, budget=budget, cap=cap)
-    targets = settle(targets, files=1)
+    targets = cached(targets)
     renamed = targets.withColumnRenamed("source", "_source")
     if targets.count() <= BROADCAST_SOURCES:
         renamed = F.broadcast(renamed)

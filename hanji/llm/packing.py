@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanji.llm.common import release, settle, text_batches
+from hanji.llm.common import keep, release, settle, text_batches
 
 CAPACITY, SEPARATOR = 2048, 0
 #: Tokens that one partition packs, about; bounds the memory and time of a packing task.
@@ -226,10 +226,10 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, partition_tokens: int =
         return repack
 
     dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_parts)))
-    packed = settle(dealt.groupBy("part").applyInArrow(pack_part, packed_schema))
+    packed = keep(dealt.groupBy("part").applyInArrow(pack_part, packed_schema))
     certificates = packed.groupBy("part").agg(F.first("used").alias("used"), F.first("bound").alias("bound"), F.sum("length").alias("tokens"))
     for r in range(1, rounds + 1):
-        gaps = settle(certificates.filter(f"used > bound OR used * {capacity} > tokens").select("part", "used", "bound"), files=1)
+        gaps = keep(certificates.filter(f"used > bound OR used * {capacity} > tokens").select("part", "used", "bound"))
         n_gaps = gaps.count()
         if n_gaps == 0 or (n_gaps == 1 and gaps.filter("used > bound").isEmpty()):
             break
@@ -243,7 +243,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, partition_tokens: int =
         full = full.unionByName(loose.filter(F.col("fill") == capacity).drop("meet", "fill"))
         loose = loose.filter(F.col("fill") < capacity)
 
-        packed = settle(full.unionByName(loose.groupBy("meet").applyInArrow(repacker(r), packed_schema)))
+        packed = keep(full.unionByName(loose.groupBy("meet").applyInArrow(repacker(r), packed_schema)))
         per_part = packed.groupBy("part", "bin").agg(F.sum("length").alias("fill"), F.first("bound").alias("bound")).groupBy("part")
         certificates = per_part.agg(F.count("*").alias("used"), F.when(F.min("fill") == capacity, F.count("*")).otherwise(F.max("bound")).alias("bound"), F.sum("fill").alias("tokens"))
     sequence = F.shiftleft(F.col("part"), 20) + F.col("bin")
