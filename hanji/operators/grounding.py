@@ -36,11 +36,8 @@ def evidence_tokens(texts: Column) -> Column:
     return F.array_distinct(F.concat(F.flatten(F.transform(texts, words)), wholes))
 
 
-def claim_support(claim: Column, tokens: Column) -> Column:
-    """struct<status, score> of a claim against a set of evidence tokens."""
-    own = F.filter(words(claim), lambda w: F.length(w) > 1)
-    n = F.size(own)
-    overlap = F.size(F.filter(own, lambda w: F.array_contains(tokens, w)))
+def support(n: Column, overlap: Column) -> Column:
+    """struct<status, score> of a claim with ``n`` words, of which ``overlap`` occur in the evidence."""
     ratio = overlap / F.greatest(n, F.lit(1))
     needed = F.greatest(F.lit(1), F.least(F.lit(3), F.floor(n / 2)))
     made = lambda status, score: F.struct(F.lit(status).alias("status"), score.cast("double").alias("score"))
@@ -52,6 +49,20 @@ def claim_support(claim: Column, tokens: Column) -> Column:
     )
 
 
+def claim_support(claim: Column, tokens: Column) -> Column:
+    """:func:`support` of a claim against a set of evidence tokens in its row."""
+    own = F.filter(words(claim), lambda w: F.length(w) > 1)
+    return support(F.size(own), F.size(F.filter(own, lambda w: F.array_contains(tokens, w))))
+
+
+def support_by_join(claims_: DataFrame, evidence: DataFrame, key: str) -> DataFrame:
+    """(key, s): the same for claims (key, claim) against distinct evidence words (w) of any number."""
+    own = claims_.select(key, F.explode_outer(F.filter(words(F.col("claim")), lambda w: F.length(w) > 1)).alias("w"))
+    counted = own.groupBy(key, "w").agg(F.count("w").alias("n")).join(evidence.select("w", F.lit(True).alias("found")), "w", "left")
+    totals = counted.groupBy(key).agg(F.sum("n").alias("n"), F.sum(F.when(F.col("found"), F.col("n")).otherwise(0)).alias("overlap"))
+    return totals.select(key, support(F.col("n"), F.col("overlap")).alias("s"))
+
+
 def verify(rows: DataFrame, answer: str = "answer", evidence: str = "evidence") -> DataFrame:
     """Adds score, supported, total and unsupported. ``evidence`` is an array of texts. Every row stays in its place."""
     counted = rows.withColumn("_tokens", evidence_tokens(F.col(evidence))).withColumn("_claims", claims(F.col(answer)))

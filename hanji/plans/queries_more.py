@@ -120,10 +120,10 @@ def snk06_export_json(spark, sf):
     return stores.export_json(hits)
 
 
-@query("snk06_export_markdown", "SELECT string_agg('## ' || r || '. ' || source || ' (' || (doc_id % 101) || '%)' || chr(10) || chr(10) || substr(text, 1, 40) || chr(10), chr(10) ORDER BY r) AS export FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 5)")
+@query("snk06_export_markdown", "SELECT string_agg('## ' || r || '. ' || source || ' (' || (doc_id % 101) || '%)' || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY r) AS export FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 5)")
 def snk06_export_markdown(spark, sf):
     first = _docs(spark, sf).orderBy("doc_id").limit(5)
-    hits = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "source", ((F.col("doc_id") % 101) / 100.0).alias("score"), F.substring("text", 1, 40).alias("text"))
+    hits = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "source", ((F.col("doc_id") % 101) / 100.0).alias("score"), "text")
     return stores.export_markdown(hits)
 
 
@@ -147,10 +147,10 @@ def jn04_resolve_duplicates(spark, sf):
     return rows.join(first, ["source", "h"]).select("doc_id", "resolved")
 
 
-@query("jn05_claim_overlap", r"WITH ev AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '\s+')) AS w FROM benchmark), cl AS (SELECT doc_id, unnest(string_split_regex(lower(substr(text, 1, 200)), '\s+')) AS w FROM documents) SELECT doc_id, count(*)::BIGINT AS overlap FROM cl WHERE length(w) > 1 AND w IN (SELECT w FROM ev) GROUP BY doc_id")
+@query("jn05_claim_overlap", r"WITH ev AS (SELECT DISTINCT unnest(string_split_regex(lower(text), '\s+')) AS w FROM benchmark), cl AS (SELECT doc_id, unnest(string_split_regex(lower(text), '\s+')) AS w FROM documents) SELECT doc_id, count(*)::BIGINT AS overlap FROM cl WHERE length(w) > 1 AND w IN (SELECT w FROM ev) GROUP BY doc_id")
 def jn05_claim_overlap(spark, sf):
     evidence = table(spark, sf, "benchmark").select(F.explode(grounding.words(F.col("text"))).alias("w")).distinct()
-    words = _docs(spark, sf).select("doc_id", F.explode(grounding.words(F.substring("text", 1, 200))).alias("w")).filter(F.length("w") > 1)
+    words = _docs(spark, sf).select("doc_id", F.explode(grounding.words(F.col("text"))).alias("w")).filter(F.length("w") > 1)
     return words.join(evidence, "w", "left_semi").groupBy("doc_id").agg(F.count("*").alias("overlap"))
 
 
@@ -188,9 +188,9 @@ def top07_recent_limit(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts").orderBy(F.col("ts").desc(), "event_id").limit(25)
 
 
-@query("top09_variant_cap", "SELECT doc_id, len(list_distinct(list_transform(string_split(text, ' ')[1:9], lambda w: lower(trim(w))))) > 6 AS cut, least(6, len(list_distinct(list_transform(string_split(text, ' ')[1:9], lambda w: lower(trim(w))))))::INT AS n FROM documents")
+@query("top09_variant_cap", "SELECT doc_id, len(list_distinct(list_transform(string_split(text, ' '), lambda w: lower(trim(w))))) > 6 AS cut, least(6, len(list_distinct(list_transform(string_split(text, ' '), lambda w: lower(trim(w))))))::INT AS n FROM documents")
 def top09_variant_cap(spark, sf):
-    words = F.array_distinct(F.transform(F.slice(F.split("text", " "), 1, 9), lambda w: F.lower(F.trim(w))))
+    words = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.lower(F.trim(w))))
     return _docs(spark, sf).select("doc_id", (F.size(words) > 6).alias("cut"), F.size(F.slice(words, 1, 6)).alias("n"))
 
 

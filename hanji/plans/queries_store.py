@@ -240,10 +240,10 @@ def str04_invalidate(spark, sf):
     return cached.filter(~F.exists("results", lambda r: r == "src3")).select("source", "n")
 
 
-@query("snk06_export_text", "SELECT string_agg(printf('[%d] %s (%d%%)', r, source, (doc_id % 101)) || chr(10) || substr(text, 1, 40) || chr(10), chr(10) ORDER BY r) AS export FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 5)")
+@query("snk06_export_text", "SELECT string_agg(printf('[%d] %s (%d%%)', r, source, (doc_id % 101)) || chr(10) || text || chr(10), chr(10) ORDER BY r) AS export FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 5)")
 def snk06_export_text(spark, sf):
     first = _docs(spark, sf).orderBy("doc_id").limit(5)
-    hits = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "source", ((F.col("doc_id") % 101) / 100.0).alias("score"), F.substring("text", 1, 40).alias("text"))
+    hits = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "source", ((F.col("doc_id") % 101) / 100.0).alias("score"), "text")
     return stores.export_text(hits)
 
 

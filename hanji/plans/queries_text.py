@@ -259,18 +259,18 @@ def sf37_categories(spark, sf):
     return rows.select("id", F.array_join(T.categories("content", "name"), ",").alias("categories"))
 
 
-@query("sf38_cache_key", r"SELECT doc_id, lower(trim(regexp_replace(substr(text, 1, 30), '\s+', ' ', 'g'))) || '|' || (doc_id % 10) || '|true|relevance||' || source AS key FROM documents")
+@query("sf38_cache_key", r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || '|' || (doc_id % 10) || '|true|relevance||' || source AS key FROM documents")
 def sf38_cache_key(spark, sf):
-    rows = _docs(spark, sf).withColumns({"q": F.substring("text", 1, 30), "k": F.col("doc_id") % 10, "h": F.lit(True), "s": F.lit("relevance"), "f": F.lit(None).cast("string")})
+    rows = _docs(spark, sf).withColumns({"q": F.col("text"), "k": F.col("doc_id") % 10, "h": F.lit(True), "s": F.lit("relevance"), "f": F.lit(None).cast("string")})
     return rows.select("doc_id", T.cache_key("q", "k", "h", "s", "f", "source").alias("key"))
 
 
-@query("sf39_context_header", "SELECT doc_id, '[' || (doc_id + 1) || '] 「' || source || '」 제1조' || CASE WHEN lang = 'en' THEN '(목적)' ELSE '' END || chr(10) || trim(substr(text, 1, 50), ' ' || chr(10)) || chr(10) AS block FROM documents")
+@query("sf39_context_header", "SELECT doc_id, '[' || (doc_id + 1) || '] 「' || source || '」 제1조' || CASE WHEN lang = 'en' THEN '(목적)' ELSE '' END || chr(10) || trim(text, ' ' || chr(10)) || chr(10) AS block FROM documents")
 def sf39_context_header(spark, sf):
     from hanji.operators.retrieve import context_block
 
     title = F.when(F.col("lang") == "en", "목적")
-    return _docs(spark, sf).select("doc_id", context_block(F.col("doc_id") + 1, F.col("source"), F.lit("제1조"), title, F.substring("text", 1, 50)).alias("block"))
+    return _docs(spark, sf).select("doc_id", context_block(F.col("doc_id") + 1, F.col("source"), F.lit("제1조"), title, F.col("text")).alias("block"))
 
 
 @query("sf41_fallback", "SELECT doc_id, 'LLM을 사용할 수 없어 검색된 규정 발췌 내용을 안내합니다.' || chr(10) || chr(10) || substr(text, 1, 2000) AS answer FROM documents WHERE trim(text) <> ''")
@@ -294,11 +294,17 @@ def sf71_citations_json(spark, sf):
 
 @query("sf30_diff")
 def sf30_diff(spark, sf):
+    """Each source's first two documents as two versions of one file."""
+    from pyspark.sql import Window
+
     from hanji.functions.diff import diff_udf
 
-    pairs = _docs(spark, sf).filter("doc_id < 200").select("doc_id", F.col("text").alias("a"))
-    other = _docs(spark, sf).select((F.col("doc_id") - 1).alias("doc_id"), F.col("text").alias("b"))
-    return pairs.join(other, "doc_id").select("doc_id", diff_udf("a", "b").alias("d")).select("doc_id", "d.added", "d.removed", "d.total", F.round("d.similarity", 6).alias("similarity"))
+    version = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    rows = _docs(spark, sf).select("source", "doc_id", version.alias("v")).filter("v <= 2")
+    texts = rows.join(_docs(spark, sf).select("doc_id", "text"), "doc_id")
+    one = texts.filter("v = 1").select("source", F.col("text").alias("a"))
+    both = one.join(texts.filter("v = 2").select("source", F.col("text").alias("b")), "source")
+    return both.select("source", diff_udf("a", "b").alias("d")).select("source", "d.added", "d.removed", "d.total", F.round("d.similarity", 6).alias("similarity"))
 
 
 @query("agg10_keywords", "WITH w AS (SELECT unnest(regexp_extract_all(text, '[가-힣]{2,}|[a-zA-Z]{3,}')) AS w FROM documents), c AS (SELECT w, count(*) AS n FROM w GROUP BY w ORDER BY n DESC, w LIMIT 100) SELECT w AS keyword, n::BIGINT AS n FROM c ORDER BY n DESC, w LIMIT 50")
