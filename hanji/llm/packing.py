@@ -33,7 +33,7 @@ PARTITION_TOKENS = 4_000_000
 #: Partitions with a gap that exchange documents together, and how often.
 GROUP, ROUNDS = 8, 2
 #: Distinct parts of texts whose ids a task remembers, about, in each half of its memory.
-MEMO_PARTS = 150_000
+MEMO_PARTS = 300_000
 #: Anything but ASCII and Latin letters whose lower case is one letter.
 _FOREIGN = re.compile("[^\\x00-\\x7f\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\u012f\u0131-\u024f]").search
 #: Marks that a stop or comma right after them would join.
@@ -61,6 +61,15 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _last_ids(path: str) -> np.ndarray:
+    """Which ids end a unit of the splitter."""
+    vocabulary = _tokenizer(path).get_vocab()
+    last = np.zeros(max(vocabulary.values()) + 1, bool)
+    last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+    return last
+
+
 class WordTokens:
     """Ids of whole texts from remembered ids of their parts.
 
@@ -72,12 +81,9 @@ class WordTokens:
     """
 
     def __init__(self, path: str, limit: int = MEMO_PARTS):
-        self.tokenizer, self.limit = _tokenizer(path), limit
+        self.tokenizer, self.limit, self.last = _tokenizer(path), limit, _last_ids(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.last = np.zeros(max(vocabulary.values()) + 1, bool)
-        self.last[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
 
     @staticmethod
     def parts(text: str) -> list[str]:
