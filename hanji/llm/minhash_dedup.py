@@ -8,7 +8,9 @@ candidates. In a region with more, each representative goes as deep as its own n
 are those next to it in the sorted order, with which it shares the longest prefixes. Candidates whose
 signatures agree enough are confirmed on full sets, at most one per representative first (its best), then those that
 would still join different groups, and with them each crowded region's representatives against the hubs of the large
-groups in it. Groups are connected components.
+groups in it and against the centres of the region. What crowded regions then still hold of different groups is
+compared in full, in blocks, so that every pair that shares a region has been compared unless its two sides are
+already in one group. Groups are connected components.
 
 Sets are never gathered by group: a candidate's two sets meet in a join on ids, so that a hot group is dealt by its
 members. A Bloom filter of bounded size keeps texts that no candidate needs out of that join.
@@ -40,6 +42,10 @@ REGION = 24
 NEIGHBOURS = 2
 #: Trees whose crowded regions are searched through hubs; 0.996 of pairs of similarity 0.75 share a region in one of ten.
 HUB_TREES = 10
+#: Centres of a crowded region: representatives whose signatures agree most with the others', one of each share of ids.
+CENTRES = 4
+#: Representatives on either side of a block in which a crowded region's remaining pairs are compared.
+BLOCK = 512
 #: Share of equal coordinates below which no pair of similarity 0.75 is expected (more than four deviations).
 LEAST_AGREEMENT = 0.5
 PIECE_BYTES = 400_000
@@ -253,6 +259,75 @@ def hub_pairs(shared: DataFrame, first: DataFrame, comps: DataFrame) -> DataFram
     return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
 
 
+def mixed_regions(shared: DataFrame, comps: DataFrame) -> DataFrame:
+    """(key, tree, rep, n, comp): the regions with more than :data:`REGION` that hold more than one group."""
+    crowded = shared.filter(F.col("count") > REGION).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "tree", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
+    several = crowded.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high")).filter("low <> high").select("key")
+    return keep(crowded.join(several, "key"))
+
+
+def centre_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): the centres of each region and its representatives of other groups.
+
+    A text that many others vary has the minima that most of them have, though they may differ too much from one
+    another. Its links leave few groups for :func:`block_pairs`, which finds what a wrong choice of centres misses.
+    """
+
+    def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = _matrix(batch.column("sig")).astype(np.int64) | np.arange(COORDINATES, dtype=np.int64) << 32
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(batch.column("rep").to_numpy(), COORDINATES)), pa.array(values.ravel())], names=["rep", "value"])
+
+    own = keep(mixed.select("rep").distinct().join(reps.select("rep", "sig"), "rep").select("rep", "sig").mapInArrow(minima, "rep long, value long"))
+    often = own.groupBy("value").agg(F.count("*").alias("times")).filter("times > 1")
+    scores = own.join(often, "value").groupBy("rep").agg(F.sum("times").alias("score"))
+    scored = mixed.join(scores, "rep").groupBy("key", F.pmod(F.xxhash64("rep"), F.lit(CENTRES)).alias("share"))
+    best = scored.agg(F.max(F.struct("score", (-F.col("rep")).alias("rep"), "n", "comp")).alias("c"))
+    centres = best.select("key", (-F.col("c.rep")).alias("centre"), F.col("c.n").alias("centre_n"), F.col("c.comp").alias("centre_comp"))
+    met = mixed.join(centres, "key").filter("comp <> centre_comp AND 100 * least(n, centre_n) >= 75 * greatest(n, centre_n)")
+    return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+
+
+def block_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different groups in a region whose sizes and signatures allow the similarity.
+
+    All of a region is met by what is outside of its largest group. Both sides are dealt in blocks of about
+    :data:`BLOCK`, each pair of blocks a group of its own. A pair is given by the first tree in which it shares a region.
+    """
+
+    def work(block: pa.Table) -> pa.Table:
+        met = block.column("met").to_numpy()
+        cols = {c: block.column(c).to_numpy() for c in ("rep", "n", "comp", "outer")}
+        sig, tree = _matrix(block.column("sig")), block.column("tree")[0].as_py()
+        own, others = np.flatnonzero(~met), np.flatnonzero(met)
+        left, right = [], []
+        for at in range(0, len(own), 64):
+            x, y = own[at : at + 64, None], others[None]
+            n = [cols["n"][v] for v in (x, y)]
+            open_ = (cols["comp"][x] != cols["comp"][y]) & (100 * np.minimum(*n) >= THRESHOLD * np.maximum(*n)) & ~(cols["outer"][x] & (cols["rep"][x] > cols["rep"][y]))
+            i, j = np.nonzero(open_)
+            i, j = own[at + i], others[j]
+            same = sig[i] == sig[j]
+            enough = same.mean(1) >= LEAST_AGREEMENT
+            for t in range(tree):
+                enough &= ~same[:, (t * COORDINATES // TREES + np.arange(DEPTH)) % COORDINATES].all(1)
+            left.append(cols["rep"][i[enough]])
+            right.append(cols["rep"][j[enough]])
+        a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (left, right))
+        return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
+
+    groups = mixed.groupBy("key", "comp").agg(F.count("*").alias("here"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("here", "comp")).alias("m"), F.sum("here").alias("all"))
+    blocks = largest.select("key", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).alias("rows"), F.ceil((F.col("all") - F.col("m.here")) / BLOCK).alias("cols"))
+    sided = keep(mixed.join(blocks, "key").withColumn("outer", F.col("comp") != F.col("main"))).join(reps.select("rep", "sig"), "rep")
+    base = ("key", "tree", "rep", "n", "comp", "outer", "sig")
+    row, col = F.pmod(F.xxhash64("rep"), F.col("rows")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cols"))
+    every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
+    own = sided.select(*base, F.lit(False).alias("met"), row.alias("row"), every("cols").alias("col"))
+    others = sided.filter("outer").select(*base, F.lit(True).alias("met"), every("rows").alias("row"), col.alias("col"))
+    return own.unionByName(others).groupBy("key", "row", "col").applyInArrow(work, "a long, b long").distinct()
+
+
 def agreeing(pairs: DataFrame, reps: DataFrame, least: float = LEAST_AGREEMENT) -> DataFrame:
     """(a, b, agree): candidates whose signatures agree in at least ``least`` of the coordinates."""
 
@@ -329,7 +404,7 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
 
 
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
-    """Confirmed (a, b) that connect every group of representatives that the candidates connect."""
+    """Confirmed (a, b) that connect every group of representatives that pairs sharing a region connect."""
     shared = regions(reps)
     near = keep(agreeing(candidates(shared, reps), reps))
     ends = near.select(F.col("a").alias("v"), F.col("b").alias("w"), "agree").unionByName(near.select(F.col("b").alias("v"), F.col("a").alias("w"), "agree"))
@@ -338,11 +413,21 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     comps = components(first)
     a_comp, b_comp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
     more = near.select("a", "b").unionByName(agreeing(hub_pairs(shared, first, comps), reps).select("a", "b"))
+    mixed = mixed_regions(shared, comps)
+    crowded = not mixed.isEmpty()
+    if crowded:
+        more = more.unionByName(agreeing(centre_pairs(mixed, reps), reps).select("a", "b"))
     rest = more.join(a_comp, "a", "left").join(b_comp, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
     rest = keep(rest)
-    if rest.isEmpty():
-        return first
-    return keep(first.unionByName(confirmed(rest, docs)))
+    second = first if rest.isEmpty() else keep(first.unionByName(confirmed(rest, docs)))
+    if not crowded:
+        return second
+    mixed = mixed_regions(shared, components(second))
+    if mixed.isEmpty():
+        return second
+    left = block_pairs(mixed, reps).join(rest, ["a", "b"], "left_anti")
+    left = keep(left)
+    return second if left.isEmpty() else keep(second.unionByName(confirmed(left, docs)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:

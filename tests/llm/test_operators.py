@@ -205,6 +205,45 @@ def test_crowded_region_is_connected(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def varied(n, seed, words=400, changes=8):
+    """``n`` copies of one text, each near to it and far from one another; the text itself stands in the middle."""
+    rng = random.Random(seed)
+    base = [f"s{seed}w{i}" for i in range(words)]
+    made = []
+    for k in range(n):
+        own = list(base)
+        for place in rng.sample(range(4, words - 4, 5), changes):
+            own[place] = f"s{seed}x{k}p{place}"
+        made.append(" ".join(own))
+    return [*made[: n // 2], " ".join(base), *made[n // 2 :]]
+
+
+def test_copies_linked_only_through_their_original(spark):
+    rows = list(enumerate([*varied(500, 1), *varied(60, 2), *varied(30, 3, changes=12)]))
+    assert component_model(rows[225:275])[250] == 225
+    want = component_model(rows)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == want and len({want[i] for i in range(501)}) == 1
+
+
+def test_rest_of_a_crowded_region_equals_brute_force(spark, monkeypatch):
+    """Blocks alone, with several of them a region, find what neighbours, hubs and centres would; small regions give the rest."""
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 16)
+    rows = list(enumerate([*varied(120, 4), *varied(60, 5)]))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    reps = minhash_dedup.sketch(docs).select(F.col("doc_id").alias("rep"), "n", "sig").persist()
+    shared = minhash_dedup.regions(reps)
+    small = {(r["a"], r["b"]) for r in minhash_dedup.region_pairs(shared.filter(F.col("count") <= minhash_dedup.REGION)).collect()}
+    for comps in ([], [(i, 3) for i in range(3, 90)]):
+        known = dict(comps)
+        mixed = minhash_dedup.mixed_regions(shared, spark.createDataFrame(comps, "id long, comp long"))
+        got = {(r["a"], r["b"]) for r in minhash_dedup.block_pairs(mixed, reps).collect()}
+        sets = [shingles(t) for _, t in rows]
+        near = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
+        assert {p for p in near if known.get(p[0], p[0]) != known.get(p[1], p[1])} <= got | small
+        assert not any(known.get(a, a) == known.get(b, b) for a, b in got)
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = minhash_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
