@@ -6,8 +6,9 @@ decide), by the difference of their log-likelihoods per character against a thre
 that training leaves out.
 
 The models see a URL without its scheme, query and fragment, and without the part of the host that a rule spells out:
-otherwise they would only relearn the rules. Fitting uses a bounded sample (:data:`TRAIN_PER_CLASS`); judging covers
-every row.
+otherwise they would only relearn the rules. Fitting counts the characters of all rule-decided texts, each distinct one
+once, so the driver holds distinct runs of five characters and no URLs; a quarter of the texts, by their hashes, is left
+out for the threshold. Judging covers every row.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule and has difference 0, which is
 allowed; with no rule-decided URL of one kind there is nothing to compare and unruled URLs are allowed; repeated rows
@@ -16,6 +17,8 @@ are judged alike; an empty table gives an empty result; other columns are ignore
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -25,8 +28,8 @@ from pyspark.sql import functions as F
 
 #: Rules that the query applies, as (text, verdict).
 RULES = (("net/", "block"), ("example.net/en/", "allow"), ("example.com/de/", "block"), ("org/fr/", "allow"))
-#: Bound of the fitting sample, in URLs of each kind: those with the smallest hashes.
-TRAIN_PER_CLASS = 4000
+#: Steps of a score in which left-out texts are counted for the threshold.
+SCORE_STEPS = 4096
 ORDER = 4
 ALPHABET = 128
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -59,13 +62,22 @@ class Markov:
 
     @classmethod
     def fit(cls, texts: list[str]) -> Markov:
-        counts: dict[str, dict[str, int]] = {}
+        grams: dict[str, int] = {}
         for text in texts:
             padded = "\x02" * ORDER + text + "\x03"
             for i in range(ORDER, len(padded)):
-                for k in range(ORDER + 1):
-                    after = counts.setdefault(padded[i - k : i], {})
-                    after[padded[i]] = after.get(padded[i], 0) + 1
+                gram = padded[i - ORDER : i + 1]
+                grams[gram] = grams.get(gram, 0) + 1
+        return cls.of_grams(grams.items())
+
+    @classmethod
+    def of_grams(cls, grams) -> Markov:
+        """From (characters, times) of runs of ``ORDER`` + 1 characters: shorter contexts are sums over longer ones."""
+        counts: dict[str, dict[str, int]] = {}
+        for gram, n in grams:
+            for k in range(ORDER + 1):
+                after = counts.setdefault(gram[ORDER - k : ORDER], {})
+                after[gram[ORDER]] = after.get(gram[ORDER], 0) + n
         return cls(counts)
 
     def probability(self, context: str, char: str) -> float:
@@ -102,21 +114,67 @@ class Ratio:
         return total / (len(padded) - ORDER)
 
 
+def best_cut(good: list[tuple[float, int]], bad: list[tuple[float, int]]) -> float:
+    """The cut with the best balanced accuracy on (score, times) of both kinds; the one nearest to 0 among equals."""
+
+    def below(rows: list[tuple[float, int]]):
+        rows = sorted(rows)
+        scores, sums = [r[0] for r in rows], [0, *itertools.accumulate(r[1] for r in rows)]
+        return lambda c: sums[bisect.bisect_left(scores, c)] / sums[-1]
+
+    cuts = sorted({score for score, _ in (*good, *bad)})
+    options = [0.0, *((a + b) / 2 for a, b in zip(cuts, cuts[1:], strict=False))]
+    good_below, bad_below = below(good), below(bad)
+    return max(options, key=lambda c: (round(1 - good_below(c) + bad_below(c), 9), -abs(c)))
+
+
 def calibrated(allow: list[str], block: list[str]) -> Ratio | None:
     """Fit on three quarters of each kind; the threshold gives the best balanced accuracy on the last quarter."""
     part = lambda texts, held: [t for i, t in enumerate(texts) if (i % 4 == 3) == held]
     if not part(allow, False) or not part(block, False):
         return None
     ratio, memo = Ratio(Markov.fit(part(allow, False)), Markov.fit(part(block, False))), {}
-    good, bad = sorted(ratio.score(t, memo) for t in part(allow, True)), sorted(ratio.score(t, memo) for t in part(block, True))
-    if not good or not bad:
-        return ratio
-    cuts = sorted({*good, *bad})
-    options = [0.0, *((a + b) / 2 for a, b in zip(cuts, cuts[1:], strict=False))]
-    import bisect
+    good, bad = ([(ratio.score(t, memo), 1) for t in part(texts, True)] for texts in (allow, block))
+    if good and bad:
+        ratio.threshold = best_cut(good, bad)
+    return ratio
+
+
+def gram_counts(texts: DataFrame) -> DataFrame:
+    """(verdict, gram, times): runs of ``ORDER`` + 1 characters in the texts, with the marks of start and end."""
+    padded = F.concat(F.lit("\x02" * ORDER), F.col("_seen"), F.lit("\x03"))
+    runs = F.transform(F.sequence(F.lit(1), F.length("_seen") + 1), lambda i: F.substring(F.col("_padded"), i, F.lit(ORDER + 1)))
+    return texts.withColumn("_padded", padded).select("verdict", F.explode(runs).alias("gram")).groupBy("verdict", "gram").agg(F.count("*").alias("times"))
 
-    accuracy = lambda c: (len(good) - bisect.bisect_left(good, c)) / len(good) + bisect.bisect_left(bad, c) / len(bad)
-    ratio.threshold = max(options, key=lambda c: (round(accuracy(c), 9), -abs(c)))
+
+def scorer(ratio: Ratio | None):
+    """Scores less the threshold of a column of texts; 0 for empty texts and without models."""
+
+    @F.pandas_udf("double")
+    def score(seen: pd.Series) -> pd.Series:
+        memo: dict[str, float] = {}
+        if ratio is None:
+            return pd.Series(0.0, index=seen.index)
+        return seen.map(lambda t: ratio.score(t, memo) - (ratio.threshold if t else 0.0)).astype("float64")
+
+    return score
+
+
+def fit(ruled: DataFrame) -> Ratio | None:
+    """Models and threshold from all rows of (verdict, _seen); equal rows count once, so none is on both sides of the split."""
+    texts = ruled.filter("verdict IN ('allow', 'block')").select("verdict", "_seen").distinct().withColumn("_held", F.pmod(F.xxhash64("_seen"), F.lit(4)) == 3)
+    grams: dict[str, list] = {"allow": [], "block": []}
+    for verdict, gram, n in gram_counts(texts.filter("NOT _held")).toLocalIterator():
+        grams[verdict].append((gram, n))
+    if not grams["allow"] or not grams["block"]:
+        return None
+    ratio = Ratio(Markov.of_grams(grams["allow"]), Markov.of_grams(grams["block"]))
+    step = F.floor(scorer(ratio)("_seen") * SCORE_STEPS)
+    held: dict[str, list] = {"allow": [], "block": []}
+    for verdict, at, n in texts.filter("_held").select("verdict", step.alias("at")).groupBy("verdict", "at").count().collect():
+        held[verdict].append(((at + 0.5) / SCORE_STEPS, n))
+    if held["allow"] and held["block"]:
+        ratio.threshold = best_cut(held["allow"], held["block"])
     return ratio
 
 
@@ -127,22 +185,12 @@ def seen_text(host: Column, path: Column, rules=RULES) -> Column:
     return F.concat(own, F.regexp_replace(path, r"^/[^/]*", ""))
 
 
-def filter_urls(pages: DataFrame, *, url="url", keep=("page_id",), rules=RULES, train_per_class: int = TRAIN_PER_CLASS) -> DataFrame:
+def filter_urls(pages: DataFrame, *, url="url", keep=("page_id",), rules=RULES) -> DataFrame:
     """``keep``, url, host, path, rule, verdict and score (the difference above the threshold; null where a rule decides)."""
     found = pages.select(*keep, F.col(url).cast("string").alias("url"))
     found = found.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
     found = found.withColumn("_seen", seen_text(F.col("host"), F.col("path")))
-    ruled = found.filter("_r IS NOT NULL").select(F.col("_r.verdict").alias("verdict"), "_seen", F.xxhash64("url").alias("_h"))
-    take = lambda verdict: [r["_seen"] for r in ruled.filter(F.col("verdict") == verdict).orderBy("_h", "_seen").limit(train_per_class).collect()]
-    ratio = calibrated(take("allow"), take("block"))
-
-    @F.pandas_udf("double")
-    def score(seen: pd.Series) -> pd.Series:
-        memo: dict[str, float] = {}
-        if ratio is None:
-            return pd.Series(0.0, index=seen.index)
-        return seen.map(lambda t: ratio.score(t, memo) - (ratio.threshold if t else 0.0)).astype("float64")
-
+    score = scorer(fit(found.filter("_r IS NOT NULL").select(F.col("_r.verdict").alias("verdict"), "_seen")))
     scored = found.withColumn("score", F.when(F.col("_r").isNull(), score("_seen")))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("score") >= 0, F.lit("allow")).otherwise(F.lit("block")))
     return scored.select(*keep, "url", "host", "path", F.col("_r.rule").alias("rule"), verdict.alias("verdict"), "score")

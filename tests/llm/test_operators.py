@@ -380,6 +380,20 @@ def test_markov_is_a_distribution_and_separates():
     assert ratio.score("news99.daily/story", {}) > ratio.threshold > ratio.score("casino-win999.bets/play", {})
 
 
+def test_url_models_count_every_distinct_url(spark):
+    """A URL in thousands of rows is one text, and what stands in few URLs among many is seen."""
+    rows = [("allow", "same/page")] * 6000 + [(v, f"{v}{i}/x") for v in ("allow", "block") for i in range(5000)]
+    ratio = url_filter.fit(spark.createDataFrame(rows, "verdict string, _seen string"))
+    texts = {v: {t for w, t in rows if w == v} for v in ("allow", "block")}
+    hashes = {r["t"]: r["h"] for r in spark.createDataFrame([(t,) for ts in texts.values() for t in ts], "t string").select("t", (F.pmod(F.xxhash64("t"), F.lit(4)) == 3).alias("h")).collect()}
+    for model, v in ((ratio.allow, "allow"), (ratio.block, "block")):
+        assert model.counts == url_filter.Markov.fit([t for t in texts[v] if not hashes[t]]).counts
+    assert ratio.score("allow77/x", {}) > ratio.threshold > ratio.score("block77/x", {})
+    odd = [("http://news.example.net/en/a\u2603", ), ("http://a.b.net/x/y",)] * 9000 + [(f"http://u.example.net/en/k{i}",) for i in range(40)]
+    got = url_filter.filter_urls(spark.createDataFrame(odd, "url string"), keep=()).select("verdict").groupBy("verdict").count().collect()
+    assert {r["verdict"]: r["count"] for r in got} == {"allow": 9040, "block": 9000}
+
+
 # HTML
 
 PAGE = """<!DOCTYPE html><html><head><title>t</title><style>p{}</style><script>if (a < b) "</p>";</script></head><body class="has-sidebar"><header>Site</header><nav><ul><li>Home</ul></nav>
