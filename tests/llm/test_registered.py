@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import os
+import random
 from collections import Counter
 
 import duckdb
@@ -91,6 +92,20 @@ def test_stages_keep_the_columns(spark):
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_near_duplicate_stage_keeps_one_of_an_original_and_its_copies(spark):
+    """Copies of similarity 0.78 to 0.82 with their original, far from one another."""
+    rng, words = random.Random(12), 400
+    base = [f"w{i}" for i in range(words)]
+    rows = []
+    for k in range(301):
+        own = list(base)
+        for place in rng.sample(range(4, words - 4, 5), 0 if k == 150 else rng.choice([8, 9])):
+            own[place] = f"x{k}p{place}"
+        rows.append((k, " ".join(own), "en", "a", 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     long = " ".join(f"wort{i} und the {i % 7}" for i in range(9000))
