@@ -3,6 +3,7 @@
 import datetime
 import decimal
 import os
+import re
 
 import duckdb
 import pytest
@@ -45,3 +46,25 @@ def test_query(spark, duck, name):
     have = [d[0] for d in cur.description]
     assert sorted(have) == cols
     assert got == sorted(tuple(plain(r[have.index(c)]) for c in cols) for r in cur.fetchall())
+
+
+def claims_model(text):
+    found = []
+    for line in filter(None, map(str.strip, (text or "").splitlines())):
+        if line.startswith("- "):
+            found.append(line[2:].strip())
+        elif not line.startswith(("|", "#")):
+            found += [s for s in map(str.strip, re.split(r"(?<=[.!?。])\s+|[.。]\s*", line)) if len(s) > 12]
+    whole = (text or "").strip()
+    return found or ([whole] if len(whole) > 12 else [])
+
+
+def test_claims_of_all_documents_equal_model(spark, tmp_path):
+    odd = ["- one\n- two bullets here", "Is this a question? Yes it is one! And the end of it.", "short. one\nand two", "# only a heading of a text\n| a | table |", None, "", "tiny"]
+    spark.createDataFrame([(i, t, "a", "en") for i, t in enumerate(odd)], "doc_id long, text string, source string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    for sf in (str(tmp_path), SF):
+        docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()}
+        got = {}
+        for r in catalogue.QUERIES["sf33_claims_all"](spark, sf).collect():
+            got.setdefault(r["doc_id"], []).extend([] if r["claim"] is None else [(r["position"], r["claim"])])
+        assert {i: [c for _, c in sorted(v)] for i, v in got.items()} == {i: claims_model(t) for i, t in docs.items()}
