@@ -5,13 +5,16 @@ Over the image of frames and pitch classes, sixteen rectangle filters are evalua
 quantized to two bits by a Gray code, which packs into one 32-bit integer per frame. Two recordings are aligned by the
 histogram of offsets at which their integers agree, and judged by the share of bits that differ over the overlap.
 
-For a search, recordings with equal fingerprints form one class. Each class is indexed under a few landmarks: those of
-its codes (the robust bit of each filter, at two places) with the smallest hashes, a choice that similar recordings make
-alike. Classes that share a landmark with a query's class are aligned on their whole fingerprints.
+For a search, recordings with equal fingerprints form one class. Each class is indexed under landmarks, hashes of its codes
+(the robust bit of each filter, at two places): in each stretch of :data:`LANDMARK_WINDOW` frames the smallest is one, a
+choice that similar recordings, and clips of a recording, make alike. So landmarks grow with the length, and every
+fingerprint has one. Classes that share a landmark with a query's class are aligned on their whole fingerprints; a
+landmark of very many classes is split by salt, so that no task holds all of them.
 
 Defined cases: null, damaged or non-PCM bytes, and recordings shorter than the filters, have an empty fingerprint and
 match nothing; repeated rows are members of one class; ties between alignments go to the one with fewer bit errors, then
-the smaller offset; an empty table gives an empty result; extra columns are ignored.
+the smaller offset; long recordings of one tone are aligned in memory that grows with their length; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from hanji.llm.common import keep, settle
+from hanji.llm.common import keep, release, settle, text_batches
 
 FRAME_SECONDS, HOP_SECONDS = 0.256, 0.064
 LOWEST, HIGHEST = 55.0, 1760.0
@@ -35,7 +38,9 @@ FILTERS = tuple((2 if h == 12 else k % 6, (5 * k) % 12 % (13 - h), h, w) for k,
 WIDTH = 12
 #: Log ratios at which a filter's two bits change.
 CUTS = (-0.25, 0.0, 0.25)
-LANDMARKS, LANDMARK_GAP = 6, 8
+LANDMARK_WINDOW, LANDMARK_GAP = 6, 8
+#: Classes under one landmark that one task joins with the queries, about.
+MARK_CLASSES = 2000
 #: Share of differing bits up to which recordings match, and frames that must overlap, as a share of the shorter one.
 MOST_ERRORS, LEAST_OVERLAP, LEAST_FRAMES = 0.1, 0.5, 8
 
@@ -136,27 +141,71 @@ def fingerprint(samples: np.ndarray, rate: int) -> np.ndarray:
 
 
 def landmarks(codes: np.ndarray) -> list[int]:
-    """Smallest hashes of the high bits of two codes some frames apart."""
-    if len(codes) <= LANDMARK_GAP:
+    """The smallest hash in each stretch of frames, of the high bits of two codes some frames apart where they differ."""
+    if not len(codes):
         return []
-    high = (codes >> np.uint32(1)) & np.uint32(0x55555555)
-    pair = high[:-LANDMARK_GAP].astype(np.uint64) << np.uint64(32) | high[LANDMARK_GAP:]
-    pair = pair[high[:-LANDMARK_GAP] != high[LANDMARK_GAP:]]
+    high = ((codes >> np.uint32(1)) & np.uint32(0x55555555)).astype(np.uint64)
+    gap = min(LANDMARK_GAP, len(high) - 1)
+    first, second = high[: len(high) - gap], high[gap:]
+    pair = first << np.uint64(32) | second
+    changes = pair[first != second]
+    pair = changes if len(changes) else pair
     h = (pair ^ pair >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
     h = (h ^ h >> np.uint64(29)) * np.uint64(0x94D049BB133111EB)
-    return np.unique(h ^ h >> np.uint64(32))[:LANDMARKS].view(np.int64).tolist()
+    h ^= h >> np.uint64(32)
+    least = np.lib.stride_tricks.sliding_window_view(h, min(LANDMARK_WINDOW, len(h))).min(1)
+    return np.unique(least).view(np.int64).tolist()
+
+
+def offset_votes(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """How often a code of ``a`` at i equals one of ``b`` at i + o, for o from 1 - len(a) to len(b) - 1.
+
+    Equal codes are brought together by sorting. Codes that few frames hold are paired; the votes of one that many
+    frames hold are a correlation of its places, so a steady tone takes time and memory in proportion to its length.
+    """
+    n = len(a) + len(b) - 1
+    votes = np.zeros(n, np.int64)
+    kinds, of = np.unique(np.concatenate((a, b)), return_inverse=True)
+    places = []
+    for codes in (of[: len(a)], of[len(a) :]):
+        order = np.argsort(codes, kind="stable")
+        places.append((order, np.searchsorted(codes[order], np.arange(len(kinds) + 1))))
+    (in_a, at_a), (in_b, at_b) = places
+    count_a, count_b = np.diff(at_a), np.diff(at_b)
+    size = 1 << (n - 1).bit_length()
+    often = count_a * count_b > 4 * size
+    for k in np.flatnonzero(often):
+        marks = []
+        for order, at, length in ((in_a, at_a, len(a)), (in_b, at_b, len(b))):
+            mark = np.zeros(length)
+            mark[order[at[k] : at[k + 1]]] = 1
+            marks.append(mark)
+        votes += np.rint(np.fft.irfft(np.fft.rfft(marks[0][::-1], size) * np.fft.rfft(marks[1], size), size)[:n]).astype(np.int64)
+    rest = np.flatnonzero((count_a > 0) & (count_b > 0) & ~often)
+    ends = np.cumsum(count_a[rest] * count_b[rest])
+    at = 0
+    while at < len(rest):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + 1_000_000, side="right")))
+        some = rest[at:to]
+        m = count_a[some] * count_b[some]
+        kind = np.repeat(np.arange(len(some)), m)
+        rank = np.arange(len(kind)) - np.repeat(np.cumsum(m) - m, m)
+        i, j = np.divmod(rank, count_b[some][kind])
+        votes += np.bincount(in_b[at_b[some][kind] + j] - in_a[at_a[some][kind] + i] + len(a) - 1, minlength=n)
+        at = to
+    return votes
 
 
 def align(a: np.ndarray, b: np.ndarray, tries: int = 3) -> tuple[int, int, float, int] | None:
     """Offset of b against a, votes, bit error rate and overlap of the best of the most voted offsets; None without any."""
-    high_a, high_b = (a >> np.uint32(1)) & np.uint32(0x55555555), (b >> np.uint32(1)) & np.uint32(0x55555555)
-    at = np.argwhere(high_a[:, None] == high_b[None])
-    if not len(at):
+    if not len(a) or not len(b):
         return None
-    offsets, votes = np.unique(at[:, 1] - at[:, 0], return_counts=True)
+    votes = offset_votes(*((x >> np.uint32(1)) & np.uint32(0x55555555) for x in (a, b)))
     best = None
     for k in np.argsort(-votes, kind="stable")[:tries]:
-        o = int(offsets[k])
+        if not votes[k]:
+            break
+        o = int(k) - len(a) + 1
         x, y = a[max(0, -o) : len(b) - o], b[max(0, o) : len(a) + o]
         n = min(len(x), len(y))
         if n < max(LEAST_FRAMES, LEAST_OVERLAP * min(len(a), len(b))):
@@ -181,7 +230,9 @@ def fingerprints(recordings: DataFrame, *, media: str = "media", key: str = "rec
                 [batch.column("rec_id"), pa.array(map(len, found), pa.int32()), pa.array(packed, pa.binary()), pa.array([hashlib.sha256(p).hexdigest() for p in packed]), pa.array([landmarks(c) for c in found], pa.list_(pa.int64()))],
                 names=["rec_id", "n_codes", "codes", "code_key", "marks"],
             )
+        release()
 
+    text_batches(recordings.sparkSession)
     schema = "rec_id long, n_codes int, codes binary, code_key string, marks array<long>"
     return recordings.select(F.col(key).cast("long").alias("rec_id"), F.col(media).cast("binary").alias("media")).mapInArrow(work, schema)
 
@@ -192,7 +243,10 @@ def search(found: DataFrame, is_query) -> tuple[DataFrame, DataFrame]:
     reps = keep(found.join(classes.select(F.col("class_id").alias("rec_id"), F.col("code_key").alias("k"), "has_query"), "rec_id").filter("code_key = k").dropDuplicates(["rec_id"]))
     marks = reps.select(F.col("rec_id").alias("class_id"), "has_query", F.explode("marks").alias("mark"))
     queries = marks.filter("has_query").select(F.col("class_id").alias("query_class"), "mark")
-    pairs = queries.join(marks.select("class_id", "mark"), "mark").filter("query_class <> class_id").select("query_class", "class_id").distinct()
+    salts = marks.groupBy("mark").agg(F.ceil(F.count("*") / MARK_CLASSES).alias("salts"), F.max("has_query").alias("asked")).filter("asked").select("mark", "salts")
+    asked = queries.join(salts, "mark").select("query_class", "mark", F.explode(F.sequence(F.lit(0).cast("long"), F.col("salts") - 1)).alias("salt"))
+    held = marks.join(salts, "mark").select("class_id", "mark", F.pmod(F.xxhash64("class_id"), "salts").alias("salt"))
+    pairs = asked.join(held, ["mark", "salt"]).filter("query_class <> class_id").select("query_class", "class_id").distinct()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -213,6 +267,8 @@ def search(found: DataFrame, is_query) -> tuple[DataFrame, DataFrame]:
 
 
 RATE, STEP_SECONDS, LEAD_STEPS = 4000, 0.2, 5
+#: Recordings that are rendered together, some 26 kB each.
+RENDER_ROWS = 128
 
 
 def tones(vector: np.ndarray, lead: int) -> np.ndarray:
@@ -232,10 +288,12 @@ def render(vectors: DataFrame) -> DataFrame:
     """rec_id, media: each row of ``embeddings`` as a WAV recording; rows start after differing silences."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = batch.column("vec_id").to_pylist()
-            made = [write_wav(tones(np.array(v, float), (i or 0) % LEAD_STEPS), RATE) if v else None for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(made, pa.binary())], names=["rec_id", "media"])
+        for whole in batches:
+            for at in range(0, len(whole), RENDER_ROWS):
+                batch = whole.slice(at, RENDER_ROWS)
+                ids = batch.column("vec_id").to_pylist()
+                made = [write_wav(tones(np.array(v, float), (i or 0) % LEAD_STEPS), RATE) if v else None for i, v in zip(ids, batch.column("embedding").to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column("vec_id"), pa.array(made, pa.binary())], names=["rec_id", "media"])
 
     return vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(work, "rec_id long, media binary")
 

@@ -32,10 +32,17 @@ def held_out(doc_id: Column | str, modulus: int, remainder: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured (tests)."""
-    set_dir = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, else the context's checkpoint folder.
+
+    Where neither is set, a local session gets a temporary folder (tests); a cluster is refused one, because its
+    executors could not read it.
+    """
+    sc = spark.sparkContext
+    set_dir = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if set_dir:
         return set_dir.rstrip("/")
+    if not sc.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     known = getattr(shared_dir, "own", None)
     if known is None:
         known = shared_dir.own = "file://" + tempfile.mkdtemp(prefix="hanji-")
@@ -55,16 +62,16 @@ def settle(df: DataFrame, *, files: int | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-#: Rows that a Python worker gets at once. Whole texts of a few kB each are held several times over on the way, in the
-#: JVM and in the worker, so the usual ten thousand would take hundreds of MB.
-TEXT_ROWS = 1500
+#: Bytes that a Python worker gets at once, about. Texts are held several times over on the way, in the JVM and in the
+#: worker, so the usual 64 MB would take hundreds of MB a task.
+BATCH_BYTES = 4_000_000
 
 
 def text_batches(spark: SparkSession) -> None:
-    """Set the size of Arrow batches to suit texts, unless the session has chosen one."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if spark.conf.get(key) == "10000":
-        spark.conf.set(key, str(TEXT_ROWS))
+    """Bound Arrow batches by bytes to suit texts and media, unless the session has set a bound of its own."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if not spark._jsparkSession.sessionState().conf().contains(key):
+        spark.conf.set(key, str(BATCH_BYTES))
 
 
 def release() -> None:
