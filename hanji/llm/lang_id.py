@@ -1,6 +1,6 @@
 """Language identification (operator 3): script ranges, per-word scores and a Viterbi path over languages.
 
-A word is a maximal run of letters. The script of its letters narrows the candidate languages to those that training
+A word is a maximal run of letters and marks that holds a letter. The script of its letters narrows the candidate languages to those that training
 saw written in it; each candidate scores the word by hashed character bigrams and trigrams (log-likelihood, bounded per
 word); a Viterbi path with a penalty for every change of language then labels the words, so that spans of another
 language inside a text come out and single odd words do not. All work is done on arrays over many texts at a time; the
@@ -51,8 +51,11 @@ SCRIPTS = (
 
 
 @cache
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """For each code point its lower case (one code point) and whether it is a letter (marks continue words)."""
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For each code point its lower case (one code point), whether it is a letter, and whether it belongs to words.
+
+    Marks (accents, vowel signs) belong to words, but only letters make one.
+    """
     chars = [chr(c) for c in range(sys.maxunicode + 1)]
     letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
     lower = np.arange(len(chars), dtype=np.uint32)
@@ -60,9 +63,10 @@ def tables() -> tuple[np.ndarray, np.ndarray]:
         low = chars[c].lower()
         if len(low) == 1:
             lower[c] = ord(low)
-    for c in range(0x300, 0x370):
-        letter[c] = unicodedata.category(chars[c]) == "Mn"
-    return lower, letter
+    inside = letter.copy()
+    for c in np.flatnonzero(~letter[: 0x20000]):
+        inside[c] = unicodedata.category(chars[c])[0] == "M"
+    return lower, letter, inside
 
 
 def _script_ids(chars: np.ndarray) -> np.ndarray:
@@ -88,14 +92,17 @@ class Words:
 
 
 def split_words(texts: list[str]) -> Words:
-    lower, letter = tables()
+    lower, letter, inside = tables()
     lengths = np.fromiter((len(t) for t in texts), np.int64, len(texts))
     joined = "\n".join(texts) + "\n"
     chars = lower[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
-    is_letter = letter[chars]
-    chars = np.where(is_letter, chars, np.uint32(32))
-    edge = np.diff(is_letter.view(np.int8), prepend=np.int8(0))
+    in_word, letters = inside[chars], letter[chars]
+    edge = np.diff(in_word.view(np.int8), prepend=np.int8(0))
     first, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if len(first) and not (in_word == letters).all():
+        some = np.logical_or.reduceat(letters, first)
+        first, last = first[some], last[some]
+    chars = np.where(in_word, chars, np.uint32(32))
     offsets = np.concatenate(([0], np.cumsum(lengths + 1)))
     owner = np.searchsorted(offsets, first, side="right") - 1
     before = np.concatenate(([np.uint32(32)], chars[:-1]))
@@ -163,14 +170,15 @@ def pieces(texts: list[str], limit: int) -> Iterator[list[str]]:
 
 def viterbi(scores: np.ndarray, counts: np.ndarray, switch: float = SWITCH) -> np.ndarray:
     """Best language of each word. ``counts``: words of each text, whose words follow one another in ``scores``."""
-    path = np.zeros(len(scores), np.int8)
+    kind = np.min_scalar_type(max(1, scores.shape[1] - 1))
+    path = np.zeros(len(scores), kind)
     if not len(scores):
         return path
     starts = np.concatenate(([0], np.cumsum(counts)[:-1]))
     order = np.argsort(-counts, kind="stable")
     starts, counts = starts[order], counts[order]
     alive = len(counts) - np.searchsorted(counts[::-1], np.arange(1, counts[0] + 1), side="left")
-    from_best, best_before = np.zeros(scores.shape, bool), np.zeros(len(scores), np.int8)
+    from_best, best_before = np.zeros(scores.shape, bool), np.zeros(len(scores), kind)
     now = scores[starts[: alive[0]]].copy()
     ended = np.zeros(len(counts), np.int64)
     rows = np.arange(len(counts))
@@ -226,18 +234,21 @@ def label_block(model: Model | None, texts: list[str], spans: bool) -> tuple[lis
 
 
 def fit(docs: DataFrame, usable: Column, *, per_language: int = TRAIN_PER_LANGUAGE) -> Model | None:
-    """Model from about ``per_language`` whole texts a language, at most that many times the languages in all.
+    """Model from about ``per_language`` distinct whole texts a language, at most that many times the languages in all.
 
-    Counts a language give the share of ids whose hash is low enough; the texts come to the driver in one bounded read.
+    The number of distinct texts of a language gives the share of text hashes that are low enough; the texts come to the
+    driver in one bounded read. Should that read be full, all languages lose the same share.
     """
-    keyed = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = keyed.groupBy("lang").count().collect()
+    hashed = F.xxhash64("text")
+    keyed = docs.filter(usable & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text", hashed.alias("_x"))
+    counts = keyed.groupBy("lang").agg(F.approx_count_distinct("_x").alias("texts")).collect()
     if not counts:
         return None
-    unit, chosen = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)), F.lit(False)
-    for c in counts:
-        chosen = chosen | ((F.col("lang") == c["lang"]) & (unit < -(-(per_language << 30) // c["count"])))
-    few = keyed.filter(chosen).select("lang", "text", unit.alias("_h")).orderBy("_h", "lang", "text").limit(per_language * len(counts))
+    unit = F.pmod("_x", F.lit(1 << 30))
+    shares = [(F.lit(c["lang"]), F.lit(-(-(per_language << 30) // max(1, c["texts"]))).cast("long")) for c in counts]
+    limit = F.element_at(F.create_map(*[v for pair in shares for v in pair]), F.col("lang"))
+    low = keyed.withColumns({"_h": unit, "_limit": limit}).filter("_h < _limit").groupBy("lang", "_x").agg(F.min("text").alias("text"), F.min(F.col("_h") / F.col("_limit")).alias("_at"))
+    few = low.orderBy("_at", "lang", "text").limit(per_language * len(counts))
     return Model.fit([(r["lang"], r["text"]) for r in few.collect()])
 
 
