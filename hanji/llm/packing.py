@@ -1,15 +1,15 @@
 """Best-fit packing with bounds that certify each partition (operator 8).
 
-Documents are tokenized once; only those longer than a sequence are cut. Pieces are dealt to partitions of bounded size,
-each packed by best-fit decreasing. A dual-feasible-function bound on the partition's piece lengths tells how few
+Documents are tokenized once; only those longer than a sequence are cut. Pieces are dealt to partitions of bounded size by
+a hash of each row, so that pieces of one repeated id are spread like any others; each partition is packed by best-fit decreasing. A dual-feasible-function bound on the partition's piece lengths tells how few
 sequences any packing could use: where it equals the number used, the partition is certified optimal. Partitions with
 a gap, or with free room that a neighbour's documents could fill, exchange documents: groups of them give up their sequences that are not full, and the pieces of a whole group are
 packed anew, best-fit decreasing; the new packing stands where it needs fewer sequences. After each round, groups
 differ, so that documents meet others.
 
 Defined cases: null text is empty and, like empty text, packs as the single separator; pieces of repeated ids are packed
-as separate pieces and cut alike; ties go by doc_id and piece; an empty table gives an empty result; extra columns are
-ignored.
+as separate pieces and cut alike; very long texts are tokenized whole; ties go by doc_id and piece; an empty table gives
+an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,6 +30,9 @@ from hanji.llm.common import keep, release, settle, text_batches
 CAPACITY, SEPARATOR = 2048, 0
 #: Tokens that one partition packs, about; bounds the memory and time of a packing task.
 PARTITION_TOKENS = 4_000_000
+#: A sequence id is a partition's number times this, plus the sequence's number there; partitions have fewer sequences, as
+#: they have :data:`PARTITION_TOKENS` tokens, about. Rounds of exchange number their partitions from multiples of 2**36.
+BINS, ROUND_BITS = 1 << 23, 36
 #: Partitions with a gap that exchange documents together, and how often.
 GROUP, ROUNDS = 8, 2
 #: Distinct parts of texts whose ids a task remembers, about, in each half of its memory.
@@ -181,27 +184,42 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[
 def lower_bound(lengths: np.ndarray, capacity: int = CAPACITY) -> int:
     """Sequences that any packing needs: the best of the dual-feasible functions tried.
 
-    For each k, lengths over capacity - k count as whole sequences, those under k as nothing, others in proportion; and
-    u(k) rounds ``(k + 1) * length / capacity`` down (or takes length itself where that is whole).
+    For each k, lengths over capacity - k count as whole sequences, those under k as nothing, others in proportion; of
+    the lengths so changed, u(j) rounds ``(j + 1) * length / capacity`` down (or takes length itself where that is whole).
+    And for each k, a length up to half the capacity counts twice the times that k goes into it, a longer one what that
+    leaves of a whole sequence's count for the rest of its sequence.
     """
     count = np.bincount(lengths, minlength=capacity + 1).astype(np.int64)
-    size = np.arange(capacity + 1, dtype=np.int64)
-    tail, mass = np.cumsum(count[::-1])[::-1], np.cumsum(count * size)
-    ks = np.arange(0, capacity // 2 + 1)
-    large = np.where(ks > 0, tail[np.minimum(capacity - ks + 1, capacity)], 0)
-    large = np.where(capacity - ks + 1 > capacity, 0, large)
-    middle = mass[capacity - ks] - np.where(ks > 0, mass[np.maximum(ks - 1, 0)], 0)
-    best = int((large + -(-middle // capacity)).max())
-    for k in range(1, 40):
-        scaled = (k + 1) * size
-        whole = scaled % capacity == 0
-        value = np.where(whole, size * k, scaled // capacity * capacity)
-        best = max(best, int(-(-(count * value).sum() // (k * capacity))))
+    size = np.flatnonzero(count)
+    if not len(size):
+        return 0
+    count = count[size]
+    ks = np.unique(np.concatenate(([0], size[2 * size <= capacity], (capacity - size[2 * size > capacity] + 1)[2 * (capacity - size[2 * size > capacity] + 1) <= capacity])))
+    best = 0
+    for at in range(0, len(ks), 256):
+        k = ks[at : at + 256, None]
+        cut = np.where(size > capacity - k, capacity, np.where(size < k, 0, size))
+        best = max(best, int((-(-(cut @ count) // capacity)).max()))
+        for j in range(1, 12):
+            scaled = (j + 1) * cut
+            value = np.where(scaled % capacity == 0, cut * j, scaled // capacity * capacity)
+            best = max(best, int((-(-(value @ count) // (j * capacity))).max()))
+    for j in range(12, 40):
+        scaled = (j + 1) * size
+        value = np.where(scaled % capacity == 0, size * j, scaled // capacity * capacity)
+        best = max(best, int(-(-(value @ count) // (j * capacity))))
+    for at in range(1, capacity // 2 + 1, 256):
+        k = np.arange(at, min(at + 256, capacity // 2 + 1))[:, None]
+        value = np.where(2 * size > capacity, 2 * (capacity // k - (capacity - size) // k), np.where(2 * size == capacity, capacity // k, 2 * (size // k)))
+        best = max(best, int((-(-(value @ count) // (2 * (capacity // k[:, 0])))).max()))
     return best
 
 
 def pack(parts: DataFrame, *, capacity: int = CAPACITY, partition_tokens: int = PARTITION_TOKENS, rounds: int = ROUNDS, group: int = GROUP):
-    """(packed pieces with sequence_id and offset, certificates with part, used, bound)."""
+    """(packed pieces with sequence_id and offset, certificates with part, used, bound).
+
+    ``parts`` is read several times and its rows are dealt by their places in it, so it should be a written table.
+    """
     spark = parts.sparkSession
     total = parts.agg(F.sum("length")).first()[0] or 0
     n_parts = max(1, -(-total // partition_tokens))
@@ -225,13 +243,13 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, partition_tokens: int =
     def repacker(r: int):
         def repack(table: pa.Table) -> pa.Table:
             table = table.sort_by(by_id)
-            tried = placed(table, (np.int64(r) << 40) + table.column("meet").to_numpy())
+            tried = placed(table, (np.int64(r) << ROUND_BITS) + table.column("meet").to_numpy())
             before = table.group_by(["part", "bin"]).aggregate([]).num_rows
             return tried if tried.column("used")[0].as_py() < before else table.select(names)
 
         return repack
 
-    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(n_parts)))
+    dealt = parts.withColumn("part", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id()), F.lit(n_parts)))
     packed = keep(dealt.groupBy("part").applyInArrow(pack_part, packed_schema))
     certificates = packed.groupBy("part").agg(F.first("used").alias("used"), F.first("bound").alias("bound"), F.sum("length").alias("tokens"))
     for r in range(1, rounds + 1):
@@ -252,8 +270,7 @@ def pack(parts: DataFrame, *, capacity: int = CAPACITY, partition_tokens: int =
         packed = keep(full.unionByName(loose.groupBy("meet").applyInArrow(repacker(r), packed_schema)))
         per_part = packed.groupBy("part", "bin").agg(F.sum("length").alias("fill"), F.first("bound").alias("bound")).groupBy("part")
         certificates = per_part.agg(F.count("*").alias("used"), F.when(F.min("fill") == capacity, F.count("*")).otherwise(F.max("bound")).alias("bound"), F.sum("fill").alias("tokens"))
-    sequence = F.shiftleft(F.col("part"), 20) + F.col("bin")
-    return packed.withColumn("sequence_id", sequence), certificates
+    return packed.withColumn("sequence_id", F.col("part") * BINS + F.col("bin")), certificates
 
 
 def op8_best_fit_packing(spark, sf_dir: str) -> DataFrame:
