@@ -5,14 +5,16 @@ variable-order Markov models over characters, one trained on accepted and one on
 decide), by the difference of their log-likelihoods per character against a threshold calibrated on rule-decided URLs
 that training leaves out.
 
-The models see a URL without its scheme, query and fragment, and without the part of the host that a rule spells out:
+The models judge a whole URL: host, path and query (not the scheme, nor the fragment, which names no page). They are
+trained on rule-decided URLs without the end of the host and the start of the path that the deciding rule spells out:
 otherwise they would only relearn the rules. Fitting counts the characters of all rule-decided texts, each distinct one
 once, so the driver holds distinct runs of five characters and no URLs; a quarter of the texts, by their hashes, is left
 out for the threshold. Judging covers every row.
 
 Defined cases: a null URL or one without ``://`` has empty host and path, fits no rule and has difference 0, which is
-allowed; with no rule-decided URL of one kind there is nothing to compare and unruled URLs are allowed; repeated rows
-are judged alike; an empty table gives an empty result; other columns are ignored.
+allowed; with no rule-decided URL of one kind there is nothing to compare and unruled URLs are allowed; a very long URL
+is judged whole; repeated rows are judged alike and count once in training; an empty table gives an empty result; other
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,7 +35,7 @@ SCORE_STEPS = 4096
 ORDER = 4
 ALPHABET = 128
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-_SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)"
+_SPLIT = r"(?s)^.*?://([^/?#]*)([^?#]*)(\??[^#]*)"
 
 
 def host_of(url: Column) -> Column:
@@ -44,6 +46,11 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), _SPLIT, 2)
 
 
+def query_of(url: Column) -> Column:
+    """The query with its question mark, empty without one."""
+    return F.regexp_extract(F.coalesce(url, F.lit("")), _SPLIT, 3)
+
+
 def rule_of(host: Column, path: Column, rules=RULES) -> Column:
     """struct<rule, verdict> of the longest rule whose host is the host or a parent of it and whose path starts the path."""
     found = F.lit(None).cast("struct<rule:string,verdict:string>")
@@ -178,18 +185,19 @@ def fit(ruled: DataFrame) -> Ratio | None:
     return ratio
 
 
-def seen_text(host: Column, path: Column, rules=RULES) -> Column:
-    """What the models read: host labels before the last two, and the path after its first segment."""
-    labels = F.split(host, r"\.")
-    own = F.array_join(F.slice(labels, 1, F.greatest(F.size(labels) - 2, F.lit(0))), ".")
-    return F.concat(own, F.regexp_replace(path, r"^/[^/]*", ""))
+def seen_text(host: Column, path: Column, query: Column, rule: Column) -> Column:
+    """What the models read: host, path and query, without the host's end and the path's start that ``rule`` (or null) spells out."""
+    rule_host, rule_path = F.substring_index(rule, "/", 1), F.substring(rule, F.instr(rule, "/"), F.length(rule))
+    own = F.regexp_replace(F.substring(host, F.lit(1), F.length(host) - F.length(rule_host)), r"\.$", "")
+    rest = F.concat(own, F.lit("/"), F.substring(path, F.length(rule_path) + 1, F.length(path)), query)
+    return F.when(rule.isNull(), F.concat(host, path, query)).otherwise(rest)
 
 
 def filter_urls(pages: DataFrame, *, url="url", keep=("page_id",), rules=RULES) -> DataFrame:
     """``keep``, url, host, path, rule, verdict and score (the difference above the threshold; null where a rule decides)."""
     found = pages.select(*keep, F.col(url).cast("string").alias("url"))
     found = found.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("_r", rule_of(F.col("host"), F.col("path"), rules))
-    found = found.withColumn("_seen", seen_text(F.col("host"), F.col("path")))
+    found = found.withColumn("_seen", seen_text(F.col("host"), F.col("path"), query_of(F.col("url")), F.col("_r.rule")))
     score = scorer(fit(found.filter("_r IS NOT NULL").select(F.col("_r.verdict").alias("verdict"), "_seen")))
     scored = found.withColumn("score", F.when(F.col("_r").isNull(), score("_seen")))
     verdict = F.coalesce(F.col("_r.verdict"), F.when(F.col("score") >= 0, F.lit("allow")).otherwise(F.lit("block")))
