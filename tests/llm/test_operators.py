@@ -4,7 +4,9 @@ import itertools
 import os
 import random
 import re
+import tracemalloc
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -84,6 +86,63 @@ def test_language_spans_and_odd_rows(spark, odd):
     assert {r["lang_pred"] for r in lang_id.detect(odd, None).collect()} == {"und"}
 
 
+def test_three_hundred_languages():
+    """Each language has a word of its own; labels must not overflow, one text at a time or all in a block."""
+    name = lambda k: "".join(chr(97 + k // 17**i % 17) * 3 for i in range(3))
+    model = lang_id.Model.fit([(f"l{k:03}", (name(k) + " ") * 40) for k in range(300)])
+    texts = [(name(k) + " ") * 30 for k in range(300)]
+    langs, _, _ = lang_id.label_block(model, texts, False)
+    assert langs == [lang_id.label_block(model, [t], False)[0][0] for t in texts]
+    assert np.mean([lang == f"l{k:03}" for k, lang in enumerate(langs)]) > 0.95
+
+
+def test_marks_alone_are_no_letters():
+    model = lang_id.Model.fit([("en", "the cat"), ("hi", "\u0939\u093f\u0928\u094d\u0926\u0940 " * 9)])
+    langs, share, spans = lang_id.label_block(model, ["\u0301", "\u0301 12 \u094d", "\u0939\u093f\u0928\u094d\u0926\u0940"], True)
+    assert langs == ["und", "und", "hi"] and share[0] == share[1] == 0 and spans[0] == spans[1] == []
+    assert [(x["start"], x["end"]) for x in spans[2]] == [(0, 6)]
+
+
+def test_word_scores_equal_counts():
+    """Bounded sums over bigrams and trigrams, from counts in dictionaries instead of hashed arrays."""
+    rows = [("en", "the cat and the hat"), ("de", "der hund und die katze")]
+    model = lang_id.Model.fit(rows)
+    words = lang_id.split_words(["cat und xyz"])
+    got = model.word_scores(words)
+    kinds = {}
+    for n in (2, 3):
+        for lang, text in rows:
+            padded = f" {text} "
+            grams = [padded[i - 1 : i + n - 1] for i in range(1, len(padded) - 1) if padded[i] != " "] if n == 3 else [padded[i - 1 : i + 1] for i in range(1, len(padded) - 1) if padded[i] != " "]
+            kinds[n, lang] = grams
+    half = 1 << lang_id.BITS - 1
+    for k, word in enumerate(["cat", "und", "xyz"]):
+        padded, total = f" {word} ", []
+        for lang in ("de", "en"):
+            score = 0.0
+            for n in (2, 3):
+                counts, size = kinds[n, lang], len(kinds[n, lang]) + 0.5 * half
+                for i in range(1, len(padded) - 1):
+                    gram = padded[i - 1 : i + n - 1]
+                    score += np.log((counts.count(gram) + 0.5) / size)
+            total.append(score)
+        want = [max(x - max(total), -lang_id.WORD_BOUND) for x in total]
+        assert got[k] == pytest.approx(want, abs=1e-3)
+
+
+def test_fitting_sample_is_fair(spark):
+    """A repeated text fills no sample, and a rare language keeps all its texts."""
+    rows = [("a", 1, "same text")] * 3000 + [("a", i, f"text number {i}") for i in range(2000)] + [("b", i, f"another {i}") for i in range(50)]
+    seen = []
+    fit, lang_id.Model.fit = lang_id.Model.fit, staticmethod(lambda found: seen.extend(found))
+    try:
+        lang_id.fit(spark.createDataFrame(rows, "lang string, doc_id long, text string"), F.lit(True), per_language=200)
+    finally:
+        lang_id.Model.fit = fit
+    assert len(set(seen)) == len(seen) <= 400
+    assert sum(x == "b" for x, _ in seen) == 50 and 120 < sum(x == "a" for x, _ in seen) <= 350
+
+
 @have_data
 def test_language_accuracy(spark):
     got = lang_id.op3_language_id(spark, SF).filter("held_out").join(spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "lang"), "doc_id").collect()
@@ -151,6 +210,23 @@ def test_repeat_words(spark):
     assert {r["doc_id"]: r["n_repeat_words"] for r in rows} == {i: model(t) for i, t in enumerate(texts)}
 
 
+def test_order_follows_cost(spark):
+    """Of two rules that reject the same rows the fast one comes first, and the slow one, with nothing left to reject, last."""
+    rows = [(i, f"word{i} " * 60 + ("#" * 30 if i % 2 else "")) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    slow = quality_rules.Rule("slow", "n_symbols > 9 AND length(regexp_replace(text, '(?:[a-z]+|[0-9]+)+#?', '')) >= 0")
+    fast = quality_rules.Rule("fast", "n_symbols > 9")
+    never = quality_rules.Rule("never", "n_words < 0")
+    for rules in ((slow, fast, never), (never, fast, slow)) * 2:
+        assert [r.name for r in quality_rules.order_rules(docs, rules)] == ["fast", "never", "slow"]
+
+
+def test_sample_is_spread_and_bounded(spark):
+    docs = spark.range(5000).select(F.col("id").alias("doc_id"), F.concat(F.lit("w "), F.repeat(F.lit("x"), F.when(F.col("id") == 7, 500_000).otherwise(50))).alias("text"))
+    got = [r["doc_id"] for r in quality_rules.sample(docs, rows=100, chars=20_000).collect()]
+    assert 50 <= len(got) <= 100 and max(got) > 4000 and min(got) < 1000
+
+
 # Near-duplicates
 
 
@@ -354,6 +430,16 @@ def test_exchange_needs_no_more_sequences(spark, odd):
     assert packing.pack(packing.pieces(odd.limit(0)))[0].count() == 0
 
 
+def test_one_id_of_a_million_sequences(spark):
+    """Rows that share an id are dealt like others, and no two sequences share a number."""
+    n = 1_100_000
+    parts = spark.range(n).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(4).cast("long").alias("length"), F.lit(9).cast("long").alias("ids_crc32"))
+    packed, certificates = packing.pack(parts, capacity=4, partition_tokens=400_000)
+    assert packed.select("sequence_id").distinct().count() == n
+    sizes = [r["tokens"] for r in certificates.collect()]
+    assert len(sizes) == 11 and max(sizes) < 1.2 * min(sizes)
+
+
 # URLs
 
 
@@ -372,6 +458,39 @@ def test_rules_equal_model(spark):
     assert url_filter.filter_urls(rows.limit(0)).count() == 0
 
 
+def witten_bell(texts, context, char):
+    """Smoothed probability by its definition: each order counted by looking through the texts."""
+    padded = ["\x02" * url_filter.ORDER + t + "\x03" for t in texts]
+    p = 1.0 / url_filter.ALPHABET
+    for k in range(url_filter.ORDER + 1):
+        tail = context[len(context) - k :]
+        after = [t[i] for t in padded for i in range(url_filter.ORDER, len(t)) if t[i - k : i] == tail]
+        if not after:
+            break
+        p = (after.count(char) + len(set(after)) * p) / (len(after) + len(set(after)))
+    return p
+
+
+def test_probabilities_equal_definition():
+    good, bad = ["news.site/a?x=1", "news.site/b", "\u0436/q"], ["win.bets/go", "bets/win?now"]
+    ratio, order = url_filter.Ratio(url_filter.Markov.fit(good), url_filter.Markov.fit(bad)), url_filter.ORDER
+    for text in ("news.site/win", "\u0436?zz", "b" * 3000):
+        padded = "\x02" * order + text + "\x03"
+        runs = Counter(padded[i - order : i + 1] for i in range(order, len(padded)))
+        want = sum(n * np.log(witten_bell(good, r[:-1], r[-1]) / witten_bell(bad, r[:-1], r[-1])) for r, n in runs.items())
+        assert ratio.score(text, {}) == pytest.approx(want / (len(padded) - order), abs=1e-9)
+    assert ratio.score("", {}) == 0
+
+
+def test_models_read_whole_urls(spark):
+    """Only what the deciding rule spells out is left out, and only in training."""
+    urls = ["https://casino.io/win?a=1#f", "http://A.b.net/x/y?q", "http://net/", "http://www.example.net/en/k?z", "http://example.net/en/", "http://io", None]
+    rows = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string").withColumns({"host": url_filter.host_of(F.col("url")), "path": url_filter.path_of(F.col("url"))})
+    rule = url_filter.rule_of(F.col("host"), F.col("path"))["rule"]
+    seen = rows.select("page_id", url_filter.seen_text(F.col("host"), F.col("path"), url_filter.query_of(F.col("url")), rule).alias("s")).collect()
+    assert [r["s"] for r in sorted(seen)] == ["casino.io/win?a=1", "a.b/x/y?q", "/", "www/k?z", "/", "io", ""]
+
+
 def test_markov_is_a_distribution_and_separates():
     model = url_filter.Markov.fit(["abab", "abba"])
     seen = sum(model.probability("\x02\x02ab", c) for c in map(chr, range(128)))
@@ -454,6 +573,35 @@ def test_audio_alignment(spark):
     assert found is None or found[2] > 0.12
 
 
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 3), min_size=1, max_size=60), st.lists(st.integers(0, 3), min_size=1, max_size=60))
+def test_offset_votes_equal_counts(a, b):
+    votes = [0] * (len(a) + len(b) - 1)
+    for i, x in enumerate(a):
+        for j, y in enumerate(b):
+            votes[j - i + len(a) - 1] += x == y
+    assert audio_fingerprint.offset_votes(np.array(a, np.uint32), np.array(b, np.uint32)).tolist() == votes
+
+
+def test_an_hour_of_one_tone():
+    tracemalloc.start()
+    a, b = np.full(56_000, 7, np.uint32), np.full(55_000, 7, np.uint32)
+    assert audio_fingerprint.align(a, b)[1:3] == (55_000, 0.0)
+    assert tracemalloc.get_traced_memory()[1] < 100_000_000
+    tracemalloc.stop()
+    assert len(audio_fingerprint.landmarks(a)) == 1 and audio_fingerprint.landmarks(a[:1]) and audio_fingerprint.landmarks(a[:0]) == []
+
+
+def test_clips_share_a_landmark_with_their_recording():
+    rng = np.random.default_rng(9)
+    whole = np.repeat(rng.integers(0, 1 << 32, 400, dtype=np.uint32), rng.integers(1, 4, 400))
+    marks = set(audio_fingerprint.landmarks(whole))
+    for _ in range(200):
+        n = int(rng.integers(audio_fingerprint.LANDMARK_GAP + audio_fingerprint.LANDMARK_WINDOW + 6, len(whole)))
+        at = int(rng.integers(0, len(whole) - n + 1))
+        assert marks & set(audio_fingerprint.landmarks(whole[at : at + n]))
+
+
 def test_audio_odd_rows(spark):
     ok = audio_fingerprint.write_wav(audio_fingerprint.tones(np.linspace(-0.2, 0.2, 64), 0), audio_fingerprint.RATE)
     rows = [(0, bytearray(ok)), (1, bytearray(ok)), (2, None), (3, bytearray(b"RIFFxxxxWAVE")), (4, bytearray(ok[:200])), (None, bytearray(ok))]
