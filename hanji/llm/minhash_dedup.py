@@ -7,10 +7,13 @@ their first :data:`DEPTH` coordinates in a tree are one region. A region of few
 candidates. In a region with more, each representative goes as deep as its own neighbourhood is dense: its candidates
 are those next to it in the sorted order, with which it shares the longest prefixes. Candidates whose
 signatures agree enough are confirmed on full sets, at most one per representative first (its best), then those that
-would still join different groups, and with them each crowded region's representatives against the hubs of the large
-groups in it and against the centres of the region. What crowded regions then still hold of different groups is
-compared in full, in blocks, so that every pair that shares a region has been compared unless its two sides are
-already in one group. Groups are connected components.
+would still join different groups, and with them each crowded region's representatives against centres of the region.
+
+What crowded regions then still hold of different groups is settled exactly. A shingle is rare if at most :data:`REGION`
+of these representatives hold it: those that share a rare shingle are compared. Two that share none have at most their
+other shingles in common, which rules most of them out by two numbers each; the pairs that are left are compared by
+signature, in blocks. So every pair that shares a region has been compared, or ruled out by a bound, unless its two sides
+are already in one group. Groups are connected components.
 
 Sets are never gathered by group: a candidate's two sets meet in a join on ids, so that a hot group is dealt by its
 members. A Bloom filter of bounded size keeps texts that no candidate needs out of that join.
@@ -28,6 +31,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,8 +44,6 @@ COORDINATES, TREES, DEPTH = 60, 20, 3
 REGION = 24
 #: In a region with more, each representative meets so many on either side of it in the sorted order.
 NEIGHBOURS = 2
-#: Trees whose crowded regions are searched through hubs; 0.996 of pairs of similarity 0.75 share a region in one of ten.
-HUB_TREES = 10
 #: Centres of a crowded region: representatives whose signatures agree most with the others', one of each share of ids.
 CENTRES = 4
 #: Representatives on either side of a block in which a crowded region's remaining pairs are compared.
@@ -49,7 +51,7 @@ BLOCK = 512
 #: Share of equal coordinates below which no pair of similarity 0.75 is expected (more than four deviations).
 LEAST_AGREEMENT = 0.5
 PIECE_BYTES = 400_000
-BLOOM_BITS_PER_ID, BLOOM_MOST_BITS = 16, 1 << 27
+BLOOM_BITS_PER_ID, BLOOM_MOST_BITS = 16, 1 << 29
 
 _BASE, _STEP = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93
 _SPACE = np.zeros(256, bool)
@@ -182,8 +184,9 @@ def prefix_neighbours(hot: DataFrame) -> DataFrame:
     """(a, b): next to one another in a tree's sorted order, within its too large regions.
 
     The order is dealt by ranges over all trees, so that a large region spans many tasks. Each task pairs the rows it
-    passes; the first and last rows of each task are paired in a second pass over those few rows a task.
+    passes; the last rows of one task and the first of the next meet in a second pass, dealt by the border between them.
     """
+
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             sig, trees = _matrix(batch.column("sig")), batch.column("trees").to_pylist()
@@ -202,22 +205,24 @@ def prefix_neighbours(hot: DataFrame) -> DataFrame:
             for row in zip(batch.column("ord").to_pylist(), batch.column("rep").to_pylist(), batch.column("n").to_pylist(), strict=True):
                 for near in tail:
                     if near[1] != row[1] and near[0][:shared] == row[0][:shared] and 100 * min(near[2], row[2]) >= THRESHOLD * max(near[2], row[2]):
-                        out.append((min(near[1], row[1]), max(near[1], row[1]), None))
+                        out.append((min(near[1], row[1]), max(near[1], row[1]), None, None))
                 if len(head) < NEIGHBOURS:
                     head.append(row)
                 tail = [*tail, row][-NEIGHBOURS:]
             yield made(out)
-        yield made([(r[1], r[2], r[0]) for r in dict.fromkeys([*head, *tail])])
+        here = TaskContext.get().partitionId()
+        yield made([(r[1], r[2], r[0], border) for border, rows in ((here, head), (here + 1, tail)) for r in rows])
 
     def made(rows):
-        cols = list(zip(*rows, strict=True)) if rows else [[]] * 3
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["a", "b", "ord"])
+        cols = list(zip(*rows, strict=True)) if rows else [[]] * 4
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.binary(), pa.int32()), strict=True)], names=["a", "b", "ord", "border"])
 
+    schema = "a long, b long, ord binary, border int"
     ordered = hot.mapInArrow(order, "ord binary, rep long, n long")
     ranged = ordered.repartitionByRange("ord", "rep").sortWithinPartitions("ord", "rep")
-    found = keep(ranged.mapInArrow(pair, "a long, b long, ord binary"))
-    edges = found.filter("ord IS NOT NULL").select(F.col("ord"), F.col("a").alias("rep"), F.col("b").alias("n"))
-    across = edges.repartition(1).sortWithinPartitions("ord", "rep").mapInArrow(pair, "a long, b long, ord binary")
+    found = keep(ranged.mapInArrow(pair, schema))
+    edges = found.filter("ord IS NOT NULL").select("border", "ord", F.col("a").alias("rep"), F.col("b").alias("n"))
+    across = edges.repartition("border").sortWithinPartitions("border", "ord", "rep").mapInArrow(pair, schema)
     return found.unionByName(across).filter("ord IS NULL").select("a", "b")
 
 
@@ -237,28 +242,6 @@ def candidates(shared: DataFrame, reps: DataFrame) -> DataFrame:
     return pairs.distinct()
 
 
-def hub_pairs(shared: DataFrame, first: DataFrame, comps: DataFrame) -> DataFrame:
-    """(a, b): in regions with more than :data:`REGION`, the hubs of the region's large groups and what is in none of them.
-
-    A group is large in a region if it has more than :data:`REGION` representatives there; its hub is the one with most
-    confirmed links. Variants of one text often differ from each other more than from the text that they vary, so that
-    a variant's neighbours in the sorted order may all be too far from it, but not the hub. Members of large groups are
-    met through their own hubs.
-    """
-    crowded = shared.filter((F.col("count") > REGION) & (F.col("tree") < HUB_TREES)).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "rep", F.coalesce("comp", "rep").alias("comp"))
-    ends = first.select(F.col("a").alias("id")).unionByName(first.select(F.col("b").alias("id"))).groupBy("id").agg(F.count("*").alias("links"))
-    hubs = ends.join(comps, "id").groupBy("comp").agg(F.max(F.struct("links", (-F.col("id")).alias("id"))).alias("h")).select("comp", (-F.col("h.id")).alias("hub"))
-    groups = keep(crowded.groupBy("key", "comp").agg(F.count("*").alias("here"), F.min("rep").alias("one")))
-    large = groups.filter(F.col("here") > REGION).select("key", "comp").join(hubs, "comp").select("key", F.col("comp").alias("hub_comp"), "hub")
-    # A large group is met by its hub, a small one by each of its representatives; most small ones have just one.
-    small = groups.filter(F.col("here") <= REGION)
-    alone = small.filter("here = 1").select("key", F.col("one").alias("rep"), "comp")
-    several = crowded.join(small.filter("here > 1").select("key", "comp"), ["key", "comp"]).select("key", "rep", "comp")
-    by_hub = large.select("key", F.col("hub").alias("rep"), F.col("hub_comp").alias("comp"))
-    met = alone.unionByName(several).unionByName(by_hub).join(large, "key").filter("comp <> hub_comp")
-    return met.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b")).distinct()
-
-
 def mixed_regions(shared: DataFrame, comps: DataFrame) -> DataFrame:
     """(key, tree, rep, n, comp): the regions with more than :data:`REGION` that hold more than one group."""
     crowded = shared.filter(F.col("count") > REGION).join(comps.withColumnRenamed("id", "rep"), "rep", "left").select("key", "tree", "rep", "n", F.coalesce("comp", "rep").alias("comp"))
@@ -270,7 +253,7 @@ def centre_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
     """(a, b): the centres of each region and its representatives of other groups.
 
     A text that many others vary has the minima that most of them have, though they may differ too much from one
-    another. Its links leave few groups for :func:`block_pairs`, which finds what a wrong choice of centres misses.
+    another. Its links leave few groups; :func:`rare_shingles` and :func:`block_pairs` find what a wrong choice misses.
     """
 
     def minima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,23 +271,49 @@ def centre_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
     return met.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
-def block_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
-    """(a, b): all pairs of different groups in a region whose sizes and signatures allow the similarity.
+def rare_shingles(mixed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(a, b) of the representatives in ``mixed`` that share a rare shingle; (rep, most): how many others each has.
+
+    Each rare shingle gives few pairs, and each frequent one none, so the work grows with the sets, not with the crowds.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, len(batch), 64):
+                part = batch.slice(i, 64)
+                sets = [np.frombuffer(v, np.int64) for v in part.column("values").to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("rep").to_numpy(), [len(v) for v in sets])), pa.array(np.concatenate(sets))], names=["rep", "shingle"])
+
+    ids = mixed.select("rep").distinct()
+    held = full_sets(docs, ids.select(F.col("rep").alias("id"))).join(ids, "rep").mapInArrow(work, "rep long, shingle long").distinct()
+    held = keep(held)
+    counts = held.groupBy("shingle").agg(F.count("*").alias("times")).filter(F.col("times") <= REGION)
+    rare = keep(held.join(counts, "shingle"))
+    most = held.groupBy("rep").agg(F.count("*").alias("all")).join(rare.groupBy("rep").agg(F.count("*").alias("rare")), "rep", "left")
+    several = rare.filter("times > 1")
+    left, right = several.select("shingle", F.col("rep").alias("a")), several.select("shingle", F.col("rep").alias("b"))
+    return left.join(right, "shingle").filter("a < b").select("a", "b").distinct(), most.select("rep", (F.col("all") - F.coalesce("rare", F.lit(0))).alias("most"))
+
+
+def block_pairs(mixed: DataFrame, reps: DataFrame, most: DataFrame) -> DataFrame:
+    """(a, b): all pairs of different groups in a region that can be similar by sizes, signatures and shingles not rare.
 
     All of a region is met by what is outside of its largest group. Both sides are dealt in blocks of about
     :data:`BLOCK`, each pair of blocks a group of its own. A pair is given by the first tree in which it shares a region.
+    Similar sets of x and y shingles share at least 3/7 (x + y) at 75 %.
     """
 
     def work(block: pa.Table) -> pa.Table:
         met = block.column("met").to_numpy()
-        cols = {c: block.column(c).to_numpy() for c in ("rep", "n", "comp", "outer")}
+        cols = {c: block.column(c).to_numpy() for c in ("rep", "n", "comp", "outer", "most")}
         sig, tree = _matrix(block.column("sig")), block.column("tree")[0].as_py()
         own, others = np.flatnonzero(~met), np.flatnonzero(met)
         left, right = [], []
         for at in range(0, len(own), 64):
             x, y = own[at : at + 64, None], others[None]
-            n = [cols["n"][v] for v in (x, y)]
+            n, most = ([cols[c][v] for v in (x, y)] for c in ("n", "most"))
             open_ = (cols["comp"][x] != cols["comp"][y]) & (100 * np.minimum(*n) >= THRESHOLD * np.maximum(*n)) & ~(cols["outer"][x] & (cols["rep"][x] > cols["rep"][y]))
+            open_ &= (100 + THRESHOLD) * np.minimum(*most) >= THRESHOLD * (n[0] + n[1])
             i, j = np.nonzero(open_)
             i, j = own[at + i], others[j]
             same = sig[i] == sig[j]
@@ -316,11 +325,15 @@ def block_pairs(mixed: DataFrame, reps: DataFrame) -> DataFrame:
         a, b = (np.concatenate([np.zeros(0, np.int64), *v]) for v in (left, right))
         return pa.table({"a": pa.array(np.minimum(a, b)), "b": pa.array(np.maximum(a, b))})
 
-    groups = mixed.groupBy("key", "comp").agg(F.count("*").alias("here"))
-    largest = groups.groupBy("key").agg(F.max(F.struct("here", "comp")).alias("m"), F.sum("here").alias("all"))
+    # What shares too few frequent shingles with anything of the region's smallest size needs no comparison.
+    least = mixed.groupBy("key").agg(F.min("n").alias("least"))
+    able = mixed.join(most, "rep").join(least, "key").filter(f"{100 + THRESHOLD} * most >= {THRESHOLD} * (n + greatest(least, n * {THRESHOLD / 100}))").drop("least")
+    able = keep(able)
+    groups = able.groupBy("key", "comp").agg(F.count("*").alias("here"))
+    largest = groups.groupBy("key").agg(F.max(F.struct("here", "comp")).alias("m"), F.sum("here").alias("all")).filter(F.col("m.here") < F.col("all"))
     blocks = largest.select("key", F.col("m.comp").alias("main"), F.ceil(F.col("all") / BLOCK).alias("rows"), F.ceil((F.col("all") - F.col("m.here")) / BLOCK).alias("cols"))
-    sided = keep(mixed.join(blocks, "key").withColumn("outer", F.col("comp") != F.col("main"))).join(reps.select("rep", "sig"), "rep")
-    base = ("key", "tree", "rep", "n", "comp", "outer", "sig")
+    sided = keep(able.join(blocks, "key").withColumn("outer", F.col("comp") != F.col("main"))).join(reps.select("rep", "sig"), "rep")
+    base = ("key", "tree", "rep", "n", "comp", "outer", "most", "sig")
     row, col = F.pmod(F.xxhash64("rep"), F.col("rows")), F.pmod(F.xxhash64("rep", F.lit(1)), F.col("cols"))
     every = lambda count: F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))
     own = sided.select(*base, F.lit(False).alias("met"), row.alias("row"), every("cols").alias("col"))
@@ -403,6 +416,12 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
     return both.select("a", "b", "va", "vb").mapInArrow(work, "a long, b long").distinct()
 
 
+def across(pairs: DataFrame, comps: DataFrame) -> DataFrame:
+    """The pairs whose sides are in different groups."""
+    a_comp, b_comp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
+    return pairs.join(a_comp, "a", "left").join(b_comp, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b")
+
+
 def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     """Confirmed (a, b) that connect every group of representatives that pairs sharing a region connect."""
     shared = regions(reps)
@@ -411,22 +430,21 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     best = ends.groupBy("v").agg(F.max(F.struct("agree", (-F.col("w")).alias("w"))).alias("x")).select("v", (-F.col("x.w")).alias("w"))
     first = keep(confirmed(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), docs))
     comps = components(first)
-    a_comp, b_comp = comps.select(F.col("id").alias("a"), F.col("comp").alias("ca")), comps.select(F.col("id").alias("b"), F.col("comp").alias("cb"))
-    more = near.select("a", "b").unionByName(agreeing(hub_pairs(shared, first, comps), reps).select("a", "b"))
-    mixed = mixed_regions(shared, comps)
+    more, mixed = near.select("a", "b"), mixed_regions(shared, comps)
     crowded = not mixed.isEmpty()
     if crowded:
         more = more.unionByName(agreeing(centre_pairs(mixed, reps), reps).select("a", "b"))
-    rest = more.join(a_comp, "a", "left").join(b_comp, "b", "left").filter("coalesce(ca, a) <> coalesce(cb, b)").select("a", "b").distinct()
-    rest = keep(rest)
+    rest = keep(across(more, comps).distinct())
     second = first if rest.isEmpty() else keep(first.unionByName(confirmed(rest, docs)))
     if not crowded:
         return second
-    mixed = mixed_regions(shared, components(second))
+    comps = components(second)
+    mixed = mixed_regions(shared, comps)
     if mixed.isEmpty():
         return second
-    left = block_pairs(mixed, reps).join(rest, ["a", "b"], "left_anti")
-    left = keep(left)
+    pairs, most = rare_shingles(mixed, docs)
+    open_ = agreeing(across(pairs, comps), reps).select("a", "b").unionByName(block_pairs(mixed, reps, most))
+    left = keep(open_.distinct().join(rest, ["a", "b"], "left_anti"))
     return second if left.isEmpty() else keep(second.unionByName(confirmed(left, docs)))
 
 

@@ -313,11 +313,45 @@ def test_rest_of_a_crowded_region_equals_brute_force(spark, monkeypatch):
     for comps in ([], [(i, 3) for i in range(3, 90)]):
         known = dict(comps)
         mixed = minhash_dedup.mixed_regions(shared, spark.createDataFrame(comps, "id long, comp long"))
-        got = {(r["a"], r["b"]) for r in minhash_dedup.block_pairs(mixed, reps).collect()}
+        rare, most = minhash_dedup.rare_shingles(mixed, docs)
+        blocks = {(r["a"], r["b"]) for r in minhash_dedup.block_pairs(mixed, reps, most).collect()}
+        got = blocks | {(r["a"], r["b"]) for r in rare.collect()}
         sets = [shingles(t) for _, t in rows]
         near = {(i, j) for i, j in itertools.combinations(range(len(rows)), 2) if 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j])}
         assert {p for p in near if known.get(p[0], p[0]) != known.get(p[1], p[1])} <= got | small
-        assert not any(known.get(a, a) == known.get(b, b) for a, b in got)
+        assert not any(known.get(a, a) == known.get(b, b) for a, b in blocks)
+
+
+def test_crowd_around_the_threshold_equals_brute_force(spark):
+    """Variants of every distance from their text, some of them varied again: most are near misses of one another."""
+    rng = random.Random(14)
+    base = [f"w{i}" for i in range(150)]
+    rows = []
+    for k in range(1200):
+        own = list(base)
+        for place in rng.sample(range(150), rng.randint(1, 12)):
+            own[place] = f"x{k}p{place}"
+        for _ in range(1 if k % 10 else 3):
+            rows.append((len(rows), " ".join(own)))
+            own[rng.randrange(150)] = f"y{len(rows)}"
+    sets = [shingles(t) for _, t in rows]
+    ids = {x: i for i, x in enumerate(sorted(set().union(*sets)))}
+    held = np.zeros((len(rows), len(ids)), np.float32)
+    for i, s in enumerate(sets):
+        held[i, [ids[x] for x in s]] = 1
+    both, n = held @ held.T, held.sum(1)
+    root = list(range(len(rows)))
+
+    def find(v):
+        while root[v] != v:
+            v = root[v] = root[root[v]]
+        return v
+
+    for a, b in zip(*np.nonzero(np.triu(100 * both >= 75 * (n[:, None] + n - both), 1)), strict=True):
+        x, y = find(a), find(b)
+        root[max(x, y)] = min(x, y)
+    got = {r["doc_id"]: r["component_id"] for r in minhash_dedup.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {i: find(i) for i in range(len(rows))} and 300 < len(set(got.values()))
 
 
 def test_near_duplicates_odd_rows(spark, odd):
