@@ -9,6 +9,7 @@ from collections import Counter
 import duckdb
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from hanji.llm import packing, registry
@@ -106,6 +107,27 @@ def test_near_duplicate_stage_keeps_one_of_an_original_and_its_copies(spark):
     assert [r["doc_id"] for r in corpus_pipeline.near_duplicates(spark, docs, SF).collect()] == [0]
 
 
+def test_near_duplicate_stage_keeps_one_row_of_a_group(spark):
+    """Repeated rows, rows without id and rows that share one; extra columns that operators name so themselves."""
+    text = " ".join(f"t{i}" for i in range(40))
+    rows = [(1, text, "a"), (1, text, "a"), (None, text, "b"), (2, text, "c"), (None, "own " + text[::-1], "d"), (None, "own " + text[::-1], "d"), (3, None, "e"), (4, "", "f"), (5, "one two three four five", "y"), (5, "one two three four five", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, kept string").withColumn("rows", F.lit(1)).withColumn("row", F.lit(2))
+    got = corpus_pipeline.near_duplicates(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(((r["doc_id"], r["kept"]) for r in got.collect()), key=str) == sorted([(1, "a"), (None, "d"), (3, "e"), (4, "f"), (5, "x")], key=str)
+    assert corpus_pipeline.near_duplicates(spark, docs.limit(0), SF).count() == 0
+
+
+def test_language_stage_rejects_texts_of_no_language(spark, monkeypatch):
+    words = {"en": "the cat and the dog are in the house ", "de": "der hund und die katze sind nicht zuhause ", "ru": "это был хороший день и мы пошли домой "}
+    rows = [(i, w * 8, lang, "x") for i, (lang, w) in enumerate(words.items())] + [(7, "".join(w * 8 for w in words.values()), None, "x"), (8, "12 !", "en", "x"), (None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, score string")
+    assert {r["doc_id"] for r in corpus_pipeline.language(spark, docs, SF).collect()} == {0, 1, 2}
+    monkeypatch.setattr(corpus_pipeline, "LANGUAGES", ("de", "ru"))
+    got = corpus_pipeline.language(spark, docs, SF)
+    assert got.columns == docs.columns and {r["doc_id"] for r in got.collect()} == {1, 2}
+
+
 def test_pipeline_on_odd_rows(spark, tmp_path):
     schema = "doc_id long, text string, lang string, source string, n_chars long"
     long = " ".join(f"wort{i} und the {i % 7}" for i in range(9000))
