@@ -4,6 +4,7 @@ import itertools
 import os
 import random
 import re
+import time
 import tracemalloc
 import zlib
 from collections import Counter
@@ -560,34 +561,103 @@ def test_html_blocks(tags):
     assert found == ["Title & more", "One é A bold", "Two lines", "a", "b"] and marked == bool(tags[0])
 
 
-def test_repeated_runs_equal_counts():
-    rng = random.Random(4)
-    streams = [[rng.randint(0, 3) for _ in range(rng.randint(0, 40))] for _ in range(12)] + [[1, 2, 3, 0, 1, 2]] * 2
-    run, least = 4, 3
-    got = html_extract.repeated(streams, run, least, 0.0)
-    classes = [tuple(s) for s in streams]
-    pages = {}
-    for s in classes:
-        for i in range(len(s) - run + 1):
-            pages.setdefault(s[i : i + run], set()).add(s)
-    for s, marks in zip(streams, got, strict=True):
-        want = [False] * len(s)
-        for i in range(len(s) - run + 1):
-            if len(pages[tuple(s[i : i + run])]) >= least:
-                want[i : i + run] = [True] * run
-        assert marks.tolist() == want
-
-
-def test_boilerplate_goes_and_articles_stay(spark):
-    rng = random.Random(5)
-    words = [f"w{i}" for i in range(900)]
-    body = [" ".join(rng.choices(words, k=50)) for _ in range(12)]
-    html = [f"<div>home about us contact our team and the press today</div><div>{b}</div><div>copyright by the makers of this site all rights reserved</div>" for b in body]
+@pytest.mark.parametrize(
+    ("page", "want"),
+    [
+        ("<article><p title=it's>One</p><p>it's Two</p><p>Three</p></article>", ["One", "it's Two", "Three"]),
+        ('<p><a href=x">link</a> and <a href=\'a>b\'>c</a> <i title="1 > 0" hid>d</i></p>', ["link and c d"]),
+        ('<main><div class="product-search-results">kept</div><div class="cookie-notice box2">gone</div><div class=comments id=x>gone</div></main>', ["kept"]),
+        ('<p>a<p data-class="nav">b<div class="nav links">gone</div><div role="search">gone</div><div class="about-menu-cards">c</div>', ["a", "b", "c"]),
+        ("<ul><li>a<ul><li>b<li>c</ul><li>d</ul><i>e<article>x</i>y</article>", ["x y".replace(" ", "")]),
+    ],
+)
+def test_html_odd_markup(page, want):
+    assert html_extract.blocks(page)[0] == want
+
+
+@pytest.mark.parametrize("page", ["<b>" * 300_000 + "</i>" * 300_000, "<i><article>" + "<b></i>" * 300_000, "<p>" + "<b>x" * 200_000 + "<hr>" * 200_000, "<dd><p><b>" * 100_000 + "<li>" * 100_000, "<p a='" * 200_000, "word " * 1_600_000])
+def test_html_takes_time_in_proportion(page):
+    began = time.perf_counter()
+    html_extract.blocks(page)
+    assert time.perf_counter() - began < 20
+
+
+def test_sampled_suffixes_meet_in_every_long_run():
+    rng, tokens, run = random.Random(3), html_extract.Tokens(), html_extract.RUN_TOKENS
+    for _ in range(300):
+        shared = [f"s{rng.randrange(9)}" for _ in range(2 * run - 1)]
+        keys = []
+        for _ in range(2):
+            page = [" ".join([*(f"a{rng.random()}" for _ in range(rng.randint(1, 40))), *shared, *(f"b{rng.random()}" for _ in range(rng.randint(1, 40)))])]
+            ids, lengths = tokens.of(page)
+            own = html_extract.suffixes(ids, 1)
+            keys.append(set(own[html_extract.sampled(own, lengths)].tolist()))
+        assert keys[0] & keys[1]
+
+
+def extracted_model(pages):
+    """Texts by the definition: all runs of a host's pages counted in a dictionary, covered tokens left out."""
+    made = {}
+    for i, url, page in pages:
+        found, marked = html_extract.blocks(page or "")
+        host = re.match(r"(?s)^.*?://([^/?#]*)", url or "")
+        made[i] = (host and host[1], marked, found)
+    held = {}
+    for host, _, found in made.values():
+        held.setdefault(host, set()).add(tuple(found))
+    counts = {}
+    for host, classes in held.items():
+        for c in classes:
+            words = " ".join(c).split()
+            for run in {tuple(words[i : i + 8]) for i in range(len(words) - 7)}:
+                counts[host, run] = counts.get((host, run), 0) + 1
+    out = {}
+    for i, (host, marked, found) in made.items():
+        words, covered = " ".join(found).split(), set()
+        for at in range(len(words) - 7):
+            n = counts[host, tuple(words[at : at + 8])]
+            if (n >= 10 and 2 * n >= len(held[host])) if marked else n >= 3:
+                covered |= set(range(at, at + 8))
+        at, kept = 0, []
+        for b in found:
+            own = [w for k, w in enumerate(b.split(), at) if k not in covered]
+            at += len(b.split())
+            kept += [" ".join(own)] if own else []
+        out[i] = "\n\n".join(kept)
+    return out
+
+
+@pytest.mark.parametrize("size", [3, 30, 200, 2000])
+def test_whole_pages_equal_brute_force(spark, size):
+    """Pages without and with a mark, on a host of each size; copies of a page, passages of few and of most pages."""
+    rng = random.Random(size)
+    some = lambda n: " ".join(f"w{rng.randrange(50_000)}" for _ in range(n))
+    menu, notice, legal, passage, sign_up = "home about us contact our team and the press today", some(30), some(40), some(60), some(20)
+    pages = []
+    for i in range(size):
+        body = [some(rng.randint(1, 60)) for _ in range(3)]
+        if i < 9:
+            body.insert(1, f"{some(3)} {notice} {some(2)}")
+        if rng.random() < 0.3:
+            body.append(passage)
+        top, end = f"<div>{menu}</div>", f"<div>{legal} page {i} {some(3)}</div>"
+        pages.append((len(pages), "http://open.example/x", top + "".join(f"<div>{b}</div>" for b in body) + end))
+        line = f"<p>{sign_up}</p>" if i % 4 else ""
+        pages.append((len(pages), f"http://MARKED.example/{i}?q", f"{top}<article>{''.join(f'<p>{b}' for b in body)}{line}</article>{end}"))
+    copy = f"<p>{some(30)}</p>"
+    pages += [(len(pages) + k, "http://open.example/c", copy) for k in range(7)] + [(len(pages) + 90, None, None), (len(pages) + 91, "x", ""), (None, "x", "<p>a</p>")]
+    frame = spark.createDataFrame(pages, "page_id long, url string, html string").withColumns({c: F.lit("clash") for c in ("blocks", "host", "class", "key", "copies", "text")})
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(frame).collect()}
+    want = extracted_model([(i, (u or "").lower() if u else u, h) for i, u, h in pages])
+    assert got == want
+    assert got[0].count(menu) == 0 and (size < 30 or (notice not in got[0] and notice in got[1] and sign_up not in got[3]))
+
+
+def test_html_odd_rows(spark):
     marked = "<article><p>shared passage in all of the articles here, word for word</p></article>"
-    rows = [(i, "http://h.example/x", h) for i, h in enumerate(html)] + [(100 + i, "http://h.example/y", marked) for i in range(5)] + [(200, None, None), (201, "x", "")]
-    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
-    assert {i: got[i] for i in range(12)} == dict(enumerate(body))
-    assert all(got[100 + i].startswith("shared passage") for i in range(5)) and got[200] == got[201] == ""
+    rows = [(1, "http://h.example/y", marked)] * 5 + [(2, None, None), (3, "x", "")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r["page_id"], r["text"]) for r in got) == [(1, "shared passage in all of the articles here, word for word")] * 5 + [(2, ""), (3, "")]
     assert html_extract.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
