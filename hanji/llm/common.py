@@ -49,7 +49,7 @@ def shared_dir(spark: SparkSession) -> str:
     return known
 
 
-def settle(df: DataFrame, *, files: int | None = None) -> DataFrame:
+def settle(df: DataFrame, *, files: int | None = None, compression: str | None = None) -> DataFrame:
     """Write ``df`` once to the shared folder and read it back: cuts lineage, survives lost executors.
 
     The files go when the JVM ends. Parquet rather than ``checkpoint()`` so that later steps prune columns.
@@ -57,7 +57,7 @@ def settle(df: DataFrame, *, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/hanji-{uuid.uuid4().hex}"
     jvm_path = spark._jvm.org.apache.hadoop.fs.Path(path)
-    (df.coalesce(files) if files else df).write.parquet(path)
+    (df.coalesce(files) if files else df).write.parquet(path, compression=compression)
     jvm_path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(jvm_path)
     return spark.read.schema(df.schema).parquet(path)
 

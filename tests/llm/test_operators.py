@@ -585,7 +585,7 @@ def test_html_takes_time_in_proportion(page):
 def test_sampled_suffixes_meet_in_every_long_run():
     rng, tokens, run = random.Random(3), html_extract.Tokens(), html_extract.RUN_TOKENS
     for _ in range(300):
-        shared = [f"s{rng.randrange(9)}" for _ in range(2 * run - 1)]
+        shared = [f"s{rng.randrange(9)}" for _ in range(run + html_extract.SAMPLE - 1)]
         keys = []
         for _ in range(2):
             page = [" ".join([*(f"a{rng.random()}" for _ in range(rng.randint(1, 40))), *shared, *(f"b{rng.random()}" for _ in range(rng.randint(1, 40)))])]
