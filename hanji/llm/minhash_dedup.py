@@ -6,8 +6,8 @@ each starting at another coordinate; a tree is the sorted order of all signature
 their first :data:`DEPTH` coordinates in a tree are one region. A region of few representatives gives all its pairs as
 candidates. In a region with more, each representative goes as deep as its own neighbourhood is dense: its candidates
 are those next to it in the sorted order, with which it shares the longest prefixes. Candidates whose
-signatures agree enough are confirmed on full sets, at most one per representative first (its best), then those that
-would still join different groups, and with them each crowded region's representatives against centres of the region.
+signatures agree enough are confirmed on full sets, at most one per representative first (its best), then each crowded
+region's representatives against centres of the region, then those candidates that would still join different groups.
 
 What crowded regions then still hold of different groups is settled exactly. A shingle is rare if at most :data:`REGION`
 of these representatives hold it: those that share a rare shingle are compared. Two that share none have at most their
@@ -45,7 +45,7 @@ REGION = 24
 #: In a region with more, each representative meets so many on either side of it in the sorted order.
 NEIGHBOURS = 2
 #: Centres of a crowded region: representatives whose signatures agree most with the others', one of each share of ids.
-CENTRES = 4
+CENTRES = 2
 #: Representatives on either side of a block in which a crowded region's remaining pairs are compared.
 BLOCK = 512
 #: Share of equal coordinates below which no pair of similarity 0.75 is expected (more than four deviations).
@@ -295,6 +295,14 @@ def rare_shingles(mixed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFra
     return left.join(right, "shingle").filter("a < b").select("a", "b").distinct(), most.select("rep", (F.col("all") - F.coalesce("rare", F.lit(0))).alias("most"))
 
 
+def possible(pairs: DataFrame, reps: DataFrame, most: DataFrame) -> DataFrame:
+    """The pairs without those that can only be similar if they share a rare shingle: sharing one, they are given by it."""
+    sized = reps.select("rep", "n").join(most, "rep")
+    a, b = (sized.select(F.col("rep").alias(c), F.col("n").alias(f"n_{c}"), F.col("most").alias(f"most_{c}")) for c in ("a", "b"))
+    both = pairs.join(a, "a", "left").join(b, "b", "left")
+    return both.filter(f"n_a IS NULL OR n_b IS NULL OR {100 + THRESHOLD} * least(most_a, most_b) >= {THRESHOLD} * (n_a + n_b)").select("a", "b")
+
+
 def block_pairs(mixed: DataFrame, reps: DataFrame, most: DataFrame) -> DataFrame:
     """(a, b): all pairs of different groups in a region that can be similar by sizes, signatures and shingles not rare.
 
@@ -430,22 +438,18 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     best = ends.groupBy("v").agg(F.max(F.struct("agree", (-F.col("w")).alias("w"))).alias("x")).select("v", (-F.col("x.w")).alias("w"))
     first = keep(confirmed(best.select(F.least("v", "w").alias("a"), F.greatest("v", "w").alias("b")).distinct(), docs))
     comps = components(first)
-    more, mixed = near.select("a", "b"), mixed_regions(shared, comps)
-    crowded = not mixed.isEmpty()
-    if crowded:
-        more = more.unionByName(agreeing(centre_pairs(mixed, reps), reps).select("a", "b"))
-    rest = keep(across(more, comps).distinct())
-    second = first if rest.isEmpty() else keep(first.unionByName(confirmed(rest, docs)))
-    if not crowded:
-        return second
-    comps = components(second)
     mixed = mixed_regions(shared, comps)
-    if mixed.isEmpty():
-        return second
-    pairs, most = rare_shingles(mixed, docs)
-    open_ = agreeing(across(pairs, comps), reps).select("a", "b").unionByName(block_pairs(mixed, reps, most))
-    left = keep(open_.distinct().join(rest, ["a", "b"], "left_anti"))
-    return second if left.isEmpty() else keep(second.unionByName(confirmed(left, docs)))
+    if not mixed.isEmpty():
+        centred = keep(across(agreeing(centre_pairs(mixed, reps), reps), comps))
+        first = first if centred.isEmpty() else keep(first.unionByName(confirmed(centred, docs)))
+        comps = components(first)
+        mixed = mixed_regions(shared, comps)
+    open_ = across(near, comps)
+    if not mixed.isEmpty():
+        rare, most = rare_shingles(mixed, docs)
+        open_ = possible(open_, reps, most).unionByName(agreeing(across(rare, comps), reps).select("a", "b")).unionByName(block_pairs(mixed, reps, most))
+    open_ = keep(open_.distinct())
+    return first if open_.isEmpty() else keep(first.unionByName(confirmed(open_, docs)))
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
