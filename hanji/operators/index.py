@@ -1,8 +1,9 @@
 """The inverted index as ordinary tables, and BM25 over it.
 
-``postings`` (term, doc_id, tf), ``doc_stats`` (doc_id, dl), ``term_stats`` (term, df, idf) and the one-row
+``postings`` (term, doc_id, tf, dl), ``doc_stats`` (doc_id, dl), ``term_stats`` (term, df, idf) and the one-row
 ``corpus_stats`` (n, avgdl). A query touches only the postings of its terms: they are pushed down to the scan as a list
-of literals, and partitioned tables are pruned by the term's bucket.
+of literals, and partitioned tables are pruned by the term's bucket. Postings carry their document's length, so that a
+score needs no join with documents.
 """
 
 from __future__ import annotations
@@ -68,7 +69,9 @@ def term_statistics(postings: DataFrame, corpus: DataFrame) -> DataFrame:
 def build(docs: DataFrame) -> Index:
     lengths = document_lengths(docs)
     corpus = corpus_statistics(lengths)
-    postings = term_frequencies(docs).select("term", "doc_id", "tf")
+    tokens = docs.select("doc_id", tokenize("text").alias("tokens"))
+    exploded = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
+    postings = exploded.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
     return Index(postings, lengths, term_statistics(postings, corpus), corpus)
 
 
@@ -83,13 +86,15 @@ def search(index: Index, terms: list[str]) -> DataFrame:
         return index.doc_stats.select("doc_id", F.lit(0.0).alias("score")).limit(0)
     found = index.postings.filter(F.col("term").isin(wanted))
     if "bucket" in index.postings.columns:
-        spark = index.postings.sparkSession
-        rows = spark.createDataFrame([(t,) for t in wanted], "term string").select(F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int").alias("b")).collect()
-        found = found.filter(F.col("bucket").isin(sorted({r["b"] for r in rows})))
-    # At most len(wanted) rows; one row of corpus statistics.
-    stats = F.broadcast(index.term_stats.filter(F.col("term").isin(wanted)).select("term", "idf"))
-    scored = found.join(stats, "term").join(index.doc_stats, "doc_id").crossJoin(F.broadcast(index.corpus_stats))
-    return scored.groupBy("doc_id").agg(F.sum(weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf"))).alias("score"))
+        # Folded to literals, so that partitions are pruned before the scan.
+        found = found.filter(F.col("bucket").isin([F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).cast("int") for t in wanted]))
+    # The statistics of at most len(wanted) terms and of the corpus are read first and become literals.
+    stats = index.term_stats.filter(F.col("term").isin(wanted)).select("term", "idf").crossJoin(F.broadcast(index.corpus_stats)).collect()
+    if not stats:
+        return index.doc_stats.select("doc_id", F.lit(0.0).alias("score")).limit(0)
+    idf_ = F.element_at(F.create_map(*[F.lit(v) for r in stats for v in (r["term"], r["idf"])]), F.col("term"))
+    scored = found.filter(F.col("term").isin([r["term"] for r in stats])).select("doc_id", weight(F.col("tf"), F.col("dl"), F.lit(stats[0]["avgdl"]), idf_).alias("part"))
+    return scored.groupBy("doc_id").agg(F.sum("part").alias("score"))
 
 
 def _is(term: str):
@@ -102,9 +107,12 @@ def scan(docs: DataFrame, terms: list[str]) -> DataFrame:
     Two passes over the texts, no shuffle: one for the statistics, which come back as one row, one for the scores.
     """
     wanted = sorted({t.lower() for t in terms})
-    counted = docs.select("doc_id", tokenize("text").alias("tokens")).select(
-        "doc_id", F.size("tokens").alias("dl"), *[F.size(F.filter("tokens", _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)]
-    )
+
+    def counts(tokens):
+        return F.struct(F.size(tokens).alias("dl"), *[F.size(F.filter(tokens, _is(t))).alias(f"tf{i}") for i, t in enumerate(wanted)])
+
+    # A generator of one row, below which the filter on counts is not pushed: each text is tokenized once a pass.
+    counted = docs.select("doc_id", F.inline(F.transform(F.array(tokenize("text")), counts)))
     stats = counted.agg(
         F.count("*").alias("n"), F.coalesce(F.sum("dl") / F.count("*"), F.lit(0.0)).alias("avgdl"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(wanted))]
     )

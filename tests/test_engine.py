@@ -57,17 +57,21 @@ def test_fusion_and_filters(spark):
 
 @pytest.mark.parametrize(
     ("raw", "want"),
-    [("제 27 조", "제27조"), ("제 3 의 2 조", "제3의2조"), ("3 천만원", "3000만원"), ("  제  5  조  ", "제5조"), ("1,000만원", "1000만원"), ("일억원", "1억원"), ("2 백만 원", "200만원"), ("", "")],
+    [("제 41 조", "제41조"), ("제 8 의 4 조 제 6 항", "제8의4조 제6항"), ("7 천 만 원", "7000만원"), (" 별표   9 ", "별표 9"), ("2,500만원", "2500만원"), ("구억원", "9억원"), ("6 백만원과 사천만원", "600만원과 4000만원"), ("팔십만원", "팔십만원"), ("", ""), (None, "")],
 )
 def test_canonical(raw, want):
     assert korean.canonical(raw) == want
 
 
 def test_variants():
-    assert {"3억원", "30천만원"} <= set(korean.variants("30000만원"))
-    assert any("최저소요연수" in v.replace(" ", "") for v in korean.variants("승진 최저 소요 연수 알려줘"))
-    assert korean.variants("") == []
-    assert len(korean.query_variants("연차 휴가 신청 방법 30000만원 별표 2")) == config.MAX_VARIANTS
+    assert korean.variants("50000만원") == ["50000만원", "5억원", "50천만원"]
+    assert "70000만원" in korean.variants("칠억원") and "12천만원 이하" in korean.variants("12000만원 이하")
+    assert {"첨부5 서식", "첨부 5 서식"} <= set(korean.variants("첨부  5 서식"))
+    assert "9급에서8급으로승진2년" in korean.variants("9급 공무원이 8급까지 2년") and "부칙 적용" in korean.variants("부  칙 적용")
+    assert "승진최저소요연수" in korean.variants("승진에 드는 최소 소요기간") and "승진최저소요연수" not in korean.variants("승진 절차")
+    assert korean.variants("") == korean.variants(None) == []
+    assert korean.query_variants("Leave  rules", hyde=False) == ["Leave  rules", "Leave rules", "leaverules"]
+    assert len(korean.query_variants("출장비 정산 서류 80000만원 별첨 7")) == config.MAX_VARIANTS
 
 
 def test_boolean_queries():
