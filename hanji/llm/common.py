@@ -64,7 +64,7 @@ def settle(df: DataFrame, *, files: int | None = None, compression: str | None =
 
 #: Bytes that a Python worker gets at once, about. Texts are held several times over on the way, in the JVM and in the
 #: worker, so the usual 64 MB would take hundreds of MB a task.
-BATCH_BYTES = 4_000_000
+BATCH_BYTES = 2_000_000
 
 
 def text_batches(spark: SparkSession) -> None:
