@@ -56,16 +56,17 @@ def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
     Marks (accents, vowel signs) belong to words, but only letters make one.
     """
-    chars = [chr(c) for c in range(sys.maxunicode + 1)]
-    letter = np.fromiter((c.isalpha() for c in chars), bool, len(chars))
-    lower = np.arange(len(chars), dtype=np.uint32)
-    for c in np.flatnonzero(letter):
-        low = chars[c].lower()
-        if len(low) == 1:
-            lower[c] = ord(low)
-    inside = letter.copy()
-    for c in np.flatnonzero(~letter[: 0x20000]):
-        inside[c] = unicodedata.category(chars[c])[0] == "M"
+    lower = np.arange(sys.maxunicode + 1, dtype=np.uint32)
+    letter, inside = np.zeros(len(lower), bool), np.zeros(len(lower), bool)
+    for c in range(len(lower)):
+        char = chr(c)
+        if char.isalpha():
+            letter[c] = inside[c] = True
+            low = char.lower()
+            if len(low) == 1:
+                lower[c] = ord(low)
+        elif c < 0x20000:
+            inside[c] = unicodedata.category(char)[0] == "M"
     return lower, letter, inside
 
 
