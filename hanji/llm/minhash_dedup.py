@@ -285,7 +285,7 @@ def rare_shingles(mixed: DataFrame, docs: DataFrame) -> tuple[DataFrame, DataFra
                 yield pa.RecordBatch.from_arrays([pa.array(np.repeat(part.column("rep").to_numpy(), [len(v) for v in sets])), pa.array(np.concatenate(sets))], names=["rep", "shingle"])
 
     ids = mixed.select("rep").distinct()
-    held = full_sets(docs, ids.select(F.col("rep").alias("id"))).join(ids, "rep").mapInArrow(work, "rep long, shingle long").distinct()
+    held = full_sets(docs, ids.select(F.col("rep").alias("id"))).hint("merge").join(ids, "rep").mapInArrow(work, "rep long, shingle long").distinct()
     held = keep(held)
     counts = held.groupBy("shingle").agg(F.count("*").alias("times")).filter(F.col("times") <= REGION)
     rare = keep(held.join(counts, "shingle"))
@@ -377,20 +377,46 @@ def bloom(ids: DataFrame) -> np.ndarray:
     return out
 
 
+def _turned(h: np.ndarray, bits: int) -> np.ndarray:
+    return h << np.uint64(bits) | h >> np.uint64(64 - bits)
+
+
+def _ended(h: np.ndarray) -> np.ndarray:
+    h = (h ^ h >> np.uint64(33)) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h = (h ^ h >> np.uint64(29)) * np.uint64(0x165667B19E3779F9)
+    return h ^ h >> np.uint64(32)
+
+
+def hashes(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``xxhash64(id)`` and ``xxhash64(id, 1)`` of 64-bit ids, as Spark computes them; the constants are the hash's own."""
+    one, two, three, four, five = (np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x85EBCA77C2B2AE63, 0x27D4EB2F165667C5))
+    first = _turned(ids.view(np.uint64) * two, 31) * one ^ np.uint64(42 + 8) + five
+    first = _ended(_turned(first, 27) * one + four)
+    second = _ended(_turned(first + five + np.uint64(4) ^ one, 23) * two + three)
+    return first.view(np.int64), second.view(np.int64)
+
+
+def may_hold(table: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """Which of the ids may be among those that made the table of :func:`bloom`."""
+    hit = np.ones(len(ids), bool)
+    for h in hashes(ids):
+        p = h & np.int64(len(table) * 64 - 1)
+        hit &= (table[p >> 6] >> (p & 63)) & 1 == 1
+    return hit
+
+
 def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(rep, values): the sets of the rows whose id may be among ``ids``."""
+    """(rep, values): the sets of the rows whose id may be among ``ids``.
+
+    Join with it by the hint ``merge``: those that pass are few, and if the other side were broadcast to them, a task that
+    goes on in Python would hold two workers, which executors then keep.
+    """
     bits = docs.sparkSession.sparkContext.broadcast(bloom(ids))
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = bits.value
-        size = len(table) * 64
         for batch in batches:
-            hit = np.ones(len(batch), bool)
-            for c in ("h0", "h1"):
-                p = batch.column(c).to_numpy() % size
-                hit &= (table[p >> 6] >> (p & 63)) & 1 == 1
-            at = np.flatnonzero(hit)
-            rows = batch.select(["doc_id", "text"]).take(pa.array(at))
+            at = np.flatnonzero(may_hold(bits.value, batch.column("doc_id").to_numpy()))
+            rows = batch.take(pa.array(at))
             texts = [t or "" for t in rows.column("text").to_pylist()]
             for i, piece in _pieces(texts):
                 sets = shingle_sets(piece)
@@ -398,7 +424,7 @@ def full_sets(docs: DataFrame, ids: DataFrame) -> DataFrame:
         release()
 
     named = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("doc_id IS NOT NULL")
-    return named.select("doc_id", "text", F.xxhash64("doc_id").alias("h0"), F.xxhash64("doc_id", F.lit(1)).alias("h1")).mapInArrow(work, "rep long, values binary")
+    return named.mapInArrow(work, "rep long, values binary")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -419,8 +445,8 @@ def confirmed(pairs: DataFrame, docs: DataFrame, threshold: int = THRESHOLD) ->
             yield pa.RecordBatch.from_arrays([batch.column("a").take(at), batch.column("b").take(at)], names=["a", "b"])
         release()
 
-    left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("values").alias("va")), "a")
-    both = left.join(sets.select(F.col("rep").alias("b"), F.col("values").alias("vb")), "b")
+    left = pairs.select("a", "b").join(sets.select(F.col("rep").alias("a"), F.col("values").alias("va")).hint("merge"), "a")
+    both = left.join(sets.select(F.col("rep").alias("b"), F.col("values").alias("vb")).hint("merge"), "b")
     return both.select("a", "b", "va", "vb").mapInArrow(work, "a long, b long").distinct()
 
 

@@ -355,6 +355,17 @@ def test_crowd_around_the_threshold_equals_brute_force(spark):
     assert got == {i: find(i) for i in range(len(rows))} and 300 < len(set(got.values()))
 
 
+def test_hashes_of_ids_are_those_of_spark(spark):
+    ids = np.array([0, 1, -1, 5, 123456789012345, -(1 << 63), (1 << 63) - 1], np.int64)
+    rows = spark.createDataFrame([(int(i),) for i in ids], "id long")
+    want = rows.select("id", F.xxhash64("id").alias("a"), F.xxhash64("id", F.lit(1)).alias("b")).collect()
+    first, second = minhash_dedup.hashes(ids)
+    assert {(r.id, r.a, r.b) for r in want} == set(zip(ids.tolist(), first.tolist(), second.tolist(), strict=True))
+    table = minhash_dedup.bloom(rows)
+    assert minhash_dedup.may_hold(table, ids).all()
+    assert minhash_dedup.may_hold(table, np.arange(1000, 11000)).mean() < 0.01
+
+
 def test_near_duplicates_odd_rows(spark, odd):
     got = minhash_dedup.near_duplicates(odd).collect()
     assert len(got) == len(ODD)
