@@ -355,25 +355,46 @@ def str08_answer_events(spark, sf):
     return spark.createDataFrame([(e["seq"], e["event"]) for e in events], "seq int, event string")
 
 
+def _put(spark, folder: str, texts: dict) -> None:
+    """Write files; None deletes one."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name, text in texts.items():
+        if text is None:
+            fs.delete(hadoop(f"{folder}/{name}"), False)
+            continue
+        out = fs.create(hadoop(f"{folder}/{name}"))
+        out.write(bytearray(text.encode()))
+        out.close()
+
+
+def _chunked(rows):
+    named = rows.select(T.file_id("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("source"), "path", "text")
+    return chunking.chunk_table(named)
+
+
 @query("str07_incremental_ingest", "SELECT * FROM (VALUES ('a.txt', 1::BIGINT), ('b.txt', 1::BIGINT)) t(source, n)")
 def str07_incremental_ingest(spark, sf):
     from hanji.sources.extract import extract
     from hanji.streaming.jobs import incremental_ingest
 
     base = _space(spark)
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(base).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name, text in (("a.txt", "first regulation text"), ("b.txt", "second regulation text")):
-        out = fs.create(hadoop(f"{base}/in/{name}"))
-        out.write(bytearray(text.encode()))
-        out.close()
+    _put(spark, f"{base}/in", {"a.txt": "first regulation text", "b.txt": "second regulation text"})
+    incremental_ingest(spark, f"{base}/in", f"{base}/chunks", f"{base}/state", extract, _chunked).awaitTermination()
+    return spark.read.parquet(f"{base}/chunks").groupBy("source").agg(F.count("*").alias("n"))
 
-    def chunk(rows):
-        named = rows.select(T.file_id("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("source"), "path", "text")
-        return chunking.chunk_table(named)
 
-    incremental_ingest(spark, f"{base}/in", f"{base}/chunks", f"{base}/state", extract, chunk).awaitTermination()
-    return spark.read.parquet(f"{base}/chunks").groupBy("source").agg(F.count("*").alias("n"))
+@query("str07_refresh", "SELECT * FROM (VALUES ('a.txt', 'first text, rewritten'), ('c [1].txt', 'third regulation text'), ('d.TXT', 'fourth regulation text')) t(source, text)")
+def str07_refresh(spark, sf):
+    """Of four files one is rewritten, one deleted, one comes later and one stays."""
+    from hanji.sources.extract import extract
+    from hanji.streaming.jobs import current, refresh
+
+    base = _space(spark)
+    for texts in ({"a.txt": "first regulation text", "b.txt": "second regulation text", "c [1].txt": "third regulation text"}, {"a.txt": "first text, rewritten", "b.txt": None, "d.TXT": "fourth regulation text"}):
+        _put(spark, f"{base}/in", texts)
+        refresh(spark, f"{base}/in", f"{base}/index", extract, _chunked)
+    return current(spark, f"{base}/index").select("source", "text")
 
 
 @query("str03_cache", "SELECT * FROM (VALUES ('hit_rate', 50.0::DOUBLE), ('size', 5.0::DOUBLE)) t(stat, value)")

@@ -6,6 +6,7 @@ with timers that drop a key when its window has passed.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from typing import Any
 
@@ -14,6 +15,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from hanji.operators import stores
+from hanji.sources import files
+
 
 def file_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int = 100) -> DataFrame:
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
@@ -82,15 +86,56 @@ def sessions(searches: DataFrame, *, key: str, at: str, gap: str = "30 minutes",
 def incremental_ingest(spark: SparkSession, folder: str, target: str, checkpoint: str, extract: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame]):
     """Start a job that extracts and chunks files as they appear; returns the query. ``stop()`` cancels it.
 
-    A batch's chunks replace those of the same files by a partition overwrite per batch id, so a replayed batch does not
-    add rows twice.
+    Each batch is a partition of its own that a replay overwrites, so a replayed batch does not add rows twice. Files
+    that change or go are not seen: see :func:`refresh`.
     """
-    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
+    arrived = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").option("recursiveFileLookup", True).load(folder)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         chunk(extract(batch)).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
 
-    return files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return arrived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def _newest(spark: SparkSession, target: str) -> int:
+    """The newest version whose manifest was written to its end; 0 where there is none."""
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    folder = hadoop(f"{target}/manifest")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    return max((int(n[1:]) for n in names if fs.exists(hadoop(folder, f"{n}/_SUCCESS"))), default=0)
+
+
+def refresh(spark: SparkSession, folder: str, target: str, extract: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
+    """Bring ``target`` up to a folder's new, changed and deleted files; returns how many were processed, cached, removed.
+
+    Each call adds a version: the chunks of the files it processed, and a manifest that names for every file the version
+    with its chunks. Nothing older is rewritten; chunks of changed and deleted files are simply named no longer. The
+    manifest comes last, so a call that breaks off leaves the version before as it is, and the next one overwrites it. Only
+    files to be processed are read; their paths pass the driver, which has listed the folder anyway. ``chunk`` must keep
+    ``path``. A file that goes while it is read fails the call.
+    """
+    last = _newest(spark, target)
+    n = last + 1
+    listing = files.folder(spark, folder).select(F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+    manifest = spark.read.parquet(f"{target}/manifest/v{last}") if last else listing.withColumn("version", F.lit(0)).limit(0)
+    actions = stores.manifest_diff(listing, manifest).persist()
+    known = manifest.select("key", F.col("version").alias("known"))
+    listed = listing.join(actions, "key").join(known, "key", "left")
+    version = F.when(F.col("action") == "cached", F.col("known")).otherwise(F.lit(n))
+    todo = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["key"]) for r in actions.filter("action = 'process'").select("key").collect()]
+    read = spark.read.format("binaryFile").load(todo) if todo else files.folder(spark, folder).limit(0)
+    chunk(extract(read)).write.mode("overwrite").parquet(f"{target}/chunks/version={n}")
+    listed.select("key", "size", "mtime", version.cast("int").alias("version")).write.mode("overwrite").parquet(f"{target}/manifest/v{n}")
+    counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
+    actions.unpersist()
+    return {action: counts.get(action, 0) for action in ("process", "cached", "removed")}
+
+
+def current(spark: SparkSession, target: str) -> DataFrame:
+    """The chunks of the files as the last :func:`refresh` found them."""
+    named = spark.read.parquet(f"{target}/manifest/v{_newest(spark, target)}").select(F.col("key").alias("path"), "version")
+    return spark.read.parquet(f"{target}/chunks").join(named, ["path", "version"]).drop("version")
 
 
 def answer_events(answer_tokens: list[str], citations: list[dict], final: str) -> list[dict]:

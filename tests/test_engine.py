@@ -284,3 +284,32 @@ def test_index_survives_a_round_trip(spark, rules, tmp_path):
     index.build(rules).save(str(tmp_path / "i"))
     got = index.search(index.Index.load(spark, str(tmp_path / "i")), ["보안규정", "정보보호"]).collect()
     assert [r["doc_id"] for r in got] == [4]
+
+
+def test_refresh_of_changed_and_deleted_files(spark, tmp_path):
+    from hanji.streaming.jobs import current, refresh
+
+    def chunk(rows):
+        return chunking.chunk_table(rows.select(T.file_id("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("source"), "path", "text"))
+
+    def held():
+        return sorted((r["source"], r["text"]) for r in current(spark, target).collect())
+
+    folder, target = tmp_path / "in", str(tmp_path / "out")
+    folder.mkdir()
+    assert refresh(spark, str(folder), target, extract.extract, chunk) == {"process": 0, "cached": 0, "removed": 0}
+    assert held() == []
+    for name in ("a.txt", "b.txt", "c{x}[y].txt", "skipped.exe"):
+        (folder / name).write_text(f"text of {name[0]}")
+    assert refresh(spark, str(folder), target, extract.extract, chunk) == {"process": 3, "cached": 0, "removed": 0}
+    (folder / "a.txt").write_text("another text of a")
+    (folder / "b.txt").unlink()
+    (folder / "d.txt").write_text("text of d")
+    # What a call that broke off left behind is not seen, and is overwritten.
+    (tmp_path / "out" / "manifest" / "v3").mkdir()
+    assert held() == [("a.txt", "text of a"), ("b.txt", "text of b"), ("c{x}[y].txt", "text of c")]
+    assert refresh(spark, str(folder), target, extract.extract, chunk) == {"process": 2, "cached": 1, "removed": 1}
+    expected = [("a.txt", "another text of a"), ("c{x}[y].txt", "text of c"), ("d.txt", "text of d")]
+    assert held() == expected
+    assert refresh(spark, str(folder), target, extract.extract, chunk) == {"process": 0, "cached": 3, "removed": 0}
+    assert held() == expected
