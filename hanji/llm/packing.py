@@ -36,7 +36,7 @@ BINS, ROUND_BITS = 1 << 23, 36
 #: Partitions with a gap that exchange documents together, and how often.
 GROUP, ROUNDS = 8, 2
 #: Distinct parts of texts whose ids a task remembers, about, in each half of its memory.
-MEMO_PARTS = 80_000
+MEMO_PARTS = 200_000
 #: Anything but ASCII and Latin letters whose lower case is one letter.
 _FOREIGN = re.compile("[^\\x00-\\x7f\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\u012f\u0131-\u024f]").search
 #: Marks that a stop or comma right after them would join.
