@@ -77,6 +77,9 @@ def archive_members(archives: DataFrame, *, entries=config.ZIP_ENTRIES, total=co
                     while name.lower() in used and n < 999:
                         n += 1
                         name = f"{stem}_{n}{ending}"
+                    if name.lower() in used:
+                        yield path, info.filename, None, "failed", "no free name is left", None
+                        continue
                     used.add(name.lower())
                     yield path, info.filename, name, "success", None, data
 
@@ -137,6 +140,11 @@ def file_stats(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def save_file_stats(records: DataFrame, path: str) -> None:
+    """Write file records as JSON lines that :func:`file_stats` reads; fields that ``records`` lacks are left out."""
+    records.select(*[c for c in (field.split()[0] for field in STATS.split(", ")) if c in records.columns]).write.mode("overwrite").json(path)
+
+
 def goldens(spark: SparkSession, path: str) -> DataFrame:
     """Golden queries with the file's defaults filled in."""
     kind = "defaults struct<k:int,hybrid:boolean>, queries array<struct<query:string,category:string,k:int,hybrid:boolean,filter_file:string,filter_file_id:string,expected:map<string,string>>>"

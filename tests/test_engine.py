@@ -313,3 +313,22 @@ def test_refresh_of_changed_and_deleted_files(spark, tmp_path):
     assert held() == expected
     assert refresh(spark, str(folder), target, extract.extract, chunk) == {"process": 0, "cached": 3, "removed": 0}
     assert held() == expected
+
+
+def test_archive_without_free_names(spark):
+    out = io.BytesIO()
+    with zipfile.ZipFile(out, "w") as z:
+        for i in range(1001):
+            z.writestr(f"{i}/same.txt", "x")
+    rows = files.archive_members(spark.createDataFrame([("z.zip", bytearray(out.getvalue()))], "path string, content binary"), entries=2000).collect()
+    names = [r["name"] for r in rows if r["status"] == "success"]
+    assert len(names) == len(set(names)) == 1000 and "same_999.txt" in names
+    assert [r["member"] for r in rows if r["status"] == "failed"] == ["1000/same.txt"]
+
+
+def test_file_stats_round_trip(spark, tmp_path):
+    stored = spark.createDataFrame([("/d/a.txt", "a.txt", ".txt", 5, "완료", 3, "", 1.5, "v1", "id", "?"), ("/d/b.TXT", *[None] * 9, "?")], files.STATS + ", unknown string")
+    files.save_file_stats(stored, str(tmp_path / "stats"))
+    a, b = files.file_stats(spark, str(tmp_path / "stats")).orderBy("path").collect()
+    assert tuple(a) == tuple(stored.orderBy("path").first())[:-1]
+    assert (b["name"], b["extension"], b["size"], b["status"], b["chunks"]) == ("b.TXT", ".txt", 0, config.STATUSES[0], 0)
