@@ -58,7 +58,7 @@ def _mix(h: np.ndarray, salt: int) -> np.ndarray:
 
 def word_features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(words, parts) bucket numbers and the text that each word is in. Bucket 0 stands for an absent part."""
-    lower, letter = tables()
+    lower, letter, _ = tables()
     joined = "\n".join(texts) + "\n"
     chars = lower[np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)]
     edge = np.diff(letter[chars].view(np.int8), prepend=np.int8(0))
