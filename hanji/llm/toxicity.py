@@ -277,15 +277,17 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, *, per_label: int =
     """Model from at most ``per_label`` whole texts of each label, those with the smallest id hashes.
 
     The ids are chosen on the labels alone and number at most ``2 * per_label``, which bounds the broadcast and the read.
+    An id with both labels counts as toxic, and of an id's texts the smallest is read, so that repeated rows neither
+    change the model nor grow what the driver gets.
     """
-    known = labels.filter(F.col("toxic").isin(0, 1)).select("doc_id", F.col("toxic").cast("int").alias("toxic"), F.xxhash64("doc_id").alias("_h"))
-    known = known.filter(usable)
+    known = labels.filter(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).filter(usable)
+    known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic")).withColumn("_h", F.xxhash64("doc_id"))
     chosen = [r for y in (0, 1) for r in known.filter(F.col("toxic") == y).orderBy("_h", "doc_id").limit(per_label).collect()]
     if not chosen:
         return None
-    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int").dropDuplicates(["doc_id"])
+    ids = docs.sparkSession.createDataFrame([(r["doc_id"], r["toxic"]) for r in chosen], "doc_id long, toxic int")
     texts = docs.select("doc_id", "text", "lang").join(F.broadcast(ids), "doc_id")
-    got = texts.select("doc_id", "text", "toxic", "lang").collect()
+    got = texts.groupBy("doc_id", "toxic").agg(F.min(F.struct("text", "lang")).alias("row")).select("doc_id", "row.text", "toxic", "row.lang").collect()
     got.sort(key=lambda r: (r["doc_id"], r["text"] or ""))
     return train([(r["text"] or "", r["toxic"], r["lang"]) for r in got])
 
