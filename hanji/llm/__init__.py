@@ -1,4 +1,4 @@
-"""Corpus preparation for language-model training: ten operators and their registered queries.
+"""Corpus preparation for language-model training: thirteen operators and their registered queries.
 
 Nothing outside this package imports it; see ``registry.py`` for the queries and their SQL.
 """

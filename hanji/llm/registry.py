@@ -16,6 +16,7 @@ from hanji.llm.packing import op8_best_fit_packing
 from hanji.llm.quality_rules import OP5_SQL, op5_quality_cascade
 from hanji.llm.toxicity import op7_toxicity
 from hanji.llm.url_filter import op9_url_filter
+from hanji.llm.warc import OP13_SQL, op13_warc_salvage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_audio_fingerprint": op1_audio_fingerprint,
@@ -28,10 +29,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op13_warc_salvage": op13_warc_salvage,
 }
 ORACLES: dict[str, str] = {
     "op2_chat_format": OP2_SQL,
     "op4_mix_sources": OP4_SQL,
     "op5_quality_cascade": OP5_SQL,
     "op6_minhash_dedup": OP6_SQL,
+    "op13_warc_salvage": OP13_SQL,
 }
