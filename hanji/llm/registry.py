@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from hanji.llm.audio_fingerprint import op1_audio_fingerprint
+from hanji.llm.centroid_cluster import OP11_SQL, op11_centroid_cluster
 from hanji.llm.chat_format import OP2_SQL, op2_chat_format
 from hanji.llm.html_extract import op10_html_extract
 from hanji.llm.lang_id import op3_language_id
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
+    "op11_centroid_cluster": op11_centroid_cluster,
     "op13_warc_salvage": op13_warc_salvage,
 }
 ORACLES: dict[str, str] = {
@@ -36,5 +38,6 @@ ORACLES: dict[str, str] = {
     "op4_mix_sources": OP4_SQL,
     "op5_quality_cascade": OP5_SQL,
     "op6_minhash_dedup": OP6_SQL,
+    "op11_centroid_cluster": OP11_SQL,
     "op13_warc_salvage": OP13_SQL,
 }
