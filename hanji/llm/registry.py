@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from hanji.llm.audio_fingerprint import op1_audio_fingerprint
 from hanji.llm.centroid_cluster import OP11_SQL, op11_centroid_cluster
 from hanji.llm.chat_format import OP2_SQL, op2_chat_format
+from hanji.llm.collocations import OP12_SQL, op12_collocations
 from hanji.llm.html_extract import op10_html_extract
 from hanji.llm.lang_id import op3_language_id
 from hanji.llm.minhash_dedup import OP6_SQL, op6_minhash_dedup
@@ -31,6 +32,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_url_filter": op9_url_filter,
     "op10_html_extract": op10_html_extract,
     "op11_centroid_cluster": op11_centroid_cluster,
+    "op12_collocations": op12_collocations,
     "op13_warc_salvage": op13_warc_salvage,
 }
 ORACLES: dict[str, str] = {
@@ -39,5 +41,6 @@ ORACLES: dict[str, str] = {
     "op5_quality_cascade": OP5_SQL,
     "op6_minhash_dedup": OP6_SQL,
     "op11_centroid_cluster": OP11_SQL,
+    "op12_collocations": OP12_SQL,
     "op13_warc_salvage": OP13_SQL,
 }
