@@ -1,6 +1,6 @@
 """Phrases whose words belong together, by word-id suffix arrays (operator 12).
 
-Tasks gather texts into shards of about a million words, number their words (per language, so that languages never
+Tasks gather texts into shards of a few megabytes, number their words (per language, so that languages never
 mix), and sort the suffixes of the shard's id sequence by numpy prefix doubling, as deep as phrases are long. Intervals
 of the suffix array whose inner common prefixes have n words or more are the shard's n-grams with their counts; those
 that would run over the end of a piece are left out. Counts are merged by language and phrase in Spark: exactly, the
@@ -34,8 +34,8 @@ from pyspark.sql import functions as F
 from hanji.llm.common import keep, read, release, settle, text_batches
 
 LONGEST, LEAST, TOP = 5, 100, 2000
-#: Words that a shard has, about; bytes of text that are numbered at once, about; rows that leave a task at once.
-SHARD_WORDS, STRETCH, ROWS = 1_000_000, 1 << 20, 50_000
+#: Bytes of text that a shard has, about, and of the stretches that very long texts are cut to; rows that leave a task at once.
+SHARD_BYTES, STRETCH, ROWS = 4 << 20, 1 << 20, 50_000
 FILTER_BITS = 1 << 26
 #: Parts in which each language's candidates are cut to the best before they meet.
 PARTS = 16
@@ -54,36 +54,36 @@ _TABLE = bytes(_TABLE)
 # Shards
 
 
-class Numbers(dict):
-    """Numbers of one language's words in a shard; 0 is the end of a piece."""
-
-    def __init__(self, shard: Shard, lang: str):
-        super().__init__({b".": 0})
-        self.shard, self.lang = shard, lang
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.shard.words)
-        self.shard.words.append(word)
-        self.shard.langs.append(self.lang)
-        return n
-
-
 class Shard:
+    """Translated texts by language, until they are numbered."""
+
     def __init__(self):
-        self.words, self.langs, self.numbers, self.parts, self.size = [b""], [None], {}, [np.zeros(1, np.int64)], 0
+        self.texts: dict[str, list[bytes]] = {}
+        self.size = 0
 
     def add(self, lang: str, stretch: bytes) -> None:
         """Append a stretch of translated text; it ends a piece."""
-        numbers = self.numbers.get(lang)
-        if numbers is None:
-            numbers = self.numbers[lang] = Numbers(self, lang)
-        ids = list(map(numbers.__getitem__, stretch.replace(b".", b" . ").split()))
-        ids.append(0)
-        self.parts.append(np.array(ids, np.int64))
-        self.size += len(ids)
-
-    def sequence(self) -> np.ndarray:
-        return np.concatenate(self.parts)
+        self.texts.setdefault(lang, []).append(stretch)
+        self.size += len(stretch) + 1
+
+    def numbered(self) -> tuple[np.ndarray, pa.Array, pa.Array]:
+        """The word ids of all texts, 0 at the ends of pieces, and each id's word and language."""
+        ids, words, langs, known = [np.zeros(1, np.int64)], [pa.array([b""], pa.binary())], [pa.array([None], pa.string())], 1
+        for lang, texts in self.texts.items():
+            data = np.frombuffer(b".".join((*texts, b"")), np.uint8)
+            end, word = data == 46, data != 32
+            # Where a word or a mark begins: after a blank or a mark, or at one.
+            begins = word & np.concatenate(([True], end[:-1] | ~word[:-1])) | end
+            starts = np.append(np.flatnonzero(begins[word]), np.count_nonzero(word)).astype(np.int32)
+            values = pa.Array.from_buffers(pa.binary(), len(starts) - 1, [None, pa.py_buffer(starts), pa.py_buffer(data[word])])
+            coded = values.dictionary_encode()
+            number = np.arange(known, known + len(coded.dictionary))
+            number[coded.dictionary.index(b".").as_py()] = 0
+            ids.append(number[coded.indices.to_numpy()])
+            words.append(coded.dictionary)
+            langs.append(pa.repeat(pa.scalar(lang, pa.string()), len(coded.dictionary)))
+            known += len(coded.dictionary)
+        return np.concatenate(ids), pa.concat_arrays(words), pa.concat_arrays(langs)
 
 
 def stretches(text: bytes) -> Iterator[bytes]:
@@ -115,23 +115,21 @@ def _later(rank: np.ndarray, by: int) -> np.ndarray:
 def suffix_array(s: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Places in the order of the ``depth`` words from there, and how many of them each place shares with the one before.
 
-    Ranks by the first h words give ranks by the first 2h; the last step joins two overlapping runs, so that the order
+    Ranks by the first h words give ranks by the first 2h; the last step joins two runs that may overlap, so that the order
     is by ``depth`` words exactly.
     """
     ranks, h = {1: s}, 1
-    while 2 * h <= depth:
+    while 2 * h < depth:
         rank = ranks[h]
         ranks[2 * h] = _dense(rank * (int(rank.max(initial=0)) + 1) + _later(rank, h))
         h *= 2
     rank = ranks[h]
-    keys = rank * (int(rank.max(initial=0)) + 1) + _later(rank, depth - h) if depth > h else rank
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(rank * (int(rank.max(initial=0)) + 1) + _later(rank, depth - h) if depth > h else rank)
     a, b = order[:-1], order[1:]
     common = np.zeros(max(0, len(order) - 1), np.int64)
-    while h:
-        padded = np.concatenate((ranks[h], np.full(depth, -1, np.int64)))
-        common += h * (padded[a + np.minimum(common, depth)] == padded[b + np.minimum(common, depth)])
-        h //= 2
+    for step in (h, *sorted(ranks, reverse=True)):
+        padded = np.concatenate((ranks[step], np.full(4 * depth, -1, np.int64)))
+        common += step * (padded[a + common] == padded[b + common])
     return order, np.concatenate((np.zeros(min(1, len(order)), np.int64), np.minimum(common, depth)))
 
 
@@ -156,10 +154,13 @@ def grams(s: np.ndarray, least: int, most: int) -> Iterator[tuple[int, np.ndarra
 
 def chains(s: np.ndarray, frequent: Callable[[np.ndarray], np.ndarray]) -> np.ndarray:
     """The stretches of three words and more all of whose pairs are frequent, as pieces. ``frequent`` judges places of pairs."""
-    places = np.flatnonzero(reach(s) >= 2)
-    keys, first, which = np.unique(s[places] * (int(s.max(initial=0)) + 1) + s[places + 1], return_index=True, return_inverse=True)
     good = np.zeros(len(s) + 1, bool)
-    good[places] = frequent(places[first])[which.reshape(-1)] if len(keys) else False
+    places = np.flatnonzero((s[:-1] > 0) & (s[1:] > 0))
+    if len(places):
+        keys = s[places] * (int(s.max()) + 1) + s[places + 1]
+        order = np.argsort(keys)
+        first = np.flatnonzero(np.diff(keys[order], prepend=-1))
+        good[places[order]] = np.repeat(frequent(places[order[first]]), np.diff(np.append(first, len(order))))
     three = good[:-1] & good[1:]
     kept = three.copy()
     kept[1:] |= three[:-1]
@@ -179,7 +180,7 @@ def _phrases(words: pa.Array, s: np.ndarray, places: np.ndarray, n: int) -> pa.A
     return pc.binary_join_element_wise(*[words.take(pa.array(s[places + i])) for i in range(n)], blank) if n > 1 else words.take(pa.array(s[places]))
 
 
-def counted(docs: DataFrame, *, text: str, lang: str, frequent: np.ndarray | None = None, shard_words: int = SHARD_WORDS, longest: int = LONGEST) -> DataFrame:
+def counted(docs: DataFrame, *, text: str, lang: str, frequent: np.ndarray | None = None, shard_bytes: int = SHARD_BYTES, longest: int = LONGEST) -> DataFrame:
     """(lang, phrase, n, f) of shards: of words and pairs, or, given the table of frequent pairs, of longer phrases.
 
     Without a table, a row without phrase has the number of all words of its language in the shard.
@@ -189,21 +190,19 @@ def counted(docs: DataFrame, *, text: str, lang: str, frequent: np.ndarray | Non
     names = [c.split()[0] for c in COUNTS.split(", ")]
 
     def count(shard: Shard) -> Iterator[pa.RecordBatch]:
-        s = shard.sequence()
-        words, langs = pa.array(shard.words, pa.binary()).cast(pa.string()), pa.array(shard.langs, pa.string())
-        out = lambda *columns: pa.RecordBatch.from_arrays([pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=names)
+        s, raw, langs = shard.numbered()
+        shard.texts.clear()
+        words = raw.cast(pa.string())
+        out = lambda *columns: pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], names=names)
         if held is None:
-            owner = np.unique(langs.fill_null("").to_numpy(zero_copy_only=False), return_inverse=True)
-            totals = np.bincount(owner[1].reshape(-1)[s[s > 0]], minlength=len(owner[0]))
-            some = np.flatnonzero(totals)
-            yield out(list(owner[0][some]), [None] * len(some), [0] * len(some), totals[some])
+            each = pc.value_counts(langs.take(pa.array(s[s > 0])))
+            yield out(each.field("values"), pa.nulls(len(each), pa.string()), np.zeros(len(each), np.int32), each.field("counts"))
             found = grams(s, 1, 2)
         else:
-            table, raw = held.value, words.cast(pa.binary())
+            table, hashes = held.value, [np.fromiter(map(zlib.crc32, x.to_pylist()), np.int64, len(x)) for x in (langs.cast(pa.binary()).fill_null(b""), raw)]
 
             def judge(places: np.ndarray) -> np.ndarray:
-                pairs = zip(langs.take(pa.array(s[places])).to_pylist(), _phrases(raw, s, places, 2).to_pylist(), strict=True)
-                bits = np.fromiter((zlib.crc32(b"%b %b" % (name.encode(), pair)) for name, pair in pairs), np.int64, len(places)) % (len(table) * 64)
+                bits = pair_bits(hashes[0][s[places]], hashes[1][s[places]], hashes[1][s[places + 1]], len(table) * 64)
                 return (table[bits >> 6] >> (bits & 63).astype(np.uint64) & np.uint64(1)).astype(bool)
 
             s = chains(s, judge)
@@ -219,7 +218,7 @@ def counted(docs: DataFrame, *, text: str, lang: str, frequent: np.ndarray | Non
             for name, body in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 for stretch in stretches(body):
                     shard.add(name, stretch)
-                    if shard.size >= shard_words:
+                    if shard.size >= shard_bytes:
                         yield from count(shard)
                         shard = Shard()
         if shard.size:
@@ -230,25 +229,31 @@ def counted(docs: DataFrame, *, text: str, lang: str, frequent: np.ndarray | Non
     return chosen.filter("text IS NOT NULL").mapInArrow(work, COUNTS)
 
 
+def pair_bits(lang, first, second, bits: int):
+    """The bit of a pair of words, from the CRC-32 of language and words: numbers in numpy or in Spark."""
+    return (lang + 7919 * first + 104_729 * second) % bits
+
+
 def bit_table(pairs: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     """One bit for each hash of (lang, phrase): the bits are gathered in Spark; what returns has a fixed size."""
-    bit = F.crc32(F.concat_ws(" ", "lang", "phrase").cast("binary")) % bits
+    words = F.split("phrase", " ")
+    bit = pair_bits(*[F.crc32(x.cast("binary")) for x in (F.col("lang"), words[0], words[1])], bits)
     got = pairs.select(bit.alias("bit")).selectExpr("cast(bit div 64 as int) AS at", "shiftleft(1L, cast(bit % 64 as int)) AS word").groupBy("at").agg(F.bit_or("word").alias("word")).toArrow()
     table = np.zeros(bits // 64, np.uint64)
     table[got["at"].to_numpy()] = got["word"].to_numpy().view(np.uint64)
     return table
 
 
-def frequencies(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shard_words: int = SHARD_WORDS, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
+def frequencies(docs: DataFrame, *, text: str = "text", lang: str = "lang", least: int = LEAST, longest: int = LONGEST, shard_bytes: int = SHARD_BYTES, bits: int = FILTER_BITS) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, n, f) of all phrases of 1 to ``longest`` words that occur ``least`` times, and (lang, total) words."""
 
     def merged(counts: DataFrame) -> DataFrame:
         return settle(counts.groupBy("lang", "phrase", "n").agg(F.sum("f").alias("f")).filter(F.col("phrase").isNull() | (F.col("f") >= least)))
 
-    short = merged(counted(docs, text=text, lang=lang, shard_words=shard_words))
+    short = merged(counted(docs, text=text, lang=lang, shard_bytes=shard_bytes))
     totals = keep(short.filter("phrase IS NULL").select("lang", F.col("f").alias("total")))
     short = short.filter("phrase IS NOT NULL")
-    long = merged(counted(docs, text=text, lang=lang, frequent=bit_table(short.filter("n = 2"), bits), shard_words=shard_words, longest=longest))
+    long = merged(counted(docs, text=text, lang=lang, frequent=bit_table(short.filter("n = 2"), bits), shard_bytes=shard_bytes, longest=longest))
     return short.unionByName(long), totals
 
 

@@ -93,7 +93,7 @@ def test_phrases_equal_model(spark, bits, shard, least, top, monkeypatch):
     docs = spark.createDataFrame([(i % 5 or None, t, lang) for i, (lang, t) in enumerate(rows)], "doc_id long, text string, lang string")
     docs = docs.withColumns({c: F.lit("clash") for c in ("phrase", "n", "f", "part", "rank", "total")})
     monkeypatch.setattr(co, "STRETCH", 700)
-    got = co.collocations(docs.repartition(3), least=least, top=top, shard_words=shard, bits=bits).collect()
+    got = co.collocations(docs.repartition(3), least=least, top=top, shard_bytes=shard, bits=bits).collect()
     assert sorted(tuple(r) for r in got) == model(rows, least, top)
     assert co.collocations(docs.limit(0)).count() == 0
 
