@@ -1,9 +1,10 @@
 """The inverted index as ordinary tables, and BM25 over it.
 
-``postings`` (term, doc_id, tf, dl), ``doc_stats`` (doc_id, dl), ``term_stats`` (term, df, idf) and the one-row
-``corpus_stats`` (n, avgdl). A query touches only the postings of its terms: they are pushed down to the scan as a list
-of literals, and partitioned tables are pruned by the term's bucket. Postings carry their document's length, so that a
-score needs no join with documents.
+``postings`` (term, doc_id, tf, dl, weight), ``doc_stats`` (doc_id, dl), ``term_stats`` (term, df, idf) and the one-row
+``corpus_stats`` (n, avgdl). Statistics are known when an index is built, so a posting carries its whole part of a score,
+and a query is one scan and one sum. It touches only the postings of its terms: they are pushed down to the scan as a
+list of literals, stored tables are pruned by the term's bucket, and cached ones by the ranges of terms they lie in.
+:mod:`hanji.operators.segments` is the index for collections that change.
 """
 
 from __future__ import annotations
@@ -38,7 +39,9 @@ class Index:
         return cls(*[spark.read.parquet(f"{path}/{name}") for name in ("postings", "doc_stats", "term_stats", "corpus_stats")])
 
     def persist(self) -> Index:
-        return Index(*[t.persist() for t in (self.postings, self.doc_stats, self.term_stats, self.corpus_stats)])
+        """Cache all tables; postings in ranges of terms, so that a search skips most of their batches."""
+        ranged = self.postings.repartitionByRange("term").sortWithinPartitions("term", "doc_id")
+        return Index(*[t.persist() for t in (ranged, self.doc_stats, self.term_stats, self.corpus_stats)])
 
 
 def term_frequencies(docs: DataFrame) -> DataFrame:
@@ -71,8 +74,11 @@ def build(docs: DataFrame) -> Index:
     corpus = corpus_statistics(lengths)
     tokens = docs.select("doc_id", tokenize("text").alias("tokens"))
     exploded = tokens.select("doc_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))
-    postings = exploded.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf")).select("term", "doc_id", "tf", "dl")
-    return Index(postings, lengths, term_statistics(postings, corpus), corpus)
+    counted = exploded.groupBy("doc_id", "term", "dl").agg(F.count("*").alias("tf"))
+    terms = term_statistics(counted, corpus)
+    part = weight(F.col("tf"), F.col("dl"), F.col("avgdl"), F.col("idf")).alias("weight")
+    postings = counted.join(terms.select("term", "idf"), "term").crossJoin(F.broadcast(corpus.select("avgdl"))).select("term", "doc_id", "tf", "dl", part)
+    return Index(postings, lengths, terms, corpus)
 
 
 def weight(tf, dl, avgdl, idf_, k1=config.BM25_K1, b=config.BM25_B):
@@ -88,13 +94,7 @@ def search(index: Index, terms: list[str]) -> DataFrame:
     if "bucket" in index.postings.columns:
         # Folded to literals, so that partitions are pruned before the scan.
         found = found.filter(F.col("bucket").isin([F.pmod(F.xxhash64(F.lit(t)), F.lit(BUCKETS)).cast("int") for t in wanted]))
-    # The statistics of at most len(wanted) terms and of the corpus are read first and become literals.
-    stats = index.term_stats.filter(F.col("term").isin(wanted)).select("term", "idf").crossJoin(F.broadcast(index.corpus_stats)).collect()
-    if not stats:
-        return index.doc_stats.select("doc_id", F.lit(0.0).alias("score")).limit(0)
-    idf_ = F.element_at(F.create_map(*[F.lit(v) for r in stats for v in (r["term"], r["idf"])]), F.col("term"))
-    scored = found.filter(F.col("term").isin([r["term"] for r in stats])).select("doc_id", weight(F.col("tf"), F.col("dl"), F.lit(stats[0]["avgdl"]), idf_).alias("part"))
-    return scored.groupBy("doc_id").agg(F.sum("part").alias("score"))
+    return found.groupBy("doc_id").agg(F.sum("weight").alias("score"))
 
 
 def _is(term: str):

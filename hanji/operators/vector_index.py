@@ -35,9 +35,11 @@ from hanji.sources.versions import Versions
 
 #: Vectors that training reads, about, and cells at most: both bound what the driver and a training task hold.
 SAMPLE, MOST_CELLS = 65_536, 4096
-PARTS, CODES = 8, 256
+PARTS, CODES = 16, 256
 #: Queries of a block, and rows of a pack of codes, that meet in a task at once.
 BLOCK, PACK = 256, 8192
+#: Candidates for each result that is asked for; vectors whose neighbours say how many cells to probe.
+CANDIDATES, TRIAL = 20, 200
 #: Rebuilding is due when the index has grown by this factor since it was trained.
 GROWTH = 4
 
@@ -247,6 +249,25 @@ class VectorIndex:
         far = np.sqrt(_gaps(np.asarray([query], float), self.model.centers)[0])
         return sorted((float(far[c]), c) for c in self._radius())
 
+    def probes_for(self, recall: float, k: int = 10, trial: int = TRIAL) -> int:
+        """How many cells to probe so that they hold this share of the k nearest, judged on about ``trial`` stored vectors.
+
+        How many it takes depends on the data: few where vectors lie in clusters, most of them where they are random.
+        """
+        rows = self.vectors().select(F.xxhash64("load", "row").alias("doc_id"), "embedding", "cell")
+        total = sum(v["rows"] - v["gone"] for v in self.loads.values())
+        if not total:
+            return 1
+        tried = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) <= int(min(1.0, trial / total) * (1 << 30))).select(F.col("doc_id").alias("query_id"), "embedding")
+        near = nearest_many(tried, rows.select("doc_id", "embedding"), k, size=self.state["size"])
+        got = near.join(rows.select("doc_id", "cell"), "doc_id").join(tried, "query_id").select("embedding", "cell").collect()
+        if not got:
+            return len(self._radius())
+        known = np.array(sorted(self._radius()))
+        place = np.argsort(np.argsort(_gaps(np.array([r["embedding"] for r in got], float), self.model.centers[known]), axis=1, kind="stable"), axis=1)
+        needed = np.sort(place[np.arange(len(got)), np.searchsorted(known, [r["cell"] for r in got])]) + 1
+        return int(needed[min(len(needed), ceil(recall * len(needed))) - 1])
+
     def search(self, query: list[float], k: int, *, nprobe: int = 8, candidates: int | None = None) -> DataFrame:
         """(doc_id, distance) of about the k nearest: codes of ``nprobe`` cells, then exact squared distances of the best candidates."""
         if not self.loads:
@@ -257,7 +278,7 @@ class VectorIndex:
         inner = sum((F.get(F.lit(t[0].tolist()), F.col(f"c{j}").cast("int")) for j, t in enumerate(table)), F.lit(0.0))
         probed = F.col("cell").isin([c for _, c in near])
         coded = self._codes().filter(probed).select("load", "row", "doc_id", (F.element_at(known, F.col("cell")) + F.col("bias") - 2 * inner).alias("about"))
-        best = coded.orderBy("about", "doc_id").limit(candidates or 10 * k).select("load", "row")
+        best = coded.orderBy("about", "doc_id").limit(candidates or CANDIDATES * k).select("load", "row")
         exact = self.vectors().filter(probed).join(F.broadcast(best), ["load", "row"]).select("doc_id", squared_l2("embedding", query).alias("distance"))
         return exact.orderBy("distance", "doc_id").limit(k)
 
@@ -278,7 +299,7 @@ class VectorIndex:
         out = self.vectors().select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
         if not self.loads:
             return out.limit(0)
-        model, parts, most = self.model, self.state["parts"], candidates or 10 * k
+        model, parts, most = self.model, self.state["parts"], candidates or CANDIDATES * k
         known = np.array(sorted(self._radius()))
         asked = queries.filter(usable("embedding", self.state["size"])).select("query_id", F.col("embedding").cast("array<float>").alias("q"))
         kind = queries.schema["query_id"].dataType.simpleString()

@@ -52,6 +52,11 @@ def test_approximate_search_prunes_partitions_and_recalls(built, spark):
     assert {r["c"] for r in codes.select(F.regexp_extract("_metadata.file_path", "cell=(\\d+)", 1).cast("int").alias("c")).distinct().collect()} <= set(near)
 
 
+def test_probes_suit_the_data(built):
+    few, most = built.probes_for(0.5), built.probes_for(0.99)
+    assert 1 <= few <= most <= 10
+
+
 def test_many_queries_equal_single_ones_and_recall(built, spark):
     asked = spark.createDataFrame(rows(range(0, 1500, 20)), "query_id long, embedding array<float>")
     got = {}
