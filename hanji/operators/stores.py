@@ -166,17 +166,25 @@ def page(rows: DataFrame, order: list[str], number: int, size: int) -> tuple[Dat
 # Exports
 
 
-def export_text(hits: DataFrame) -> DataFrame:
-    """One line block per hit in rank order, joined."""
-    block = F.format_string("[%d] %s (%d%%)\n%s\n", F.col("rank"), F.col("source"), F.floor(F.col("score") * 100 + 0.5).cast("int"), F.col("text"))
-    return hits.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n").alias("export"))
+def _joined(hits: DataFrame, block, by: list[str] | None) -> DataFrame:
+    """The blocks of each result list in rank order, as one text."""
+    blocks = F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"])
+    return hits.groupBy(*(by or [])).agg(F.array_join(blocks, "\n").alias("export"))
 
 
-def export_markdown(hits: DataFrame) -> DataFrame:
-    block = F.format_string("## %d. %s (%d%%)\n\n%s\n", F.col("rank"), F.col("source"), F.floor(F.col("score") * 100 + 0.5).cast("int"), F.col("text"))
-    return hits.groupBy().agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("rank", block.alias("b")))), lambda x: x["b"]), "\n").alias("export"))
+def _percent():
+    return F.floor(F.col("score") * 100 + 0.5).cast("int")
 
 
-def export_json(hits: DataFrame) -> DataFrame:
-    item = F.struct("rank", "source", F.floor(F.col("score") * 100 + 0.5).cast("int").alias("score"), F.col("text").alias("content"))
-    return hits.groupBy().agg(F.to_json(F.sort_array(F.collect_list(item))).alias("export"))
+def export_text(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """A row for each result list in ``by``; without it, all hits are one list."""
+    return _joined(hits, F.format_string("[%d] %s (%d%%)\n%s\n", F.col("rank"), F.col("source"), _percent(), F.col("text")), by)
+
+
+def export_markdown(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    return _joined(hits, F.format_string("## %d. %s (%d%%)\n\n%s\n", F.col("rank"), F.col("source"), _percent(), F.col("text")), by)
+
+
+def export_json(hits: DataFrame, by: list[str] | None = None) -> DataFrame:
+    item = F.struct("rank", "source", _percent().alias("score"), F.col("text").alias("content"))
+    return hits.groupBy(*(by or [])).agg(F.to_json(F.sort_array(F.collect_list(item))).alias("export"))

@@ -26,4 +26,4 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-from hanji.plans import queries_index, queries_more, queries_search, queries_store, queries_text  # noqa: E402, F401
+from hanji.plans import queries_index, queries_more, queries_regulations, queries_search, queries_store, queries_text  # noqa: E402, F401

@@ -4,8 +4,6 @@ from __future__ import annotations
 
 import io
 import json
-import tempfile
-import uuid
 import zipfile
 
 from pyspark.sql import Window
@@ -15,17 +13,13 @@ from hanji.functions import korean
 from hanji.functions import text as T
 from hanji.operators import boolean, chunking, grounding, index, retrieve, stores
 from hanji.plans.catalogue import query, table
+from hanji.sources.versions import own_folder
 
 
 def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-def _space(spark) -> str:
-    base = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hanji-")).rstrip("/")
-    return f"{base}/query-{uuid.uuid4().hex}"
-
-
 def _archive() -> bytes:
     out = io.BytesIO()
     with zipfile.ZipFile(out, "w") as z:
@@ -48,19 +42,25 @@ def agg29_zip_totals(spark, sf):
     return archive_totals(archive_members(spark.createDataFrame([("z.zip", bytearray(_archive()))], "path string, content binary")))
 
 
-@query("src01_folder_scan", "SELECT 'region.parquet' AS name WHERE false")
+@query("src01_folder_scan", "SELECT source, count(*)::BIGINT AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) GROUP BY source")
 def src01_folder_scan(spark, sf):
+    """Documents written as text files, a folder a source, among files of other kinds; scanned, filtered by ending, and read."""
     from hanji.sources.files import folder
 
-    return folder(spark, sf).select("name")
+    path = own_folder(spark)
+    rows = _docs(spark, sf).filter("text IS NOT NULL AND source IS NOT NULL")
+    rows.select("source", "text").write.partitionBy("source").text(f"{path}/texts")
+    rows.select("doc_id").write.json(f"{path}/others")
+    found = folder(spark, path).select(F.regexp_extract("path", "source=([^/]+)/", 1).alias("source"), F.split(F.regexp_replace(F.col("content").cast("string"), r"\n\z", ""), "\n").alias("lines"))
+    return found.select("source", F.explode("lines").alias("line")).groupBy("source").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("n_chars"))
 
 
 @query("src16_index_cache", f"SELECT doc_id, len(regexp_extract_all(lower(text), '{T.TOKEN}'))::BIGINT AS dl FROM documents")
 def src16_index_cache(spark, sf):
     from hanji.sources.files import save_manifest, usable_manifest
 
-    path, made = _space(spark), {"model": "hash", "chunk_size": 800}
-    index.build(_docs(spark, sf).filter("doc_id >= 0")).save(path)
+    path, made = own_folder(spark), {"model": "hash", "chunk_size": 800}
+    index.build(_docs(spark, sf)).save(path)
     save_manifest(spark, f"{path}/manifest", made)
     if not usable_manifest(spark, f"{path}/manifest", made) or usable_manifest(spark, f"{path}/manifest", made | {"chunk_size": 500}):
         raise AssertionError("the manifest does not tell settings apart")
@@ -69,7 +69,7 @@ def src16_index_cache(spark, sf):
 
 @query("snk01_index_search", "SELECT count(*)::BIGINT AS n FROM documents WHERE len(list_filter(regexp_extract_all(lower(text), '[0-9A-Za-z가-힣_]{2,}'), lambda t: t IN ('licensed', 'erin'))) > 0")
 def snk01_index_search(spark, sf):
-    path = _space(spark)
+    path = own_folder(spark)
     index.build(_docs(spark, sf)).save(path)
     return index.search(index.Index.load(spark, path), ["licensed", "erin"]).agg(F.count("*").alias("n"))
 
@@ -83,48 +83,29 @@ def src17_integrity(spark, sf):
     return damaged(integrity(changed), integrity(rows))
 
 
-@query("src18_file_stats", "SELECT * FROM (VALUES ('/d/a.TXT', 'a.TXT', '.txt', 5::BIGINT, '대기', 0::INT), ('/d/b.hwp', 'b.hwp', '.hwp', 0::BIGINT, '완료', 3::INT)) t(path, name, extension, size, status, chunks)")
-def src18_file_stats(spark, sf):
-    from hanji.sources.files import file_stats
-
-    path = _space(spark)
-    spark.createDataFrame([(json.dumps({"path": "/d/a.TXT", "size": 5}),), (json.dumps({"path": "/d/b.hwp", "status": "완료", "chunks": 3}),)], "j string").write.text(path)
-    return file_stats(spark, path).select("path", "name", "extension", "size", "status", "chunks")
-
-
-@query("src22_goldens", "SELECT * FROM (VALUES (0, '제 27 조', 5, true, '인사'), (1, '휴가', 3, true, NULL)) t(query_id, query, k, hybrid, source_contains)")
-def src22_goldens(spark, sf):
-    from hanji.sources.files import goldens
+_PAGES = "(SELECT doc_id // 40 AS page, doc_id % 101 AS percent, coalesce(source, 'x') AS source, doc_id, row_number() OVER (PARTITION BY doc_id // 40 ORDER BY doc_id) AS r FROM documents)"
 
-    path = _space(spark)
-    data = {"defaults": {"k": 5, "hybrid": True}, "queries": [{"query": "제 27 조", "expected": {"source_contains": "인사"}}, {"query": "휴가", "k": 3, "expected": {}}]}
-    spark.createDataFrame([(json.dumps(data, ensure_ascii=False),)], "j string").coalesce(1).write.text(path)
-    return goldens(spark, path).select("query_id", "query", "k", "hybrid", F.col("expected")["source_contains"].alias("source_contains"))
 
+def _result_pages(spark, sf):
+    """All documents as the ranked results of searches with forty hits."""
+    page = F.floor(F.col("doc_id") / 40).alias("page")
+    rows = _docs(spark, sf).select(page, F.coalesce("source", F.lit("x")).alias("source"), ((F.col("doc_id") % 101) / 100.0).alias("score"), F.col("doc_id").cast("string").alias("text"), "doc_id")
+    return rows.withColumn("rank", F.row_number().over(Window.partitionBy("page").orderBy("doc_id")))
 
-@query("src20_settings", "SELECT 8 AS top_k, 2 AS rerank_top_k, 0.5::DOUBLE AS min_confidence")
-def src20_settings(spark, sf):
-    from hanji import config
 
-    s = config.settings_from(config.merged({"retrieval": {"top_k": 8, "rerank_top_k": 4}}, {"retrieval": {"rerank_top_k": 2}, "guardrails": {"min_confidence": 0.5}}))
-    return spark.createDataFrame([(s.retrieval.top_k, s.retrieval.rerank_top_k, s.guard.min_confidence)], "top_k int, rerank_top_k int, min_confidence double")
-
-
-@query(
-    "snk06_export_json",
-    """SELECT '[' || string_agg('{"rank":' || r || ',"source":"' || source || '","score":' || (doc_id % 101) || ',"content":"' || doc_id || '"}', ',' ORDER BY r) || ']' AS export FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 5)""",
-)
+@query("snk06_export_json", f"""SELECT page, '[' || string_agg('{{"rank":' || r || ',"source":"' || source || '","score":' || percent || ',"content":"' || doc_id || '"}}', ',' ORDER BY r) || ']' AS export FROM {_PAGES} GROUP BY page""")
 def snk06_export_json(spark, sf):
-    first = _docs(spark, sf).orderBy("doc_id").limit(5)
-    hits = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "source", ((F.col("doc_id") % 101) / 100.0).alias("score"), F.col("doc_id").cast("string").alias("text"))
-    return stores.export_json(hits)
+    return stores.export_json(_result_pages(spark, sf), by=["page"])
 
 
-@query("snk06_export_markdown", "SELECT string_agg('## ' || r || '. ' || source || ' (' || (doc_id % 101) || '%)' || chr(10) || chr(10) || text || chr(10), chr(10) ORDER BY r) AS export FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 5)")
+@query("snk06_export_markdown", f"SELECT page, string_agg('## ' || r || '. ' || source || ' (' || percent || '%)' || chr(10) || chr(10) || doc_id || chr(10), chr(10) ORDER BY r) AS export FROM {_PAGES} GROUP BY page")
 def snk06_export_markdown(spark, sf):
-    first = _docs(spark, sf).orderBy("doc_id").limit(5)
-    hits = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "source", ((F.col("doc_id") % 101) / 100.0).alias("score"), "text")
-    return stores.export_markdown(hits)
+    return stores.export_markdown(_result_pages(spark, sf), by=["page"])
+
+
+@query("snk06_export_text", f"SELECT page, string_agg('[' || r || '] ' || source || ' (' || percent || '%)' || chr(10) || doc_id || chr(10), chr(10) ORDER BY r) AS export FROM {_PAGES} GROUP BY page")
+def snk06_export_text(spark, sf):
+    return stores.export_text(_result_pages(spark, sf), by=["page"])
 
 
 @query("snk08_conversation_json", "SELECT conv_id, count(*)::BIGINT AS n, min(turn) AS first_turn FROM conversations GROUP BY conv_id")
@@ -168,16 +149,6 @@ def agg24_diff_counts(spark, sf):
     return rows.select("id", diff_udf("a", "b").alias("d")).select("id", "d.added", "d.removed", "d.total")
 
 
-@query("agg26_mean_pooling", "SELECT 0.8::DOUBLE AS x, 0.6::DOUBLE AS y")
-def agg26_mean_pooling(spark, sf):
-    import numpy as np
-
-    from hanji.plans.engine import mean_pooled
-
-    got = mean_pooled(np.array([[[4.0, 3.0], [4.0, 3.0], [9.0, 9.0]]]), np.array([[1, 1, 0]]))[0]
-    return spark.createDataFrame([(round(float(got[0]), 6), round(float(got[1]), 6))], "x double, y double")
-
-
 @query("win08_first_occurrence", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def win08_first_occurrence(spark, sf):
     return _docs(spark, sf).select("doc_id", F.sha2("text", 256).alias("h")).groupBy("h").agg(F.min("doc_id").alias("doc_id")).select("doc_id")
@@ -188,12 +159,6 @@ def top07_recent_limit(spark, sf):
     return table(spark, sf, "events").select("event_id", "ts").orderBy(F.col("ts").desc(), "event_id").limit(25)
 
 
-@query("top09_variant_cap", "SELECT doc_id, len(list_distinct(list_transform(string_split(text, ' '), lambda w: lower(trim(w))))) > 6 AS cut, least(6, len(list_distinct(list_transform(string_split(text, ' '), lambda w: lower(trim(w))))))::INT AS n FROM documents")
-def top09_variant_cap(spark, sf):
-    words = F.array_distinct(F.transform(F.split("text", " "), lambda w: F.lower(F.trim(w))))
-    return _docs(spark, sf).select("doc_id", (F.size(words) > 6).alias("cut"), F.size(F.slice(words, 1, 6)).alias("n"))
-
-
 @query("top10_k_clamp", "SELECT event_id, greatest(1, least(event_id - 5, 10))::BIGINT AS k FROM events")
 def top10_k_clamp(spark, sf):
     return table(spark, sf, "events").select("event_id", F.greatest(F.lit(1), F.least(F.col("event_id") - 5, F.lit(10))).cast("long").alias("k"))
@@ -205,33 +170,10 @@ def set01_union_distinct(spark, sf):
     return words.groupBy("conv_id").agg(F.size(F.array_distinct(F.flatten(F.collect_list("w")))).alias("n"))
 
 
-@query("set02_chunk_kinds", "SELECT * FROM (VALUES ('table', 1::BIGINT), ('supplementary', 1::BIGINT), ('article', 2::BIGINT)) t(chunk_type, n)")
-def set02_chunk_kinds(spark, sf):
-    text = "제1조(목적) 하나\n제2조(적용) 둘\n부칙\n시행한다.\n| 항목 | 값 |\n| --- | --- |\n| 연차 | 15일 |"
-    rows = spark.createDataFrame([(text,)], "text string").select(F.explode(chunking.structured_chunks(F.col("text"))).alias("c"))
-    return rows.groupBy("c.chunk_type").agg(F.count("*").alias("n"))
-
-
 @query("set03_evidence_union", r"SELECT count(DISTINCT w)::BIGINT AS n FROM (SELECT unnest(string_split_regex(lower(text), '\s+')) AS w FROM benchmark UNION ALL SELECT lower(regexp_replace(text, '\s+', '', 'g')) FROM benchmark) WHERE w <> ''")
 def set03_evidence_union(spark, sf):
-    return table(spark, sf, "benchmark").agg(F.collect_list("text").alias("e")).select(F.size(grounding.evidence_tokens(F.col("e"))).cast("long").alias("n"))
-
-
-@query("sf08_compact_form", "SELECT * FROM (VALUES (1, '제27조연차'), (2, '3000만원')) t(id, form)")
-def sf08_compact_form(spark, sf):
-    rows = spark.createDataFrame([(1, "제 27 조 (연차)!"), (2, "3 천만 원.")], "id int, q string")
-    return rows.select("id", korean.compact_form_udf("q").alias("form"))
-
-
-@query("sf11_synonyms", "SELECT * FROM (VALUES (1, true), (2, true)) t(id, found)")
-def sf11_synonyms(spark, sf):
-    rows = spark.createDataFrame([(1, "최소 소요 기간", "최저소요연수"), (2, "직급별 수당", "직급 수당")], "id int, q string, want string")
-    return rows.select("id", F.exists(korean.variants_udf("q"), lambda v: v == F.col("want")).alias("found"))
-
-
-@query("sf13_index_text", "SELECT 1 AS id, true AS found")
-def sf13_index_text(spark, sf):
-    return spark.createDataFrame([(1, "제27조" in korean.index_text("제 27 조", "연차 휴가"))], "id int, found boolean")
+    tokens = table(spark, sf, "benchmark").select(F.explode(grounding.evidence_tokens(F.array("text"))).alias("w"))
+    return tokens.distinct().agg(F.count("*").alias("n"))
 
 
 @query("sf27_relative_key", "SELECT page_id, regexp_replace(url, '^https?://', '') AS key FROM pages")
@@ -239,29 +181,11 @@ def sf27_relative_key(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.regexp_replace("url", "^https?://", "").alias("key"))
 
 
-@query("sf32_inline_changes", "SELECT 'a<del>b</del>c' AS one, 'a<ins>x</ins>c' AS two")
-def sf32_inline_changes(spark, sf):
-    from hanji.functions.diff import inline_changes
-
-    return spark.createDataFrame([inline_changes("abc", "axc")], "one string, two string")
-
-
 @query("sf40_prompt", "SELECT doc_id, '다음은 사내 규정 발췌 내용입니다.' || chr(10) || chr(10) || source || chr(10) || chr(10) || '질문: ' || substr(text, 1, 4000) || chr(10) || chr(10) || '위 컨텍스트만 근거로 답변하고, 각 주장 뒤에 [번호] 인용을 붙이세요.' AS prompt FROM documents")
 def sf40_prompt(spark, sf):
     return _docs(spark, sf).select("doc_id", grounding.prompt(F.col("text"), F.col("source")).alias("prompt"))
 
 
-@query("sf42_regex_parse", "SELECT * FROM (VALUES ('a', true), ('/a+/g', true), ('/(/', false)) t(raw, valid)")
-def sf42_regex_parse(spark, sf):
-    return spark.createDataFrame([(r, T.parse_regex(r) is not None) for r in ("a", "/a+/g", "/(/")], "raw string, valid boolean")
-
-
-@query("flt07_candidates", "SELECT 'the and' AS first_literal, 4 AS n, 40 AS fetch")
-def flt07_candidates(spark, sf):
-    q = boolean.parse('"The and" erin AND tion OR licensed NOT idiot')
-    return spark.createDataFrame([(q.literals()[0], len(q.literals()), boolean.fetch_size(10))], "first_literal string, n int, fetch int")
-
-
 @query("flt08_date_range", "SELECT event_id FROM events WHERE ts BETWEEN TIMESTAMP '2024-01-10 00:00:00' AND TIMESTAMP '2024-01-12 00:00:00'")
 def flt08_date_range(spark, sf):
     return table(spark, sf, "events").filter(F.col("ts").between(F.expr("TIMESTAMP_NTZ '2024-01-10 00:00:00'"), F.expr("TIMESTAMP_NTZ '2024-01-12 00:00:00'"))).select("event_id")
@@ -280,12 +204,6 @@ def sf60_recent_window(spark, sf):
     return table(spark, sf, "events").filter(f"ts > {now} - INTERVAL 5 MINUTES AND ts <= {now}").agg(F.count("*").alias("n"))
 
 
-@query("sf70_map_merge", "SELECT 1 AS a, 3 AS b, 4 AS c")
-def sf70_map_merge(spark, sf):
-    m = F.map_from_entries(F.concat(F.filter(F.map_entries(F.expr("map('a', 1, 'b', 2)")), lambda e: ~e["key"].isin("b", "c")), F.map_entries(F.expr("map('b', 3, 'c', 4)"))))
-    return spark.range(1).select(m.alias("m")).select(*[F.col("m")[k].alias(k) for k in "abc"])
-
-
 @query("sf72_citations_dump", """SELECT doc_id, '{"index":' || doc_id || ',"source":"' || source || '","note":"규정"}' AS j FROM documents""")
 def sf72_citations_dump(spark, sf):
     return _docs(spark, sf).select("doc_id", F.to_json(F.struct(F.col("doc_id").alias("index"), "source", F.lit("규정").alias("note"))).alias("j"))
@@ -296,10 +214,14 @@ def sf73_title(spark, sf):
     return table(spark, sf, "conversations").select("conv_id", "turn", F.substring("text", 1, 40).alias("title"))
 
 
-@query("prj01_chunk_meta", "SELECT doc_id, source, '/d/' || source AS path, substr(sha1('/d/' || source), 1, 24) AS file_id, (row_number() OVER (PARTITION BY source ORDER BY doc_id) - 1)::INT AS chunk_id, (count(*) OVER (PARTITION BY source))::INT AS total_chunks FROM documents")
+_FILE = "'/d/' || coalesce(source, 'x') || '/' || (doc_id // 100)"
+
+
+@query("prj01_chunk_meta", f"SELECT doc_id, source, {_FILE} AS path, substr(sha1({_FILE}), 1, 24) AS file_id, (row_number() OVER (PARTITION BY {_FILE} ORDER BY doc_id) - 1)::INT AS chunk_id, (count(*) OVER (PARTITION BY {_FILE}))::INT AS total_chunks FROM documents")
 def prj01_chunk_meta(spark, sf):
-    rows = _docs(spark, sf).withColumn("path", F.concat(F.lit("/d/"), "source"))
-    by_file = Window.partitionBy("source")
+    """Documents as chunks of files that hold a hundred numbers of one source."""
+    rows = _docs(spark, sf).withColumn("path", F.concat(F.lit("/d/"), F.coalesce("source", F.lit("x")), F.lit("/"), F.floor(F.col("doc_id") / 100).cast("string")))
+    by_file = Window.partitionBy("path")
     return rows.select(
         "doc_id", "source", "path", T.file_id("path").alias("file_id"), (F.row_number().over(by_file.orderBy("doc_id")) - 1).cast("int").alias("chunk_id"), F.count("*").over(by_file).cast("int").alias("total_chunks")
     )
@@ -320,25 +242,6 @@ def prj09_file_record(spark, sf):
     return table(spark, sf, "pages").select("page_id", back.alias("r")).select("page_id", "r.*")
 
 
-@query("ml08_guard", "SELECT * FROM (VALUES (1, false, 'fine [1]'), (2, true, '해당 규정에서 확인할 수 없습니다.'), (3, true, '해당 규정에서 확인할 수 없습니다.')) t(id, refused, answer)")
-def ml08_guard(spark, sf):
-    rows = spark.createDataFrame([(1, "fine [1]", 4, 0.9), (2, "made up", 3, 0.0), (3, "x", 0, 0.9)], "id int, answer string, n_chunks int, score double")
-    return grounding.guard(rows).select("id", "refused", "answer")
-
-
-@query("ml07_answer")
-def ml07_answer(spark, sf):
-    """The whole pipeline over a small regulation: index, retrieve, rerank, pack, answer from the evidence, verify, guard."""
-    from hanji.plans.engine import Engine, HashEmbedder, vectors
-
-    files = spark.createDataFrame([("f1", "휴가규정.txt", "/휴가규정.txt", "제1조(목적) 이 규정은 연차휴가에 관한 사항을 정한다.\n\n제2조(연차휴가) 직원의 연차유급휴가는 15일로 한다.")], "file_id string, source string, path string, text string")
-    chunks = chunking.chunk_table(files).withColumn("doc_id", F.col("chunk_id").cast("long"))
-    embedder = HashEmbedder()
-    engine = Engine(chunks, index.build(chunks).persist(), vectors(chunks, embedder), embedder)
-    found = engine.answer("연차휴가 며칠")
-    return spark.createDataFrame([(len(found["citations"]), found["refused"], found["confidence"])], "citations int, refused boolean, confidence double")
-
-
 @query("ml01_embed")
 def ml01_embed(spark, sf):
     from hanji.plans.engine import HashEmbedder, vectors
@@ -378,7 +281,7 @@ def str07_incremental_ingest(spark, sf):
     from hanji.sources.extract import extract
     from hanji.streaming.jobs import incremental_ingest
 
-    base = _space(spark)
+    base = own_folder(spark)
     _put(spark, f"{base}/in", {"a.txt": "first regulation text", "b.txt": "second regulation text"})
     incremental_ingest(spark, f"{base}/in", f"{base}/chunks", f"{base}/state", extract, _chunked).awaitTermination()
     return spark.read.parquet(f"{base}/chunks").groupBy("source").agg(F.count("*").alias("n"))
@@ -390,7 +293,7 @@ def str07_refresh(spark, sf):
     from hanji.sources.extract import extract
     from hanji.streaming.jobs import current, refresh
 
-    base = _space(spark)
+    base = own_folder(spark)
     for texts in ({"a.txt": "first regulation text", "b.txt": "second regulation text", "c [1].txt": "third regulation text"}, {"a.txt": "first text, rewritten", "b.txt": None, "d.TXT": "fourth regulation text"}):
         _put(spark, f"{base}/in", texts)
         refresh(spark, f"{base}/in", f"{base}/index", extract, _chunked)
@@ -409,5 +312,3 @@ def str03_cache(spark, sf):
     cache.get(0)
     stats = cache.stats()
     return spark.createDataFrame([("hit_rate", float(stats["hit_rate"])), ("size", float(stats["size"]))], "stat string, value double")
-
-

@@ -212,16 +212,6 @@ def top04_rerank(spark, sf):
     return retrieve.rerank(hits, "Erin licensed x").select("doc_id", "score", F.round("rank_key", 6).alias("rank_key"))
 
 
-_ARTICLES = "(VALUES (0, 'a', '제1조', '목적'), (1, 'a', '제2조의3', '연차'), (2, 'b', '제2조의3', '휴가'), (3, 'b', '제10조', '보안'), (4, 'c', '제 1 조', '적용'), (5, 'c', CAST(NULL AS VARCHAR), '서문'))"
-
-
-@query("flt10_fast_path", f"SELECT doc_id::BIGINT AS doc_id, source, 1.0::DOUBLE AS score FROM {_ARTICLES} t(doc_id, source, article_no, title) WHERE regexp_replace(article_no, '\\s+', '', 'g') = '제1조' ORDER BY doc_id LIMIT 8")
-def flt10_fast_path(spark, sf):
-    rows = spark.sql(f"SELECT cast(doc_id AS long) AS doc_id, source, article_no, title FROM {_ARTICLES.replace('VARCHAR', 'STRING')} t(doc_id, source, article_no, title)")
-    wanted = spark.range(1).select(T.article_number(F.lit("제 1 조 알려줘")).alias("n")).first()["n"]
-    return retrieve.article_fast_path(rows, wanted).select("doc_id", "source", "score")
-
-
 @query(
     "win02_context_pack",
     """WITH b AS (SELECT conv_id, turn + 1 AS rank, '[' || (turn + 1) || '] 「' || role || '」' || chr(10) || trim(text, ' ' || chr(10)) || chr(10) AS block FROM conversations),
@@ -259,20 +249,16 @@ def flt06_regex_invalid(spark, sf):
     return boolean.regex_filter(_docs(spark, sf), "/licen([sc/").select("doc_id")
 
 
-_SPLIT_SQL = r"list_filter(list_transform(regexp_split_to_array(line, '[.]\s*|[!?]\s+'), lambda s: trim(s)), lambda s: length(s) > 12)"
-
-
 @query(
     "sf33_claims",
-    r"""WITH lines AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents),
-cut AS (SELECT doc_id, len(list_filter(list_transform(regexp_split_to_array(line, '[.]\s*'), lambda s: trim(s)), lambda s: length(s) > 12)) AS n FROM lines WHERE line <> '' AND NOT starts_with(line, '- ') AND NOT starts_with(line, '|') AND NOT starts_with(line, '#') AND NOT regexp_matches(line, '[!?]\s')),
-odd AS (SELECT DISTINCT doc_id FROM lines WHERE regexp_matches(line, '[!?]\s') OR starts_with(line, '- '))
-SELECT d.doc_id, coalesce(sum(n), 0)::BIGINT AS n_claims FROM documents d LEFT JOIN cut USING (doc_id) WHERE d.doc_id NOT IN (SELECT doc_id FROM odd) GROUP BY d.doc_id HAVING coalesce(sum(n), 0) > 0""",
+    r"""WITH lines AS (SELECT doc_id, regexp_replace(unnest(string_split(coalesce(text, ''), chr(10))), '^\s+|\s+$', '', 'g') AS line FROM documents),
+cut AS (SELECT doc_id, CASE WHEN starts_with(line, '- ') THEN 1 WHEN line = '' OR starts_with(line, '|') OR starts_with(line, '#') THEN 0
+  ELSE len(list_filter(string_split(regexp_replace(regexp_replace(line, '([!?])\s+', '\1' || chr(1), 'g'), '[.。]\s*', chr(1), 'g'), chr(1)), lambda s: length(trim(s)) > 12)) END AS n FROM lines),
+per AS (SELECT doc_id, sum(n) AS n FROM cut GROUP BY doc_id)
+SELECT d.doc_id, (CASE WHEN n > 0 THEN n WHEN length(trim(coalesce(text, ''))) > 12 THEN 1 ELSE 0 END)::BIGINT AS n_claims FROM documents d LEFT JOIN per USING (doc_id)""",
 )
 def sf33_claims(spark, sf):
-    rows = _docs(spark, sf).filter(~F.col("text").rlike(r"[!?]\s|(?m)^\s*- "))
-    found = F.filter(grounding.claims(F.col("text")), lambda c: ~c.contains("\n"))
-    return rows.select("doc_id", F.size(found).cast("long").alias("n_claims"), F.size(grounding.claims(F.col("text"))).alias("_n")).filter("n_claims > 0").select("doc_id", "n_claims")
+    return _docs(spark, sf).select("doc_id", F.size(grounding.claims(F.col("text"))).cast("long").alias("n_claims"))
 
 
 @query("sf33_claims_all")
@@ -297,32 +283,6 @@ def sf34_support(spark, sf):
     return judged.select("doc_id", "s.status", F.round("s.score", 6).alias("score"))
 
 
-_ANSWERS = "(VALUES (1, '연차유급휴가는 15일을 부여합니다.', '제2조 연차유급휴가 15일을 부여한다.'), (2, '- 연차는 15일입니다\n- 신청은 전일까지 합니다', '연차는 15일입니다 끝'), (3, 'completely unrelated statement here', '제2조 연차유급휴가'), (4, '', '제1조 목적'))"
-
-
-@query(
-    "agg20_grounding",
-    f"SELECT id::BIGINT AS id, supported::INT AS supported, total::INT AS total, score::DOUBLE AS score FROM {_ANSWERS} a(id, answer, evidence) JOIN (VALUES (1, 1, 1, 0.61), (2, 1, 2, 0.5), (3, 0, 1, 0.0), (4, 0, 0, 0.3)) w(id, supported, total, score) USING (id)",
-)
-def agg20_grounding(spark, sf):
-    rows = spark.sql(f"SELECT cast(id AS long) AS id, answer, array(evidence) AS evidence FROM {_ANSWERS} a(id, answer, evidence)")
-    return grounding.verify(rows).select("id", "supported", "total", "score")
-
-
-_CONF = "(VALUES (1, 'yes[1] and [2]', 4, 0.61), (2, 'no citation', 4, 0.61), (3, 'x [9] [1] [1]', 3, 0.2), (4, '확인할 수 없습니다', 3, 0.9), (5, 'none', 0, 0.9), (6, '[1][2][3][4][5]', 5, 1.0))"
-
-
-@query(
-    "agg21_confidence",
-    f"""WITH a AS (SELECT *, list_distinct(list_transform(regexp_extract_all(answer, '\\[([0-9]+)\\]', 1), lambda c: c::INT)) AS cited FROM {_CONF} t(id, answer, n, ver)),
-b AS (SELECT *, CASE WHEN len(cited) = 0 THEN 0.15 ELSE least(0.2, 0.05 * len(list_filter(cited, lambda c: c BETWEEN 1 AND n))) END AS bonus FROM a)
-SELECT id::BIGINT AS id, (CASE WHEN n = 0 THEN 0.0 WHEN contains(answer, '확인할 수 없습니다') THEN 0.1 ELSE least(1.0, floor((ver::DOUBLE * 0.75::DOUBLE + bonus::DOUBLE + least(0.1::DOUBLE, n * 0.02::DOUBLE)) * 1000 + 0.5) / 1000) END)::DOUBLE AS confidence FROM b""",
-)
-def agg21_confidence(spark, sf):
-    rows = spark.sql(f"SELECT cast(id AS long) AS id, answer, n, cast(ver AS double) AS ver FROM {_CONF} t(id, answer, n, ver)")
-    return rows.select("id", grounding.confidence(F.col("answer"), F.col("n"), F.col("ver")).alias("confidence"))
-
-
 @query(
     "jn14_citation_join",
     r"""WITH c AS (SELECT doc_id, unnest(list_distinct(list_transform(regexp_extract_all(text, '([0-9]+)', 1), lambda x: TRY_CAST(x AS BIGINT)))) AS n FROM documents)

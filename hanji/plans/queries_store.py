@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from hanji.functions.text import file_id
 from hanji.operators import chunking, evaluate, limits, stores
 from hanji.plans.catalogue import query, table
+from hanji.sources.versions import own_folder
 from hanji.streaming import jobs
 
 
@@ -234,17 +233,11 @@ def str02_history_dedupe(spark, sf):
     return limits.stored_history(_history(spark, sf), query="query", at="ts")
 
 
-@query("str04_invalidate", "SELECT source, count(*)::BIGINT AS n FROM documents WHERE source <> 'src3' GROUP BY source")
+@query("str04_invalidate", "SELECT doc_id // 40 AS entry, count(*)::BIGINT AS n FROM documents GROUP BY entry HAVING NOT bool_or(coalesce(source = 'src3', false))")
 def str04_invalidate(spark, sf):
-    cached = _docs(spark, sf).groupBy("source").agg(F.collect_list("source").alias("results"), F.count("*").alias("n"))
-    return cached.filter(~F.exists("results", lambda r: r == "src3")).select("source", "n")
-
-
-@query("snk06_export_text", "SELECT string_agg(printf('[%d] %s (%d%%)', r, source, (doc_id % 101)) || chr(10) || text || chr(10), chr(10) ORDER BY r) AS export FROM (SELECT *, row_number() OVER (ORDER BY doc_id) AS r FROM documents ORDER BY doc_id LIMIT 5)")
-def snk06_export_text(spark, sf):
-    first = _docs(spark, sf).orderBy("doc_id").limit(5)
-    hits = first.select(F.row_number().over(Window.orderBy("doc_id")).alias("rank"), "source", ((F.col("doc_id") % 101) / 100.0).alias("score"), "text")
-    return stores.export_text(hits)
+    """Cached results of searches over forty documents each; those with a hit of the source go."""
+    cached = _docs(spark, sf).groupBy(F.floor(F.col("doc_id") / 40).alias("entry")).agg(F.max(F.coalesce(F.col("source") == "src3", F.lit(False))).alias("stale"), F.count("*").alias("n"))
+    return cached.filter(~F.col("stale")).select("entry", "n")
 
 
 @query("set05_distinct_tags", f"WITH {_TAGS} SELECT filename, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM tags GROUP BY filename")
@@ -263,10 +256,7 @@ def prj12_structure(spark, sf):
 
 def _drain(spark, stream, mode: str, name: str):
     """Run a stream over what is there and return its rows."""
-    checkpoint = (spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="hanji-stream-")).rstrip("/")
-    import uuid
-
-    run = f"{checkpoint}/stream-{name}-{uuid.uuid4().hex}"
+    run = own_folder(spark, f"stream-{name}")
     out = f"{run}/rows"
     writer = stream.writeStream.option("checkpointLocation", f"{run}/state").trigger(availableNow=True)
     if mode == "append":

@@ -15,57 +15,6 @@ def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-def _values(spark, rows: str, columns: str):
-    return spark.sql(f"SELECT * FROM VALUES {rows} AS t({columns})")
-
-
-_QUERIES = "(1, '제 27 조 알려줘'), (2, '제 3 의 2 조'), (3, '별지 제 4 호 서식'), (4, '부 칙 과 별표 2'), (5, '5 급 에서 4 급 3 년'), (6, '제 2 항 제 3 호'), (7, '휴가와 병가 비교'), (8, '연차 신청 방법'), (9, '')"
-_CANON = r"""trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(
-q, '제\s*(\d+)\s*의\s*(\d+)\s*조', '제\1의\2조', 'g'), '제\s*(\d+(?:의\d+)?)\s*조', '제\1조', 'g'), '제\s*(\d+)\s*항', '제\1항', 'g'), '제\s*(\d+)\s*호', '제\1호', 'g'),
-'(\d+)\s*급', '\1급', 'g'), '(\d+)\s*년', '\1년', 'g'), '별지\s*제?\s*(\d+)\s*호\s*서식', '별지 제\1호 서식', 'g'), '(별표|별첨|첨부)\s*(\d+)', '\1 \2', 'g'), '부\s*칙', '부칙', 'g'), '\s+', ' ', 'g'))"""
-
-
-def _sql_values(rows, columns):
-    return f"(SELECT * FROM (VALUES {rows}) t({columns}))"
-
-
-@query("sf02_canonical_values", f"SELECT id::INT AS id, {_CANON} AS canonical FROM {_sql_values(_QUERIES, 'id, q')}")
-def sf02_canonical_values(spark, sf):
-    return _values(spark, _QUERIES, "id, q").select("id", T.canonical_articles("q").alias("canonical"))
-
-
-@query("sf02_canonical_udf", f"SELECT id::INT AS id, {_CANON} AS canonical FROM {_sql_values(_QUERIES, 'id, q')}")
-def sf02_canonical_udf(spark, sf):
-    return _values(spark, _QUERIES, "id, q").select("id", korean.canonical_udf("q").alias("canonical"))
-
-
-@query(
-    "sf03_money",
-    "SELECT * FROM (VALUES (1, '3000만원'), (2, '1000만원'), (3, '1억원'), (4, '200만원'), (5, '50만원'), (6, '7000만원')) t(id, canonical)",
-)
-def sf03_money(spark, sf):
-    return _values(spark, "(1, '3 천만원'), (2, '1,000만원'), (3, '일억원'), (4, '2 백만 원'), (5, '5십만원'), (6, '칠 천 만 원')", "id, q").select("id", korean.canonical_udf("q").alias("canonical"))
-
-
-@query("sf12_variants", "SELECT * FROM (VALUES (1, '3억원', true), (1, '30천만원', true), (2, '승진최저소요연수', true), (3, '별표2', true), (3, '별표 2', true), (4, '5급에서4급승진3년', true)) t(id, variant, present)")
-def sf12_variants(spark, sf):
-    made = _values(spark, "(1, '30000만원'), (2, '승진 최저 소요 연수 알려줘'), (3, '별표  2'), (4, '5급에서 4급 3년')", "id, q").select("id", korean.variants_udf("q").alias("vs"))
-    wanted = _values(spark, "(1, '3억원'), (1, '30천만원'), (2, '승진최저소요연수'), (3, '별표2'), (3, '별표 2'), (4, '5급에서4급승진3년')", "id, variant")
-    return made.join(F.broadcast(wanted), "id").select("id", "variant", F.array_contains("vs", F.col("variant")).alias("present"))
-
-
-@query("sf14_bm25_terms", "SELECT * FROM (VALUES (1, 3, '보안규정')) t(id, n, first_term)")
-def sf14_bm25_terms(spark, sf):
-    made = _values(spark, "(1, '보안규정 정보보호')", "id, q").select("id", korean.bm25_terms(korean.variants_udf("q")).alias("terms"))
-    return made.select("id", F.size(F.filter("terms", lambda t: t.isin("보안규정", "정보보호", "보호"))).alias("n"), F.get("terms", F.lit(0)).alias("first_term"))
-
-
-@query("sf36_query_variants", "SELECT * FROM (VALUES (1, 4, '연차 휴가 신청'), (2, 2, '휴가')) t(id, n, first_variant)")
-def sf36_query_variants(spark, sf):
-    made = _values(spark, "(1, '연차 휴가 신청'), (2, '휴가')", "id, q").select("id", korean.query_variants_udf("q").alias("vs"))
-    return made.select("id", F.size("vs").alias("n"), F.get("vs", F.lit(0)).alias("first_variant"))
-
-
 @query("sf07_strip_marks", r"SELECT doc_id, md5(regexp_replace(text, '[\p{P}\p{S}]', '', 'g')) AS h FROM documents")
 def sf07_strip_marks(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(T.without_marks("text")).alias("h"))
@@ -76,44 +25,6 @@ def sf09_compact(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(T.compact("text")).alias("h"))
 
 
-@query("sf10_noise", "SELECT * FROM (VALUES (1, '연차'), (2, '휴가 규정'), (3, '')) t(id, cleaned)")
-def sf10_noise(spark, sf):
-    return _values(spark, "(1, '연차 관련 내용 알려줘'), (2, '휴가 정보 규정 찾아줘'), (3, '기준')", "id, q").select("id", T.without_noise("q").alias("cleaned"))
-
-
-@query("sf15_article_number", f"SELECT id::INT AS id, CASE WHEN regexp_matches(q, '제\\s*[0-9]+\\s*조') THEN '제' || regexp_extract(q, '제\\s*([0-9]+)\\s*조(?:의\\s*([0-9]+))?', 1) || '조' || CASE WHEN regexp_extract(q, '제\\s*([0-9]+)\\s*조(?:의\\s*([0-9]+))?', 2) <> '' THEN '의' || regexp_extract(q, '제\\s*([0-9]+)\\s*조(?:의\\s*([0-9]+))?', 2) ELSE '' END END AS article_no FROM {_sql_values(_QUERIES, 'id, q')}")
-def sf15_article_number(spark, sf):
-    return _values(spark, _QUERIES, "id, q").select("id", T.article_number("q").alias("article_no"))
-
-
-_REGULATION = "제1조(목적) 이 규정은 연차휴가에 관한 사항을 정한다.\n\n제2조(연차휴가) ① 직원의 연차유급휴가는 15일로 한다.\n② 1년 미만 근무자는 월 1일을 부여한다.\n제3조의2 (병가)\n연 30일로 한다.\n"
-
-
-@query(
-    "sf16_articles",
-    "SELECT * FROM (VALUES (1, 0, '제1조', '목적) 이 규정은 연차휴가에 관한 사항을 정한다.', 0), (1, 1, '제2조', '연차휴가) ① 직원의 연차유급휴가는 15일로 한다.', 1), (1, 2, '제3조의2', '병가', 0)) t(id, pos, number, title, n_paragraphs)",
-)
-def sf16_articles(spark, sf):
-    rows = spark.createDataFrame([(1, _REGULATION)], "id int, text string")
-    found = rows.select("id", F.posexplode(chunking.articles(F.col("text"))).alias("pos", "a"))
-    return found.select("id", "pos", "a.number", "a.title", F.size("a.paragraphs").alias("n_paragraphs"))
-
-
-@query("sf17_find_article", "SELECT * FROM (VALUES (1, '제1조'), (2, '제2조'), (3, NULL), (4, '제3조의2')) t(id, number)")
-def sf17_find_article(spark, sf):
-    rows = spark.createDataFrame([(1, "제1조"), (2, "2"), (3, "연차"), (4, "제3조")], "id int, q string")
-    return rows.select("id", chunking.find_article(F.lit(_REGULATION), F.col("q"))["number"].alias("number"))
-
-
-@query("top05_article_search", "SELECT * FROM (VALUES (1, '제2조', 4), (2, '제3조의2', 3)) t(pos, number, score)")
-def top05_article_search(spark, sf):
-    rows = spark.createDataFrame([("제1조", "목적", "이 규정은"), ("제2조", "연차와 병가", "병가는 30일"), ("제3조의2", "병가", "연 30일로 한다")], "number string, title string, content string")
-    from pyspark.sql import Window
-
-    scored = rows.withColumn("score", chunking.article_score(F.col("number"), F.col("title"), F.col("content"), F.lit("병가"))).filter("score > 0")
-    return scored.select(F.row_number().over(Window.orderBy(F.col("score").desc(), "number")).alias("pos"), "number", "score")
-
-
 @query("sf18_split_fold")
 def sf18_split_fold(spark, sf):
     pieces = chunking.split(F.col("text"), 500, 50, separator="\n")
@@ -130,39 +41,6 @@ def win04_chunk_ids(spark, sf):
     return _docs(spark, sf).withColumn("parts", parts).select("doc_id", F.posexplode("parts").alias("chunk_id", "p"), F.size("parts").alias("total_chunks")).drop("p")
 
 
-@query("sf19_sections", "SELECT * FROM (VALUES (0, '제1장 총칙', '본문 하나', 'chapter', 'f'), (1, '제2장 보칙', '본문 둘', 'chapter', 'f')) t(pos, title, content, type, source)")
-def sf19_sections(spark, sf):
-    rows = spark.createDataFrame([("머리말\n제1장 총칙\n본문 하나\n제2장 보칙\n본문 둘",)], "text string")
-    return rows.select(F.posexplode(chunking.sections(F.col("text"), F.lit("f"), "chapter")).alias("pos", "s")).select("pos", "s.*")
-
-
-@query("sf20_split_by_size", "SELECT * FROM (VALUES (0, '파트 1', 8, 'size_split'), (1, '파트 2', 10, 'size_split'), (2, '파트 3', 3, 'size_split')) t(pos, title, n, type)")
-def sf20_split_by_size(spark, sf):
-    rows = spark.createDataFrame([("aaa\n\nbbb\n\n" + "c" * 10 + "\n\nddd",)], "text string")
-    return rows.select(F.posexplode(chunking.split_by_size(F.col("text"), 10)).alias("pos", "s")).select("pos", "s.title", F.length("s.content").alias("n"), "s.type")
-
-
-@query("sf21_table_chunks", "SELECT * FROM (VALUES (0, '| 항목 | 값 |' || chr(10) || '| --- | --- |' || chr(10) || '| 연차 | 15일 |', 'table', '표')) t(pos, text, chunk_type, article_title)")
-def sf21_table_chunks(spark, sf):
-    rows = spark.createDataFrame([("서문\n| 항목 | 값 |\n| --- | --- |\n| 연차 | 15일 |",)], "text string")
-    return rows.select(F.posexplode(chunking.table_chunks(F.col("text"))).alias("pos", "c")).select("pos", "c.text", "c.chunk_type", "c.article_title")
-
-
-@query("sf22_annex_chunks", "SELECT * FROM (VALUES (0, '부칙' || chr(10) || '이 규정은 2024년부터 시행한다.', 'supplementary', '부칙'), (1, '별표 1' || chr(10) || '수당', 'annex', '별표 1')) t(pos, text, chunk_type, article_title)")
-def sf22_annex_chunks(spark, sf):
-    rows = spark.createDataFrame([("본문\n부칙\n이 규정은 2024년부터 시행한다.\n별표 1\n수당",)], "text string")
-    return rows.select(F.posexplode(chunking.annex_chunks(F.col("text"))).alias("pos", "c")).select("pos", "c.text", "c.chunk_type", "c.article_title")
-
-
-@query(
-    "sf23_chunk_builder",
-    "SELECT * FROM (VALUES ('a', 0, 3, '제1조', 'article'), ('a', 1, 3, '제2조', 'article'), ('a', 2, 3, '제3조의2', 'article'), ('b', 0, 1, '', 'generic')) t(file_id, chunk_id, total_chunks, article_no, chunk_type)",
-)
-def sf23_chunk_builder(spark, sf):
-    files = spark.createDataFrame([("a", "a.txt", "/a.txt", _REGULATION), ("b", "b.txt", "/b.txt", "plain text"), ("c", "c.txt", "/c.txt", " ")], "file_id string, source string, path string, text string")
-    return chunking.chunk_table(files).select("file_id", "chunk_id", "total_chunks", "article_no", "chunk_type")
-
-
 @query("sf24_extracted_text", r"SELECT doc_id, md5(trim(regexp_replace(regexp_replace(regexp_replace(replace(text, chr(13), chr(10)), '[ \t]+', ' ', 'g'), ' ?\n ?', chr(10), 'g'), '\n{3,}', chr(10) || chr(10), 'g'), ' ' || chr(10))) AS h FROM documents")
 def sf24_extracted_text(spark, sf):
     return _docs(spark, sf).select("doc_id", F.md5(T.extracted_text("text")).alias("h"))
@@ -193,11 +71,13 @@ def prj05_tool_result(spark, sf):
     return _docs(spark, sf).select("doc_id", "source", F.substring("text", 1, 800).alias("content"))
 
 
-@query("prj06_citation", "SELECT row_number() OVER (PARTITION BY source ORDER BY doc_id)::INT AS idx, doc_id, source, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM documents")
+@query("prj06_citation", "SELECT row_number() OVER (PARTITION BY doc_id // 8 ORDER BY doc_id)::INT AS idx, doc_id, source, CASE WHEN length(text) > 300 THEN substr(text, 1, 300) || '...' ELSE text END AS excerpt FROM documents")
 def prj06_citation(spark, sf):
+    """Citations of answers that cite eight documents each."""
     from pyspark.sql import Window
 
-    return _docs(spark, sf).select(F.row_number().over(Window.partitionBy("source").orderBy("doc_id")).alias("idx"), "doc_id", "source", T.truncated("text", 300).alias("excerpt"))
+    place = F.row_number().over(Window.partitionBy(F.floor(F.col("doc_id") / 8)).orderBy("doc_id"))
+    return _docs(spark, sf).select(place.alias("idx"), "doc_id", "source", T.truncated("text", 300).alias("excerpt"))
 
 
 @query("prj07_preview", "SELECT doc_id, substr(text, 1, 500) AS preview, length(text)::BIGINT AS total_length, length(text) > 500 AS truncated FROM documents")
@@ -205,12 +85,6 @@ def prj07_preview(spark, sf):
     return _docs(spark, sf).select("doc_id", F.substring("text", 1, 500).alias("preview"), F.length("text").cast("long").alias("total_length"), (F.length("text") > 500).alias("truncated"))
 
 
-@query("prj08_redact", "SELECT * FROM (VALUES (1, '***', '***', 'ollama', '')) t(id, api_key, max_tokens, provider, password)")
-def prj08_redact(spark, sf):
-    rows = spark.sql("SELECT 1 AS id, map('api_key', 's3', 'max_tokens', '2048', 'provider', 'ollama', 'password', '') AS m").withColumn("m", T.redacted("m"))
-    return rows.select("id", *[F.col("m")[k].alias(k) for k in ("api_key", "max_tokens", "provider", "password")])
-
-
 @query("prj10_score_band", "SELECT event_id, floor(((event_id % 101) / 100.0::DOUBLE) * 100 + 0.5)::INT AS percent, CASE WHEN floor(((event_id % 101) / 100.0::DOUBLE) * 100 + 0.5) >= 70 THEN 'high' WHEN floor(((event_id % 101) / 100.0::DOUBLE) * 100 + 0.5) >= 40 THEN 'medium' ELSE 'low' END AS band FROM events")
 def prj10_score_band(spark, sf):
     score = (F.col("event_id") % 101) / 100.0
@@ -227,17 +101,6 @@ def sf25_file_id(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.file_id("url").alias("file_id"))
 
 
-@query("sf26_safe_name", "SELECT * FROM (VALUES (1, 'ok1.txt'), (2, 'evil.txt'), (3, '_con.txt'), (4, 'a_b.docx'), (5, 'document.txt')) t(id, name)")
-def sf26_safe_name(spark, sf):
-    from hanji.sources.extract import safe_name
-
-    @F.pandas_udf("string")
-    def safe(names: pd.Series) -> pd.Series:
-        return names.map(safe_name)
-
-    return _values(spark, "(1, 'ok1.txt'), (2, '../evil.txt'), (3, 'con'), (4, 'x/a?b.docx'), (5, '')", "id, n").select("id", safe("n").alias("name"))
-
-
 @query("sf28_md5_dir", "SELECT page_id, substr(md5(url), 1, 6) || '_' || substr(md5('model'), 1, 6) AS dir, sha256(url) AS fingerprint FROM pages")
 def sf28_md5_dir(spark, sf):
     return table(spark, sf, "pages").select("page_id", F.concat(F.substring(F.md5("url"), 1, 6), F.lit("_"), F.substring(F.md5(F.lit("model")), 1, 6)).alias("dir"), F.sha2("url", 256).alias("fingerprint"))
@@ -248,17 +111,6 @@ def sf29_human_size(spark, sf):
     return table(spark, sf, "part").select("p_partkey", T.human_size(F.col("p_partkey") * F.col("p_partkey") * 997).alias("size"))
 
 
-@query("sf35_intent", f"SELECT id::INT AS id, CASE WHEN regexp_matches(q, '비교|차이|vs|대비') THEN 'comparison' WHEN regexp_matches(q, '절차|방법|어떻게|신청') THEN 'procedure' ELSE 'factual' END AS intent FROM {_sql_values(_QUERIES, 'id, q')}")
-def sf35_intent(spark, sf):
-    return _values(spark, _QUERIES, "id, q").select("id", T.intent("q").alias("intent"))
-
-
-@query("sf37_categories", "SELECT * FROM (VALUES (1, '복리후생,근태'), (2, '인사'), (3, '기타'), (4, '기타')) t(id, categories)")
-def sf37_categories(spark, sf):
-    rows = _values(spark, "(1, '건강검진과 휴가', 'x.txt'), (2, '목적', '인사규정.hwp'), (3, '아무것', 'b.txt'), (4, 'IT', 'c.txt')", "id, content, name")
-    return rows.select("id", F.array_join(T.categories("content", "name"), ",").alias("categories"))
-
-
 @query("sf38_cache_key", r"SELECT doc_id, lower(trim(regexp_replace(text, '\s+', ' ', 'g'))) || '|' || (doc_id % 10) || '|true|relevance||' || source AS key FROM documents")
 def sf38_cache_key(spark, sf):
     rows = _docs(spark, sf).withColumns({"q": F.col("text"), "k": F.col("doc_id") % 10, "h": F.lit(True), "s": F.lit("relevance"), "f": F.lit(None).cast("string")})
@@ -286,12 +138,6 @@ def sf62_age(spark, sf):
     return table(spark, sf, "events").select("event_id", T.age_text(F.col("ts").cast("timestamp"), now).alias("age"))
 
 
-@query("sf71_citations_json", "SELECT * FROM (VALUES (1, 1), (2, 0), (3, 0)) t(id, n)")
-def sf71_citations_json(spark, sf):
-    rows = spark.createDataFrame([(1, '[{"index": 1, "source": "a"}]'), (2, "not json"), (3, None)], "id int, raw string")
-    return rows.select("id", F.size(stores.parsed_citations(F.col("raw"))).alias("n"))
-
-
 @query("sf30_diff")
 def sf30_diff(spark, sf):
     """Each source's first two documents as two versions of one file."""
@@ -323,20 +169,3 @@ def agg27_page_map(spark, sf):
 @query("src02_allowed", "SELECT page_id, regexp_matches(lower(url), '\\.(txt|docx|pdf|xlsx|xls|hwp|hwpx)$') AS allowed FROM pages")
 def src02_allowed(spark, sf):
     return table(spark, sf, "pages").select("page_id", T.allowed_file("url").alias("allowed"))
-
-
-@query("src03_extract", "SELECT * FROM (VALUES ('a.txt', 'hello', CAST(NULL AS VARCHAR)), ('b.exe', '', '지원하지 않는 파일 형식: .exe'), ('c.hwpx', '', 'HWPX ZIP 오류: File is not a zip file')) t(name, text, error)")
-def src03_extract(spark, sf):
-    from hanji.sources.extract import extract
-
-    files = spark.createDataFrame([("a.txt", bytearray(b"hello\xff")), ("b.exe", bytearray(b"x")), ("c.hwpx", bytearray(b"x"))], "path string, content binary")
-    return extract(files).select(F.col("path").alias("name"), "text", "error")
-
-
-@query("top08_section_order", "SELECT * FROM (VALUES (1, 'Contents/section0.xml'), (2, 'Contents/section2.xml'), (3, 'Contents/section10.xml'), (4, 'Contents/x.xml')) t(pos, name)")
-def top08_section_order(spark, sf):
-    from pyspark.sql import Window
-
-    rows = _values(spark, "('Contents/section10.xml'), ('Contents/x.xml'), ('Contents/section2.xml'), ('Contents/section0.xml')", "name")
-    number = F.expr("try_cast(regexp_extract(name, 'section([0-9]+)[.]xml$', 1) AS int)")
-    return rows.select(F.row_number().over(Window.orderBy(number.isNull(), number, F.lower("name"))).alias("pos"), "name")
