@@ -29,10 +29,10 @@ from hanji.operators.boolean import BooleanQuery
 from hanji.operators.index import idf, weight
 from hanji.sources.versions import Versions
 
-#: Ordinals of a block, as a power of two.
-WINDOW_BITS = 10
+#: Ordinals of a block, as a power of two. What a term has in a block of very long documents must fit a task.
+WINDOW_BITS = 7
 #: Windows that set the threshold of a top-k search.
-SEED_WINDOWS = 8
+SEED_WINDOWS = 32
 #: Windows up to which their numbers are pushed into the scan; more are joined.
 PUSHED_WINDOWS = 2000
 #: Relative error of bounds, which are sums in another order than scores.
