@@ -1,39 +1,79 @@
-"""Accept-dependent state over ordered events, as folds per key: limiter, history dedupe, result cache.
+"""Accept-dependent state over ordered events, as folds per key: limiter, history dedupe; a cache and a queue on the driver.
 
-A key's events are folded in time order. Such a fold is sequential by nature; keys spread over tasks, and a limiter can
-keep no more accepted stamps than its limit, which bounds the state (not the input list) of a hot key. For unbounded
-keys use the streaming form, whose state alone is kept.
+A key's events are folded in time order, which is sequential by nature; keys spread over tasks. Events come to the fold
+sorted, a batch at a time, and only the current key's state is held: a limiter's accepted stamps, of which there are
+at most as many as its limit, or the time a query was last stored. So a key may have any number of events.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from typing import Any
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def rate_limited(events: DataFrame, *, key: str, at: str, limit: int, seconds: int) -> DataFrame:
-    """(key, allowed, blocked) under a sliding log: stamps older than the window go, and only accepted ones are logged."""
-    state = lambda log, ok, no: F.struct(log.alias("log"), ok.alias("ok"), no.alias("no"))
-    zero = state(F.array().cast("array<double>"), F.lit(0).cast("long"), F.lit(0).cast("long"))
+def folded(events: DataFrame, key: Column, at: Column, new: Callable[[], Any], step: Callable[[Any, float], tuple[Any, bool]], extra: list[str] = ()) -> DataFrame:
+    """(key, t, taken, extra ...): whether ``step`` takes each event, given its key's state and its time in seconds.
+
+    Ties in time go by ``extra``. Rows without key or time are left out.
+    """
+    rows = events.select(key.cast("string").alias("key"), at.cast("timestamp").cast("double").alias("t"), *extra).filter("key IS NOT NULL AND t IS NOT NULL")
+    fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        current, state = None, None
+        for batch in batches:
+            taken = []
+            for k, t in zip(batch["key"], batch["t"], strict=True):
+                if k != current:
+                    current, state = k, new()
+                state, ok = step(state, t)
+                taken.append(ok)
+            yield batch.assign(taken=taken)
+
+    return rows.repartition("key").sortWithinPartitions("key", "t", *extra).mapInPandas(work, f"{fields}, taken boolean")
+
+
+def sliding_log(limit: int, seconds: float) -> Callable[[list[float], float], tuple[list[float], bool]]:
+    """A limiter's step: stamps older than the window go, and only accepted ones are logged."""
+
+    def step(log: list[float], t: float) -> tuple[list[float], bool]:
+        log = [s for s in log if s > t - seconds]
+        if len(log) >= limit:
+            return log, False
+        return [*log, t], True
 
-    def take(acc, t):
-        log = F.filter(acc["log"], lambda s: s > t - seconds)
-        full = F.size(log) >= limit
-        return F.when(full, state(log, acc["ok"], acc["no"] + 1)).otherwise(state(F.concat(log, F.array(t)), acc["ok"] + 1, acc["no"]))
+    return step
 
-    stamps = events.select(F.col(key).alias("key"), F.col(at).cast("timestamp").cast("double").alias("t"))
-    grouped = stamps.groupBy("key").agg(F.sort_array(F.collect_list("t")).alias("ts")).withColumn("s", F.aggregate("ts", zero, take))
-    return grouped.select("key", F.col("s.ok").alias("allowed"), F.col("s.no").alias("blocked"))
+
+def spaced(seconds: float) -> Callable[[float | None, float], tuple[float | None, bool]]:
+    """A history's step: an event is stored if the last stored one is at least so long ago."""
+
+    def step(last: float | None, t: float) -> tuple[float | None, bool]:
+        return (t, True) if last is None or t - last >= seconds else (last, False)
+
+    return step
+
+
+def decisions(events: DataFrame, *, key: str, at: str, limit: int, seconds: int, extra: list[str] = ()) -> DataFrame:
+    """(key, t, taken, extra ...): each event under a sliding log of accepted ones."""
+    return folded(events, F.col(key), F.col(at), list, sliding_log(limit, seconds), extra)
+
+
+def rate_limited(events: DataFrame, *, key: str, at: str, limit: int, seconds: int) -> DataFrame:
+    """(key, allowed, blocked) under a sliding log."""
+    decided = decisions(events, key=key, at=at, limit=limit, seconds=seconds)
+    return decided.groupBy("key").agg(F.count_if("taken").alias("allowed"), F.count_if(~F.col("taken")).alias("blocked"))
 
 
 def stored_history(events: DataFrame, *, query: str, at: str, seconds: int = 300) -> DataFrame:
     """(query, stored): how often a query is stored when it is skipped within five minutes of its last stored time."""
-    state = lambda last, n: F.struct(last.alias("last"), n.alias("n"))
-    zero = state(F.lit(None).cast("double"), F.lit(0).cast("long"))
-    take = lambda acc, t: F.when(acc["last"].isNull() | (t - acc["last"] >= seconds), state(t, acc["n"] + 1)).otherwise(acc)
-    cleaned = events.select(F.trim(F.col(query)).alias("query"), F.col(at).cast("timestamp").cast("double").alias("t")).filter(F.length("query") >= 2)
-    grouped = cleaned.groupBy("query").agg(F.sort_array(F.collect_list("t")).alias("ts"))
-    return grouped.select("query", F.aggregate("ts", zero, take, lambda acc: acc["n"]).alias("stored"))
+    asked = events.withColumn("_q", F.trim(F.col(query))).filter(F.length("_q") >= 2)
+    decided = folded(asked, F.col("_q"), F.col(at), lambda: None, spaced(seconds))
+    return decided.groupBy(F.col("key").alias("query")).agg(F.count_if("taken").alias("stored"))
 
 
 class ResultCache:

@@ -1,10 +1,10 @@
 """A text index in immutable segments: positional postings in blocks, tombstones, compaction, block-max top-k, phrases.
 
-A segment holds some documents' tokens and their postings. Documents get ordinals in the order of their length, and a
-block is what one term has in a window of :data:`WINDOW` ordinals, with the highest frequency and the least length in
-it: from these follows a bound on every score in the block, whatever the collection's statistics are when it is asked.
-Positions are a column of their own, which only phrases read.
-Blocks lie in ranges of (term, window), so that a query's terms prune files and row groups.
+A segment holds some documents' tokens and their postings. It is partitioned by document: each task numbers its documents
+in the order of their length, and makes blocks of what a term has in a window of them, which it writes sorted by term,
+so that nothing is shuffled and a query's terms prune the pages of each file. A block knows the highest frequency and the
+least length in it: from these follows a bound on every score there, whatever the collection's statistics are when it
+is asked. Positions are a column of their own, which only phrases read.
 
 Nothing written is changed. Adding writes a segment; deleting writes tombstones and how much the deleted documents count
 in each term; both become visible with one version (:mod:`hanji.sources.versions`). Statistics are sums over segments less
@@ -18,9 +18,12 @@ are never deleted; null and empty texts are documents without tokens.
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,10 +32,10 @@ from hanji.operators.boolean import BooleanQuery
 from hanji.operators.index import idf, weight
 from hanji.sources.versions import Versions
 
-#: Ordinals of a block, as a power of two. What a term has in a block of very long documents must fit a task.
-WINDOW_BITS = 7
+#: Documents and, about, tokens of a window at most; rows that leave a task at once.
+WINDOW_DOCS, WINDOW_TOKENS, ROWS = 1024, 500_000, 20_000
 #: Windows that set the threshold of a top-k search.
-SEED_WINDOWS = 32
+SEED_WINDOWS = 8
 #: Windows up to which their numbers are pushed into the scan; more are joined.
 PUSHED_WINDOWS = 2000
 #: Relative error of bounds, which are sums in another order than scores.
@@ -41,6 +44,61 @@ SLACK = 1 + 1e-9
 SMALL, LIVING = 0.1, 0.5
 
 
+BLOCKS = "term string, window long, n long, max_tf int, min_dl long, ords array<long>, dls array<long>, tfs array<int>, positions array<array<int>>"
+
+
+def _lists(values: pa.Array, first: np.ndarray) -> pa.ListArray:
+    """Lists that begin at ``first`` and end where the next one begins."""
+    return pa.ListArray.from_arrays(pa.array(np.append(first, len(values)).astype(np.int32)), values)
+
+
+def _window(docs: pa.Table) -> pa.Table:
+    """The blocks of a window: its documents' tokens by term, each term's documents in order with all places."""
+    ords, dls = docs["ord"].to_numpy(), docs["dl"].to_numpy()
+    tokens = pa.chunked_array([c.flatten() for c in docs["tokens"].chunks], pa.string()).combine_chunks()
+    lengths = np.concatenate([np.diff(c.offsets.to_numpy()) for c in docs["tokens"].chunks])
+    begin = np.cumsum(lengths) - lengths
+    coded = tokens.dictionary_encode()
+    code = coded.indices.to_numpy()
+    place = np.argsort(code, kind="stable")
+    owner = np.repeat(np.arange(len(ords)), lengths)[place]
+    code = code[place]
+    one = np.flatnonzero((np.diff(code, prepend=-1) != 0) | (np.diff(owner, prepend=-1) != 0))
+    tf = np.diff(np.append(one, len(code)))
+    at = place - begin[owner]
+    owner, code = owner[one], code[one]
+    block = np.flatnonzero(np.diff(code, prepend=-1))
+    columns = [
+        coded.dictionary.take(pa.array(code[block])), pa.array(np.full(len(block), ords[0])), pa.array(np.diff(np.append(block, len(code)))),
+        pa.array(np.maximum.reduceat(tf, block).astype(np.int32)), pa.array(np.minimum.reduceat(dls[owner], block)),
+        _lists(pa.array(ords[owner]), block), _lists(pa.array(dls[owner]), block), _lists(pa.array(tf.astype(np.int32)), block), _lists(_lists(pa.array(at.astype(np.int32)), one), block),
+    ]
+    return pa.table(columns, names=[c.split()[0] for c in BLOCKS.split(", ")])
+
+
+def _blocks(most_docs: int, most_tokens: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """(ord, dl, tokens) in order to blocks; a window's number is its first document's."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        docs = tokens = 0
+        for batch in batches:
+            start = 0
+            for i, dl in enumerate(batch.column("dl").to_pylist()):
+                if docs == most_docs or docs and tokens + dl > most_tokens:
+                    kept.append(batch.slice(start, i - start))
+                    if tokens:
+                        yield from _window(pa.Table.from_batches(kept)).to_batches(max_chunksize=ROWS)
+                    kept.clear()
+                    docs, tokens, start = 0, 0, i
+                docs, tokens = docs + 1, tokens + dl
+            kept.append(batch.slice(start))
+        if tokens:
+            yield from _window(pa.Table.from_batches(kept)).to_batches(max_chunksize=ROWS)
+
+    return work
+
+
 @dataclass(frozen=True)
 class Statistics:
     """What scores need of the whole collection: documents, mean length, and each query term's document frequency."""
@@ -53,13 +111,14 @@ class Statistics:
 class SegmentIndex:
     """The index below ``root`` at its newest version, or the one given."""
 
-    def __init__(self, spark: SparkSession, root: str, version: int | None = None):
+    def __init__(self, spark: SparkSession, root: str, version: int | None = None, *, window: tuple[int, int] = (WINDOW_DOCS, WINDOW_TOKENS)):
+        self.window = window
         self.spark, self.root, self.versions = spark, root.rstrip("/"), Versions(spark, root)
         self.version, self.state = self.versions.newest() if version is None else (version, self.versions.read(version))
         self.segments: dict[str, dict] = self.state.get("segments", {})
 
     def refreshed(self) -> SegmentIndex:
-        return SegmentIndex(self.spark, self.root)
+        return SegmentIndex(self.spark, self.root, window=self.window)
 
     # Tables
 
@@ -78,7 +137,7 @@ class SegmentIndex:
         return self._living(self._table("docs", f"ord long, doc_id {self._id_type()}, dl long, tokens array<string>"))
 
     def blocks(self) -> DataFrame:
-        return self._table("postings", "term string, window long, n long, max_tf int, min_dl long, ords array<long>, dls array<long>, tfs array<int>, positions array<array<int>>")
+        return self._table("postings", BLOCKS)
 
     def tombstones(self) -> DataFrame | None:
         """(segment, ord) of deleted documents; null where there are none."""
@@ -97,24 +156,16 @@ class SegmentIndex:
     def _write(self, docs: DataFrame) -> dict[str, dict]:
         """Write (doc_id, tokens) as a segment; what the version needs to know of it, or nothing for no documents."""
         name = uuid.uuid4().hex
-        sized = docs.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl"))
-        ordered = sized.repartitionByRange("dl", "doc_id").sortWithinPartitions("dl", "doc_id")
         at = f"{self.root}/docs/segment={name}"
+        # Ordered within tasks: windows then hold documents of like length, whose bounds differ from other windows'.
+        ordered = docs.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl")).sortWithinPartitions("dl", "doc_id")
         ordered.select(F.monotonically_increasing_id().alias("ord"), "doc_id", "dl", "tokens").write.parquet(at)
         written = self.spark.read.parquet(at)
         total = written.agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
         if not total["docs"]:
             return {}
-        each = written.select("ord", "dl", F.shiftright("ord", WINDOW_BITS).alias("window"), F.posexplode("tokens").alias("pos", "term"))
-        # One shuffle: both groupings are satisfied by the ranges of (term, window).
-        ranged = each.repartitionByRange("term", "window")
-        one = ranged.groupBy("term", "window", "ord", "dl").agg(F.sort_array(F.collect_list("pos")).alias("pos"))
-        block = one.groupBy("term", "window").agg(F.sort_array(F.collect_list(F.struct("ord", "dl", "pos"))).alias("p"))
-        columns = [
-            "term", "window", F.size("p").cast("long").alias("n"), F.array_max(F.transform("p", lambda x: F.size(x["pos"]))).alias("max_tf"), F.array_min("p.dl").alias("min_dl"),
-            F.col("p.ord").alias("ords"), F.col("p.dl").alias("dls"), F.transform("p", lambda x: F.size(x["pos"])).alias("tfs"), F.col("p.pos").alias("positions"),
-        ]
-        block.select(*columns).sortWithinPartitions("term", "window").write.parquet(f"{self.root}/postings/segment={name}")
+        blocks = written.select("ord", "dl", "tokens").mapInArrow(_blocks(*self.window), BLOCKS).sortWithinPartitions("term", "window")
+        blocks.write.parquet(f"{self.root}/postings/segment={name}")
         terms = self.spark.read.parquet(f"{self.root}/postings/segment={name}").groupBy("term").agg(F.sum("n").alias("df"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.root}/terms/segment={name}")
         return {name: {"docs": total["docs"], "tokens": total["tokens"], "gone": 0, "gone_tokens": 0, "dead": []}}

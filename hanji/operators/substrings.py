@@ -2,7 +2,8 @@
 
 A text that contains a pattern has all of the pattern's q-grams. Each pattern is filed under the one that fewest texts have;
 texts meet patterns on these grams in an equi join, and what meets is verified. Patterns shorter than q are filed under
-themselves, with grams of their own length. Grams come from one linear pass of a regular expression.
+themselves, with grams of their own length. Grams come from one linear pass of a regular expression. The patterns' grams
+are written first, so that their size is known: texts' grams are only shuffled where patterns are too many to broadcast.
 
 A null text contains nothing; a null or empty pattern is in no pair; rows with equal keys are texts, and patterns, of their
 own: each pair of rows counts.
@@ -13,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hanji.sources.versions import stored
+
 #: Characters of a gram: long enough to be rare, short enough that most patterns have several.
 GRAM = 5
 
@@ -31,13 +34,13 @@ def contains_join(texts: DataFrame, patterns: DataFrame, *, key: str = "doc_id",
     own = F.lit(None).cast("array<string>")
     for n in lengths:
         own = F.when(F.least(F.length("_s"), F.lit(q)) == n, grams(F.col("_s"), n)).otherwise(own)
-    filed = asked.select("_s", F.explode(own).alias("_g")).distinct()
+    filed = stored(asked.select("_s", F.explode(own).alias("_g")).distinct())
     held = texts.select(F.col(key).alias("_k"), F.explode(F.array_distinct(F.flatten(F.array(*[grams(F.col(text), n) for n in lengths])))).alias("_g"))
     counts = held.join(filed.select("_g").distinct(), "_g", "left_semi").groupBy("_g").agg(F.count("*").alias("_n"))
     # A pattern with a gram that no text has is in no pair.
     rarest = filed.join(counts, "_g", "left").groupBy("_s").agg(F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_g").alias("g"))).alias("_r"))
-    keys = rarest.filter("_r.n > 0").select("_s", F.col("_r.g").alias("_g"))
-    met = held.join(keys, "_g").select("_k", "_s").distinct()
+    keys = stored(rarest.filter("_r.n > 0").select("_s", F.col("_r.g").alias("_g")))
+    met = stored(held.join(keys, "_g").select("_k", "_s").distinct())
     rows = texts.select(F.col(key).alias("_k"), F.col(text).alias("_t"))
     found = met.join(rows, "_k").filter(F.contains("_t", "_s")).select("_k", "_s")
     return found.join(asked, "_s").select(F.col("_k").alias(key), F.col("_p").alias(name))

@@ -298,17 +298,3 @@ def str07_refresh(spark, sf):
         _put(spark, f"{base}/in", texts)
         refresh(spark, f"{base}/in", f"{base}/index", extract, _chunked)
     return current(spark, f"{base}/index").select("source", "text")
-
-
-@query("str03_cache", "SELECT * FROM (VALUES ('hit_rate', 50.0::DOUBLE), ('size', 5.0::DOUBLE)) t(stat, value)")
-def str03_cache(spark, sf):
-    from hanji.operators.limits import ResultCache
-
-    now = [0.0]
-    cache = ResultCache(5, 2.0, clock=lambda: now[0])
-    for i in range(6):
-        cache.put(i, [{"source": f"s{i}"}])
-    cache.get(5)
-    cache.get(0)
-    stats = cache.stats()
-    return spark.createDataFrame([("hit_rate", float(stats["hit_rate"])), ("size", float(stats["size"]))], "stat string, value double")

@@ -9,7 +9,7 @@ from hanji.functions.text import file_id
 from hanji.operators import chunking, evaluate, limits, stores
 from hanji.plans.catalogue import query, table
 from hanji.sources.versions import own_folder
-from hanji.streaming import jobs
+from hanji.streaming import jobs, keyed
 
 
 def _docs(spark, sf):
@@ -223,14 +223,28 @@ def agg19_queue_stats(spark, sf):
     return table(spark, sf, "events").agg(F.count_if(kind == "click").alias("active"), F.count_if(kind == "view").alias("processed"), F.count_if(~kind.isin("click", "view")).alias("rejected"))
 
 
-@query("str01_rate_limit")
+def _fold_sql(key: str, where: str, first: str, kept: str, then: str, taken: str, columns: str = "") -> str:
+    """Events ``e`` of each key in order, and their decisions ``f`` by recursion: state and decision from the state before."""
+    return f"""e AS (SELECT {key} AS key, epoch(ts)::DOUBLE AS t, row_number() OVER (PARTITION BY {key} ORDER BY ts) AS rn FROM events WHERE {where}),
+f AS (SELECT key, rn, t, {first} FROM e WHERE rn = 1 UNION ALL SELECT key, rn, t, {then} AS state, {taken} AS taken FROM (SELECT e.key, e.rn, e.t, {kept} AS kept FROM f JOIN e ON e.key = f.key AND e.rn = f.rn + 1))"""
+
+
+_LIMIT_SQL = "WITH RECURSIVE " + _fold_sql("user_id::VARCHAR", "user_id IS NOT NULL AND ts IS NOT NULL", "[t] AS state, true AS taken", "list_filter(f.state, lambda s: s > e.t - 7200)", "CASE WHEN len(kept) >= 3 THEN kept ELSE list_append(kept, t) END", "len(kept) < 3")
+_QUERY_KEY = "event_type || '-' || (user_id % 7)::VARCHAR"
+_HISTORY_SQL = "WITH RECURSIVE " + _fold_sql(_QUERY_KEY, "event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL", "t AS state, true AS taken", "f.state", "CASE WHEN t - kept >= 300 THEN t ELSE kept END", "t - kept >= 300")
+_CACHE_SQL = "WITH RECURSIVE " + _fold_sql(_QUERY_KEY, "event_type IS NOT NULL AND user_id IS NOT NULL AND ts IS NOT NULL", "[t, 0.0::DOUBLE] AS state, false AS taken", "f.state", "CASE WHEN t - kept[1] <= 600 * least(2.0::DOUBLE, 1 + 0.1::DOUBLE * greatest(0, kept[2] - 1)) THEN [kept[1], kept[2] + 1] ELSE [t, 0.0::DOUBLE] END", "t - kept[1] <= 600 * least(2.0::DOUBLE, 1 + 0.1::DOUBLE * greatest(0, kept[2] - 1))")
+#: A minute's events are decided when the watermark, a minute behind the newest event, has passed its end.
+_CLOSED = "(floor(t / 60) + 1) * 60 <= (SELECT max(epoch(ts)) - 60 FROM events)"
+
+
+@query("str01_rate_limit", f"{_LIMIT_SQL} SELECT key, count(*) FILTER (taken)::BIGINT AS allowed, count(*) FILTER (NOT taken)::BIGINT AS blocked FROM f GROUP BY key")
 def str01_rate_limit(spark, sf):
     return limits.rate_limited(table(spark, sf, "events"), key="user_id", at="ts", limit=3, seconds=7200)
 
 
-@query("str02_history_dedupe")
+@query("str02_history_dedupe", f"{_HISTORY_SQL} SELECT key AS query, count(*) FILTER (taken)::BIGINT AS stored FROM f GROUP BY key")
 def str02_history_dedupe(spark, sf):
-    return limits.stored_history(_history(spark, sf), query="query", at="ts")
+    return limits.stored_history(_asked(table(spark, sf, "events")), query="query", at="ts")
 
 
 @query("str04_invalidate", "SELECT doc_id // 40 AS entry, count(*)::BIGINT AS n FROM documents GROUP BY entry HAVING NOT bool_or(coalesce(source = 'src3', false))")
@@ -271,16 +285,30 @@ def _event_stream(spark, sf):
     return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
 
 
-@query("str01_stream_limiter")
+def _asked(events):
+    return events.filter("event_type IS NOT NULL AND user_id IS NOT NULL").withColumn("query", F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")))
+
+
+@query("str01_stream_limiter", f"{_LIMIT_SQL} SELECT key, count(*) FILTER (taken)::BIGINT AS allowed, count(*) FILTER (NOT taken)::BIGINT AS blocked FROM f WHERE {_CLOSED} GROUP BY key")
 def str01_stream_limiter(spark, sf):
-    decided = jobs.limiter(_event_stream(spark, sf), key="user_id", at="ts", limit=3, seconds=7200)
-    return _drain(spark, decided, "append", "limiter").groupBy("key").agg(F.count_if("allowed").alias("allowed"), F.count_if(~F.col("allowed")).alias("blocked"))
+    with keyed.rocksdb(spark):
+        decided = _drain(spark, keyed.limiter(_event_stream(spark, sf), key="user_id", at="ts", limit=3, seconds=7200), "append", "limiter")
+    return decided.groupBy("key").agg(F.count_if("taken").alias("allowed"), F.count_if(~F.col("taken")).alias("blocked"))
 
 
-@query("str02_stream_history")
+@query("str02_stream_history", f"{_HISTORY_SQL} SELECT key AS query, count(*) FILTER (taken)::BIGINT AS stored FROM f WHERE {_CLOSED} GROUP BY key")
 def str02_stream_history(spark, sf):
-    stream = _event_stream(spark, sf).withColumn("query", F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")))
-    return _drain(spark, jobs.history(stream, query="query", at="ts"), "append", "history").groupBy("query").agg(F.count("*").alias("stored"))
+    with keyed.rocksdb(spark):
+        decided = _drain(spark, keyed.history(_asked(_event_stream(spark, sf)), query="query", at="ts"), "append", "history")
+    return decided.groupBy(F.col("key").alias("query")).agg(F.count_if("taken").alias("stored"))
+
+
+@query("str03_cache", f"{_CACHE_SQL} SELECT key AS query, count(*) FILTER (taken)::BIGINT AS hits, count(*) FILTER (NOT taken)::BIGINT AS misses FROM f WHERE {_CLOSED} GROUP BY key")
+def str03_cache(spark, sf):
+    """Which searches find their result in a cache whose entries live longer the more they are used."""
+    with keyed.rocksdb(spark):
+        uses = _drain(spark, keyed.cached(_asked(_event_stream(spark, sf)), key="query", at="ts", ttl=600.0), "append", "cache")
+    return uses.groupBy(F.col("key").alias("query")).agg(F.count_if("taken").alias("hits"), F.count_if(~F.col("taken")).alias("misses"))
 
 
 @query("ext_window_tumbling", "SELECT date_trunc('hour', ts) AS start, event_type, count(*)::BIGINT AS n FROM events GROUP BY ALL")

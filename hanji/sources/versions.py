@@ -13,7 +13,7 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 class Conflict(RuntimeError):
@@ -42,6 +42,13 @@ def own_folder(spark: SparkSession, name: str = "query") -> str:
     return path
 
 
+def stored(rows: DataFrame, name: str = "table") -> DataFrame:
+    """``rows`` written once to the shared folder and read back: its size is known then, and no plan computes it again."""
+    path = own_folder(rows.sparkSession, name)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 class Versions:
     def __init__(self, spark: SparkSession, root: str):
         self.spark, self.root = spark, root.rstrip("/")

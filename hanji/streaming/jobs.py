@@ -1,19 +1,15 @@
-"""Structured Streaming jobs: limiter, history dedupe, incremental ingest, search-log windows.
+"""Structured Streaming jobs: incremental ingest, refresh of changed files, search-log windows and sessions, answer events.
 
-State is keyed and bounded: a limiter keeps at most its limit of stamps per key, the history one stamp per query, both
-with timers that drop a key when its window has passed.
+Jobs with keyed state of their own are in :mod:`hanji.streaming.keyed`.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterator
-from typing import Any
+from collections.abc import Callable
 
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from hanji.operators import stores
 from hanji.sources import files
@@ -23,55 +19,6 @@ def file_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigge
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def limiter(requests: DataFrame, *, key: str, at: str, limit: int, seconds: int, lateness: str = "1 minute") -> DataFrame:
-    """(key, at, allowed) of each request under a sliding log of accepted ones."""
-
-    def decide(group: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        log = list(state.get[0]) if state.exists else []
-        for batch in batches:
-            out = []
-            for at in sorted(batch["at"]):
-                t = at.timestamp()
-                log = [s for s in log if s > t - seconds]
-                ok = len(log) < limit
-                if ok:
-                    log.append(t)
-                out.append((group[0], at, ok))
-            yield pd.DataFrame(out, columns=["key", "at", "allowed"])
-        state.update((log,))
-        state.setTimeoutTimestamp(max(int((log[-1] + seconds + 1) * 1000) if log else 0, state.getCurrentWatermarkMs() + 1))
-
-    named = requests.select(F.col(key).cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).withWatermark("at", lateness)
-    return named.groupBy("key").applyInPandasWithState(decide, "key string, at timestamp, allowed boolean", "log array<double>", "append", GroupStateTimeout.EventTimeTimeout)
-
-
-def history(searches: DataFrame, *, query: str, at: str, seconds: int = 300, lateness: str = "1 minute") -> DataFrame:
-    """(query, at) of the searches that are stored: not within five minutes of the same query's last stored one."""
-
-    def store(group: tuple[Any, ...], batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
-            state.remove()
-            return
-        last = state.get[0] if state.exists else None
-        for batch in batches:
-            kept = []
-            for t in sorted(batch["at"]):
-                s = t.timestamp()
-                if last is None or s - last >= seconds:
-                    last = s
-                    kept.append((group[0], t))
-            yield pd.DataFrame(kept, columns=["query", "at"])
-        if last is not None:
-            state.update((last,))
-            state.setTimeoutTimestamp(max(int((last + seconds + 1) * 1000), state.getCurrentWatermarkMs() + 1))
-
-    named = searches.select(F.trim(F.col(query)).alias("query"), F.col(at).cast("timestamp").alias("at")).filter(F.length("query") >= 2).withWatermark("at", lateness)
-    return named.groupBy("query").applyInPandasWithState(store, "query string, at timestamp", "last double", "append", GroupStateTimeout.EventTimeTimeout)
-
-
 def windows(searches: DataFrame, *, at: str, size: str = "1 hour", slide: str | None = None, lateness: str = "10 minutes", by: tuple[str, ...] = ()) -> DataFrame:
     """Searches counted in tumbling or sliding windows of event time."""
     timed = searches.withColumn("_at", F.col(at).cast("timestamp")).withWatermark("_at", lateness)
