@@ -3,43 +3,71 @@
 from __future__ import annotations
 
 import io
-import json
-import zipfile
 
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from hanji.functions import korean
 from hanji.functions import text as T
-from hanji.operators import boolean, chunking, grounding, index, retrieve, stores
+from hanji.operators import grounding, index, retrieve, segments, stores
 from hanji.plans.catalogue import query, table
+from hanji.plans.queries_search import TERMS, _bm25_sql
+from hanji.sources import connectors
 from hanji.sources.versions import own_folder
+from hanji.streaming import jobs
 
 
 def _docs(spark, sf):
     return table(spark, sf, "documents")
 
 
-def _archive() -> bytes:
-    out = io.BytesIO()
-    with zipfile.ZipFile(out, "w") as z:
-        for name, data in (("ok1.txt", "one"), ("nested/ok1.txt", "two"), ("../evil.txt", "x"), ("skip.exe", "x"), ("a/b.docx", "y")):
-            z.writestr(name, data)
-    return out.getvalue()
+def _archives(spark, sf) -> str:
+    """Documents in ZIP archives of forty, under names that are to be flattened, made unique, skipped or refused."""
+    folder = own_folder(spark, "archives")
 
+    def pack(frame):
+        import zipfile
+
+        import pandas as pd
+        from pyarrow import fs
+
+        part = int(frame["part"].iloc[0])
+        store, base = fs.FileSystem.from_uri(folder)
+        store.create_dir(base, recursive=True)
+        out = io.BytesIO()
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for doc_id, text in sorted(zip(frame["doc_id"], frame["text"], strict=True)):
+                z.writestr((f"d{doc_id}.txt", "a/same.txt", f"../evil{doc_id}.txt", f"skip{doc_id}.exe", f"x/y/d{doc_id}.docx")[doc_id % 5], text)
+        with store.open_output_stream(f"{base}/z{part}.zip", compression=None) as file:
+            file.write(out.getvalue())
+        return pd.DataFrame({"part": [part], "bytes": [len(out.getvalue())]})
+
+    rows = _docs(spark, sf).filter("text IS NOT NULL").select(F.floor(F.col("doc_id") / 40).alias("part"), "doc_id", "text")
+    rows.groupBy("part").applyInPandas(pack, "part long, bytes long").agg(F.sum("bytes")).collect()
+    return folder
+
+
+_MEMBERS_SQL = """m AS (SELECT doc_id // 40 AS part, doc_id, text, CASE doc_id % 5 WHEN 0 THEN 'd' || doc_id || '.txt' WHEN 1 THEN 'a/same.txt' WHEN 2 THEN '../evil' || doc_id || '.txt' WHEN 3 THEN 'skip' || doc_id || '.exe' ELSE 'x/y/d' || doc_id || '.docx' END AS member,
+  CASE doc_id % 5 WHEN 2 THEN 'failed' WHEN 3 THEN 'skipped' ELSE 'success' END AS status, row_number() OVER (PARTITION BY doc_id // 40, doc_id % 5 ORDER BY doc_id) AS r FROM documents WHERE text IS NOT NULL)"""
 
-@query("src15_zip", "SELECT * FROM (VALUES ('ok1.txt', 'ok1.txt', 'success'), ('nested/ok1.txt', 'ok1_1.txt', 'success'), ('../evil.txt', NULL, 'failed'), ('skip.exe', NULL, 'skipped'), ('a/b.docx', 'b.docx', 'success')) t(member, name, status)")
-def src15_zip(spark, sf):
-    from hanji.sources.files import archive_members
 
-    return archive_members(spark.createDataFrame([("z.zip", bytearray(_archive()))], "path string, content binary")).select("member", "name", "status")
+def _part(archive: str):
+    return F.regexp_extract(archive, r"z(\d+)\.zip$", 1).cast("long").alias("part")
 
 
-@query("agg29_zip_totals", "SELECT 'z.zip' AS archive, 3::BIGINT AS success, 1::BIGINT AS failed, 1::BIGINT AS skipped, 7::BIGINT AS bytes")
+@query("src15_zip", f"WITH {_MEMBERS_SQL} SELECT part, member, CASE doc_id % 5 WHEN 0 THEN member WHEN 1 THEN 'same' || CASE WHEN r > 1 THEN '_' || (r - 1) ELSE '' END || '.txt' WHEN 4 THEN 'd' || doc_id || '.docx' END AS name, status, CASE WHEN status = 'success' THEN md5(text) END AS h FROM m")
+def src15_zip(spark, sf):
+    """Archives of all documents, read back by ranges of members."""
+    connectors.register(spark)
+    found = spark.read.format("zip_members").load(_archives(spark, sf))
+    return found.select(_part("archive"), "member", "name", "status", F.md5("content").alias("h"))
+
+
+@query("agg29_zip_totals", f"WITH {_MEMBERS_SQL} SELECT part, count(*) FILTER (status = 'success')::BIGINT AS success, count(*) FILTER (status = 'failed')::BIGINT AS failed, count(*) FILTER (status = 'skipped')::BIGINT AS skipped, coalesce(sum(strlen(text)) FILTER (status = 'success'), 0)::BIGINT AS bytes FROM m GROUP BY part")
 def agg29_zip_totals(spark, sf):
-    from hanji.sources.files import archive_members, archive_totals
+    from hanji.sources.files import archive_totals
 
-    return archive_totals(archive_members(spark.createDataFrame([("z.zip", bytearray(_archive()))], "path string, content binary")))
+    connectors.register(spark)
+    return archive_totals(spark.read.format("zip_members").load(_archives(spark, sf))).select(_part("archive"), "success", "failed", "skipped", "bytes")
 
 
 @query("src01_folder_scan", "SELECT source, count(*)::BIGINT AS n_lines, sum(length(line))::BIGINT AS n_chars FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) GROUP BY source")
@@ -258,43 +286,75 @@ def str08_answer_events(spark, sf):
     return spark.createDataFrame([(e["seq"], e["event"]) for e in events], "seq int, event string")
 
 
-def _put(spark, folder: str, texts: dict) -> None:
-    """Write files; None deletes one."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    fs = hadoop(folder).getFileSystem(spark._jsc.hadoopConfiguration())
-    for name, text in texts.items():
-        if text is None:
-            fs.delete(hadoop(f"{folder}/{name}"), False)
-            continue
-        out = fs.create(hadoop(f"{folder}/{name}"))
-        out.write(bytearray(text.encode()))
-        out.close()
+def _write_texts(rows, folder: str) -> None:
+    """Documents as lines of text files, a folder a source."""
+    rows.select("source", "text").write.mode("append").partitionBy("source").text(folder)
+
 
+def _lines(read):
+    """(path, line, text) of the lines of text files."""
+    content = F.regexp_replace(F.col("content").cast("string"), r"\n\z", "")
+    return read.select("path", F.posexplode(F.split(content, "\n")).alias("line", "text"))
 
-def _chunked(rows):
-    named = rows.select(T.file_id("path").alias("file_id"), F.element_at(F.split("path", "/"), -1).alias("source"), "path", "text")
-    return chunking.chunk_table(named)
 
+def _source(path: str = "path"):
+    return F.regexp_extract(path, "source=([^/]+)/", 1).alias("source")
 
-@query("str07_incremental_ingest", "SELECT * FROM (VALUES ('a.txt', 1::BIGINT), ('b.txt', 1::BIGINT)) t(source, n)")
+
+@query("str07_incremental_ingest", "SELECT source, count(*)::BIGINT AS n FROM (SELECT source, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL AND source IS NOT NULL) GROUP BY source")
 def str07_incremental_ingest(spark, sf):
-    from hanji.sources.extract import extract
-    from hanji.streaming.jobs import incremental_ingest
+    """Files of all documents that arrive in two halves; each call reads those that are new."""
+    base, rows = own_folder(spark), _docs(spark, sf).filter("text IS NOT NULL AND source IS NOT NULL")
+    for half in (0, 1):
+        _write_texts(rows.filter(F.col("doc_id") % 2 == half), f"{base}/in")
+        jobs.incremental_ingest(spark, f"{base}/in", f"{base}/chunks", f"{base}/state", lambda read: read, _lines).awaitTermination()
+    return spark.read.parquet(f"{base}/chunks").groupBy(_source()).agg(F.count("*").alias("n"))
+
+
+def _refreshed(spark, sf, after=lambda target: None) -> str:
+    """Files of the documents with even numbers; then one source's files go and those of odd numbers come."""
+    base, rows = own_folder(spark), _docs(spark, sf).filter("text IS NOT NULL AND source IS NOT NULL")
+    _write_texts(rows.filter("doc_id % 2 = 0"), f"{base}/in")
+    jobs.refresh(spark, f"{base}/in", f"{base}/index", lambda read: read, _lines)
+    after(f"{base}/index")
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    hadoop(f"{base}/in").getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop(f"{base}/in/source=src1"), True)
+    _write_texts(rows.filter("doc_id % 2 = 1").withColumn("source", F.concat("source", F.lit("-b"))), f"{base}/in")
+    jobs.refresh(spark, f"{base}/in", f"{base}/index", lambda read: read, _lines)
+    after(f"{base}/index")
+    return f"{base}/index"
+
 
-    base = own_folder(spark)
-    _put(spark, f"{base}/in", {"a.txt": "first regulation text", "b.txt": "second regulation text"})
-    incremental_ingest(spark, f"{base}/in", f"{base}/chunks", f"{base}/state", extract, _chunked).awaitTermination()
-    return spark.read.parquet(f"{base}/chunks").groupBy("source").agg(F.count("*").alias("n"))
+_LEFT = "SELECT doc_id, source, CASE doc_id % 2 WHEN 0 THEN source ELSE source || '-b' END AS folder, text FROM main.documents WHERE text IS NOT NULL AND source IS NOT NULL AND (doc_id % 2 = 1 OR source <> 'src1')"
 
 
-@query("str07_refresh", "SELECT * FROM (VALUES ('a.txt', 'first text, rewritten'), ('c [1].txt', 'third regulation text'), ('d.TXT', 'fourth regulation text')) t(source, text)")
+@query("str07_refresh", f"SELECT source, count(*)::BIGINT AS n, sum(length(text))::BIGINT AS n_chars FROM (SELECT folder AS source, unnest(string_split(text, chr(10))) AS text FROM ({_LEFT})) GROUP BY source")
 def str07_refresh(spark, sf):
-    """Of four files one is rewritten, one deleted, one comes later and one stays."""
-    from hanji.sources.extract import extract
-    from hanji.streaming.jobs import current, refresh
-
-    base = own_folder(spark)
-    for texts in ({"a.txt": "first regulation text", "b.txt": "second regulation text", "c [1].txt": "third regulation text"}, {"a.txt": "first text, rewritten", "b.txt": None, "d.TXT": "fourth regulation text"}):
-        _put(spark, f"{base}/in", texts)
-        refresh(spark, f"{base}/in", f"{base}/index", extract, _chunked)
-    return current(spark, f"{base}/index").select("source", "text")
+    return jobs.current(spark, _refreshed(spark, sf)).groupBy(_source()).agg(F.count("*").alias("n"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@query("src21_change_stream", "SELECT DISTINCT 1 AS version, 'process' AS action, source FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id % 2 = 0 UNION ALL SELECT DISTINCT 2, 'removed', source FROM documents WHERE source = 'src1' AND text IS NOT NULL AND doc_id % 2 = 0 UNION ALL SELECT DISTINCT 2, 'process', source || '-b' FROM documents WHERE text IS NOT NULL AND source IS NOT NULL AND doc_id % 2 = 1")
+def src21_change_stream(spark, sf):
+    """Created and deleted files as a stream whose offsets are the versions of the refreshed folder."""
+    connectors.register(spark)
+    out = own_folder(spark)
+
+    def drain(target: str) -> None:
+        changes = spark.readStream.format("file_changes").load(target)
+        changes.writeStream.format("parquet").option("path", f"{out}/rows").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
+
+    _refreshed(spark, sf, drain)
+    return spark.read.parquet(f"{out}/rows").select("version", "action", _source()).distinct()
+
+
+_LINES_SQL = _bm25_sql(TERMS).replace("FROM documents)", "FROM lines)", 1)
+
+
+@query("str07_index_follows", f"WITH lines AS (SELECT row_number() OVER () AS doc_id, text FROM (SELECT unnest(string_split(text, chr(10))) AS text FROM ({_LEFT}))), {_LINES_SQL} SELECT md5(text) AS h, score FROM bm25 JOIN lines USING (doc_id)")
+def str07_index_follows(spark, sf):
+    """An index of lines that follows each refresh: what it finds at the end is what an index of the files left finds."""
+    at = own_folder(spark, "segments")
+    line_id = lambda: F.concat_ws("#", "path", F.col("line").cast("string"))
+    target = _refreshed(spark, sf, lambda t: jobs.follow(segments.SegmentIndex(spark, at), t, line_id))
+    found = segments.SegmentIndex(spark, at).search(TERMS).select("doc_id", F.round("score", 6).alias("score"))
+    return jobs.current(spark, target).select(line_id().alias("doc_id"), F.md5("text").alias("h")).join(found, "doc_id").select("h", "score")

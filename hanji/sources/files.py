@@ -6,6 +6,7 @@ import io
 import json
 import posixpath
 import zipfile
+import zlib
 from collections.abc import Iterator
 
 import pandas as pd
@@ -37,56 +38,71 @@ def listing(spark: SparkSession, path: str, root: str | None = None) -> DataFram
 MEMBERS = "archive string, member string, name string, status string, reason string, content binary"
 
 
-def archive_members(archives: DataFrame, *, entries=config.ZIP_ENTRIES, total=config.ZIP_TOTAL, single=config.ZIP_SINGLE) -> DataFrame:
-    """Members of ZIP archives (path, content): extracted, skipped or failed, with names flattened and made unique.
+def zip_members(path: str, file, first: int = 0, last: int | None = None, *, entries=config.ZIP_ENTRIES, total=config.ZIP_TOTAL, single=config.ZIP_SINGLE, wanted=None) -> Iterator[tuple]:
+    """Rows of :data:`MEMBERS` of the members with numbers from ``first`` up to ``last``, of an open ZIP archive.
 
-    Sizes are held to the limits as declared and as read; a member outside its archive's folder fails.
+    Extracted, skipped or failed, with names flattened and made unique in the archive. Sizes are held to the limits as
+    declared and as read; a member outside its archive's folder fails. An archive that cannot be read, or is beyond the
+    limits, is one failed row, of the first range. ``wanted`` tells which members are to be unpacked and returned.
     """
-
-    def members(path: str, raw: bytes):
-        try:
-            z = zipfile.ZipFile(io.BytesIO(raw))
-        except zipfile.BadZipFile as e:
+    try:
+        z = zipfile.ZipFile(file)
+    except zipfile.BadZipFile as e:
+        if not first:
             yield path, None, None, "failed", str(e), None
-            return
-        used: set[str] = set()
-        read = 0
-        with z:
-            infos = [i for i in z.infolist() if not i.is_dir()]
-            if len(infos) > entries or sum(i.file_size for i in infos) > total:
+        return
+    used: set[str] = set()
+    with z:
+        infos = [i for i in z.infolist() if not i.is_dir()]
+        if len(infos) > entries or sum(i.file_size for i in infos) > total:
+            if not first:
                 yield path, None, None, "failed", "archive exceeds its limits", None
-                return
-            for info in infos:
-                inside = info.filename.replace("\\", "/")
-                if inside.startswith("/") or ".." in inside.split("/") or ":" in inside.split("/")[0]:
-                    yield path, info.filename, None, "failed", "path leaves the archive", None
-                elif posixpath.splitext(inside)[1].lower() not in config.EXTENSIONS:
-                    yield path, info.filename, None, "skipped", "format", None
-                elif info.file_size > single:
-                    yield path, info.filename, None, "failed", "member is too large", None
-                else:
-                    with z.open(info) as f:
-                        data = f.read(single + 1)
-                    read += len(data)
-                    if len(data) > single or read > total:
-                        yield path, info.filename, None, "failed", "member is larger than declared", None
-                        continue
-                    name = safe_name(inside)
-                    stem, ending = posixpath.splitext(name)
-                    n = 0
-                    while name.lower() in used and n < 999:
-                        n += 1
-                        name = f"{stem}_{n}{ending}"
-                    if name.lower() in used:
-                        yield path, info.filename, None, "failed", "no free name is left", None
-                        continue
-                    used.add(name.lower())
-                    yield path, info.filename, name, "success", None, data
+            return
+        for number, info in enumerate(infos[:last]):
+            inside = info.filename.replace("\\", "/")
+            mine, fault = number >= first and (wanted is None or wanted(info.filename)), None
+            if inside.startswith("/") or ".." in inside.split("/") or ":" in inside.split("/")[0]:
+                fault = "failed", "path leaves the archive"
+            elif posixpath.splitext(inside)[1].lower() not in config.EXTENSIONS:
+                fault = "skipped", "format"
+            elif info.file_size > single:
+                fault = "failed", "member is too large"
+            if fault:
+                if mine:
+                    yield path, info.filename, None, *fault, None
+                continue
+            name = safe_name(inside)
+            stem, ending = posixpath.splitext(name)
+            n = 0
+            while name.lower() in used and n < 999:
+                n += 1
+                name = f"{stem}_{n}{ending}"
+            free = name.lower() not in used
+            used.add(name.lower())
+            if not mine:
+                continue
+            if not free:
+                yield path, info.filename, None, "failed", "no free name is left", None
+                continue
+            try:
+                with z.open(info) as f:
+                    data = f.read(single + 1)
+            except (zipfile.BadZipFile, zlib.error, EOFError, NotImplementedError, RuntimeError) as e:
+                yield path, info.filename, None, "failed", str(e), None
+                continue
+            if len(data) > min(single, info.file_size):
+                yield path, info.filename, None, "failed", "member is larger than declared", None
+            else:
+                yield path, info.filename, name, "success", None, data
+
+
+def archive_members(archives: DataFrame, **limits) -> DataFrame:
+    """Members of ZIP archives (path, content) that are in memory; see :func:`zip_members`. For stored ones, see :class:`hanji.sources.connectors.ZipMembers`."""
 
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for p, c in zip(batch["path"], batch["content"], strict=True):
-                for row in members(p, bytes(c)):
+                for row in zip_members(p, io.BytesIO(bytes(c)), **limits):
                     yield pd.DataFrame([row], columns=[x.split()[0] for x in MEMBERS.split(", ")])
 
     return archives.select("path", "content").mapInPandas(work, MEMBERS)

@@ -6,13 +6,16 @@ Jobs with keyed state of their own are in :mod:`hanji.streaming.keyed`.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hanji.operators import stores
+from hanji.operators.segments import SegmentIndex
 from hanji.sources import files
+from hanji.sources.versions import Versions
 
 
 def file_stream(spark: SparkSession, path: str, schema: str, *, files_per_trigger: int = 100) -> DataFrame:
@@ -44,45 +47,58 @@ def incremental_ingest(spark: SparkSession, folder: str, target: str, checkpoint
     return arrived.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def _newest(spark: SparkSession, target: str) -> int:
-    """The newest version whose manifest was written to its end; 0 where there is none."""
-    hadoop = spark._jvm.org.apache.hadoop.fs.Path
-    folder = hadoop(f"{target}/manifest")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
-    return max((int(n[1:]) for n in names if fs.exists(hadoop(folder, f"{n}/_SUCCESS"))), default=0)
-
-
 def refresh(spark: SparkSession, folder: str, target: str, extract: Callable[[DataFrame], DataFrame], chunk: Callable[[DataFrame], DataFrame]) -> dict[str, int]:
     """Bring ``target`` up to a folder's new, changed and deleted files; returns how many were processed, cached, removed.
 
-    Each call adds a version: the chunks of the files it processed, and a manifest that names for every file the version
-    with its chunks. Nothing older is rewritten; chunks of changed and deleted files are simply named no longer. The
-    manifest comes last, so a call that breaks off leaves the version before as it is, and the next one overwrites it. Only
-    files to be processed are read; their paths pass the driver, which has listed the folder anyway. ``chunk`` must keep
-    ``path``. A file that goes while it is read fails the call.
+    Each call adds a version (:mod:`hanji.sources.versions`): the chunks of the files it processed, a manifest that names for
+    every file the load with its chunks, and the list of changes. Nothing older is rewritten; chunks of changed and deleted
+    files are simply named no longer. A call that breaks off leaves the version before as it is, and of two that race one
+    fails. Only files to be processed are read; their paths pass the driver, which has listed the folder anyway. ``chunk``
+    must keep ``path``. A file that goes while it is read fails the call.
     """
-    last = _newest(spark, target)
-    n = last + 1
+    versions, load = Versions(spark, target), uuid.uuid4().hex
+    number, state = versions.newest()
     listing = files.folder(spark, folder).select(F.col("path").alias("key"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
-    manifest = spark.read.parquet(f"{target}/manifest/v{last}") if last else listing.withColumn("version", F.lit(0)).limit(0)
+    manifest = spark.read.parquet(f"{target}/manifest/{state['load']}") if number else listing.withColumn("load", F.lit("")).limit(0)
     actions = stores.manifest_diff(listing, manifest).persist()
-    known = manifest.select("key", F.col("version").alias("known"))
+    known = manifest.select("key", F.col("load").alias("known"))
     listed = listing.join(actions, "key").join(known, "key", "left")
-    version = F.when(F.col("action") == "cached", F.col("known")).otherwise(F.lit(n))
     todo = [re.sub(r"([\[\]{}*?\\])", r"\\\1", r["key"]) for r in actions.filter("action = 'process'").select("key").collect()]
     read = spark.read.format("binaryFile").load(todo) if todo else files.folder(spark, folder).limit(0)
-    chunk(extract(read)).write.mode("overwrite").parquet(f"{target}/chunks/version={n}")
-    listed.select("key", "size", "mtime", version.cast("int").alias("version")).write.mode("overwrite").parquet(f"{target}/manifest/v{n}")
+    chunk(extract(read)).write.parquet(f"{target}/chunks/load={load}")
+    listed.select("key", "size", "mtime", F.when(F.col("action") == "cached", F.col("known")).otherwise(F.lit(load)).alias("load")).write.parquet(f"{target}/manifest/{load}")
+    actions.filter("action <> 'cached'").select(F.col("key").alias("path"), "action").write.parquet(f"{target}/changes/{load}")
+    versions.commit(number, {"load": load})
     counts = {r["action"]: r["count"] for r in actions.groupBy("action").count().collect()}
     actions.unpersist()
     return {action: counts.get(action, 0) for action in ("process", "cached", "removed")}
 
 
-def current(spark: SparkSession, target: str) -> DataFrame:
-    """The chunks of the files as the last :func:`refresh` found them."""
-    named = spark.read.parquet(f"{target}/manifest/v{_newest(spark, target)}").select(F.col("key").alias("path"), "version")
-    return spark.read.parquet(f"{target}/chunks").join(named, ["path", "version"]).drop("version")
+def current(spark: SparkSession, target: str, version: int | None = None) -> DataFrame:
+    """The chunks of the files as the last :func:`refresh`, or that of a version, found them."""
+    versions = Versions(spark, target)
+    number, state = versions.newest() if version is None else (version, versions.read(version))
+    if not number:
+        raise ValueError(f"{target} has no version yet")
+    named = spark.read.parquet(f"{target}/manifest/{state['load']}").select(F.col("key").alias("path"), "load")
+    return spark.read.option("basePath", f"{target}/chunks").parquet(f"{target}/chunks").join(named, ["path", "load"]).drop("load")
+
+
+def follow(index: SegmentIndex, target: str, chunk_id: Callable[[], Column]) -> SegmentIndex:
+    """Bring an index up to the newest :func:`refresh`: chunks of changed and deleted files go, new ones come, in one version.
+
+    The index remembers the refresh that it has followed, so that a call that is repeated changes nothing. ``chunk_id`` makes
+    an id of a chunk's columns; only chunks of files that have changed since are read.
+    """
+    spark, versions = index.spark, Versions(index.spark, target)
+    newest, _ = versions.newest()
+    since = index.state.get("refresh", 0)
+    if since >= newest:
+        return index
+    loads = [versions.read(n)["load"] for n in range(since + 1, newest + 1)]
+    changed = spark.read.schema("path string, action string").parquet(*[f"{target}/changes/{x}" for x in loads]).select("path").distinct()
+    of = lambda number: current(spark, target, number).join(changed, "path", "left_semi").select(chunk_id().alias("doc_id"), "text")
+    return index.apply(added=of(newest), deleted=of(since).select("doc_id") if since else None, refresh=newest)
 
 
 def answer_events(answer_tokens: list[str], citations: list[dict], final: str) -> list[dict]:
