@@ -329,17 +329,24 @@ class VectorIndex:
                     codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, parts)
                     about = np.array([x["gap"] for x in r["asked"]])[:, None] + np.frombuffer(r["bias"], float)[None, :] - 2 * sum(t[:, codes[:, j]] for j, t in enumerate(table))
                     best = np.argpartition(about, most - 1, axis=1)[:, :most] if about.shape[1] > most else np.broadcast_to(np.arange(about.shape[1]), about.shape)
-                    rows, loads = np.frombuffer(r["rows"], np.int64), np.array(r["load"], object)
-                    ids = pa.array([x["query_id"] for x in r["asked"]]).take(pa.array(np.repeat(np.arange(len(about)), best.shape[1])))
-                    yield pa.RecordBatch.from_arrays([ids, pa.array(loads[best].reshape(-1), pa.string()), pa.array(rows[best].reshape(-1)), pa.array([r["cell"]] * best.size, pa.int32()), pa.array(np.take_along_axis(about, best, 1).reshape(-1))], names=["query_id", "load", "row", "cell", "about"])
+                    rows, loads = np.frombuffer(r["rows"], np.int64)[best], np.array(r["load"], object)[best]
+                    ids = pa.array([x["query_id"] for x in r["asked"]])
+                    yield pa.RecordBatch.from_arrays([ids, pa.array([r["cell"]] * len(ids), pa.int32()), pa.array(loads.tolist(), pa.list_(pa.string())), pa.array(rows.tolist(), pa.list_(pa.int64())), pa.array(np.take_along_axis(about, best, 1).tolist(), pa.list_(pa.float64()))], names=["query_id", "cell", "load", "row", "about"])
+
+        def merge(found: pa.Table) -> pa.Table:
+            """The best candidates of one query, of all packs: as many lists as cells are probed and packs are in them."""
+            sizes = np.concatenate([np.diff(c.offsets.to_numpy()) for c in found["row"].chunks])
+            flat = {c: pa.chunked_array([x.flatten() for x in found[c].chunks]).combine_chunks() for c in ("load", "row", "about")}
+            cell = np.repeat(found["cell"].to_numpy(), sizes)
+            best = np.lexsort((flat["row"].to_numpy(), flat["about"].to_numpy()))[:most]
+            return pa.table({"query_id": found["query_id"].take(pa.array(np.zeros(len(best), np.int64))), "load": flat["load"].take(pa.array(best)), "row": flat["row"].take(pa.array(best)), "cell": pa.array(cell[best], pa.int32())})
 
         blocks = max(1, ceil(asked.count() / BLOCK))
         probes = asked.mapInArrow(probe, f"query_id {kind}, q array<float>, cell int, gap double")
         grouped = probes.groupBy("cell", F.pmod(F.xxhash64("query_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("query_id", "q", "gap")).alias("asked")).drop("block")
         packs = self._codes().mapInArrow(pack, "cell int, load array<string>, rows binary, bias binary, codes binary")
-        about = grouped.join(packs, "cell").mapInArrow(meet, f"query_id {kind}, load string, row long, cell int, about double")
-        place = F.row_number().over(Window.partitionBy("query_id").orderBy("about", "load", "row"))
-        chosen = about.withColumn("place", place).filter(F.col("place") <= most).drop("place", "about")
+        met = grouped.join(packs, "cell").mapInArrow(meet, f"query_id {kind}, cell int, load array<string>, row array<long>, about array<double>")
+        chosen = met.groupBy("query_id").applyInArrow(merge, f"query_id {kind}, load string, row long, cell int")
         found = chosen.join(self.vectors(), ["load", "row", "cell"]).join(asked, "query_id")
         distance = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))

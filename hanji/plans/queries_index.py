@@ -6,8 +6,10 @@ import re
 
 from pyspark.sql import functions as F
 
-from hanji.operators import boolean, segments, vector_index
+from hanji.operators import boolean, chunking, index, segments, vector_index
+from hanji.plans import table_functions
 from hanji.plans.catalogue import query, table
+from hanji.plans.queries_regulations import _REGULATION, M, N, O, S, derived
 from hanji.plans.queries_search import L2_SQL, TERMS, TOKENS, _bm25_sql, _query_vector
 from hanji.sources.versions import own_folder
 
@@ -104,3 +106,50 @@ def ml04_vector_loads(spark, sf):
     ix = ix.delete(rows.filter("doc_id % 5 = 1").select("doc_id")).rebuild()
     best, _ = ix.nearest(_query_vector(spark, sf), 20)
     return best.select("doc_id", F.round("distance", 6).alias("distance"))
+
+
+# Table functions
+
+
+@query("ml09_search_function", f"WITH {_bm25_sql(TERMS)} SELECT doc_id, score FROM bm25 ORDER BY score DESC, doc_id LIMIT 10")
+def ml09_search_function(spark, sf):
+    """``search`` called from SQL text."""
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS article_no", "lang AS article_title")
+    table_functions.register_search(spark, index.build(docs), docs)
+    return spark.sql(f"SELECT doc_id, round(score, 6) AS score FROM search('{' '.join(TERMS)}')")
+
+
+@query("ml09_article_function", "SELECT doc_id, (CASE WHEN contains(lower(coalesce(lang, '')), 'en') THEN 3 ELSE 0 END + CASE WHEN contains(lower(text), 'en') THEN 1 ELSE 0 END)::INT AS score FROM documents WHERE contains(lower(coalesce(lang, '') || ' ' || coalesce(text, '')), 'en') ORDER BY score DESC, doc_id LIMIT 50")
+def ml09_article_function(spark, sf):
+    """``get_article`` called from SQL text."""
+    docs = table(spark, sf, "documents").selectExpr("doc_id", "text", "CAST(NULL AS STRING) AS article_no", "lang AS article_title")
+    table_functions.register_search(spark, index.build(docs.limit(0)), docs)
+    return spark.sql("SELECT * FROM get_article('EN')")
+
+
+@query("sf18_chunk_function", "SELECT count(*)::BIGINT AS n_documents, true AS same FROM documents")
+def sf18_chunk_function(spark, sf):
+    """``chunk_document`` from SQL text against the DataFrame form, over all documents."""
+    table_functions.register(spark)
+    docs = table(spark, sf, "documents")
+    docs.createOrReplaceTempView("hanji_documents")
+    called = spark.sql("SELECT d.doc_id, c.chunk_id, md5(c.chunk) AS h FROM hanji_documents d, LATERAL chunk_document(d.text, 500, 50) c")
+    split = docs.select("doc_id", F.posexplode(chunking.split(F.col("text"), 500, 50)).alias("chunk_id", "chunk")).select("doc_id", "chunk_id", F.md5("chunk").alias("h"))
+    differing = called.exceptAll(split).unionAll(split.exceptAll(called)).agg((F.count("*") == 0).alias("same"))
+    return docs.agg(F.count("*").alias("n_documents")).crossJoin(F.broadcast(differing))
+
+
+@query("sf16_article_function", f"""SELECT doc_id, 0 AS pos, '제' || {N} || '조' AS number, {S} || ') 첫째 줄' AS title, 0 AS n_paragraphs FROM documents
+UNION ALL SELECT doc_id, 1, '제' || {M} || '조', '둘) ① 하나', 1 FROM documents UNION ALL SELECT doc_id, 2, '제' || {O} || '조의2', {S}, 0 FROM documents""")
+def sf16_article_function(spark, sf):
+    table_functions.register(spark)
+    derived(spark, sf, text=_REGULATION).createOrReplaceTempView("hanji_regulations")
+    return spark.sql("SELECT r.doc_id, a.pos, a.number, a.title, a.n_paragraphs FROM hanji_regulations r, LATERAL parse_articles(r.text) a")
+
+
+@query("win04_number_function", "WITH p AS (SELECT doc_id // 20 AS file, doc_id, trim(coalesce(text, '')) <> '' AS kept FROM documents) SELECT file, doc_id, (sum(kept::INT) OVER (PARTITION BY file ORDER BY doc_id) - 1)::INT AS number, (count(*) OVER (PARTITION BY file))::INT AS total_chunks FROM p QUALIFY kept")
+def win04_number_function(spark, sf):
+    """``number_chunks`` by file: documents as the chunks of files of twenty."""
+    table_functions.register(spark)
+    table(spark, sf, "documents").selectExpr("floor(doc_id / 20) AS file", "doc_id", "text AS chunk").createOrReplaceTempView("hanji_file_chunks")
+    return spark.sql("SELECT file, doc_id, number, total_chunks FROM number_chunks(TABLE(hanji_file_chunks) PARTITION BY file ORDER BY doc_id)")

@@ -7,6 +7,7 @@ import io
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from hanji import config
 from hanji.functions import text as T
 from hanji.operators import grounding, index, retrieve, segments, stores
 from hanji.plans.catalogue import query, table
@@ -278,12 +279,31 @@ def ml01_embed(spark, sf):
     return made.select("doc_id", F.round(retrieve.l2_norm(F.col("embedding")), 4).alias("norm"))
 
 
-@query("str08_answer_events", "SELECT * FROM (VALUES (0, 'meta'), (1, 'citation'), (2, 'token'), (3, 'token'), (4, 'replace'), (5, 'done')) t(seq, event)")
+_FINAL = f"CASE WHEN turn % 4 = 1 THEN '{config.REFUSAL}' ELSE text END"
+_WORDS = r"regexp_extract_all(text, '\S+\s*|\s+')"
+
+
+@query(
+    "str08_answer_events",
+    f"""WITH a AS (SELECT conv_id, turn, text, {_FINAL} AS final, {_WORDS} AS w FROM conversations WHERE role = 'assistant' AND text IS NOT NULL),
+e AS (SELECT conv_id, turn, 0 AS seq, 'meta' AS event, '1' AS data FROM a UNION ALL SELECT conv_id, turn, 1, 'citation', conv_id::VARCHAR FROM a
+  UNION ALL SELECT conv_id, turn, 1 + i, 'token', w[i] FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM a) UNION ALL SELECT conv_id, turn, 2 + len(w), 'replace', final FROM a WHERE final <> text
+  UNION ALL SELECT conv_id, turn, 2 + len(w) + (final <> text)::INT, 'done', final FROM a)
+SELECT conv_id::BIGINT AS conv_id, turn::BIGINT AS turn, seq::INT AS seq, event, data FROM e""",
+)
 def str08_answer_events(spark, sf):
-    from hanji.streaming.jobs import answer_events
+    """Every assistant's message as a streamed answer; the batch is run a second time, as after a crash before its commit."""
+    base = own_folder(spark)
+    schema = table(spark, sf, "conversations").schema
+    said = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf}/conversations.parquet*").filter("role = 'assistant' AND text IS NOT NULL")
+    answers = said.select("conv_id", "turn", F.col("text").alias("said"), F.expr(_FINAL).alias("final"), F.array(F.col("conv_id").cast("string")).alias("citations"))
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    for _ in range(2):
+        jobs.send_events(answers, f"{base}/log", f"{base}/state").awaitTermination()
+        commits = hadoop(f"{base}/state/commits")
+        commits.getFileSystem(spark._jsc.hadoopConfiguration()).delete(commits, True)
+    return connectors.events(spark, f"{base}/log", jobs.EVENTS)
 
-    events = answer_events(["환각 ", "답변"], [{"index": 1}], "해당 규정에서 확인할 수 없습니다.")
-    return spark.createDataFrame([(e["seq"], e["event"]) for e in events], "seq int, event string")
 
 
 def _write_texts(rows, folder: str) -> None:

@@ -1,28 +1,34 @@
-"""Data sources of Spark's Python data source API: members of stored ZIP archives, and the changes of a refreshed folder.
+"""Spark's Python data source API: members of stored ZIP archives, changes of a refreshed folder, a log of events.
 
-``register(spark)`` makes them known; then ``spark.read.format("zip_members").load(folder)`` and
-``spark.readStream.format("file_changes").load(target)``. Folders must be in a store that Arrow opens.
+``register(spark)`` makes them known; then ``spark.read.format("zip_members").load(folder)``,
+``spark.readStream.format("file_changes").load(target)`` and ``writeStream.format("event_log")``. Folders must be in a store
+that Arrow opens.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice
 from struct import unpack
 
 import pyarrow as pa
 import pyarrow.parquet as pq
 from pyarrow import fs as stores
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith
+from pyspark.sql import DataFrame, Row, SparkSession
+from pyspark.sql.datasource import (
+    DataSource, DataSourceReader, DataSourceStreamReader, DataSourceStreamWriter, EqualTo, Filter, In, InputPartition, StringEndsWith, StringStartsWith, WriterCommitMessage,
+)
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
 from hanji.sources.files import MEMBERS, zip_members
 
-#: Members that a task reads.
-RANGE = 64
+#: Members that a task reads; events that a task holds before it writes them.
+RANGE, EVENTS = 64, 10_000
 
 
 def _listed(folder: str, pattern: str) -> list[tuple[str, int]]:
@@ -155,8 +161,76 @@ class ChangeReader(DataSourceStreamReader):
             yield from table.append_column("version", pa.array([partition.version] * table.num_rows, pa.int32())).to_batches()
 
 
+@dataclass
+class Written(WriterCommitMessage):
+    file: str | None
+    rows: int
+
+
+class EventLog(DataSource):
+    """A sink that has every event of a stream once, whatever is killed and run again.
+
+    Tasks write files under names of their own and report them; when a batch is whole, one small file that bears its number
+    names them. A batch that is run again after that finds it and drops what it wrote; one that breaks off before
+    leaves files that nothing names. :func:`events` reads what is named.
+    """
+
+    @classmethod
+    def name(cls) -> str:
+        return "event_log"
+
+    def streamWriter(self, schema: StructType, overwrite: bool) -> DataSourceStreamWriter:
+        return EventWriter(self.options["path"].rstrip("/"), schema)
+
+
+class EventWriter(DataSourceStreamWriter):
+    def __init__(self, path: str, schema: StructType):
+        self.path, self.schema = path, schema
+
+    def write(self, iterator: Iterator[Row]) -> Written:
+        store, base = stores.FileSystem.from_uri(f"{self.path}/data")
+        arrow, out, rows, name = to_arrow_schema(self.schema), None, 0, f"{uuid.uuid4().hex}.parquet"
+        while some := list(islice(iterator, EVENTS)):
+            if out is None:
+                store.create_dir(base, recursive=True)
+                out = pq.ParquetWriter(f"{base}/{name}", arrow, filesystem=store)
+            out.write_table(pa.Table.from_pylist([r.asDict(recursive=True) for r in some], schema=arrow))
+            rows += len(some)
+        if out is not None:
+            out.close()
+        return Written(name if rows else None, rows)
+
+    def commit(self, messages: list[Written | None], batchId: int) -> None:
+        store, base = stores.FileSystem.from_uri(f"{self.path}/batches")
+        place = f"{base}/{batchId}.json"
+        if store.get_file_info(place).type != stores.FileType.NotFound:
+            self.abort(messages, batchId)
+            return
+        store.create_dir(base, recursive=True)
+        draft = f"{base}/.{uuid.uuid4().hex}"
+        with store.open_output_stream(draft) as file:
+            file.write(json.dumps([m.file for m in messages if m and m.file]).encode())
+        store.move(draft, place)
+
+    def abort(self, messages: list[Written | None], batchId: int) -> None:
+        store, base = stores.FileSystem.from_uri(f"{self.path}/data")
+        for m in messages:
+            if m and m.file:
+                store.delete_file(f"{base}/{m.file}")
+
+
+def events(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The events of all whole batches below a path that ``event_log`` wrote to."""
+    named = []
+    for uri, _ in _listed(f"{path}/batches", r"/\d+\.json$"):
+        with _open(uri) as file:
+            named += json.loads(file.read())
+    rows = spark.read.schema(schema)
+    return rows.parquet(*[f"{path}/data/{n}" for n in named]) if named else spark.createDataFrame([], schema)
+
+
 def register(spark: SparkSession) -> None:
-    """Make the sources known to a session, and have filters reach them."""
+    """Make the sources and sinks known to a session, and have filters reach them."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    for source in (ZipMembers, FileChanges):
+    for source in (ZipMembers, FileChanges, EventLog):
         spark.dataSource.register(source)

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from hanji.operators import stores
 from hanji.operators.segments import SegmentIndex
-from hanji.sources import files
+from hanji.sources import connectors, files
 from hanji.sources.versions import Versions
 
 
@@ -101,6 +101,35 @@ def follow(index: SegmentIndex, target: str, chunk_id: Callable[[], Column]) ->
     return index.apply(added=of(newest), deleted=of(since).select("doc_id") if since else None, refresh=newest)
 
 
+EVENTS = "conv_id long, turn long, seq int, event string, data string"
+
+
+def event_rows(answers: DataFrame) -> DataFrame:
+    """The events of streamed answers, a row each: meta, citations, tokens, a replacement where guarding changed it, done.
+
+    ``answers``: conv_id, turn, said (what the model said), final (what guarding left of it), citations (array<string>).
+    """
+    kind = lambda name, data: F.struct(F.lit(name).alias("event"), data.cast("string").alias("data"))
+    tokens = F.regexp_extract_all(F.col("said"), F.lit(r"\S+\s*|\s+"), F.lit(0))
+    replaced = F.when(~F.col("said").eqNullSafe(F.col("final")), F.array(kind("replace", F.col("final"))))
+    events = F.concat(
+        F.array(kind("meta", F.size("citations"))), F.transform("citations", lambda c: kind("citation", c)), F.transform(F.coalesce(tokens, F.array().cast("array<string>")), lambda t: kind("token", t)),
+        F.coalesce(replaced, F.array().cast("array<struct<event:string,data:string>>")), F.array(kind("done", F.col("final"))),
+    )
+    return answers.select("conv_id", "turn", F.posexplode(events).alias("seq", "e")).select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "seq", "e.event", "e.data")
+
+
+def send_events(answers: DataFrame, path: str, checkpoint: str):
+    """Start writing the events of a stream of answers to the log below ``path``; see :class:`hanji.sources.connectors.EventLog`."""
+    connectors.register(answers.sparkSession)
+    return event_rows(answers).writeStream.format("event_log").option("path", path).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def last_messages(events: DataFrame) -> DataFrame:
+    """(conv_id, turn, text): what each answer ended with, to be kept with the conversation."""
+    return events.filter("event = 'done'").select("conv_id", "turn", F.col("data").alias("text"))
+
+
 def answer_events(answer_tokens: list[str], citations: list[dict], final: str) -> list[dict]:
     """The events of a streamed answer in order: meta, citations, tokens, a replacement where guarding changed it, done."""
     events = [{"event": "meta", "data": {"citations": len(citations)}}]
