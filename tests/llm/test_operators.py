@@ -743,3 +743,30 @@ def test_audio_recall(spark):
             if best and best[2] <= audio_fingerprint.MOST_ERRORS:
                 want.add((q, r))
     assert want and got <= want and len(got) >= 0.9 * len(want)
+
+
+# Furniture that a page is about
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ('<body><form id="aspnetForm"><div><article><p>Whole page</p></article></div></form></body>', ["Whole page"]),
+        ("<body><form><p>Whole page text here</p><input><label>x</label></form><p>bit</p></body>", ["Whole page text here", "bit"]),
+        ('<p title="a hidden gem">Para</p><p data-note="css display:none trick">Two</p>', ["Para", "Two"]),
+        ('<p hidden>x</p><p style="color:red; display: none">y</p><p aria-hidden=true>z</p><p HIDDEN="until-found">w</p><p>Stay</p>', ["Stay"]),
+        ('<article><p>long text stays here</p><div class="search-policy"><p>Our search policy</p></div></article>', ["long text stays here", "Our search policy"]),
+        ('<section class="section related"><p>All the page</p></section>', ["All the page"]),
+        ('<main><p>Main text</p></main><article class="teaser"><p>Teaser</p></article>', ["Main text"]),
+        ('<article><p>Main text of some length</p><form><p>Search</p></form><div class="cookie-policy">Cookies</div><div class="related"><a>x</a></div><div class="comments"><p>' + "c " * 90 + "</p></div></article>", ["Main text of some length"]),
+    ],
+)
+def test_doubtful_elements_go_only_where_they_are_small(page, text):
+    assert html_extract.blocks(page)[0] == text
+
+
+def test_parsing_time_grows_with_length():
+    for page in ("<article>" * 60_000 + "</main>" * 60_000, "<form>" * 60_000 + "x", "<div class=related>" * 30_000 + "x</div>" * 30_000, "<p " + "a='b' " * 100_000 + " display>x"):
+        began = time.thread_time()
+        html_extract.blocks(page)
+        assert time.thread_time() - began < 6
