@@ -7,6 +7,7 @@ that Arrow opens.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 import uuid
@@ -44,6 +45,30 @@ def _open(uri: str):
     return store.open_input_file(place)
 
 
+class _File(io.RawIOBase):
+    """An Arrow file as Python's own behave: places before the beginning are an OSError."""
+
+    def __init__(self, file: pa.NativeFile):
+        self.file = file
+
+    def readable(self) -> bool:
+        return True
+
+    def seekable(self) -> bool:
+        return True
+
+    def seek(self, offset: int, whence: int = 0) -> int:
+        try:
+            return self.file.seek(offset, whence)
+        except ValueError as fault:
+            raise OSError(str(fault)) from None
+
+    def readinto(self, buffer: memoryview) -> int:
+        data = self.file.read(len(buffer))
+        buffer[: len(data)] = data
+        return len(data)
+
+
 @dataclass
 class MemberRange(InputPartition):
     archive: str
@@ -108,7 +133,7 @@ class ZipReader(DataSourceReader):
         if partition.archive:
             with _open(partition.archive) as file:
                 wanted = (lambda m: self._passes("member", m)) if any(f.attribute == ("member",) for f in self.filters) else None
-                yield from zip_members(partition.archive, file, partition.first, partition.last, wanted=wanted)
+                yield from zip_members(partition.archive, io.BufferedReader(_File(file)), partition.first, partition.last, wanted=wanted)
 
 
 @dataclass

@@ -68,6 +68,11 @@ class Slots(StatefulProcessor):
     def last(self, state: Any) -> float | None:
         return state[-1] if state else None
 
+    def expire(self, state: Any) -> None:
+        """Drop the state a second after the slot in which it matters for the last time."""
+        if self.last(state) is not None:
+            self.handle.registerTimer(((floor((self.last(state) + self.keep) / self.slot) + 1) * self.slot + 1) * 1000)
+
     def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
         for batch in rows:
             seconds = batch["at"].map(lambda x: x.timestamp())
@@ -87,8 +92,7 @@ class Slots(StatefulProcessor):
                 out.append((key[0], t, taken))
             self.waiting.removeKey((slot,))
             self.save(state)
-            if self.last(state) is not None:
-                self.handle.registerTimer((floor(self.last(state) + self.keep) + 1) * 1000)
+            self.expire(state)
         elif self.last(state) is not None and self.last(state) + self.keep < now:
             self.save(None)
         if out:
@@ -101,8 +105,7 @@ class Log(Slots):
     def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
         stamps = sorted(x.timestamp() for x in initialState["at"])
         self.save(stamps)
-        if stamps:
-            self.handle.registerTimer((floor(stamps[-1] + self.keep) + 1) * 1000)
+        self.expire(stamps)
 
 
 class Last(Slots):
