@@ -6,12 +6,12 @@ import re
 
 from pyspark.sql import functions as F
 
-from hanji.operators import boolean, chunking, index, segments, vector_index
+from hanji.operators import boolean, chunking, index, segments, sketches, vector_index
 from hanji.plans import table_functions
 from hanji.plans.catalogue import query, table
 from hanji.plans.queries_regulations import _REGULATION, M, N, O, S, derived
 from hanji.plans.queries_search import L2_SQL, TERMS, TOKENS, _bm25_sql, _query_vector
-from hanji.sources.versions import own_folder
+from hanji.sources.versions import own_folder, stored
 
 
 def _docs(spark, sf):
@@ -153,3 +153,32 @@ def win04_number_function(spark, sf):
     table_functions.register(spark)
     table(spark, sf, "documents").selectExpr("floor(doc_id / 20) AS file", "doc_id", "text AS chunk").createOrReplaceTempView("hanji_file_chunks")
     return spark.sql("SELECT file, doc_id, number, total_chunks FROM number_chunks(TABLE(hanji_file_chunks) PARTITION BY file ORDER BY doc_id)")
+
+
+# Sketches, by day, merged over the month
+
+
+def _days(spark, sf):
+    events = table(spark, sf, "events").withColumn("item", F.concat_ws("-", "event_type", (F.col("user_id") % 7).cast("string")))
+    return stored(sketches.collected(events, at="ts", size="1 day", value="value", key="user_id", item="item", by=("event_type",)), "sketches")
+
+
+@query("agg12_sketch_popular", "SELECT event_type || '-' || (user_id % 7) AS item, count(*)::BIGINT AS cnt FROM events WHERE ts >= TIMESTAMP '2024-01-08 00:00:00' AND ts < TIMESTAMP '2024-01-22 00:00:00' GROUP BY item ORDER BY cnt DESC, item LIMIT 10")
+def agg12_sketch_popular(spark, sf):
+    """Two weeks' most frequent searches, from the days' tracked items."""
+    weeks = _days(spark, sf).filter("start >= TIMESTAMP '2024-01-08 00:00:00' AND start < TIMESTAMP '2024-01-22 00:00:00'")
+    found = sketches.popular(sketches.merged(weeks), 100)
+    return found.select("item", F.col("count").alias("cnt")).orderBy(F.col("cnt").desc(), "item").limit(10)
+
+
+@query("agg23_sketch_quantiles", "SELECT event_type, count(*)::BIGINT AS n, true AS p50_near, true AS p95_near, true AS p99_near, true AS users_near FROM events GROUP BY event_type")
+def agg23_sketch_quantiles(spark, sf):
+    """Whether the merged sketches' quantiles have the ranks that they should, to 2 %, and users' numbers to 6 %, by the exact ones."""
+    month = sketches.merged(_days(spark, sf), by=("event_type",))
+    told = month.select("event_type", "n", *[sketches.quantile("kll", p).alias(f"q{i}") for i, p in enumerate((0.5, 0.95, 0.99))], sketches.distinct("hll").alias("users"))
+    events = table(spark, sf, "events").select("event_type", "value", "user_id").join(F.broadcast(told), "event_type")
+    below = lambda i: F.count_if(F.col("value") < F.col(f"q{i}")) / F.first("n")
+    upto = lambda i: F.count_if(F.col("value") <= F.col(f"q{i}")) / F.first("n")
+    near = lambda i, p: ((below(i) <= p + 0.02) & (upto(i) >= p - 0.02)).alias(f"p{round(100 * p)}_near")
+    users = (F.abs(F.first("users") - F.countDistinct("user_id")) <= 0.06 * F.countDistinct("user_id") + 1).alias("users_near")
+    return events.groupBy("event_type").agg(F.first("n").alias("n"), near(0, 0.5), near(1, 0.95), near(2, 0.99), users)
