@@ -19,8 +19,9 @@ Sets are never gathered by group: a candidate's two sets meet in a join on ids,
 members. A Bloom filter of bounded size keeps texts that no candidate needs out of that join.
 
 Defined cases: null text has an empty set; empty sets are linked with nothing; fewer than five words give their whole
-sequence as one shingle; rows that share a doc_id count as one document that holds the texts of all of them, and every
-row is returned; a null id is its own group; an empty table gives an empty result; extra columns are ignored.
+sequence as one shingle; of rows that share a doc_id each has the set of its own text, and all of them are in one group,
+whatever their order; every row is returned; a null id is its own group; an empty table gives an empty result; extra
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -478,9 +479,8 @@ def links(docs: DataFrame, reps: DataFrame) -> DataFrame:
     return first if open_.isEmpty() else keep(first.unionByName(confirmed(open_, docs)))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
-    text_batches(docs.sparkSession)
+def _grouped(docs: DataFrame) -> DataFrame:
+    """:func:`near_duplicates` where no id has two texts."""
     sketched = settle(sketch(docs))
     classes = keep(sketched.filter("n > 0 AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep")))
     reps = keep(classes.join(sketched.select(F.col("doc_id").alias("rep"), F.col("set_key").alias("k"), "n", "sig"), "rep").filter("set_key = k").select("rep", "n", "sig").dropDuplicates(["rep"]))
@@ -491,6 +491,39 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return found.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _ids_of_texts(docs: DataFrame) -> DataFrame | None:
+    """(doc_id, h, id): an id of its own for each text of the doc_ids that have several; null where there are none."""
+    rows = docs.filter("doc_id IS NOT NULL").select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"))
+    several = keep(rows.groupBy("doc_id").agg(F.min("h").alias("low"), F.max("h").alias("high")).filter("low <> high").select("doc_id"))
+    if several.isEmpty():
+        return None
+    span = rows.agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).first()
+    # Numbers that no document has: above all ids, or below where they reach too far up.
+    base = span["high"] + 1 if span["high"] < 1 << 62 else span["low"] - (1 << 61)
+    return keep(rows.join(several, "doc_id", "left_semi").distinct().withColumn("id", F.lit(base) + F.monotonically_increasing_id()))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id, kept: one row per row of ``docs``."""
+    text_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    own = _ids_of_texts(docs)
+    if own is None:
+        return _grouped(docs)
+    # Texts are documents first; then the groups that meet in an id are one, named by the smallest of their ids.
+    keyed = docs.withColumn("h", F.xxhash64(F.coalesce("text", F.lit(""))))
+    found = settle(_grouped(keyed.join(own, ["doc_id", "h"], "left").select(F.coalesce("id", "doc_id").alias("doc_id"), "text")))
+    true = own.select(F.col("id").alias("text_id"), F.col("doc_id").alias("true_id"))
+    rows = found.join(true, F.col("doc_id") == F.col("text_id"), "left").select(F.coalesce("true_id", "doc_id").alias("doc_id"), "n_shingles", F.col("component_id").alias("comp"), "text_id")
+    met = rows.filter("text_id IS NOT NULL").select("doc_id", "comp").distinct()
+    hubs = met.groupBy("doc_id").agg(F.min("comp").alias("a"))
+    joined = components(met.join(hubs, "doc_id").select("a", F.col("comp").alias("b")))
+    rows = settle(rows.join(joined.select(F.col("id").alias("comp"), F.col("comp").alias("whole")), "comp", "left").select("doc_id", "n_shingles", F.coalesce("whole", "comp").alias("comp")))
+    names = rows.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+    named = rows.join(names, "comp", "left").select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    return named.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+
+
 def op6_minhash_dedup(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
 

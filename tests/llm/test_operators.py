@@ -770,3 +770,18 @@ def test_parsing_time_grows_with_length():
         began = time.thread_time()
         html_extract.blocks(page)
         assert time.thread_time() - began < 6
+
+
+def test_groups_that_meet_in_an_id_are_one(spark):
+    """An id with two texts, each with a near copy elsewhere: in any order of the rows."""
+    text = lambda k: " ".join(f"{k}{i}" for i in range(60))
+    rows = [(1, text("a")), (1, text("b")), (2, text("a") + " x"), (3, text("b") + " y"), (4, text("c")), (4, text("c")), (9, ""), (9, text("d")), (None, text("a")), (5, text("d"))]
+    rng = random.Random(1)
+    for base in (0, (1 << 62) + 5):
+        want = sorted((i + base if i else i, c + base if c else c) for i, c in [(1, 1), (1, 1), (2, 1), (3, 1), (4, 4), (4, 4), (9, 5), (9, 5), (5, 5)])
+        for _ in range(2):
+            rng.shuffle(rows)
+            given = [(i + base if i else i, t) for i, t in rows]
+            found = minhash_dedup.near_duplicates(spark.createDataFrame(given, "doc_id long, text string").repartition(3)).collect()
+            assert sorted((r["doc_id"], r["component_id"]) for r in found if r["doc_id"]) == want
+            assert [(r["n_shingles"], r["component_id"], r["kept"]) for r in found if r["doc_id"] is None] == [(56, None, True)]
