@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
+
 # Fixed values.
 BM25_K1, BM25_B = 1.5, 0.75
 VECTOR_WEIGHT, BM25_WEIGHT = 0.7, 0.3
@@ -63,3 +67,17 @@ def settings_from(values: dict) -> Settings:
     """Settings from stored values; unknown keys are ignored."""
     pick = lambda kind, part: kind(**{k: v for k, v in (values.get(part) or {}).items() if k in kind.__dataclass_fields__})
     return Settings(pick(Retrieval, "retrieval"), pick(Guard, "guardrails"))
+
+
+@contextlib.contextmanager
+def during(spark: SparkSession, key: str, value: str) -> Iterator[None]:
+    """A session setting for what runs in here; the caller's own comes back afterwards."""
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, value)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(key)
+        else:
+            spark.conf.set(key, before)

@@ -27,13 +27,16 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hanji import config
 from hanji.functions.text import tokenize
 from hanji.operators.boolean import BooleanQuery
 from hanji.operators.index import idf, weight
 from hanji.sources.versions import Versions
 
 #: Documents and, about, tokens of a window at most; rows that leave a task at once.
-WINDOW_DOCS, WINDOW_TOKENS, ROWS = 1024, 500_000, 20_000
+WINDOW_DOCS, WINDOW_TOKENS, ROWS = 1024, 200_000, 20_000
+#: Bytes of tokens that a task gets at once: they are held several times over, in the JVM and in the worker.
+BATCH_BYTES = 4 << 20
 #: Windows that set the threshold of a top-k search.
 SEED_WINDOWS = 8
 #: Windows up to which their numbers are pushed into the scan; more are joined.
@@ -165,7 +168,8 @@ class SegmentIndex:
         if not total["docs"]:
             return {}
         blocks = written.select("ord", "dl", "tokens").mapInArrow(_blocks(*self.window), BLOCKS).sortWithinPartitions("term", "window")
-        blocks.write.parquet(f"{self.root}/postings/segment={name}")
+        with config.during(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+            blocks.write.parquet(f"{self.root}/postings/segment={name}")
         terms = self.spark.read.parquet(f"{self.root}/postings/segment={name}").groupBy("term").agg(F.sum("n").alias("df"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.root}/terms/segment={name}")
         return {name: {"docs": total["docs"], "tokens": total["tokens"], "gone": 0, "gone_tokens": 0, "dead": []}}

@@ -22,24 +22,18 @@ from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
+from hanji import config
 from hanji.operators.limits import sliding_log, spaced
 
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Seconds of a slot.
 SLOT = 60
 DECIDED = "key string, at timestamp, taken boolean"
 
 
-@contextlib.contextmanager
-def rocksdb(spark: SparkSession) -> Iterator[None]:
+def rocksdb(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
     """Streams that start in here keep their state in RocksDB; the session's setting comes back afterwards."""
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
-    try:
-        yield
-    finally:
-        spark.conf.set(PROVIDER, before)
+    return config.during(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB)
 
 
 def _rows(found: list[tuple[str, float, bool]]) -> pd.DataFrame:
