@@ -170,12 +170,19 @@ def jn11_contains_words(spark, sf):
     return _docs(spark, sf).select("doc_id", F.size(F.filter(F.array(F.lit("erin"), F.lit("licen")), lambda w: low.contains(w))).alias("overlap"))
 
 
-@query("agg24_diff_counts", "SELECT * FROM (VALUES (1, 1, 1, 2), (2, 0, 0, 0), (3, 2, 0, 2)) t(id, added, removed, total)")
+@query("agg24_diff_counts", """WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS w FROM documents WHERE text IS NOT NULL),
+n AS (SELECT doc_id, len(w) - (w[len(w)] = '')::INT AS n FROM l) SELECT doc_id AS key, (doc_id % 4 + (n > 0)::INT)::INT AS added, (n > 0)::INT AS removed, (doc_id % 4 + 2 * (n > 0)::INT)::INT AS total FROM n""")
 def agg24_diff_counts(spark, sf):
-    from hanji.functions.diff import diff_udf
+    """Every document and a version of it whose first line is another and that ends with up to three more."""
+    from hanji.operators import line_diff
+
+    docs = _docs(spark, sf).filter("text IS NOT NULL")
+    first = F.expr("regexp_replace(text, '^[^\\n]*', '\u0001 first')")
+    body = F.when(F.size(line_diff.lines("text")) == 0, "").otherwise(F.concat(F.regexp_replace(first, r"\n\z", ""), F.lit("\n")))
+    more = F.expr("repeat('\u0001 more\n', cast(doc_id % 4 as int))")
+    pairs = docs.select(F.col("doc_id").alias("key"), F.col("text").alias("old"), F.concat(body, more).alias("new"))
+    return line_diff.counts(pairs)
 
-    rows = spark.createDataFrame([(1, "a\nb\nc", "a\nx\nc"), (2, "same", "same"), (3, "", "p\nq")], "id int, a string, b string")
-    return rows.select("id", diff_udf("a", "b").alias("d")).select("id", "d.added", "d.removed", "d.total")
 
 
 @query("win08_first_occurrence", "SELECT doc_id FROM (SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
