@@ -12,7 +12,7 @@ fingerprint has one. Classes that share a landmark with a query's class are alig
 landmark of very many classes is split by salt, so that no task holds all of them.
 
 Defined cases: null, damaged or non-PCM bytes, and recordings shorter than the filters, have an empty fingerprint and
-match nothing; repeated rows are members of one class; ties between alignments go to the one with fewer bit errors, then
+match nothing; repeated rows are members of one class; an id with several recordings is in a class for each; ties between alignments go to the one with fewer bit errors, then
 the smaller offset; long recordings of one tone are aligned in memory that grows with their length; an empty table gives
 an empty result; extra columns are ignored.
 """
@@ -26,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from hanji.llm.common import keep, release, settle, text_batches
@@ -238,9 +238,17 @@ def fingerprints(recordings: DataFrame, *, media: str = "media", key: str = "rec
 
 
 def search(found: DataFrame, is_query) -> tuple[DataFrame, DataFrame]:
-    """(classes: code_key, class_id, members, has_query; matches: query_class, class_id, offset, votes, error, overlap)."""
-    classes = keep(found.filter("n_codes > 0 AND rec_id IS NOT NULL").groupBy("code_key").agg(F.min("rec_id").alias("class_id"), F.count("*").alias("members"), F.max(is_query).alias("has_query")))
-    reps = keep(found.join(classes.select(F.col("class_id").alias("rec_id"), F.col("code_key").alias("k"), "has_query"), "rec_id").filter("code_key = k").dropDuplicates(["rec_id"]))
+    """(classes: code_key, class_id, rec_id, members, has_query; matches: query_class, class_id, offset, votes, error, overlap).
+
+    A class's number is its smallest rec_id; of classes that share theirs, as one id has several recordings, all but one
+    get numbers of their own.
+    """
+    grouped = found.filter("n_codes > 0 AND rec_id IS NOT NULL").groupBy("code_key").agg(F.min("rec_id").alias("rec_id"), F.count("*").alias("members"), F.max(is_query).alias("has_query"))
+    place = F.row_number().over(Window.partitionBy("rec_id").orderBy("code_key"))
+    own = F.when(place == 1, F.col("rec_id")).otherwise(F.lit(-(1 << 62)) + F.pmod(F.xxhash64("code_key"), F.lit(1 << 61)))
+    classes = keep(grouped.withColumn("class_id", own))
+    of = found.select(F.col("rec_id").alias("holder"), "code_key", "codes", "marks").join(classes.select("rec_id", "code_key", "class_id", "has_query"), "code_key")
+    reps = keep(of.filter("holder = rec_id").dropDuplicates(["code_key"]).drop("rec_id").withColumnRenamed("class_id", "rec_id"))
     marks = reps.select(F.col("rec_id").alias("class_id"), "has_query", F.explode("marks").alias("mark"))
     queries = marks.filter("has_query").select(F.col("class_id").alias("query_class"), "mark")
     salts = marks.groupBy("mark").agg(F.ceil(F.count("*") / MARK_CLASSES).alias("salts"), F.max("has_query").alias("asked")).filter("asked").select("mark", "salts")
@@ -306,12 +314,13 @@ def op1_audio_fingerprint(spark, sf_dir: str) -> DataFrame:
     vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select("vec_id", "embedding")
     found = settle(fingerprints(render(vectors)))
     classes, matches = search(found, F.col("rec_id") % 20 == 0)
-    best = F.min(F.struct("error", "query_class", "offset"))
+    best = F.min(F.struct("error", "query_id", "offset"))
+    matches = matches.join(classes.select(F.col("class_id").alias("query_class"), F.col("rec_id").alias("query_id")), "query_class")
     links = matches.groupBy("class_id").agg(F.count("*").alias("n_links"), best.alias("best"))
-    of_class = classes.join(links, "class_id", "left").select("code_key", "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), "best")
+    of_class = classes.join(links, "class_id", "left").select("code_key", F.col("rec_id").alias("class_rec"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "best")
     joined = found.join(of_class, "code_key", "left")
     return joined.select(
         F.col("rec_id").alias("vec_id"), F.col("n_codes").cast("long").alias("n_codes"), F.col("code_key").alias("codes_sha256"),
-        F.coalesce("class_id", "rec_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
-        F.col("best.query_class").alias("best_query"), F.col("best.offset").cast("long").alias("best_offset"), F.col("best.error").alias("best_error"),
+        F.coalesce("class_rec", "rec_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+        F.col("best.query_id").alias("best_query"), F.col("best.offset").cast("long").alias("best_offset"), F.col("best.error").alias("best_error"),
     )

@@ -745,6 +745,19 @@ def test_audio_recall(spark):
     assert want and got <= want and len(got) >= 0.9 * len(want)
 
 
+def test_an_id_with_two_recordings_keeps_the_links_of_both(spark):
+    rng = np.random.default_rng(4)
+    vec = lambda: [float(x) for x in rng.normal(0, 0.4, 64)]
+    a, b = vec(), vec()
+    near = lambda v: [x + 0.002 * (i % 3) for i, x in enumerate(v)]
+    rows = [(1, a), (1, b), (2, near(a)), (3, near(b))]
+    for order in (rows, rows[::-1]):
+        found = audio_fingerprint.fingerprints(audio_fingerprint.render(spark.createDataFrame(order, "vec_id long, embedding array<float>"))).persist()
+        classes, matches = audio_fingerprint.search(found, F.col("rec_id") == 1)
+        assert sorted(r["rec_id"] for r in classes.collect()) == [1, 1, 2, 3] and len({r["class_id"] for r in classes.collect()}) == 4
+        assert {2, 3} <= {r["class_id"] for r in matches.collect()}
+
+
 # Furniture that a page is about
 
 
