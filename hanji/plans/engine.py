@@ -14,6 +14,7 @@ from hanji import config
 from hanji.functions import korean
 from hanji.functions.text import article_number
 from hanji.operators import grounding, index, retrieve, stores
+from hanji.operators.vector_index import VectorIndex
 from hanji.streaming.jobs import answer_events
 
 
@@ -74,7 +75,7 @@ class Engine:
 
     chunks: DataFrame
     idx: index.Index
-    vecs: DataFrame | None = None
+    vecs: DataFrame | VectorIndex | None = None
     embedder: Embedder | None = None
     model: Model | None = None
     settings: config.Settings = field(default_factory=config.Settings)
@@ -87,7 +88,8 @@ class Engine:
         empty_bm25 = spark.createDataFrame([], "doc_id long, score double")
         vec = empty_vec
         if self.vecs is not None and self.embedder is not None:
-            vec = retrieve.nearest(self.vecs, [float(x) for x in self.embedder.embed([korean.vector_query(query)])[0]], 2 * k)
+            asked = [float(x) for x in self.embedder.embed([korean.vector_query(query)])[0]]
+            vec = self.vecs.search(asked, 2 * k) if isinstance(self.vecs, VectorIndex) else retrieve.nearest(self.vecs, asked, 2 * k)
         bm25 = index.top(index.search(self.idx, self._terms(query)), 2 * k) if hybrid else empty_bm25
         return retrieve.hybrid(vec, bm25, self.chunks, k, sort_by=sort_by, file_id=file_id, source=source)
 
