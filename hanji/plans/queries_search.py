@@ -302,9 +302,9 @@ hits AS (SELECT query_id, doc_id, quality, n_chars, row_number() OVER (PARTITION
 def _ranked(spark, sf):
     words = F.split("text", " ")
     gold = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.get(words, F.lit(0)), F.lit(" "), F.get(words, F.lit(1))).alias("w"))
-    docs = table(spark, sf, "documents").select("doc_id", "text", "n_chars").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
-    pairs = substrings.contains_join(docs, gold, name="query_id", pattern="w")
-    hits = pairs.join(docs.select("doc_id", "n_chars", "quality"), "doc_id")
+    docs = table(spark, sf, "documents")
+    pairs = substrings.contains_join(docs.select("doc_id", "text"), gold, name="query_id", pattern="w")
+    hits = pairs.join(docs.select("doc_id", "n_chars"), "doc_id").join(table(spark, sf, "labels").select("doc_id", "quality"), "doc_id")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("n_chars").desc(), "doc_id"))
     return gold.select("query_id"), hits.select("query_id", "doc_id", "quality", rank.alias("rank"))
 
