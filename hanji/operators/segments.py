@@ -37,6 +37,8 @@ from hanji.sources.versions import Versions
 WINDOW_DOCS, WINDOW_TOKENS, ROWS = 1024, 200_000, 20_000
 #: Bytes of tokens that a task gets at once: they are held several times over, in the JVM and in the worker.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of postings: a writer holds one, and a query reads those that have its terms.
+ROW_GROUP = 16 << 20
 #: Windows that set the threshold of a top-k search.
 SEED_WINDOWS = 8
 #: Windows up to which their numbers are pushed into the scan; more are joined.
@@ -169,7 +171,7 @@ class SegmentIndex:
             return {}
         blocks = written.select("ord", "dl", "tokens").mapInArrow(_blocks(*self.window), BLOCKS).sortWithinPartitions("term", "window")
         with config.during(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
-            blocks.write.parquet(f"{self.root}/postings/segment={name}")
+            blocks.write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.root}/postings/segment={name}")
         terms = self.spark.read.parquet(f"{self.root}/postings/segment={name}").groupBy("term").agg(F.sum("n").alias("df"))
         terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.root}/terms/segment={name}")
         return {name: {"docs": total["docs"], "tokens": total["tokens"], "gone": 0, "gone_tokens": 0, "dead": []}}
