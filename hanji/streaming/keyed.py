@@ -1,11 +1,12 @@
 """Keyed state in event time: limiter, history, result cache.
 
 Decisions that depend on earlier ones need a key's events in order, but a stream brings them out of order and in batches of
-any size. So events wait in state by slots of time; when the watermark passes a slot's end, its timer fires, the slot is
-sorted and folded with the key's state, and its decisions leave. A result therefore does not depend on how the stream was
-cut into batches, and a task holds one slot of one key. What a key keeps besides is bounded (a limiter's log by
-its limit, a history's last time), and a last timer drops it when it can no longer matter. Events later than the
-watermark are dropped, as everywhere in Structured Streaming; decisions on the last slots wait for the watermark.
+any size. So events wait by key and slot of time, in a windowed aggregation; when the watermark passes a slot's end, it goes
+to the key's fold, which takes all slots that a batch closes at once, sorts their stamps and goes on from the key's state. A
+result therefore does not depend on how the stream was cut into batches. A key costs a few state calls a batch, however
+many slots it has; a task holds the stamps that one batch closes for one key. What a key keeps besides is bounded (a
+limiter's log by its limit, a history's last time), and a last timer drops it when it can no longer matter. Events whose
+slot has closed are dropped, as everywhere in Structured Streaming; decisions on the last slots wait for the watermark.
 
 State lies in RocksDB: run these jobs inside :func:`rocksdb`, or set the provider for the session.
 """
@@ -17,8 +18,7 @@ from collections.abc import Callable, Iterator
 from math import floor
 from typing import Any
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, GroupedData, SparkSession
+from pyspark.sql import Column, DataFrame, GroupedData, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, StatefulProcessor, StatefulProcessorHandle, TimerValues
 
@@ -28,88 +28,82 @@ from hanji.operators.limits import sliding_log, spaced
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 #: Seconds of a slot.
 SLOT = 60
-DECIDED = "key string, at timestamp, taken boolean"
+DECIDED = "key string, t array<double>, taken array<boolean>"
+#: Decisions of a key that a row of the fold's output holds at most.
+ROW = 10_000
 
 
-def rocksdb(spark: SparkSession) -> contextlib.AbstractContextManager[None]:
-    """Streams that start in here keep their state in RocksDB; the session's setting comes back afterwards."""
-    return config.during(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB)
-
-
-def _rows(found: list[tuple[str, float, bool]]) -> pd.DataFrame:
-    keys, times, taken = zip(*found, strict=True) if found else ((), (), ())
-    # Strings as objects: columns that pandas holds in chunks cannot become rows of state.
-    return pd.DataFrame({"key": pd.Series(keys, dtype=object), "at": pd.to_datetime((pd.Series(times, dtype=float) * 1e6).round().astype("int64"), unit="us"), "taken": pd.Series(taken, dtype=bool)})
+@contextlib.contextmanager
+def rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that start in here keep their state in RocksDB, which need not count its rows; the session's settings come back afterwards."""
+    with config.during(spark, "spark.sql.streaming.stateStore.providerClass", ROCKSDB), config.during(spark, "spark.sql.streaming.stateStore.rocksdb.trackTotalNumberOfRows", "false"):
+        yield
 
 
 class Slots(StatefulProcessor):
-    """Events by slot until the watermark has passed them, then a fold in order. ``keep`` says how long a state matters."""
+    """A fold over closed slots in order. ``keep`` says how long a state matters; without one the fold begins with ``new``."""
+
+    new: Any = ()
 
     def __init__(self, step: Callable[[Any, float], tuple[Any, bool]], keep: float, slot: int):
         self.step, self.keep, self.slot = step, keep, slot
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getMapState("waiting", "slot long", "at array<double>")
         self.log = handle.getListState("log", "at double")
 
     def load(self) -> Any:
-        return [r[0] for r in self.log.get()] if self.log.exists() else []
+        return [r[0] for r in self.log.get()]
 
     def save(self, state: Any) -> None:
-        self.log.put([(s,) for s in state]) if state else self.log.clear()
+        self.log.put([(s,) for s in state])
 
     def last(self, state: Any) -> float | None:
         return state[-1] if state else None
 
-    def expire(self, state: Any) -> None:
-        """Drop the state a second after the slot in which it matters for the last time."""
-        if self.last(state) is not None:
-            self.handle.registerTimer(((floor((self.last(state) + self.keep) / self.slot) + 1) * self.slot + 1) * 1000)
-
-    def handleInputRows(self, key: Any, rows: Iterator[pd.DataFrame], timerValues: TimerValues) -> Iterator[pd.DataFrame]:
-        for batch in rows:
-            seconds = batch["at"].map(lambda x: x.timestamp())
-            for slot, stamps in seconds.groupby(seconds // self.slot):
-                slot = int(slot)
-                before = list(self.waiting.getValue((slot,))[0]) if self.waiting.containsKey((slot,)) else []
-                self.waiting.updateValue((slot,), ([*before, *stamps.tolist()],))
-                self.handle.registerTimer((slot + 1) * self.slot * 1000)
-        yield _rows([])
-
-    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[pd.DataFrame]:
-        now = expiredTimerInfo.getExpiryTimeInMs() // 1000
-        slot, state, out = now // self.slot - 1, self.load(), []
-        if now % self.slot == 0 and self.waiting.containsKey((slot,)):
-            for t in sorted(self.waiting.getValue((slot,))[0]):
-                state, taken = self.step(state, t)
-                out.append((key[0], t, taken))
-            self.waiting.removeKey((slot,))
+    def keep_until_timer(self, state: Any, had: bool, watermark: float) -> None:
+        """Save the state and drop it a second after the slot in which it matters for the last time, which may have passed."""
+        at = None if self.last(state) is None else (floor((self.last(state) + self.keep) / self.slot) + 1) * self.slot + 1
+        if at is not None and at * 1000 > watermark:
             self.save(state)
-            self.expire(state)
-        elif self.last(state) is not None and self.last(state) + self.keep < now:
-            self.save(None)
-        if out:
-            yield _rows(out)
+            self.handle.registerTimer(at * 1000)
+        elif had:
+            self.log.clear()
+
+    def handleInputRows(self, key: Any, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        stamps = sorted(t for row in rows for t in row["stamps"])
+        had, taken = self.log.exists(), []
+        state = self.load() if had else self.new
+        for t in stamps:
+            state, ok = self.step(state, t)
+            taken.append(ok)
+        self.keep_until_timer(state, had, timerValues.getCurrentWatermarkInMs())
+        for i in range(0, len(stamps), ROW):
+            yield Row(key=key[0], t=stamps[i : i + ROW], taken=taken[i : i + ROW])
+
+    def handleExpiredTimer(self, key: Any, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
+        if self.log.exists() and self.last(self.load()) + self.keep < expiredTimerInfo.getExpiryTimeInMs() // 1000:
+            self.log.clear()
+        return iter(())
 
 
 class Log(Slots):
     """State is a log of accepted stamps, which may begin with those of an earlier run."""
 
-    def handleInitialState(self, key: Any, initialState: pd.DataFrame, timerValues: TimerValues) -> None:
-        stamps = sorted(x.timestamp() for x in initialState["at"])
-        self.save(stamps)
-        self.expire(stamps)
+    def handleInitialState(self, key: Any, initialState: Row, timerValues: TimerValues) -> None:
+        self.keep_until_timer(initialState["stamps"], False, timerValues.getCurrentWatermarkInMs())
 
 
 class Last(Slots):
     """State is the time of the last event that was taken."""
 
-    def load(self) -> float | None:
-        return next((r[0] for r in self.log.get()), None) if self.log.exists() else None
+    new = None
+
+    def load(self) -> float:
+        return next(r[0] for r in self.log.get())
 
-    def save(self, state: float | None) -> None:
-        self.log.clear() if state is None else self.log.put([(state,)])
+    def save(self, state: float) -> None:
+        self.log.put([(state,)])
 
     def last(self, state: float | None) -> float | None:
         return state
@@ -117,7 +111,10 @@ class Last(Slots):
 
 def _decided(rows: DataFrame, key: Column, at: str, lateness: str, processor: Slots, initial: GroupedData | None = None) -> DataFrame:
     named = rows.select(key.cast("string").alias("key"), F.col(at).cast("timestamp").alias("at")).filter("key IS NOT NULL AND at IS NOT NULL").withWatermark("at", lateness)
-    return named.groupBy("key").transformWithStateInPandas(processor, DECIDED, "append", "EventTime", initial)
+    slots = named.groupBy("key", F.window("at", f"{processor.slot} seconds")).agg(F.collect_list(F.col("at").cast("double")).alias("stamps"))
+    closed = slots.select("key", F.window_time("window").alias("closed"), "stamps")
+    decided = closed.groupBy("key").transformWithState(processor, DECIDED, "append", "EventTime", initial)
+    return decided.selectExpr("key", "inline(arrays_zip(t, taken))").select("key", F.timestamp_micros(F.round(F.col("t") * 1e6).cast("long")).alias("at"), "taken")
 
 
 def limiter(requests: DataFrame, *, key: str, at: str, limit: int, seconds: int, lateness: str = "1 minute", slot: int = SLOT, accepted: DataFrame | None = None) -> DataFrame:
@@ -125,7 +122,10 @@ def limiter(requests: DataFrame, *, key: str, at: str, limit: int, seconds: int,
 
     ``accepted`` (key, at) are requests that were accepted before the stream began.
     """
-    initial = accepted.select(F.col("key").cast("string").alias("key"), F.col("at").cast("timestamp").alias("at")).groupBy("key") if accepted is not None else None
+    initial = None
+    if accepted is not None:
+        stamps = F.sort_array(F.collect_list(F.col("at").cast("timestamp").cast("double"))).alias("stamps")
+        initial = accepted.groupBy(F.col("key").cast("string").alias("key")).agg(stamps).groupBy("key")
     return _decided(requests, F.col(key), at, lateness, Log(sliding_log(limit, seconds), seconds, slot), initial)
 
 

@@ -80,3 +80,15 @@ def test_fold_of_a_hot_key_holds_a_batch_at_a_time(spark):
     events = spark.range(300_000).select(F.lit("hot").alias("k"), F.timestamp_seconds(F.lit(START) + F.col("id") % 86_400).alias("at"))
     row = limits.rate_limited(events, key="k", at="at", limit=7, seconds=60).first()
     assert row["allowed"] + row["blocked"] == 300_000 and row["allowed"] == 86_400 // 60 * 7
+
+
+def test_a_key_costs_a_timer_a_batch_however_many_slots_it_has(spark):
+    base = own_folder(spark, "slots")
+    spark.range(1000).select((F.col("id") % 2).cast("string").alias("k"), F.timestamp_seconds(START + 60 * F.col("id")).alias("at")).coalesce(1).write.parquet(f"{base}/in")
+    with keyed.rocksdb(spark):
+        decided = keyed.limiter(spark.readStream.schema("k string, at timestamp").parquet(f"{base}/in"), key="k", at="at", limit=2, seconds=600)
+        run = decided.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
+        run.awaitTermination()
+    timers = [o["customMetrics"].get("numRegisteredTimers", 0) for p in run.recentProgress for o in p["stateOperators"]]
+    assert 0 < sum(timers) <= 2 * len(run.recentProgress)
+    assert spark.read.parquet(f"{base}/out").count() == 998  # the last minute is the watermark's, and its slot and the one before stay open
