@@ -68,3 +68,11 @@ def test_claims_of_all_documents_equal_model(spark, tmp_path):
         for r in catalogue.QUERIES["sf33_claims_all"](spark, sf).collect():
             got.setdefault(r["doc_id"], []).extend([] if r["claim"] is None else [(r["position"], r["claim"])])
         assert {i: [c for _, c in sorted(v)] for i, v in got.items()} == {i: claims_model(t) for i, t in docs.items()}
+
+
+def test_sizes_beyond_a_terabyte_equal_sql(spark, tmp_path):
+    spark.createDataFrame([(i,) for i in (1, 20_000, 33_300, 40_000, 1_200_000)], "p_partkey long").write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["sf29_human_size"](spark, str(tmp_path)).select("p_partkey", "size").collect())
+    assert got == sorted(con.execute(catalogue.ORACLES["sf29_human_size"]).fetchall()) and got[-1][1].endswith("GB")
