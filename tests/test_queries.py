@@ -76,3 +76,13 @@ def test_sizes_beyond_a_terabyte_equal_sql(spark, tmp_path):
     con.execute(f"CREATE VIEW part AS SELECT * FROM '{tmp_path}/part.parquet/*.parquet'")
     got = sorted(tuple(r) for r in catalogue.QUERIES["sf29_human_size"](spark, str(tmp_path)).select("p_partkey", "size").collect())
     assert got == sorted(con.execute(catalogue.ORACLES["sf29_human_size"]).fetchall()) and got[-1][1].endswith("GB")
+
+
+def test_variant_cap_counts_all_forms(spark, tmp_path):
+    texts = ["a A  b", "a b c d e f", "a b c d e f g", "x " * 50 + "a b c d e f", "", None]
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{tmp_path}/documents.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in catalogue.QUERIES["top09_variant_cap"](spark, str(tmp_path)).select("doc_id", "cut", "n").collect())
+    assert got == sorted(con.execute(f"SELECT doc_id, cut, n FROM ({catalogue.ORACLES['top09_variant_cap']})").fetchall())
+    assert got[:4] == [(0, False, 3), (1, False, 6), (2, True, 6), (3, True, 6)]
