@@ -11,14 +11,12 @@ each other, which belong to the result. So what a page itself marks as its artic
 :data:`MARKED_SHARE` of the host's distinct pages (and on :data:`MARKED_PAGES`); on pages without a mark :data:`RUN_PAGES`
 distinct pages suffice, whatever the size of the host. Pages with the same tokens are one distinct page.
 
-The array is sparse and dealt: of each page's suffixes those are taken that start a block, end it, or have the smallest
-hash of their first :data:`RUN_TOKENS` tokens among :data:`SAMPLE` neighbours, which pages that share a long run choose
-alike; of a marked article, whose lines that repeat are blocks of their own, only those at the edges of blocks.
-They are dealt to buckets by that hash and sorted there, so that suffixes with the same beginning stand together; each is
-weighed by one over the number of copies of its page, and equal ones of a batch are added up before the shuffle, so that
-no run is too frequent for a task. Around the repeated ones a second, dense array of all suffixes finds exactly where the
-runs begin and end. So runs of ``RUN_TOKENS`` tokens or more that begin or end a block are always found, and on pages
-without a mark all of ``RUN_TOKENS + SAMPLE - 1`` or more.
+The array takes every suffix of every page. Suffixes are told by a hash of their first :data:`RUN_TOKENS` tokens and dealt
+to buckets by it, so that suffixes with the same beginning stand together; each is weighed by one over the number of copies of
+its page, and equal ones of a batch are added up before the shuffle, so that no run is too frequent for a task. This is
+done twice: first by the hash's first :data:`COARSE_BITS` bits, sorted and sent as differences, which costs three bytes
+a token; then by the whole hash, for those alone whose first bits repeat. So all runs of ``RUN_TOKENS`` tokens or more are
+found, wherever they begin and end.
 
 Defined cases: null html is empty and gives empty text; a null url groups with other urls without host; unclosed and
 misnested tags close with their parents; unknown references stay as they are; very long pages are parsed whole, in time
@@ -46,11 +44,13 @@ from hanji.llm.url_filter import host_of
 
 #: Tokens by which runs are found, and distinct pages of a host that hold a repeated one.
 RUN_TOKENS, RUN_PAGES = 8, 3
-#: Neighbouring suffixes of which the sparse array takes at least one.
-SAMPLE = 16
+#: Neighbouring suffixes of which the array takes at least one: it takes every one.
+SAMPLE = 1
+#: Bits of a suffix's hash by which those are found that may repeat.
+COARSE_BITS = 40
 #: What a page marks as its article goes only if it repeats on so many distinct pages, and on this share of the host's.
 MARKED_PAGES, MARKED_SHARE = 10, 0.5
-#: Pages whose sampled suffixes one bucket sorts, about.
+#: Pages whose suffixes one bucket sorts, about.
 BUCKET_PAGES = 5_000
 #: Numbers of copies, of 16 bytes each, that are broadcast.
 BROADCAST_CLASSES = 500_000
@@ -303,25 +303,22 @@ def suffixes(tokens: np.ndarray, host: int, run: int = RUN_TOKENS) -> np.ndarray
     return _mix(out)
 
 
-def sampled(keys: np.ndarray, lengths: np.ndarray, is_open: bool = True, run: int = RUN_TOKENS) -> np.ndarray:
-    """Places of the suffixes that the sparse array takes."""
-    if not len(keys):
-        return np.zeros(0, np.int64)
-    least = np.zeros(0, np.int64)
-    if is_open:
-        width = min(SAMPLE, len(keys))
-        least = np.lib.stride_tricks.sliding_window_view(keys, width).argmin(1) + np.arange(len(keys) - width + 1)
-    ends = np.cumsum(lengths)
-    edges = np.concatenate((ends - lengths, ends - run))
-    return np.unique(np.concatenate((least, edges[(edges >= 0) & (edges < len(keys))])))
+def sampled(keys: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Places of the suffixes that the array takes, which are all, whatever the blocks' ``lengths``."""
+    return np.arange(len(keys))
 
 
-def near(keys: np.ndarray, anchors: np.ndarray) -> np.ndarray:
-    """Places of the suffixes that begin up to :data:`SAMPLE` tokens from one that is an anchor."""
-    at, edge = np.flatnonzero(np.isin(keys, anchors)), np.zeros(len(keys) + 1, np.int64)
-    np.add.at(edge, np.maximum(at - SAMPLE, 0), 1)
-    np.add.at(edge, np.minimum(at + SAMPLE + 1, len(keys)), -1)
-    return np.flatnonzero(np.cumsum(edge)[:-1])
+def coarse(keys: np.ndarray) -> np.ndarray:
+    return keys >> np.uint64(64 - COARSE_BITS)
+
+
+def packed(keys: np.ndarray) -> bytes:
+    """Ascending keys as differences, byte by byte, so that the upper bytes, mostly zeros, are compressed in the shuffle."""
+    return np.diff(keys, prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
+
+
+def unpacked(data: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(8, -1).T).view(np.uint64).reshape(-1), dtype=np.uint64)
 
 
 def without(page: list[str], keys: np.ndarray, lengths: np.ndarray, repeated: np.ndarray, run: int = RUN_TOKENS) -> list[str]:
@@ -367,39 +364,40 @@ def parsed(pages: DataFrame) -> DataFrame:
     return chosen.mapInArrow(work, "page_id long, url string, host long, class long, open boolean, blocks array<string>")
 
 
-def repeated(pages: DataFrame, buckets: int) -> DataFrame:
+def repeated(pages: DataFrame, buckets: int, among: DataFrame | None = None) -> DataFrame:
     """(key, pages): suffix beginnings that at least :data:`RUN_PAGES` distinct pages of a host hold, and how many.
 
-    ``pages`` has host, open, copies, blocks and, for the dense array, the ``anchors`` whose neighbourhood is taken.
+    ``pages`` has host, copies, blocks. Keys are :func:`coarse`, and may be of several beginnings; with those ``among`` which
+    all that repeat must be, they are whole.
     """
-    dense = "anchors" in pages.columns
+    bits = pages.sparkSession.sparkContext.broadcast(bloom(among.select(F.col("key").alias("id")))) if among is not None else None
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()
         for batch in batches:
             found, weights = [np.zeros(0, np.uint64)], [np.zeros(0, np.float32)]
-            for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
-                host, is_open, copies, page = row[:4]
+            for host, copies, page in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                 ids, lengths = tokens.of(page)
                 keys = suffixes(ids, host)
-                keys = np.unique(keys[near(keys, np.array(row[4], np.int64).view(np.uint64)) if dense else sampled(keys, lengths, is_open)])
+                keys = keys[sampled(keys, lengths)]
+                keys = np.unique(coarse(keys) if bits is None else keys[may_hold(bits.value, coarse(keys).view(np.int64))])
                 found.append(keys)
                 weights.append(np.full(len(keys), 1 / copies, np.float32))
             keys, of = np.unique(np.concatenate(found), return_inverse=True)
             sums = np.bincount(of, weights=np.concatenate(weights), minlength=len(keys)).astype(np.float32)
-            # Most suffixes are of one page; their weights need not travel.
-            part = (keys >> np.uint64(20)).astype(np.int64) % buckets * 2 + (sums != 1)
+            # Most suffixes are of one page; their weights need not travel. Low bits deal: they are even in both kinds of keys.
+            part = (keys & np.uint64(0xFFFFF)).astype(np.int64) % buckets * 2 + (sums != 1)
             order = np.argsort(part, kind="stable")
             here, first = np.unique(part[order], return_index=True)
             cuts = [*first.tolist(), len(order)]
             rows = [order[a:b] for a, b in zip(cuts, cuts[1:], strict=False)]
             weighed = [sums[r].tobytes() if p % 2 else None for r, p in zip(rows, here.tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array((here // 2).astype(np.int32)), pa.array([keys[r].tobytes() for r in rows], pa.binary()), pa.array(weighed, pa.binary())], names=["bucket", "keys", "sums"])
+            yield pa.RecordBatch.from_arrays([pa.array((here // 2).astype(np.int32)), pa.array([packed(keys[r]) for r in rows], pa.binary()), pa.array(weighed, pa.binary())], names=["bucket", "keys", "sums"])
         release()
 
     def sort(bucket: pa.Table) -> pa.Table:
         both = list(zip(bucket.column("keys").to_pylist(), bucket.column("sums").to_pylist(), strict=True))
-        keys = np.concatenate([np.frombuffer(k, np.uint64) for k, _ in both])
+        keys = np.concatenate([unpacked(k) for k, _ in both])
         sums = np.concatenate([np.frombuffer(w, np.float32) if w else np.ones(len(k) // 8, np.float32) for k, w in both])
         order = np.argsort(keys, kind="stable")
         keys = keys[order]
@@ -408,8 +406,7 @@ def repeated(pages: DataFrame, buckets: int) -> DataFrame:
         enough = held > RUN_PAGES - 0.5
         return pa.table({"key": pa.array(keys[first[enough]].view(np.int64)), "pages": pa.array(np.rint(held[enough]))})
 
-    columns = ["host", "open", "copies", "blocks"] + (["anchors"] if dense else [])
-    dealt = pages.select(*columns).mapInArrow(deal, "bucket int, keys binary, sums binary")
+    dealt = pages.select("host", "copies", "blocks").mapInArrow(deal, "bucket int, keys binary, sums binary")
     return keep(dealt.groupBy("bucket").applyInArrow(sort, "key long, pages double"))
 
 
@@ -419,7 +416,6 @@ def holders(pages: DataFrame, runs: DataFrame, hosts: DataFrame) -> DataFrame:
     A Bloom filter of the runs is sent to the pages, so that only what it lets pass meets them in a join.
     """
     bits = pages.sparkSession.sparkContext.broadcast(bloom(runs.select(F.col("key").alias("id"))))
-    dense = "anchors" in pages.columns
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, table = Tokens(), bits.value
@@ -428,15 +424,13 @@ def holders(pages: DataFrame, runs: DataFrame, hosts: DataFrame) -> DataFrame:
             for row in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                 ids, lengths = tokens.of(row[3])
                 keys = suffixes(ids, row[0])
-                keys = np.unique(keys[near(keys, np.array(row[4], np.int64).view(np.uint64)) if dense else sampled(keys, lengths, row[2])])
-                keys = keys.view(np.int64)
+                keys = np.unique(keys[sampled(keys, lengths)]).view(np.int64)
                 out.append(keys[may_hold(table, keys)])
             counts = [len(k) for k in out]
             names = {c: pa.array(np.repeat(batch.column(c).to_numpy(zero_copy_only=False), counts)) for c in ("host", "class", "open")}
             yield pa.RecordBatch.from_arrays([*names.values(), pa.array(np.concatenate([np.zeros(0, np.int64), *out]))], names=["host", "class", "open", "key"])
 
-    columns = ["host", "class", "open", "blocks"] + (["anchors"] if dense else [])
-    held = pages.select(*columns).mapInArrow(work, "host long, class long, open boolean, key long")
+    held = pages.select("host", "class", "open", "blocks").mapInArrow(work, "host long, class long, open boolean, key long")
     met = held.distinct().join(runs, "key").join(hosts, "host")
     enough = (F.col("pages") >= MARKED_PAGES) & (F.col("pages") >= MARKED_SHARE * F.col("classes"))
     return keep(met.select("class", "key", (F.col("open") | enough).alias("goes")))
@@ -458,14 +452,12 @@ def extract(pages: DataFrame) -> DataFrame:
     # Pages travel to the numbers of their copies only where these are too many to travel to the pages.
     copied = F.broadcast(copied) if copied.count() <= BROADCAST_CLASSES else copied
     weighed = found.join(copied, "class", "left").withColumn("copies", F.coalesce("copies", F.lit(1)))
-    runs = repeated(weighed, buckets)
-    held = holders(found, runs, hosts)
-    going = held.filter("goes").select("key").distinct()
     marked = found.select("page_id", "url", "blocks", F.lit(None).cast("array<bigint>").alias("gone"), "host")
-    if not held.filter("goes").isEmpty():
-        around = keep(held.join(going, "key").select("class", "key"))
-        exact = holders(with_runs(found, around, "anchors", "inner"), repeated(with_runs(weighed, around, "anchors", "inner"), buckets), hosts)
-        marked = with_runs(found, exact.filter("goes"), "gone", "left").select("page_id", "url", "blocks", "gone", "host")
+    runs = repeated(weighed, buckets)
+    if not runs.isEmpty():
+        going = holders(found, repeated(weighed, buckets, runs), hosts).filter("goes")
+        if not going.isEmpty():
+            marked = with_runs(found, going, "gone", "left").select("page_id", "url", "blocks", "gone", "host")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = Tokens()

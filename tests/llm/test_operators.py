@@ -664,6 +664,20 @@ def test_whole_pages_equal_brute_force(spark, size):
     assert got[0].count(menu) == 0 and (size < 30 or (notice not in got[0] and notice in got[1] and sign_up not in got[3]))
 
 
+def test_short_runs_inside_blocks_go(spark):
+    """Runs of eight tokens that neither begin nor end a block, between words of each page's own, with and without a mark."""
+    rng = random.Random(8)
+    some = lambda n: " ".join(f"w{rng.randrange(10**9)}" for _ in range(n))
+    runs = [some(8) for _ in range(40)]
+    pages = []
+    for i in range(12):
+        body = "".join(f"<p>{some(25)} {r} {some(25)}</p>" for r in runs)
+        pages += [(2 * i, "http://open.example/x", f"<div>{body}</div>"), (2 * i + 1, "http://marked.example/x", f"<article>{body}</article>")]
+    got = {r["page_id"]: r["text"] for r in html_extract.extract(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert got == extracted_model([(i, u, h) for i, u, h in pages])
+    assert not any(r in text for text in got.values() for r in runs)
+
+
 def test_html_odd_rows(spark):
     marked = "<article><p>shared passage in all of the articles here, word for word</p></article>"
     rows = [(1, "http://h.example/y", marked)] * 5 + [(2, None, None), (3, "x", "")]
