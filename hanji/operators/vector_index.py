@@ -30,14 +30,17 @@ from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from hanji import config
 from hanji.operators.retrieve import squared_l2
-from hanji.sources.versions import Versions
+from hanji.sources.versions import Versions, stored
 
 #: Vectors that training reads, about, and cells at most: both bound what the driver and a training task hold.
 SAMPLE, MOST_CELLS = 65_536, 4096
 PARTS, CODES = 16, 256
 #: Queries of a block, and rows of a pack of codes, that meet in a task at once.
 BLOCK, PACK = 256, 8192
+#: Numbers of a matrix that a task makes at once, and bytes of the rows that it is sent at once.
+CELLS, BATCH_BYTES = 1 << 21, 16 << 20
 #: Candidates for each result that is asked for; vectors whose neighbours say how many cells to probe.
 CANDIDATES, TRIAL = 20, 200
 #: Rebuilding is due when the index has grown by this factor since it was trained.
@@ -57,6 +60,22 @@ def _gaps(x: np.ndarray, c: np.ndarray) -> np.ndarray:
     return np.maximum((x * x).sum(1)[:, None] - 2 * x @ c.T + (c * c).sum(1), 0)
 
 
+def _slices(rows: int, width: int) -> Iterator[slice]:
+    """Slices of rows whose matrices of so many columns have about :data:`CELLS` numbers."""
+    step = max(1, CELLS // max(1, width))
+    return (slice(a, a + step) for a in range(0, rows, step))
+
+
+def _closest(x: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return np.concatenate([np.zeros(0, np.int64), *[_gaps(x[s], c).argmin(1) for s in _slices(len(x), len(c))]])
+
+
+def _listed(column: pa.Array, row: int, *fields: str) -> list[pa.Array]:
+    """The fields of the structs in one row's list."""
+    structs = column[row].values
+    return [structs.field(f) for f in fields]
+
+
 def _codebook(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
     """k-means of one part's sample, in a task."""
     rng = np.random.default_rng(seed)
@@ -65,7 +84,7 @@ def _codebook(x: np.ndarray, k: int, seed: int, rounds: int = 12) -> np.ndarray:
         return distinct
     c = distinct[rng.choice(len(distinct), k, replace=False)]
     for _ in range(rounds):
-        own = _gaps(x, c).argmin(1)
+        own = _closest(x, c)
         n = np.bincount(own, minlength=k)
         sums = np.zeros_like(c)
         np.add.at(sums, own, x)
@@ -83,9 +102,9 @@ class Model:
 
     def encode(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(cell, codes, bias, distance to the cell's centre) of each row."""
-        cell = _gaps(x, self.centers).argmin(1)
+        cell = _closest(x, self.centers)
         residual = x - self.centers[cell]
-        codes = np.stack([_gaps(residual[:, a:b], book).argmin(1) for (a, b), book in zip(self.bounds, self.books, strict=True)], 1)
+        codes = np.stack([_closest(residual[:, a:b], book) for (a, b), book in zip(self.bounds, self.books, strict=True)], 1)
         coded = self.decoded(codes)
         return cell, codes, (coded * coded).sum(1) + 2 * (coded * self.centers[cell]).sum(1), np.sqrt((residual * residual).sum(1))
 
@@ -113,7 +132,7 @@ def train(vectors: DataFrame, *, size: int, cells: int | None = None, parts: int
         def pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 x = _matrix(batch.column("v"), batch.num_rows)
-                x = x - centers[_gaps(x, centers).argmin(1)]
+                x = x - centers[_closest(x, centers)]
                 for j, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
                     yield pa.RecordBatch.from_pydict({"part": pa.array([j] * len(x), pa.int32()), "v": pa.array(list(x[:, a:b]), pa.list_(pa.float64()))})
 
@@ -299,18 +318,19 @@ class VectorIndex:
         out = self.vectors().select(F.lit(None).cast(queries.schema["query_id"].dataType).alias("query_id"), "doc_id", F.lit(0.0).alias("distance"), F.lit(0).alias("rank"))
         if not self.loads:
             return out.limit(0)
-        model, parts, most = self.model, self.state["parts"], candidates or CANDIDATES * k
+        model, parts, size, most = self.model, self.state["parts"], self.state["size"], candidates or CANDIDATES * k
         known = np.array(sorted(self._radius()))
         asked = queries.filter(usable("embedding", self.state["size"])).select("query_id", F.col("embedding").cast("array<float>").alias("q"))
         kind = queries.schema["query_id"].dataType.simpleString()
 
         def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    gaps = _gaps(_matrix(batch.column("q"), batch.num_rows), model.centers[known])
+                for s in _slices(batch.num_rows, max(len(known), nprobe * size)):
+                    some = batch.slice(s.start, s.stop - s.start)
+                    gaps = _gaps(_matrix(some.column("q"), some.num_rows), model.centers[known])
                     near = np.argsort(gaps, axis=1, kind="stable")[:, :nprobe]
-                    row = pa.array(np.repeat(np.arange(batch.num_rows), near.shape[1]))
-                    yield pa.RecordBatch.from_arrays([batch.column("query_id").take(row), batch.column("q").take(row), pa.array(known[near].reshape(-1).astype(np.int32)), pa.array(np.take_along_axis(gaps, near, 1).reshape(-1))], names=["query_id", "q", "cell", "gap"])
+                    row = pa.array(np.repeat(np.arange(some.num_rows), near.shape[1]))
+                    yield pa.RecordBatch.from_arrays([some.column("query_id").take(row), some.column("q").take(row), pa.array(known[near].reshape(-1).astype(np.int32)), pa.array(np.take_along_axis(gaps, near, 1).reshape(-1))], names=["query_id", "q", "cell", "gap"])
 
         def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
@@ -324,13 +344,14 @@ class VectorIndex:
 
         def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for r in batch.to_pylist():
-                    table = model.lookup(np.array([x["q"] for x in r["asked"]], float))
+                for i in range(batch.num_rows):
+                    ids, q, gap = _listed(batch.column("asked"), i, "query_id", "q", "gap")
+                    r = {c: batch.column(c)[i].as_py() for c in ("cell", "load", "rows", "bias", "codes")}
+                    table = model.lookup(_matrix(q, len(q)))
                     codes = np.frombuffer(r["codes"], np.uint8).reshape(-1, parts)
-                    about = np.array([x["gap"] for x in r["asked"]])[:, None] + np.frombuffer(r["bias"], float)[None, :] - 2 * sum(t[:, codes[:, j]] for j, t in enumerate(table))
+                    about = gap.to_numpy()[:, None] + np.frombuffer(r["bias"], float)[None, :] - 2 * sum(t[:, codes[:, j]] for j, t in enumerate(table))
                     best = np.argpartition(about, most - 1, axis=1)[:, :most] if about.shape[1] > most else np.broadcast_to(np.arange(about.shape[1]), about.shape)
                     rows, loads = np.frombuffer(r["rows"], np.int64)[best], np.array(r["load"], object)[best]
-                    ids = pa.array([x["query_id"] for x in r["asked"]])
                     yield pa.RecordBatch.from_arrays([ids, pa.array([r["cell"]] * len(ids), pa.int32()), pa.array(loads.tolist(), pa.list_(pa.string())), pa.array(rows.tolist(), pa.list_(pa.int64())), pa.array(np.take_along_axis(about, best, 1).tolist(), pa.list_(pa.float64()))], names=["query_id", "cell", "load", "row", "about"])
 
         def merge(found: pa.Table) -> pa.Table:
@@ -350,7 +371,8 @@ class VectorIndex:
         found = chosen.join(self.vectors(), ["load", "row", "cell"]).join(asked, "query_id")
         distance = F.aggregate(F.zip_with("embedding", "q", lambda a, b: (a.cast("double") - b) * (a.cast("double") - b)), F.lit(0.0), lambda s, x: s + x)
         rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
-        return found.select("query_id", "doc_id", distance.alias("distance")).withColumn("rank", rank).filter(F.col("rank") <= k)
+        with config.during(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+            return stored(found.select("query_id", "doc_id", distance.alias("distance")).withColumn("rank", rank).filter(F.col("rank") <= k), "nearest")
 
 
 def nearest_many(queries: DataFrame, vectors: DataFrame, k: int, *, size: int, parts: int = 32) -> DataFrame:
@@ -362,14 +384,15 @@ def nearest_many(queries: DataFrame, vectors: DataFrame, k: int, *, size: int, p
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                q, x = (np.array([y["v"] for y in r[side]], float) for side in ("asked", "held"))
+            for i in range(batch.num_rows):
+                (asks, q), (ids, x) = _listed(batch.column("asked"), i, "query_id", "v"), _listed(batch.column("held"), i, "doc_id", "v")
+                q, x = _matrix(q, len(q)), _matrix(x, len(x))
                 gaps = _gaps(q, x)
                 # A few more than k, ranked by exact differences: the product form above is not exact to the last digit.
                 best = np.argpartition(gaps, k + 7, axis=1)[:, : k + 8] if gaps.shape[1] > k + 8 else np.broadcast_to(np.arange(len(x)), gaps.shape)
-                ids = np.array([y["doc_id"] for y in r["held"]], np.int64)
+                ids = ids.to_numpy()
                 exact = ((q[:, None, :] - x[best]) ** 2).sum(2)
-                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(np.array([y["query_id"] for y in r["asked"]], np.int64), best.shape[1]), "doc_id": ids[best].reshape(-1), "distance": exact.reshape(-1)})
+                yield pa.RecordBatch.from_pydict({"query_id": np.repeat(asks.to_numpy(), best.shape[1]), "doc_id": ids[best].reshape(-1), "distance": exact.reshape(-1)})
 
     good = vectors.filter(usable("embedding", size)).select(F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").alias("v"))
     asked = queries.filter(usable("embedding", size)).select(F.col("query_id").cast("long").alias("query_id"), F.col("embedding").alias("v"))
@@ -381,4 +404,5 @@ def nearest_many(queries: DataFrame, vectors: DataFrame, k: int, *, size: int, p
     spread = blocks.select("asked", F.explode(F.sequence(F.lit(0), F.lit(max(parts, ceil(n / PACK)) - 1))).alias("part"))
     some = spread.join(held, "part").select("asked", "held").mapInArrow(meet, "query_id long, doc_id long, distance double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy("distance", "doc_id"))
-    return some.withColumn("rank", rank).filter(F.col("rank") <= k)
+    with config.during(queries.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+        return stored(some.withColumn("rank", rank).filter(F.col("rank") <= k), "nearest")

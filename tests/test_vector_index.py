@@ -96,3 +96,12 @@ def test_equal_vectors_few_vectors_and_none(spark):
     assert empty.loads == {} and empty.nearest([1.0], 2)[0].count() == 0
     one = vi.VectorIndex(spark, own_folder(spark, "vec")).build(spark.createDataFrame([(1, [1.0, 0.0])], SCHEMA))
     assert [r["distance"] for r in one.search([0.0, 0.0], 2).collect()] == [1.0]
+
+
+def test_matrices_of_a_task_are_bounded(monkeypatch):
+    """Many rows meet many centres in slices, whose matrices do not grow with either; the closest stay the same."""
+    rng, seen, whole = np.random.default_rng(2), [], vi._gaps
+    monkeypatch.setattr(vi, "_gaps", lambda x, c: seen.append(len(x) * len(c)) or whole(x, c))
+    x, c = rng.normal(size=(9000, 16)), rng.normal(size=(900, 16))
+    cell, *_ = vi.Model(c, [c[:50, :8], c[:50, 8:]]).encode(x)
+    assert max(seen) <= vi.CELLS and (cell == whole(x, c).argmin(1)).all()
