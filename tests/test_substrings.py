@@ -24,3 +24,14 @@ def test_goldens_meet_documents_without_a_nested_loop(spark):
         assert "contains" in plan.lower() and "Join Cross" not in plan
         joins = [line for line in plan.splitlines() if "Join " in line and "#" not in line]
         assert not joins, joins
+
+
+def test_no_text_is_shuffled_and_windows_hold_long_patterns(spark):
+    rng = random.Random(5)
+    letters = "ab한\n"
+    texts = [(i, "".join(rng.choices(letters, k=400))) for i in range(60)]
+    patterns = [(i, texts[i][1][i : i + 1 + 5 * i]) for i in range(60)] + [(70, "ab" * 40)]
+    frames = spark.createDataFrame(texts, "doc_id long, text string"), spark.createDataFrame(patterns, "pattern_id long, pattern string")
+    got = substrings.contains_join(*frames)
+    assert sorted(tuple(r) for r in got.collect()) == sorted((d, p) for d, t in texts for p, s in patterns if s in t)
+    assert "_t#" not in got._jdf.queryExecution().optimizedPlan().toString()
