@@ -31,7 +31,7 @@ from hanji import config
 from hanji.functions.text import tokenize
 from hanji.operators.boolean import BooleanQuery
 from hanji.operators.index import idf, weight
-from hanji.sources.versions import Versions
+from hanji.sources.versions import Versions, stored
 
 #: Documents and, about, tokens of a window at most; rows that leave a task at once.
 WINDOW_DOCS, WINDOW_TOKENS, ROWS = 1024, 200_000, 20_000
@@ -39,10 +39,17 @@ WINDOW_DOCS, WINDOW_TOKENS, ROWS = 1024, 200_000, 20_000
 BATCH_BYTES = 4 << 20
 #: Bytes of a row group of postings: a writer holds one, and a query reads those that have its terms.
 ROW_GROUP = 16 << 20
+#: Bytes of files that a task reads to write a segment: what it makes of them is sorted without spilling.
+SPLIT = 32 << 20
+#: How tables are written: tokens and positions take half of what they do with the session's codec, and pages of few
+#: blocks are left out one by one where a query's terms are not.
+STORED = {"compression": "zstd", "parquet.block.size": ROW_GROUP, "parquet.page.row.count.limit": 4000}
 #: Windows that set the threshold of a top-k search.
 SEED_WINDOWS = 8
 #: Windows up to which their numbers are pushed into the scan; more are joined.
 PUSHED_WINDOWS = 2000
+#: Ids and tombstones up to which they are broadcast to the documents, so that no tokens are shuffled to them; more are joined.
+BROADCAST = 1_000_000
 #: Relative error of bounds, which are sums in another order than scores.
 SLACK = 1 + 1e-9
 #: Compaction takes segments with fewer documents than this share of all, or fewer living than this share of their own.
@@ -104,6 +111,10 @@ def _blocks(most_docs: int, most_tokens: int) -> Callable[[Iterator[pa.RecordBat
     return work
 
 
+def _few(rows: DataFrame, n: int) -> DataFrame:
+    return F.broadcast(rows) if n <= BROADCAST else rows
+
+
 @dataclass(frozen=True)
 class Statistics:
     """What scores need of the whole collection: documents, mean length, and each query term's document frequency."""
@@ -154,7 +165,8 @@ class SegmentIndex:
 
     def _living(self, rows: DataFrame) -> DataFrame:
         dead = self.tombstones()
-        return rows if dead is None else rows.join(dead, ["segment", "ord"], "left_anti")
+        gone = sum(v["gone"] for v in self.segments.values())
+        return rows if dead is None else rows.join(_few(dead, gone), ["segment", "ord"], "left_anti")
 
     # Changes
 
@@ -164,30 +176,32 @@ class SegmentIndex:
         at = f"{self.root}/docs/segment={name}"
         # Ordered within tasks: windows then hold documents of like length, whose bounds differ from other windows'.
         ordered = docs.select("doc_id", "tokens", F.size("tokens").cast("long").alias("dl")).sortWithinPartitions("dl", "doc_id")
-        ordered.select(F.monotonically_increasing_id().alias("ord"), "doc_id", "dl", "tokens").write.parquet(at)
-        written = self.spark.read.parquet(at)
-        total = written.agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
-        if not total["docs"]:
-            return {}
-        blocks = written.select("ord", "dl", "tokens").mapInArrow(_blocks(*self.window), BLOCKS).sortWithinPartitions("term", "window")
-        with config.during(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
-            blocks.write.option("parquet.block.size", ROW_GROUP).parquet(f"{self.root}/postings/segment={name}")
+        with config.during(self.spark, "spark.sql.files.maxPartitionBytes", str(SPLIT)), config.during(self.spark, "spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES)):
+            ordered.select(F.monotonically_increasing_id().alias("ord"), "doc_id", "dl", "tokens").write.options(**STORED).parquet(at)
+            written = self.spark.read.parquet(at)
+            total = written.agg(F.count("*").alias("docs"), F.coalesce(F.sum("dl"), F.lit(0)).alias("tokens")).first()
+            if not total["docs"]:
+                return {}
+            blocks = written.select("ord", "dl", "tokens").mapInArrow(_blocks(*self.window), BLOCKS).sortWithinPartitions("term", "window")
+            blocks.write.options(**STORED).parquet(f"{self.root}/postings/segment={name}")
         terms = self.spark.read.parquet(f"{self.root}/postings/segment={name}").groupBy("term").agg(F.sum("n").alias("df"))
-        terms.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.root}/terms/segment={name}")
+        terms.repartitionByRange("term").sortWithinPartitions("term").write.options(**STORED).parquet(f"{self.root}/terms/segment={name}")
         return {name: {"docs": total["docs"], "tokens": total["tokens"], "gone": 0, "gone_tokens": 0, "dead": []}}
 
     def _bury(self, ids: DataFrame, segments: dict[str, dict]) -> dict[str, dict]:
         """Tombstones for the living documents with these ids; the segments as they are then."""
         name = uuid.uuid4().hex
-        named = ids.select("doc_id").filter("doc_id IS NOT NULL").distinct()
-        found = self.documents().join(named, "doc_id", "left_semi")
-        found.select("segment", "ord", "dl", "tokens").write.parquet(f"{self.root}/dead/{name}")
+        # Written first: planned along with the documents, they would meet in a shuffle of all tokens.
+        named = stored(ids.select("doc_id").filter("doc_id IS NOT NULL").distinct(), "ids")
+        found = self.documents().join(_few(named, named.count()), "doc_id", "left_semi")
+        found.select("segment", "ord", "dl").write.options(**STORED).parquet(f"{self.root}/dead/{name}")
         rows = self.spark.read.parquet(f"{self.root}/dead/{name}")
         counts = {r["segment"]: r for r in rows.groupBy("segment").agg(F.count("*").alias("n"), F.sum("dl").alias("t")).collect()}
         if not counts:
             return segments
-        less = rows.select("segment", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df"))
-        less.repartitionByRange("term").sortWithinPartitions("term").write.parquet(f"{self.root}/less/{name}")
+        tokens = self._table("docs", "ord long, tokens array<string>").join(_few(rows.select("segment", "ord"), sum(c["n"] for c in counts.values())), ["segment", "ord"], "left_semi")
+        less = tokens.select("segment", F.explode(F.array_distinct("tokens")).alias("term")).groupBy("segment", "term").agg(F.count("*").alias("df"))
+        less.repartitionByRange("term").sortWithinPartitions("term").write.options(**STORED).parquet(f"{self.root}/less/{name}")
         out = {}
         for s, v in segments.items():
             c = counts.get(s)

@@ -7,6 +7,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from hanji import config
 from hanji.operators import boolean, index
 from hanji.operators import segments as sg
 from hanji.sources.versions import Conflict, Versions
@@ -118,3 +119,22 @@ def test_phrases_and_boolean_queries_equal_plain_search(spark, tmp_path):
         asked = boolean.parse(q)
         want = [i for i in held if all(has(i, p) for p in asked.phrases) and not any(has(i, e) for e in asked.excludes) and (not asked.clauses or any(all(has(i, w) for w in c) for c in asked.clauses))]
         assert sorted(r["doc_id"] for r in ix.matching(asked, split).collect()) == sorted(want), q
+
+
+def test_tokens_are_not_shuffled_to_tombstones_nor_kept_with_them(spark, tmp_path):
+    import glob
+
+    import pyarrow.parquet as pq
+
+    docs = spark.createDataFrame([(i, f"erin than w{i % 7} the") for i in range(200)], "doc_id long, text string")
+    ix = sg.SegmentIndex(spark, str(tmp_path / "ix")).add(docs).delete(docs.filter("doc_id % 3 = 0"))
+    with config.during(spark, "spark.sql.autoBroadcastJoinThreshold", "-1"):
+        plan = ix.documents()._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "Exchange hashpartitioning" not in plan
+    assert sorted(r["doc_id"] for r in ix.documents().collect()) == [i for i in range(200) if i % 3]
+    assert ix.statistics(["erin", "w0"]).df == {"erin": 133, "w0": len([i for i in range(200) if i % 3 and i % 7 == 0])}
+    for kind in ("docs", "postings", "terms", "dead", "less"):
+        files = glob.glob(f"{tmp_path}/ix/{kind}/**/*.parquet", recursive=True)
+        codecs = {pq.ParquetFile(f).metadata.row_group(0).column(0).compression for f in files if pq.ParquetFile(f).metadata.num_row_groups}
+        assert codecs == {"ZSTD"}, kind
+    assert "tokens" not in spark.read.parquet(f"{tmp_path}/ix/dead").columns
