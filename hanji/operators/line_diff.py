@@ -12,8 +12,9 @@ unique; a pair without common lines, or without lines, has a row like others.
 from __future__ import annotations
 
 from bisect import bisect_left
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -47,15 +48,19 @@ def longest(matches: list[tuple[int, list[int]]]) -> list[tuple[int, int]]:
 def aligned(pairs: DataFrame, *, key: str = "key", old: str = "old", new: str = "new") -> DataFrame:
     """(key, i, j): the lines that both versions keep, by their numbers from 0."""
     kind = pairs.schema[key].dataType.simpleString()
-    before = pairs.select(F.col(key).alias("key"), F.posexplode(lines(old)).alias("i", "line"))
-    after = pairs.select(F.col(key).alias("key"), F.posexplode(lines(new)).alias("j", "line")).groupBy("key", "line").agg(F.sort_array(F.collect_list("j")).alias("places"))
-
-    def work(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("i")
-        found = longest([(int(i), [int(j) for j in js]) for i, js in zip(frame["i"], frame["places"], strict=True)])
-        return pd.DataFrame({"key": frame["key"].iloc[0], "i": [i for i, _ in found], "j": [j for _, j in found]})
-
-    return before.join(after, ["key", "line"]).select("key", "i", "places").groupBy("key").applyInPandas(work, f"key {kind}, i int, j int")
+    digest = lambda text: F.transform(lines(text), lambda x: F.unhex(F.sha2(x, 256)))
+    before = pairs.select(F.col(key).alias("key"), F.posexplode(digest(old)).alias("i", "line"))
+    after = pairs.select(F.col(key).alias("key"), F.posexplode(digest(new)).alias("j", "line")).groupBy("key", "line").agg(F.sort_array(F.collect_list("j")).alias("places"))
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [longest([(m["i"], m["places"]) for m in matches]) for matches in batch.column("matches").to_pylist()]
+            row = pa.array([n for n, some in enumerate(found) for _ in some], pa.int32())
+            places = [pa.array([x[side] for some in found for x in some], pa.int32()) for side in (0, 1)]
+            yield pa.record_batch([batch.column("key").take(row), *places], ["key", "i", "j"])
+
+    met = before.join(after, ["key", "line"]).groupBy("key").agg(F.sort_array(F.collect_list(F.struct("i", "places"))).alias("matches"))
+    return met.mapInArrow(work, f"key {kind}, i int, j int")
 
 
 def counts(pairs: DataFrame, *, key: str = "key", old: str = "old", new: str = "new") -> DataFrame:

@@ -39,3 +39,11 @@ def test_changes_equal_the_recurrence_and_rebuild_both_versions(spark):
     html = {r["key"]: r["html"] for r in line_diff.html_table(line_diff.changes(pairs)).collect()}
     assert html[103] == '<table><tr class="kept"><td> </td><td>&lt;&amp;&gt;</td></tr></table>'
     assert html[100] == '<table><tr class="added"><td>+</td><td>x</td></tr></table>'
+
+
+def test_lines_meet_as_digests_and_pairs_share_batches(spark):
+    pairs = spark.createDataFrame([(k, f"a{k}\nb\nc" + "\nx" * k, f"b\nc\na{k}\n" + "x\n" * k) for k in range(300)], "key long, old string, new string")
+    made = line_diff.aligned(pairs)
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "sha2(" in plan and "FlatMapGroups" not in plan
+    assert {r["key"]: r["count"] for r in made.groupBy("key").count().collect()} == {k: 2 + k for k in range(300)}
