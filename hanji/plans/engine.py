@@ -22,6 +22,29 @@ class Embedder(Protocol):
     def embed(self, texts: list[str]) -> np.ndarray: ...
 
 
+def _checksums_of_bytes() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = (out >> 1) ^ np.where(out & 1, np.uint32(0xEDB88320), np.uint32(0))
+    return out
+
+
+_OF_BYTE = _checksums_of_bytes()
+
+
+def trigram_checksums(text: str) -> np.ndarray:
+    """CRC-32 of the UTF-8 of each run of three characters, of a shorter text as a whole: a byte of all runs at a time."""
+    data = np.frombuffer(text.encode(), np.uint8)
+    begin = np.append(np.flatnonzero((data & 0xC0) != 0x80), len(data))
+    n = max(1, len(begin) - 3)
+    first, size = begin[:n], begin[min(3, len(begin) - 1) :] - begin[:n]
+    found = np.full(n, 0xFFFFFFFF, np.uint32)
+    for k in range(size.max()):
+        some = np.flatnonzero(size > k) if size.min() <= k else slice(None)
+        found[some] = _OF_BYTE[(found[some] ^ data[first[some] + k]) & 0xFF] ^ (found[some] >> 8)
+    return found ^ np.uint32(0xFFFFFFFF)
+
+
 class HashEmbedder:
     """Deterministic embeddings of hashed character trigrams; a stand-in where no model is installed."""
 
@@ -29,12 +52,9 @@ class HashEmbedder:
         self.size = size
 
     def embed(self, texts: list[str]) -> np.ndarray:
-        import zlib
-
         out = np.zeros((len(texts), self.size), np.float32)
         for i, t in enumerate(texts):
-            for j in range(max(1, len(t) - 2)):
-                out[i, zlib.crc32(t[j : j + 3].encode()) % self.size] += 1
+            out[i] = np.bincount(trigram_checksums(t) % self.size, minlength=self.size)
         return out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-12)
 
 
