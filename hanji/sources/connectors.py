@@ -30,6 +30,8 @@ from hanji.sources.files import MEMBERS, zip_members
 
 #: Members that a task reads; events that a task holds before it writes them.
 RANGE, EVENTS = 64, 10_000
+#: Archives from which on small ones share tasks; bytes of an archive that is small, and of those that a task reads.
+MANY, WHOLE, PACKED = 64, 1 << 20, 2 << 20
 
 
 def _listed(folder: str, pattern: str) -> list[tuple[str, int]]:
@@ -70,16 +72,22 @@ class _File(io.RawIOBase):
 
 
 @dataclass
-class MemberRange(InputPartition):
+class MemberRange:
     archive: str
     first: int
     last: int
 
 
+@dataclass
+class MemberRanges(InputPartition):
+    ranges: list[MemberRange]
+
+
 class ZipMembers(DataSource):
-    """Rows of :data:`hanji.sources.files.MEMBERS` of all ``.zip`` files below a folder, a partition every 64 members.
+    """Rows of :data:`hanji.sources.files.MEMBERS` of all ``.zip`` files below a folder, a partition every 64 members of
+    an archive. Of more than 64 archives those up to 1 MB are read whole, as many in a partition as make 2 MB.
 
-    The driver reads the last bytes of each archive, which count its members. Filters on ``archive`` drop partitions,
+    The driver reads the last bytes of the archives that are read by ranges, which count their members. Filters on ``archive`` drop partitions,
     filters on ``member`` drop members before they are unpacked.
     """
 
@@ -121,19 +129,26 @@ class ZipReader(DataSourceReader):
         return max(1, unpack("<H", tail[at + 10 : at + 12])[0]) if 0 <= at <= len(tail) - 22 else 1
 
     def partitions(self) -> list[InputPartition]:
-        out = []
-        for uri, size in _listed(self.folder, r"(?i)\.zip$"):
-            if self._passes("archive", uri):
-                n = self.members(uri, size)
-                # A record that counts 65,535 means that there are as many or more: the last range is open.
-                out += [MemberRange(uri, a, a + RANGE if a + RANGE < n else 1 << 31) for a in range(0, n, RANGE)]
-        return out or [MemberRange("", 0, 0)]
-
-    def read(self, partition: MemberRange) -> Iterator[tuple]:
-        if partition.archive:
-            with _open(partition.archive) as file:
-                wanted = (lambda m: self._passes("member", m)) if any(f.attribute == ("member",) for f in self.filters) else None
-                yield from zip_members(partition.archive, io.BufferedReader(_File(file)), partition.first, partition.last, wanted=wanted)
+        out, whole, held = [], [], 0
+        archives = [(uri, size) for uri, size in _listed(self.folder, r"(?i)\.zip$") if self._passes("archive", uri)]
+        for uri, size in archives:
+            if len(archives) > MANY and size <= WHOLE:
+                if whole and held + size > PACKED:
+                    out.append(MemberRanges(whole))
+                    whole, held = [], 0
+                whole.append(MemberRange(uri, 0, 1 << 31))
+                held += size
+                continue
+            n = self.members(uri, size)
+            # A record that counts 65,535 means that there are as many or more: the last range is open.
+            out += [MemberRanges([MemberRange(uri, a, a + RANGE if a + RANGE < n else 1 << 31)]) for a in range(0, n, RANGE)]
+        return [*out, MemberRanges(whole)] if whole or not out else out
+
+    def read(self, partition: MemberRanges) -> Iterator[tuple]:
+        wanted = (lambda m: self._passes("member", m)) if any(f.attribute == ("member",) for f in self.filters) else None
+        for some in partition.ranges:
+            with _open(some.archive) as file:
+                yield from zip_members(some.archive, io.BufferedReader(_File(file)), some.first, some.last, wanted=wanted)
 
 
 @dataclass

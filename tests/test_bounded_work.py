@@ -23,3 +23,17 @@ def test_a_pair_of_parts_is_indexed_once_a_batch(monkeypatch):
     a, b = pd.Series(["제 1 조", "제 2 조", None] * 40), pd.Series(["src0", "src1", "x"] * 40)
     got = korean.index_text_udf.func(a, b)
     assert got.tolist() == [plain(x, y) for x, y in zip(a, b)] and len(asked) == 3
+
+
+def test_small_archives_share_partitions(tmp_path):
+    import zipfile
+
+    from hanji.sources import connectors
+
+    for n in range(100):
+        with zipfile.ZipFile(tmp_path / f"{n}.zip", "w") as z:
+            z.writestr("a.txt", f"text {n}")
+    reader = connectors.ZipReader(f"file://{tmp_path}")
+    dealt = reader.partitions()
+    assert len(dealt) == 1
+    assert sorted(bytes(row[5]).decode() for part in dealt for row in reader.read(part)) == sorted(f"text {n}" for n in range(100))
