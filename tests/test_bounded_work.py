@@ -37,3 +37,31 @@ def test_small_archives_share_partitions(tmp_path):
     dealt = reader.partitions()
     assert len(dealt) == 1
     assert sorted(bytes(row[5]).decode() for part in dealt for row in reader.read(part)) == sorted(f"text {n}" for n in range(100))
+
+
+def test_rows_of_files_leave_a_task_a_few_mb_at_a_time(monkeypatch):
+    from hanji.sources import extract
+
+    class Files:
+        def select(self, *_):
+            return self
+
+        def mapInPandas(self, work, _):
+            return work
+
+    monkeypatch.setattr(extract, "BATCH_BYTES", 100)
+    batch = pd.DataFrame({"path": [f"{i}.txt" for i in range(50)], "content": [b"plain words " * (i % 4) for i in range(49)] + [None]})
+    made = list(extract.extract(Files())(iter([batch])))
+    assert len(made) > 5 and max(len(m) for m in made) < 20
+    assert [p for m in made for p in m["path"]] == batch["path"].tolist()
+
+
+def test_white_space_at_the_ends_is_what_the_expression_matches(spark):
+    from pyspark.sql import functions as F
+
+    from hanji.functions.text import strip
+
+    kinds = [chr(c) for c in (*range(0x0, 0x300), 0x1680, 0x180E, *range(0x2000, 0x2070), 0x3000, 0xFEFF)]
+    rows = spark.createDataFrame([(f"{c}{c} a{c}b {c}\n",) for c in kinds] + [(f"{c}",) for c in kinds] + [(None,), ("",), (" \n",)], "t string")
+    assert rows.filter(~strip("t").eqNullSafe(F.regexp_replace("t", r"(?U)^\s+|\s+$", ""))).count() == 0
+    assert "regexp" not in rows.select(strip("t"))._jdf.queryExecution().optimizedPlan().toString()
