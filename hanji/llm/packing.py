@@ -14,6 +14,7 @@ an empty result; extra columns are ignored.
 
 from __future__ import annotations
 
+import os
 import re
 import zlib
 from bisect import bisect_left, insort
@@ -22,6 +23,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -35,10 +37,15 @@ PARTITION_TOKENS = 4_000_000
 BINS, ROUND_BITS = 1 << 23, 36
 #: Partitions with a gap that exchange documents together, and how often.
 GROUP, ROUNDS = 8, 2
-#: Distinct parts of texts whose ids a task remembers, about, in each half of its memory.
-MEMO_PARTS = 200_000
-#: Anything but ASCII and Latin letters whose lower case is one letter.
-_FOREIGN = re.compile("[^\\x00-\\x7f\\xaa\\xb5\\xba\\xc0-\\xd6\\xd8-\\xf6\\xf8-\u012f\u0131-\u024f]").search
+#: Distinct parts of texts whose ids a Python worker remembers, about, in each half of its memory, and their mean length.
+MEMO_PARTS, MEMO_LENGTH = 200_000, 20
+#: Latin letters beyond ASCII whose lower case is one letter; none composes with what follows.
+_LATIN = "\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u012f\u0131-\u024f"
+_FOREIGN = re.compile(f"[^\x00-\x7f{_LATIN}]").search
+#: A part that :data:`_UNITS` may cut: no white space or control characters, and short.
+_SIMPLE = re.compile(f"[!-~{_LATIN}]{{1,256}}").fullmatch
+#: The vocabulary's splitter, for lower-cased simple parts.
+_UNITS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[a-z{_LATIN}]+|[0-9]|[^a-z0-9{_LATIN}]+").findall
 #: Marks that a stop or comma right after them would join.
 _MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~" + "".join(map(chr, [*range(9), *range(14, 32), 127]))
 _JOINED = tuple((m, m + ".", m + ",") for m in _MARKS)
@@ -64,6 +71,16 @@ def _tokenizer(path: str):
     return Tokenizer.from_file(path)
 
 
+@cache
+def _unit_tokenizer(path: str):
+    """The same model for lower-cased units between blanks: nothing to normalize, nothing else to split."""
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    tokenizer = Tokenizer(_tokenizer(path).model)
+    tokenizer.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+    return tokenizer
+
+
 @cache
 def _last_ids(path: str) -> np.ndarray:
     """Which ids end a unit of the splitter."""
@@ -78,54 +95,81 @@ class WordTokens:
 
     The vocabulary's splitter lower-cases, never lets a token cross white space, and parts letters from other characters.
     So a text's ids are those of its parts between blanks and line feeds, one after another, and a text of plain Latin
-    letters may be lower-cased, and a full stop or comma that ends a word cut off, beforehand. Letters alone are one unit
-    of the splitter, whose last id is one of a known set: many units are encoded as one text and cut after those ids.
-    The memory is bounded: when its younger half is full, the older half is forgotten.
+    letters may be lower-cased, and a full stop or comma that ends a word cut off, beforehand. The last id of a unit of the
+    splitter is one of a known set, so many parts are encoded as one text and cut after those ids: simple parts as their
+    units, which need no normalizer, and other letters, which are one unit, as they are. The memory is bounded in parts and
+    characters: when its younger half is full, the older half is forgotten.
     """
 
     def __init__(self, path: str, limit: int = MEMO_PARTS):
-        self.tokenizer, self.limit, self.last = _tokenizer(path), limit, _last_ids(path)
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # Spark's tasks are the threads; the library's own take more CPU
+        self.tokenizer, self.unit_tokenizer, self.limit, self.last = _tokenizer(path), _unit_tokenizer(path), limit, _last_ids(path)
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
+        self.chars = 0
 
     @staticmethod
-    def parts(text: str) -> list[str]:
+    def spaced(text: str) -> str:
+        """The text with its parts between blanks."""
         if _unusual(text):
-            return text.replace("\n", " ").split(" ")
-        return (text.lower() + " ").replace("\n", " ").replace(". ", " . ").replace(", ", " , ").split(" ")
+            return text.replace("\n", " ")
+        return (text.lower() + " ").replace("\n", " ").replace(". ", " . ").replace(", ", " , ")
 
     def _plain(self, parts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
 
     def _learn(self, keys: set[str]) -> None:
-        if len(self.young) > self.limit:
-            self.young, self.old = {}, self.young
+        if len(self.young) > self.limit or self.chars > MEMO_LENGTH * self.limit:
+            self.young, self.old, self.chars = {}, self.young, 0
         keys = keys.difference(self.young)
+        self.chars += sum(map(len, keys))
         again = {k for k in keys if k in self.old}
         self.young.update(zip(again, map(self.old.__getitem__, again), strict=True))
-        units, others = [], []
+        simple, units, counts, letters, others = [], [], [], [], []
         for k in keys.difference(again):
-            (units if k.isalpha() else others).append(k)
+            low = k.lower()
+            if _SIMPLE(low) and (low == k or _SIMPLE(k)) and "<|" not in k:
+                found = [low] if low.isalpha() else _UNITS(low)
+                simple.append(k)
+                units.append(" ".join(found))
+                counts.append(len(found))
+            else:
+                (letters if k.isalpha() else others).append(k)
         self.young.update(zip(others, self._plain(others), strict=True))
-        for i in range(0, len(units), 4096):
-            part = units[i : i + 4096]
-            found = self.tokenizer.encode_batch_fast([" ".join(part[k : k + 64]) for k in range(0, len(part), 64)], add_special_tokens=False)
+        self._bulk(self.unit_tokenizer, simple, units, counts)
+        self._bulk(self.tokenizer, letters, letters, [1] * len(letters))
+
+    def _bulk(self, tokenizer, keys: list[str], texts: list[str], counts: list[int]) -> None:
+        """Learn ``keys`` from ``texts``, which hold their units between blanks, ``counts`` of them."""
+        for i in range(0, len(keys), 4096):
+            part, text = keys[i : i + 4096], texts[i : i + 4096]
+            found = tokenizer.encode_batch_fast([" ".join(text[k : k + 64]) for k in range(0, len(text), 64)], add_special_tokens=False)
             ids = np.array([x for e in found for x in e.ids], "<u4")
-            cuts = np.flatnonzero(self.last[ids]) + 1
-            if len(cuts) != len(part):
+            cuts, at = np.flatnonzero(self.last[ids]) + 1, np.cumsum(counts[i : i + 4096])
+            if len(cuts) != at[-1]:
                 self.young.update(zip(part, self._plain(part), strict=True))
                 continue
-            raw, ends = ids.tobytes(), (4 * cuts).tolist()
+            raw, ends = ids.tobytes(), (4 * cuts[at - 1]).tolist()
             self.young.update(zip(part, [raw[a:b] for a, b in zip([0, *ends], ends, strict=False)], strict=True))
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         """Little-endian 32-bit ids of each text."""
-        for i in range(0, len(texts), 256):
-            split = [self.parts(t) for t in texts[i : i + 256]]
-            self._learn(set().union(*split))
-            get = self.young.__getitem__
-            for parts in split:
-                yield b"".join(map(get, parts))
+        for i in range(0, len(texts), 1024):
+            split = pc.split_pattern(pa.array(map(self.spaced, texts[i : i + 1024]), pa.large_string()), " ")
+            parts = split.flatten().dictionary_encode()
+            keys = parts.dictionary.to_numpy(zero_copy_only=False).tolist()
+            self._learn(set(keys))
+            raw = pa.array(map(self.young.__getitem__, keys), pa.large_binary()).take(parts.indices)
+            _, places, ids = raw.buffers()
+            ends = np.frombuffer(places, np.int64)[split.offsets.to_numpy()].tolist()
+            for start, end in zip(ends, ends[1:], strict=False):
+                yield ids[start:end].to_pybytes() if end > start else b""
+
+
+@cache
+def _word_tokens(path: str) -> WordTokens:
+    """One memory a Python worker: its later tasks meet the same words."""
+    return WordTokens(path)
 
 
 def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY, separator: int = SEPARATOR) -> DataFrame:
@@ -136,7 +180,7 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = WordTokens(path)
+        tokens = _word_tokens(path)
         for batch in batches:
             ids, texts = batch.column("doc_id").to_pylist(), [t or "" for t in batch.column("text").to_pylist()]
             rows = []
@@ -148,7 +192,6 @@ def pieces(docs: DataFrame, *, path: str | None = None, capacity: int = CAPACITY
             cols = list(zip(*rows, strict=True)) if rows else [[]] * 5
             kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
-        del tokens
         release()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(work, schema)

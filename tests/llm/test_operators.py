@@ -465,6 +465,39 @@ def test_pieces_equal_the_tokenizer(spark):
     assert n == len(got)
 
 
+def test_simple_parts_are_encoded_in_bulk(monkeypatch):
+    """Words with marks, digits or contractions are cut into units beforehand; only other parts are encoded one by one."""
+    path = packing.default_vocabulary()
+    tokenizer, tokens, alone = packing._tokenizer(path), packing.WordTokens(path, limit=40), []
+    plain = tokens._plain
+    monkeypatch.setattr(tokens, "_plain", lambda keys: alone.extend(keys) or plain(keys))
+    simple = ["one!! two.%%% (three) 555-0078 don't 's's !'s x_y", "Año... l'ÉTÉ; straße: «a» – we'LL A's", "Ⱥⱥ ǅ ŉ ſ µ ª2º", "b" * 300, "漢字 Привет"]
+    odd = ["tab\there", "c\x1cd", "x\xa0y", "<|endoftext|>a", "7" * 300, "e\u0301!", "²½", "漢字!", "x×y"]
+    rng = random.Random(5)
+    mixed = [" ".join(rng.choice(rng.choice([simple, odd])) for _ in range(rng.randint(0, 4))) for _ in range(1500)]
+    texts = [*simple, "", *odd, *mixed]
+    want = [np.array(tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in texts]
+    assert list(tokens.encode(simple)) == want[: len(simple)] and set(alone) == {"", "«a»", "–"}
+    assert list(tokens.encode(texts)) == want
+
+
+def test_memory_of_tokens_is_bounded_by_characters():
+    tokens = packing.WordTokens(packing.default_vocabulary(), limit=100)
+    for k in range(40):
+        assert len(next(tokens.encode([f"{k} " + "-" * 20_000 + str(k)])))
+    assert sum(map(len, [*tokens.young, *tokens.old])) < 50_000
+
+
+def test_tokens_take_no_threads_beside_the_task():
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(9)) for _ in range(40_000)]
+    tokens = packing.WordTokens(packing.default_vocabulary())
+    mine, whole = time.thread_time(), time.process_time()
+    assert len(list(tokens.encode([" ".join(words)]))) == 1
+    mine, whole = time.thread_time() - mine, time.process_time() - whole
+    assert whole < 1.3 * mine
+
+
 def test_exchange_needs_no_more_sequences(spark, odd):
     rng = random.Random(11)
     rows = [(i, 0, 0, rng.randint(1, 1500), 0) for i in range(900)]
